@@ -31,8 +31,8 @@ def rad(c: Column) -> Column:
 
 
 def to_cents(amount: Column | str) -> Column:
-    """Money to integer cents, ties to even."""
-    return F.bround(as_col(amount) * 100, 0).cast("bigint")
+    """Money to integer cents, ties to even; 32-bit amounts are multiplied in 32 bits."""
+    return F.bround(as_col(amount) * F.lit(100.0).cast("float"), 0).cast("bigint")
 
 
 def clamp(c: Column | str, low, high) -> Column:

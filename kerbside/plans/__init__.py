@@ -1 +1,4 @@
-"""See the modules of this package."""
+"""All registered queries."""
+
+from kerbside.plans import prep_queries, source_queries  # noqa: F401
+from kerbside.plans.registry import ORACLES, QUERIES  # noqa: F401

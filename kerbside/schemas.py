@@ -6,8 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 
-def struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+TYPES = {
+    "TINYINT": T.ByteType(),
+    "SMALLINT": T.ShortType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "FLOAT": T.FloatType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """'name TYPE, ...' as a schema; needs no session, so schemas can be module constants."""
+    fields = [c.strip().rsplit(" ", 1) for c in columns.split(",")]
+    return T.StructType([T.StructField(name.strip("`"), TYPES[kind]) for name, kind in fields])
 
 
 # Vendor codes, licence codes, payment codes, zones outside the city.
@@ -58,9 +73,16 @@ INDUSTRY_REPORT = struct(
 )
 ASKING_RENT = struct("LocationID INT, Date DATE, AskingRent DOUBLE")
 HOUSE_INCOME = struct("locationid INT, year INT, median_income DOUBLE")
-ZONE_FEATURES = struct(
-    "type STRING, features ARRAY<STRUCT<type: STRING, properties: STRUCT<locationid: STRING, zone: STRING, "
-    "borough: STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
+FEATURE = T.StructType(
+    [
+        T.StructField("type", T.StringType()),
+        T.StructField("properties", struct("locationid STRING, zone STRING, borough STRING")),
+        # coordinates stay text here: their nesting depends on the geometry type
+        T.StructField("geometry", struct("type STRING, coordinates STRING")),
+    ]
+)
+ZONE_FEATURES = T.StructType(
+    [T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(FEATURE))]
 )
 
 

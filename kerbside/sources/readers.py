@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from kerbside.functions.time import ntz
 from kerbside.operators.geo import polygon_column
-from kerbside.schemas import ZONE_FEATURES, conform
+from kerbside.schemas import FEATURE, ZONE_FEATURES, conform
 
 
 def read_parquet(spark: SparkSession, paths: str | Iterable[str], schema: T.StructType | None = None) -> DataFrame:
@@ -32,8 +32,7 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     feature per line, which splits.
     """
     if lines:
-        feature = ZONE_FEATURES["features"].dataType.elementType
-        rows = spark.read.schema(feature).json(path)
+        rows = spark.read.schema(FEATURE).json(path)
     else:
         rows = spark.read.schema(ZONE_FEATURES).option("multiLine", True).json(path).select(F.inline("features"))
     return rows.select(
