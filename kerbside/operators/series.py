@@ -268,8 +268,7 @@ def continuity_check(a: DataFrame, b: DataFrame, ts: str = "timestamp") -> DataF
 
 def daily_ffill(df: DataFrame, date: str, value: str, keys: Sequence[str]) -> DataFrame:
     """One row per day, the last value carried over missing days."""
-    at = F.lead(date)
-    w = Window.partitionBy(*keys).orderBy(date)
-    last = F.coalesce(F.date_sub(at.over(w), 1), F.col(date))
-    days = df.withColumn("_day", F.explode(F.sequence(F.col(date), last, F.expr("INTERVAL 1 DAY"))))
+    after = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+    held = df.withColumn("_last", F.coalesce(F.date_sub(after, 1), F.col(date)))
+    days = held.withColumn("_day", F.explode(F.sequence(F.col(date), F.col("_last"), F.expr("INTERVAL 1 DAY"))))
     return days.select(*keys, F.col("_day").alias(date), value)
