@@ -7,27 +7,28 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbside.functions.maths import clean_forecast
 from kerbside.functions.text import series_key
 from kerbside.functions.time import cyclic, iso_weekday, step
 from kerbside.operators.grid import complete_spine
 from kerbside.operators.lookup import merge_forecasts, route_to_segment
-from kerbside.operators.series import by_series, fill_static, last_hours
+from kerbside.operators.series import by_series, fill_static
 
 KEYS = ["VendorID", "PULocationID"]
 Z80 = 1.28
 LEVELS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
 
-def recent_history(series: DataFrame, hours: int = 72, static: Sequence[str] = (), keys=KEYS) -> DataFrame:
-    """The last hours of the table, completed to the full range with zero demand."""
-    newest = series.agg(F.max("timestamp")).scalar()
-    recent = last_hours(series, hours)
-    full = complete_spine(
-        recent, keys, "timestamp", "1h", "global", start=newest - step((hours - 1) * 3600), end=newest
-    )
+def recent_history(
+    series: DataFrame, hours: int = 72, static: Sequence[str] = (), keys=KEYS, newest: Column | None = None
+) -> DataFrame:
+    """The last hours up to the newest instant (of the table), completed with zero demand."""
+    newest = newest if newest is not None else series.agg(F.max("timestamp")).scalar()
+    oldest = newest - step((hours - 1) * 3600)
+    recent = series.where(F.col("timestamp") >= oldest)
+    full = complete_spine(recent, keys, "timestamp", "1h", "global", start=oldest, end=newest)
     values = [c for c in series.columns if c not in (*keys, "timestamp", *static)]
     full = fill_static(full, static, keys) if static else full
     return full.fillna(0, subset=values)
@@ -99,9 +100,7 @@ def forecast(series: DataFrame, router: DataFrame, horizon: int = 24) -> DataFra
     newest = series.agg(F.max("timestamp")).scalar()
     routed = keyed.withColumn("_naive", F.col("segment") == "BASELINE").drop("Series_ID", "segment")
     demand_rows = routed.select(*KEYS, "timestamp", "demand", "_naive")
-    naive = seasonal_naive(
-        recent_history(demand_rows.where("_naive").drop("_naive"), 72), horizon
-    )
+    naive = seasonal_naive(recent_history(demand_rows.where("_naive").drop("_naive"), newest=newest), horizon)
     # every series ends at the newest hour of the table, with zero demand if it is silent
     anchored = complete_spine(
         routed.where(~F.col("_naive")).select(*KEYS, "timestamp", "demand"), KEYS, "timestamp", "1h", "global", end=newest

@@ -49,8 +49,8 @@ def zone_knn(
     entry = F.struct("zone", "lat", "lon", *payload)
     n = blocks or pack_blocks(zones)
     if n == 1:
-        packed = zones.agg(F.collect_list(entry)).scalar()
-        return points.withColumn("near", _nearest(packed, F.col("lat"), F.col("lon"), payload, k))
+        packed = points.withColumn("_packed", zones.agg(F.collect_list(entry)).scalar())
+        return packed.withColumn("near", _nearest(F.col("_packed"), F.col("lat"), F.col("lon"), payload, k)).drop("_packed")
     packs = zones.groupBy(F.pmod(F.xxhash64("zone"), F.lit(n)).cast("int").alias("_block")).agg(
         F.collect_list(entry).alias("_packed")
     )

@@ -114,9 +114,11 @@ def mixed_prediction(scored: DataFrame) -> DataFrame:
     return scored.withColumn("pred_mixed", F.col("base_prob") * F.col("amount_given_tip"))
 
 
-def gaussian_mixture_tips(df: DataFrame, k: int = 3, col: str = "tip_amount", seed: int = 42):
+def gaussian_mixture_tips(df: DataFrame, k: int = 3, col: str = "tip_amount", seed: int = 42, max_iter: int = 50):
     """Mixture density of the tip; a fitted pipeline with output ``component``."""
-    gmm = GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="component", probabilityCol="component_p")
+    gmm = GaussianMixture(
+        k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="component", probabilityCol="component_p"
+    )
     return Pipeline(stages=[_assembler([col]), gmm]).fit(df)
 
 

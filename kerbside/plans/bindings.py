@@ -176,8 +176,18 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Zones off any regular grid, so that no two distances are equal.
+ZONE_POINTS = """zone_points AS (SELECT n_nationkey AS zone, 40.5 + 0.02::DOUBLE * n_nationkey + 0.0003::DOUBLE * (n_nationkey * n_nationkey % 13) AS lat,
+  -74.25 + 0.03::DOUBLE * (n_nationkey % 7) + 0.0004::DOUBLE * (n_nationkey * n_nationkey % 11) AS lon FROM nation)"""
+
+
 def zone_points(spark: SparkSession, sf: str) -> DataFrame:
-    return centroids(spark, sf).select(F.col("locationid").alias("zone"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"))
+    k = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(
+        k.alias("zone"),
+        (F.lit(40.5) + F.lit(0.02) * k + F.lit(0.0003) * (k * k % 13)).alias("lat"),
+        (F.lit(-74.25) + F.lit(0.03) * (k % 7) + F.lit(0.0004) * (k * k % 11)).alias("lon"),
+    )
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,16 +198,16 @@ IDS = """ids AS (SELECT CAST(n_nationkey AS SMALLINT) AS PULocationID FROM natio
 
 # --- places: customers as points ------------------------------------------------------
 
-PLACES = """places AS (SELECT c_custkey AS start_id, 40.5 + (c_custkey % 97)::DOUBLE * 0.005 AS lat,
-  -74.25 + (c_custkey % 89)::DOUBLE * 0.0021 AS lon FROM customer)"""
+PLACES = """places AS (SELECT c_custkey AS start_id, 40.50113 + (c_custkey % 97) * 0.005::DOUBLE AS lat,
+  -74.24963 + (c_custkey % 89) * 0.0021::DOUBLE AS lon FROM customer)"""
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, sf, "customer").select(
         key.alias("start_id"),
-        (F.lit(40.5) + (key % 97).cast("double") * F.lit(0.005)).alias("lat"),
-        (F.lit(-74.25) + (key % 89).cast("double") * F.lit(0.0021)).alias("lon"),
+        (F.lit(40.50113) + (key % 97) * F.lit(0.005)).alias("lat"),
+        (F.lit(-74.24963) + (key % 89) * F.lit(0.0021)).alias("lon"),
     )
 
 
