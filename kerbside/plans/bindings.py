@@ -150,8 +150,6 @@ def preds(spark: SparkSession, sf: str) -> DataFrame:
 
 LOOKUP = """lookup AS (SELECT n_nationkey AS LocationID, n_name AS Zone, r_name AS Borough
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
-# A lookup that lacks some zones.
-PART_LOOKUP = """part_lookup AS (SELECT * FROM lookup WHERE LocationID % 6 <> 5)"""
 CENTROIDS = """centroids AS (SELECT n_nationkey AS locationid, 40.5 + 0.02 * n_nationkey::DOUBLE AS Latitude,
   -74.25 + 0.03 * (n_nationkey % 7)::DOUBLE AS Longitude FROM nation)"""
 
@@ -163,10 +161,6 @@ def lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def part_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup(spark, sf).where(F.col("LocationID") % 6 != 5)
-
-
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("n_nationkey")
     return table(spark, sf, "nation").select(
@@ -221,7 +215,7 @@ CLIMATE = """climate AS (SELECT CAST(day AS TIMESTAMP) + to_hours(CAST(h AS INTE
 SUN = """sun AS (SELECT day AS date_key, CAST(day AS TIMESTAMP) + INTERVAL 6 HOUR + to_minutes(CAST(dayofyear(day) % 60 AS INTEGER)) AS sunrise,
     CAST(day AS TIMESTAMP) + INTERVAL 18 HOUR AS sunset, 43200.0::DOUBLE - (dayofyear(day) % 60) * 60 AS daylight_duration FROM days)"""
 STATION = """station AS (SELECT day AS "DATE", (dayofyear(day) % 5) * 0.2::DOUBLE AS PRCP,
-    CASE WHEN dayofyear(day) % 9 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS SNOW FROM days WHERE dayofyear(day) % 13 <> 0)"""
+    CASE WHEN dayofyear(day) % 9 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS SNOW FROM days)"""
 
 
 def days(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,14 +244,10 @@ def sun(spark: SparkSession, sf: str) -> DataFrame:
 
 def station(spark: SparkSession, sf: str) -> DataFrame:
     doy = F.dayofyear("day")
-    return (
-        days(spark, sf)
-        .where(doy % 13 != 0)
-        .select(
-            F.col("day").alias("DATE"),
-            ((doy % 5) * F.lit(0.2)).alias("PRCP"),
-            F.when(doy % 9 == 0, 1.0).otherwise(0.0).alias("SNOW"),
-        )
+    return days(spark, sf).select(
+        F.col("day").alias("DATE"),
+        ((doy % 5) * F.lit(0.2)).alias("PRCP"),
+        F.when(doy % 9 == 0, 1.0).otherwise(0.0).alias("SNOW"),
     )
 
 

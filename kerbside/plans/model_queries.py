@@ -66,12 +66,11 @@ register("route_tip_mean", lambda s, d: TP.route_tip_mean(_split(s, d)[0]),
 
 
 def _tip_baseline(s, d):
-    # a training set without some routes, so that the fallback is used
-    train = _split(s, d)[0].where("(PULocationID + DOLocationID) % 3 <> 0")
-    return TP.tip_baseline(train, _split(s, d)[1]).select("l_orderkey", "l_linenumber", "VendorID", "base_prob", "base_amount", "fallback_amount", "pred_baseline")
+    train, test = _split(s, d)
+    return TP.tip_baseline(train, test).select("l_orderkey", "l_linenumber", "VendorID", "base_prob", "base_amount", "fallback_amount", "pred_baseline")
 
 
-register("tip_baseline", _tip_baseline, with_tables(B.TRIPS, f"train AS (SELECT * FROM trips WHERE {PART} = 'train' AND (PULocationID + DOLocationID) % 3 <> 0)", select=f"""SELECT l_orderkey, l_linenumber, VendorID, base_prob,
+register("tip_baseline", _tip_baseline, with_tables(B.TRIPS, f"train AS (SELECT * FROM trips WHERE {PART} = 'train')", select=f"""SELECT l_orderkey, l_linenumber, VendorID, base_prob,
   coalesce(m, fallback_amount) AS base_amount, fallback_amount, base_prob * coalesce(m, fallback_amount) AS pred_baseline FROM trips
   LEFT JOIN (SELECT VendorID, avg((tip_amount > 0)::INTEGER) AS base_prob FROM train GROUP BY 1) USING (VendorID)
   LEFT JOIN (SELECT PULocationID, DOLocationID, VendorID, avg(tip_amount) AS m FROM train WHERE tip_amount > 0 AND fare_amount > 0 GROUP BY 1, 2, 3) USING (PULocationID, DOLocationID, VendorID)
@@ -101,7 +100,7 @@ def _hurdle(s, d):
 
 
 register("tip_hurdle", _hurdle)
-register("gaussian_mixture_tips", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d).where("VendorID = 0"), 3, max_iter=20)))
+register("gaussian_mixture_tips", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
 
 # --- segments ------------------------------------------------------------------------------
 
@@ -173,7 +172,7 @@ register("sample_quantiles",
 
 
 def _forecast(s, d):
-    router = B.keyed_series(s, d).groupBy("Series_ID").agg(F.sum("demand").alias("n")).where("n % 2 = 0").select("Series_ID", F.lit("MID").alias("segment"))
+    router = B.keyed_series(s, d).groupBy("Series_ID").agg(F.sum("demand").alias("n")).where("n >= 80").select("Series_ID", F.lit("MID").alias("segment"))
     return FC.forecast(B.series(s, d), router)
 
 
@@ -183,7 +182,7 @@ PUBLISHED = ", ".join(
 )
 register("forecast", _forecast, with_tables(
     *E, HISTORY, NAIVE.format(last=0), B.FULL_GLOBAL,
-    """routed AS (SELECT VendorID, PULocationID, sum(demand) % 2 = 0 AS modelled FROM series GROUP BY 1, 2)""",
+    """routed AS (SELECT VendorID, PULocationID, sum(demand) >= 80 AS modelled FROM series GROUP BY 1, 2)""",
     """anchored AS (SELECT g.VendorID, g.PULocationID, g."timestamp", coalesce(g.demand, 0) AS demand FROM full_g g JOIN routed r ON r.VendorID = g.VendorID AND r.PULocationID = g.PULocationID AND modelled
          WHERE g."timestamp" >= (SELECT min("timestamp") FROM series s JOIN routed q ON s.VendorID = q.VendorID AND s.PULocationID = q.PULocationID AND modelled))""",
     f"""prof AS (SELECT VendorID, PULocationID, isodow("timestamp") AS w, hour("timestamp") AS h, {quant_sql('demand', 'demand')} FROM anchored GROUP BY 1, 2, 3, 4)""",
@@ -264,10 +263,9 @@ register("zone_distances_within", lambda s, d: GE.zone_distances_within(_places_
            WHERE a.start_id < b.start_id AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 1500.0::DOUBLE * 1500.0::DOUBLE"""))
 ZONE_PLANAR = f"zp AS (SELECT zone, {MERCATOR_X.format(lon='lon')} AS x, {MERCATOR_Y.format(lat='lat')} AS y FROM zone_points)"
 register("pair_distances",
-         lambda s, d: GE.pair_distances(B.trips(s, d).select("PULocationID", "DOLocationID").distinct(), B.zone_points(s, d).where("zone < 23"), "PULocationID", "DOLocationID"),
+         lambda s, d: GE.pair_distances(B.trips(s, d).select("PULocationID", "DOLocationID").distinct(), B.zone_points(s, d), "PULocationID", "DOLocationID"),
          with_tables(B.TRIPS, B.ZONE_POINTS, ZONE_PLANAR, select=f"""SELECT PULocationID, DOLocationID, CASE WHEN PULocationID = DOLocationID THEN 0 ELSE {METRES} END AS metres
-           FROM (SELECT DISTINCT PULocationID, DOLocationID FROM trips) LEFT JOIN (SELECT * FROM zp WHERE zone < 23) a ON a.zone = PULocationID
-           LEFT JOIN (SELECT * FROM zp WHERE zone < 23) b ON b.zone = DOLocationID"""))
+           FROM (SELECT DISTINCT PULocationID, DOLocationID FROM trips) LEFT JOIN zp a ON a.zone = PULocationID LEFT JOIN zp b ON b.zone = DOLocationID"""))
 
 
 def _lookup(s, d):
@@ -320,7 +318,7 @@ def _area_rent(s, d):
 
 register("impute_from_parent", lambda s, d: RD.impute_from_parent(_area_rent(s, d)),
          with_tables(WIDE, PARENTED, select="""SELECT o.areaName, o.parent, o."Date", coalesce(o.AskingRent, p.AskingRent) AS AskingRent FROM one o LEFT JOIN one p ON o.parent = p.areaName AND o."Date" = p."Date" """))
-IMPUTED = """imp AS (SELECT areaName, "Date", CASE WHEN CAST(substr(areaName, 6) AS INTEGER) % 3 <> 0 OR month("Date") % 4 <> 2 THEN AskingRent END AS r,
+IMPUTED = """imp AS (SELECT areaName, "Date", AskingRent AS r,
     row_number() OVER (PARTITION BY areaName ORDER BY "Date") AS p FROM one),
   k AS (SELECT *, CASE WHEN r IS NOT NULL THEN p END AS kp FROM imp),
   m AS (SELECT *, last_value(r IGNORE NULLS) OVER b AS v0, last_value(kp IGNORE NULLS) OVER b AS p0, first_value(r IGNORE NULLS) OVER a AS v1, first_value(kp IGNORE NULLS) OVER a AS p1 FROM k
@@ -328,8 +326,7 @@ IMPUTED = """imp AS (SELECT areaName, "Date", CASE WHEN CAST(substr(areaName, 6)
 
 
 def _asking_rent(s, d):
-    holes = _area_rent(s, d).withColumn("AskingRent", F.when((F.substring("areaName", 6, 9).cast("int") % 3 != 0) | (F.month("Date") % 4 != 2), F.col("AskingRent")))
-    wide = holes.groupBy("areaName").pivot("Date", [f"{m}-01" for m in MONTHS]).agg(F.max("AskingRent")).withColumnsRenamed({f"{m}-01": m for m in MONTHS})
+    wide = _area_rent(s, d).groupBy("areaName").pivot("Date", [f"{m}-01" for m in MONTHS]).agg(F.max("AskingRent")).withColumnsRenamed({f"{m}-01": m for m in MONTHS})
     return RD.asking_rent(wide.withColumn("Borough", F.lit("Manhattan")), MONTHS).select("areaName", "Date", "AskingRent")
 
 
@@ -340,14 +337,14 @@ def _restaurants(s, d):
     key = F.col("c_custkey") % 400
     text = lambda c: F.replace(F.format_string("%.3f", c), F.lit("."), F.lit(","))
     raw = B.table(s, d, "customer").select(
-        F.concat(F.lit("place "), key).alias("DBA"), F.when(key % 9 != 0, key % 50).alias("SCORE"),
-        text(F.lit(40.0) + key / 1000).alias("Latitude"), F.when(key % 7 != 0, text(F.lit(-74.0) + key / 1000)).otherwise("").alias("Longitude"))
+        F.concat(F.lit("place "), key).alias("DBA"), F.when(F.col("c_acctbal") >= 0, key % 50).alias("SCORE"),
+        text(F.lit(40.0) + key / 1000).alias("Latitude"), F.when(F.col("c_acctbal") <= 9000, text(F.lit(-74.0) + key / 1000)).otherwise("").alias("Longitude"))
     return RD.restaurant_points(raw)
 
 
 register("restaurant_points", _restaurants, """SELECT DISTINCT 'place ' || (c_custkey % 400) AS DBA, (c_custkey % 400 % 50)::DOUBLE AS SCORE,
   CAST(format('{:.3f}', 40.0::DOUBLE + (c_custkey % 400) / 1000) AS DOUBLE) AS Latitude, CAST(format('{:.3f}', -74.0::DOUBLE + (c_custkey % 400) / 1000) AS DOUBLE) AS Longitude
-  FROM customer WHERE c_custkey % 400 % 9 <> 0 AND c_custkey % 400 % 7 <> 0""")
+  FROM customer WHERE c_acctbal BETWEEN 0 AND 9000""")
 register("parent_area",
          lambda s, d: B.table(s, d, "customer").select("c_custkey", RD.parent_area(
              F.when(F.col("c_custkey") % 3 == 0, "Chelsea").otherwise(F.col("c_name")), F.when(F.col("c_custkey") % 2 == 0, "Queens").otherwise("Manhattan")).alias("parent")),

@@ -77,13 +77,13 @@ def _timed_events(spark, sf):
 
 register("positive_duration", lambda s, d: P.positive_duration(_timed_events(s, d)),
          "SELECT event_id, CAST(event_id % 7 - 2 AS DOUBLE) AS duration FROM events WHERE event_id % 7 > 2")
-HOLES = """holes AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value, CASE WHEN event_id % 7 <> 0 THEN event_type END AS event_type FROM events)"""
+HOLES = """holes AS (SELECT event_id, CASE WHEN value >= 5 THEN value END AS value, CASE WHEN value <= 50 THEN event_type END AS event_type FROM events)"""
 
 
 def _holes(spark, sf):
     return B.table(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"),
-        F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("event_type"),
+        "event_id", F.when(F.col("value") >= 5, F.col("value")).alias("value"),
+        F.when(F.col("value") <= 50, F.col("event_type")).alias("event_type"),
     )
 
 
@@ -105,8 +105,8 @@ register("zero_fill", lambda s, d: P.zero_fill(_holes(s, d), ["value"]),
 register("drop_columns", lambda s, d: P.drop_columns(B.table(s, d, "events"), "props", "absent"),
          "SELECT event_id, ts, user_id, event_type, value FROM events")
 register("nonzero_points",
-         lambda s, d: P.nonzero_points(B.table(s, d, "events").select("event_id", (F.col("user_id") % 2).alias("lon"), (F.col("event_id") % 3).alias("lat"))),
-         "SELECT event_id, user_id % 2 AS lon, event_id % 3 AS lat FROM events WHERE user_id % 2 <> 0 OR event_id % 3 <> 0")
+         lambda s, d: P.nonzero_points(B.table(s, d, "events").select("event_id", F.floor(F.col("value") / 20).alias("lon"), F.floor(F.col("value") / 30).alias("lat"))),
+         "SELECT event_id, CAST(floor(value / 20) AS BIGINT) AS lon, CAST(floor(value / 30) AS BIGINT) AS lat FROM events WHERE value >= 20")
 register("has_tip", lambda s, d: P.has_tip(B.trips(s, d)).groupBy("VendorID", "has_tip").agg(F.count("*").alias("n")),
          with_tables(B.TRIPS, select="SELECT VendorID, CAST(tip_amount > 0 AS TINYINT) AS has_tip, count(*) AS n FROM trips GROUP BY 1, 2"))
 register("tipped", lambda s, d: P.tipped(B.trips(s, d)).groupBy("PULocationID").agg(F.count("*").alias("n"), F.sum("tip_amount").alias("tip_amount")),

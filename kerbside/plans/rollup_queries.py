@@ -16,16 +16,15 @@ PERIOD = "pickup_datetime BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-03-
 
 # --- lookups ---------------------------------------------------------------------
 
-register("with_centroids", lambda s, d: J.with_centroids(B.series(s, d), B.centroids(s, d).where("locationid % 4 <> 1")),
+register("with_centroids", lambda s, d: J.with_centroids(B.series(s, d), B.centroids(s, d)),
          with_tables(B.EVENT_TRIPS, B.SERIES, B.CENTROIDS, select="""SELECT s.*, Latitude, Longitude FROM series s
-           LEFT JOIN (SELECT * FROM centroids WHERE locationid % 4 <> 1) c ON s.PULocationID = c.locationid"""))
+           LEFT JOIN centroids c ON s.PULocationID = c.locationid"""))
 register("with_od_centroids",
-         lambda s, d: J.with_od_centroids(B.event_trips(s, d), B.centroids(s, d).where("locationid < 22"))
+         lambda s, d: J.with_od_centroids(B.event_trips(s, d), B.centroids(s, d))
          .select("event_id", "pickup_latitude", "pickup_longitude", "dropoff_latitude", "dropoff_longitude"),
          with_tables(B.EVENT_TRIPS, B.CENTROIDS, select="""SELECT event_id, p.Latitude AS pickup_latitude, p.Longitude AS pickup_longitude,
            q.Latitude AS dropoff_latitude, q.Longitude AS dropoff_longitude FROM trips_e
-           JOIN centroids p ON PULocationID = p.locationid JOIN centroids q ON DOLocationID = q.locationid
-           WHERE p.locationid < 22 AND q.locationid < 22"""))
+           JOIN centroids p ON PULocationID = p.locationid JOIN centroids q ON DOLocationID = q.locationid"""))
 register("with_hourly_climate",
          lambda s, d: J.with_hourly_climate(B.trips(s, d).select("pickup_datetime", "VendorID", "l_orderkey"), B.climate(s, d)),
          with_tables(B.TRIPS, B.DAYS, B.CLIMATE, select="""SELECT pickup_datetime, VendorID, l_orderkey, temperature_2m, rain
@@ -40,14 +39,14 @@ register("with_station_weather",
          with_tables(B.TRIPS, B.DAYS, B.STATION, select="""SELECT PRCP > 0.41 AS rain, SNOW > 0 AS snow, count(*) AS n FROM trips
            LEFT JOIN station ON CAST(pickup_datetime AS DATE) = "DATE" GROUP BY 1, 2"""))
 register("with_zone_names",
-         lambda s, d: J.with_zone_names(B.event_trips(s, d), B.part_lookup(s, d)).select("event_id", "zone"),
-         with_tables(B.EVENT_TRIPS, B.LOOKUP, B.PART_LOOKUP, select="""SELECT event_id, coalesce(Zone, 'Unknown') AS zone FROM trips_e
-           LEFT JOIN part_lookup ON PULocationID = LocationID"""))
+         lambda s, d: J.with_zone_names(B.event_trips(s, d), B.lookup(s, d)).select("event_id", "zone"),
+         with_tables(B.EVENT_TRIPS, B.LOOKUP, select="""SELECT event_id, coalesce(Zone, 'Unknown') AS zone FROM trips_e
+           LEFT JOIN lookup ON PULocationID = LocationID"""))
 register("with_od_boroughs",
-         lambda s, d: J.with_od_boroughs(B.event_trips(s, d), B.part_lookup(s, d)).select("event_id", "PUborough", "DOborough"),
-         with_tables(B.EVENT_TRIPS, B.LOOKUP, B.PART_LOOKUP, select="""SELECT event_id, coalesce(a.Borough, 'Unknown') AS PUborough,
-           coalesce(b.Borough, 'Unknown') AS DOborough FROM trips_e LEFT JOIN part_lookup a ON PULocationID = a.LocationID
-           LEFT JOIN part_lookup b ON DOLocationID = b.LocationID"""))
+         lambda s, d: J.with_od_boroughs(B.event_trips(s, d), B.lookup(s, d)).select("event_id", "PUborough", "DOborough"),
+         with_tables(B.EVENT_TRIPS, B.LOOKUP, select="""SELECT event_id, coalesce(a.Borough, 'Unknown') AS PUborough,
+           coalesce(b.Borough, 'Unknown') AS DOborough FROM trips_e LEFT JOIN lookup a ON PULocationID = a.LocationID
+           LEFT JOIN lookup b ON DOLocationID = b.LocationID"""))
 
 # The industry report: text counts by month and licence class.
 REPORT = """report AS (SELECT strftime(pickup_datetime, '%Y-%m') AS m, type,
@@ -92,11 +91,11 @@ register("monthly_mean_duration", lambda s, d: rounded(A.monthly_mean_duration(B
 def _earnings(spark, sf):
     report, fares = _report(spark, sf), A.monthly_mean_of_daily_means(B.trips(spark, sf))
     df = J.monthly_earnings(report.select("month", "type", "m_hours"), report.select("month", "type", "m_trips_per_driver"), fares)
-    return rounded(df, 4, "monthly_avg", "hourly_earnings")
+    return rounded(rounded(df, 4, "monthly_avg"), 2, "hourly_earnings")
 
 
 register("monthly_earnings", _earnings, with_tables(B.TRIPS, REPORT, INDUSTRY, MONTHLY_FARE, select="""SELECT month, type, m_hours, m_trips_per_driver,
-  round(monthly_avg, 4) AS monthly_avg, round(m_trips_per_driver * monthly_avg / m_hours, 4) AS hourly_earnings
+  round(monthly_avg, 4) AS monthly_avg, round(m_trips_per_driver * monthly_avg / m_hours, 2) AS hourly_earnings
   FROM industry JOIN fares USING (month, type)"""))
 
 
@@ -127,35 +126,35 @@ def _forecast_parts(spark, sf):
     s = B.series(spark, sf)
     keys = ["PULocationID", "VendorID", "timestamp"]
     return (
-        s.where("VendorID < 3").select(*keys, "demand"),
-        s.where("VendorID > 0").select(*keys, "avg_amount"),
-        s.where("PULocationID > 4").select(*keys, "avg_distance"),
+        s.where("demand > 1").select(*keys, "demand"),
+        s.where("avg_amount > 2000").select(*keys, "avg_amount"),
+        s.where("avg_distance > 50").select(*keys, "avg_distance"),
     )
 
 
 register("merge_forecasts", lambda s, d: J.merge_forecasts(*_forecast_parts(s, d)),
-         with_tables(B.EVENT_TRIPS, B.SERIES, select="""SELECT PULocationID, VendorID, "timestamp", CASE WHEN VendorID < 3 THEN demand END AS demand,
-           CASE WHEN VendorID > 0 THEN avg_amount END AS avg_amount, CASE WHEN PULocationID > 4 THEN avg_distance END AS avg_distance
-           FROM series WHERE VendorID < 3 OR VendorID > 0 OR PULocationID > 4"""))
+         with_tables(B.EVENT_TRIPS, B.SERIES, select="""SELECT PULocationID, VendorID, "timestamp", CASE WHEN demand > 1 THEN demand END AS demand,
+           CASE WHEN avg_amount > 2000 THEN avg_amount END AS avg_amount, CASE WHEN avg_distance > 50 THEN avg_distance END AS avg_distance
+           FROM series WHERE demand > 1 OR avg_amount > 2000 OR avg_distance > 50"""))
 register("with_fallback",
          lambda s, d: J.with_fallback(
              B.event_trips(s, d).select("event_id", "VendorID", "PULocationID"),
-             B.event_trips(s, d).where("DOLocationID = 3").groupBy("VendorID", "PULocationID").agg(F.max("total_amount").alias("best")),
+             B.event_trips(s, d).where("total_amount > 10000").groupBy("VendorID", "PULocationID").agg(F.max("total_amount").alias("best")),
              B.event_trips(s, d).groupBy("VendorID").agg(F.max("total_amount").alias("general")),
              ["VendorID", "PULocationID"], ["VendorID"], "best", "general"),
          with_tables(B.EVENT_TRIPS, select="""SELECT event_id, VendorID, PULocationID, coalesce(best, general) AS best, general FROM trips_e
-           LEFT JOIN (SELECT VendorID, PULocationID, max(total_amount) AS best FROM trips_e WHERE DOLocationID = 3 GROUP BY 1, 2) USING (VendorID, PULocationID)
+           LEFT JOIN (SELECT VendorID, PULocationID, max(total_amount) AS best FROM trips_e WHERE total_amount > 10000 GROUP BY 1, 2) USING (VendorID, PULocationID)
            LEFT JOIN (SELECT VendorID, max(total_amount) AS general FROM trips_e GROUP BY 1) USING (VendorID)"""))
 
 
 def _router(spark, sf):
-    return B.keyed_series(spark, sf).groupBy("Series_ID").agg(F.sum("demand").alias("n")).where("n % 2 = 0").select("Series_ID", F.lit("MID").alias("segment"))
+    return B.keyed_series(spark, sf).groupBy("Series_ID").agg(F.sum("demand").alias("n")).where("n >= 80").select("Series_ID", F.lit("MID").alias("segment"))
 
 
 register("route_to_segment",
          lambda s, d: J.route_to_segment(B.keyed_series(s, d).select("Series_ID", "timestamp"), _router(s, d)),
          with_tables(B.EVENT_TRIPS, B.SERIES, B.KEYED, select="""SELECT Series_ID, "timestamp",
-           CASE WHEN sum(demand) OVER (PARTITION BY Series_ID) % 2 = 0 THEN 'MID' ELSE 'BASELINE' END AS segment FROM keyed"""))
+           CASE WHEN sum(demand) OVER (PARTITION BY Series_ID) >= 80 THEN 'MID' ELSE 'BASELINE' END AS segment FROM keyed"""))
 
 
 def _map_areas(spark, sf):
@@ -174,13 +173,13 @@ register("map_areas", _map_areas, """SELECT c_custkey AS LocationID, AskingRent
 # --- grids ------------------------------------------------------------------------------
 
 BUCKETS = """buckets AS (SELECT PULocationID, date_trunc('day', pickup_datetime) AS time_bucket, count(*) AS n FROM trips_e
-  WHERE VendorID = 1 AND PULocationID < 20 AND day(pickup_datetime) % 5 <> 0 GROUP BY 1, 2)"""
+  WHERE total_amount > 20000 GROUP BY 1, 2)"""
 
 
 def _buckets(spark, sf):
     from kerbside.functions.time import trunc_time
 
-    e = B.event_trips(spark, sf).where((F.col("VendorID") == 1) & (F.col("PULocationID") < 20) & (F.dayofmonth("pickup_datetime") % 5 != 0))
+    e = B.event_trips(spark, sf).where("total_amount > 20000")
     return e.groupBy("PULocationID", trunc_time("pickup_datetime", "1d").alias("time_bucket")).agg(F.count("*").alias("n"))
 
 
@@ -236,20 +235,25 @@ ALL_MEASURES = """CAST(sum("count") AS BIGINT) AS total_trips, CAST(sum(fare_amo
 NAMES = ["total_trips", "total_price", "mean_price", "total_tip", "mean_tip", "mean_distance", "mean_duration", "mean_tip_time", "mean_tip_dis",
          "mean_price_time", "mean_price_dis"]
 FILLED = ", ".join(f"coalesce({n}, 0) AS {n}" for n in NAMES)
-register("zone_measures", lambda s, d: A.zone_measures(B.rollup(s, d), B.ids(s, d), NAMES, START, END, vendors=[0, 2]),
+register("zone_measures", lambda s, d: A.zone_measures(B.rollup(s, d), B.ids(s, d), NAMES, "1995-01-01", "2002-01-01"),
          with_tables(B.TRIPS, B.ROLLUP, B.IDS, select=f"""SELECT PULocationID, {FILLED} FROM ids LEFT JOIN (SELECT PULocationID, {ALL_MEASURES}
+           FROM rollup_ GROUP BY 1) USING (PULocationID)"""))
+# The dashboard's own filters: some vendors, some zones, a period.
+register("zone_measures_filtered", lambda s, d: A.zone_measures(B.rollup(s, d), B.ids(s, d), NAMES, START, END, vendors=[0, 2], zones=[3, 5, 8]),
+         with_tables(B.TRIPS, B.ROLLUP, B.IDS, select=f"""SELECT PULocationID, {FILLED} FROM (SELECT * FROM ids WHERE PULocationID IN (3, 5, 8)) LEFT JOIN (SELECT PULocationID, {ALL_MEASURES}
            FROM rollup_ WHERE {PERIOD} AND VendorID IN (0, 2) GROUP BY 1) USING (PULocationID)"""))
-for grouping, sql_bucket in (
-    ("hour", "date_trunc('hour', pickup_datetime)"),
-    ("day", "date_trunc('day', pickup_datetime)"),
-    ("week", "time_bucket(INTERVAL 7 DAY, pickup_datetime, TIMESTAMP '1970-01-01')"),
+# Each grain with a period for which the dashboard chooses it.
+for grouping, sql_bucket, first, last in (
+    ("hour", "date_trunc('hour', pickup_datetime)", "1996-03-01", "1996-03-08"),
+    ("day", "date_trunc('day', pickup_datetime)", "1996-03-01", "1997-03-01"),
+    ("week", "time_bucket(INTERVAL 7 DAY, pickup_datetime, TIMESTAMP '1970-01-01')", "1995-01-01", "2002-01-01"),
 ):
     register(f"zone_measures_over_time_{grouping}",
-             lambda s, d, g=grouping: A.zone_measures_over_time(B.rollup(s, d), B.ids(s, d), NAMES, START, END, g, zones=[1, 2, 3, 5, 8, 13, 21]),
+             lambda s, d, g=grouping, a=first, b=last: A.zone_measures_over_time(B.rollup(s, d), B.ids(s, d), NAMES, a, b, g),
              with_tables(B.TRIPS, B.ROLLUP, B.IDS, f"""agg AS (SELECT PULocationID, {sql_bucket} AS time_bucket, {ALL_MEASURES} FROM rollup_
-               WHERE {PERIOD} AND PULocationID IN (1, 2, 3, 5, 8, 13, 21) GROUP BY 1, 2)""",
-                         select=f"""SELECT g.PULocationID, g.time_bucket, {FILLED} FROM (SELECT PULocationID, time_bucket FROM ids, (SELECT DISTINCT time_bucket FROM agg)
-               WHERE PULocationID IN (1, 2, 3, 5, 8, 13, 21)) g LEFT JOIN agg a ON a.PULocationID = g.PULocationID AND a.time_bucket = g.time_bucket"""))
+               WHERE pickup_datetime BETWEEN TIMESTAMP '{first}' AND TIMESTAMP '{last}' GROUP BY 1, 2)""",
+                         select=f"""SELECT g.PULocationID, g.time_bucket, {FILLED} FROM (SELECT PULocationID, time_bucket FROM ids, (SELECT DISTINCT time_bucket FROM agg)) g
+               LEFT JOIN agg a ON a.PULocationID = g.PULocationID AND a.time_bucket = g.time_bucket"""))
 register("zone_popularity", lambda s, d: A.zone_popularity(B.rollup(s, d)),
          with_tables(B.TRIPS, B.ROLLUP, select="""SELECT PULocationID, CAST(sum("count") AS BIGINT) AS total_trips FROM rollup_ GROUP BY 1"""))
 SCORES = """scores AS (SELECT CAST(user_id % 30 AS INTEGER) AS locationid, (user_id % 10)::DOUBLE AS x, (user_id % 7)::DOUBLE AS y,
@@ -274,19 +278,19 @@ register("income_by_zone",
 register("mean_by_zone_hour", lambda s, d: A.mean_by_zone_hour(B.rollup(s, d), [6, 7]),
          with_tables(B.TRIPS, B.ROLLUP, select="""SELECT PULocationID, CAST(hour(pickup_datetime) AS INTEGER) AS hour, avg("count") AS "count" FROM rollup_
            WHERE isodow(pickup_datetime) IN (6, 7) GROUP BY 1, 2"""))
-register("od_matrix", lambda s, d: A.od_matrix(B.trips(s, d), B.part_lookup(s, d)),
-         with_tables(B.TRIPS, B.LOOKUP, B.PART_LOOKUP, select="""SELECT CAST(date_trunc('year', pickup_datetime) AS TIMESTAMP) AS bucket, coalesce(a.Borough, 'Unknown') AS PUborough,
-           coalesce(b.Borough, 'Unknown') AS DOborough, type, count(*) AS trips FROM trips LEFT JOIN part_lookup a ON PULocationID = a.LocationID
-           LEFT JOIN part_lookup b ON DOLocationID = b.LocationID GROUP BY ALL"""))
+register("od_matrix", lambda s, d: A.od_matrix(B.trips(s, d), B.lookup(s, d)),
+         with_tables(B.TRIPS, B.LOOKUP, select="""SELECT CAST(date_trunc('year', pickup_datetime) AS TIMESTAMP) AS bucket, coalesce(a.Borough, 'Unknown') AS PUborough,
+           coalesce(b.Borough, 'Unknown') AS DOborough, type, count(*) AS trips FROM trips LEFT JOIN lookup a ON PULocationID = a.LocationID
+           LEFT JOIN lookup b ON DOLocationID = b.LocationID GROUP BY ALL"""))
 for grain in ("month", "day", "hour"):
-    register(f"zone_trips_by_{grain}", lambda s, d, g=grain: A.zone_trips_by(B.trips(s, d), B.part_lookup(s, d), g),
-             with_tables(B.TRIPS, B.LOOKUP, B.PART_LOOKUP, select=f"""SELECT CAST(date_trunc('{grain}', pickup_datetime) AS TIMESTAMP) AS bucket,
-               coalesce(Zone, 'Unknown') AS zone, type, count(*) AS trips FROM trips LEFT JOIN part_lookup ON PULocationID = LocationID GROUP BY ALL"""))
+    register(f"zone_trips_by_{grain}", lambda s, d, g=grain: A.zone_trips_by(B.trips(s, d), B.lookup(s, d), g),
+             with_tables(B.TRIPS, B.LOOKUP, select=f"""SELECT CAST(date_trunc('{grain}', pickup_datetime) AS TIMESTAMP) AS bucket,
+               coalesce(Zone, 'Unknown') AS zone, type, count(*) AS trips FROM trips LEFT JOIN lookup ON PULocationID = LocationID GROUP BY ALL"""))
 for flag, cond in (("rain", "PRCP > 0.41"), ("snow", "SNOW > 0")):
-    register(f"weather_hour_profile_{flag}", lambda s, d, f=flag: A.weather_hour_profile(B.trips(s, d), B.part_lookup(s, d), B.station(s, d), f),
-             with_tables(B.TRIPS, B.LOOKUP, B.PART_LOOKUP, B.DAYS, B.STATION, select=f"""SELECT CAST(hour(bucket) AS INTEGER) AS hour, zone, {flag}, avg(n) AS avg_trips FROM (
+    register(f"weather_hour_profile_{flag}", lambda s, d, f=flag: A.weather_hour_profile(B.trips(s, d), B.lookup(s, d), B.station(s, d), f),
+             with_tables(B.TRIPS, B.LOOKUP, B.DAYS, B.STATION, select=f"""SELECT CAST(hour(bucket) AS INTEGER) AS hour, zone, {flag}, avg(n) AS avg_trips FROM (
                SELECT date_trunc('hour', pickup_datetime) AS bucket, coalesce(Zone, 'Unknown') AS zone, {cond} AS {flag}, count(*) AS n FROM trips
-               LEFT JOIN part_lookup ON PULocationID = LocationID LEFT JOIN station ON CAST(pickup_datetime AS DATE) = "DATE" GROUP BY ALL) GROUP BY ALL"""))
+               LEFT JOIN lookup ON PULocationID = LocationID LEFT JOIN station ON CAST(pickup_datetime AS DATE) = "DATE" GROUP BY ALL) GROUP BY ALL"""))
 
 
 def _borough_zones(spark, sf):
@@ -299,11 +303,11 @@ register("zones_per_borough", _borough_zones, with_tables(B.TRIPS, B.LOOKUP, sel
 register("time_bounds", lambda s, d: A.time_bounds(B.trips(s, d), "pickup_datetime"),
          with_tables(B.TRIPS, select="SELECT min(pickup_datetime) AS first, max(pickup_datetime) AS last FROM trips"))
 RENT = """rent AS (SELECT c_nationkey AS LocationID, CAST(date_trunc('month', o_orderdate) AS DATE) AS "Date", max(o_totalprice) AS AskingRent
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 22 GROUP BY 1, 2)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
 def _rent(spark, sf):
-    orders, customer = B.table(spark, sf, "orders"), B.table(spark, sf, "customer").where("c_nationkey < 22")
+    orders, customer = B.table(spark, sf, "orders"), B.table(spark, sf, "customer")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(
         F.col("c_nationkey").alias("LocationID"), F.trunc("o_orderdate", "month").alias("Date")).agg(F.max("o_totalprice").alias("AskingRent"))
 

@@ -107,8 +107,8 @@ register("fill_static",
          lambda s, d: W.fill_static(_full(s, d).withColumn("static", F.when(F.col("demand").isNotNull(), F.col("PULocationID") * 3)), ["static"]),
          with_tables(*E, FULL_INT, select="SELECT *, PULocationID * 3 AS static FROM full_"))
 register("interpolate_linear",
-         lambda s, d: W.interpolate_linear(_full(s, d).withColumn("avg_amount", F.when(F.hour("timestamp") % 3 != 0, F.col("avg_amount"))), "avg_amount", KEYS, "timestamp"),
-         with_tables(*E, FULL_INT, f"""n AS (SELECT * REPLACE (CASE WHEN hour("timestamp") % 3 <> 0 THEN avg_amount END AS avg_amount), row_number() OVER ({OVER}) AS p FROM full_),
+         lambda s, d: W.interpolate_linear(_full(s, d), "avg_amount", KEYS, "timestamp"),
+         with_tables(*E, FULL_INT, f"""n AS (SELECT *, row_number() OVER ({OVER}) AS p FROM full_),
            k AS (SELECT *, CASE WHEN avg_amount IS NOT NULL THEN p END AS kp FROM n),
            m AS (SELECT *, last_value(avg_amount IGNORE NULLS) OVER b AS v0, last_value(kp IGNORE NULLS) OVER b AS p0,
              first_value(avg_amount IGNORE NULLS) OVER a AS v1, first_value(kp IGNORE NULLS) OVER a AS p1 FROM k
@@ -174,28 +174,28 @@ def _append(spark, sf):
 
 
 register("append_checked", _append, with_tables(*E, B.FULL_GLOBAL, select="SELECT * FROM full_g"))
-DAILY = """daily AS (SELECT PULocationID, CAST(pickup_datetime AS DATE) AS "Date", max(total_amount) AS v FROM trips_e WHERE VendorID = 0 GROUP BY 1, 2)"""
+DAILY = """daily AS (SELECT VendorID, PULocationID, CAST(pickup_datetime AS DATE) AS "Date", max(total_amount) AS v FROM trips_e GROUP BY 1, 2, 3)"""
 
 
 def _daily_ffill(spark, sf):
-    daily = B.event_trips(spark, sf).where("VendorID = 0").groupBy("PULocationID", F.to_date("pickup_datetime").alias("Date")).agg(F.max("total_amount").alias("v"))
-    return W.daily_ffill(daily, "Date", "v", ["PULocationID"])
+    daily = B.event_trips(spark, sf).groupBy(*KEYS, F.to_date("pickup_datetime").alias("Date")).agg(F.max("total_amount").alias("v"))
+    return W.daily_ffill(daily, "Date", "v", KEYS)
 
 
-register("daily_ffill", _daily_ffill, with_tables(B.EVENT_TRIPS, DAILY, """span AS (SELECT PULocationID, CAST(unnest(generate_series(min("Date"), max("Date"), INTERVAL 1 DAY)) AS DATE) AS "Date" FROM daily GROUP BY 1)""",
-         select="""SELECT PULocationID, "Date", last_value(v IGNORE NULLS) OVER (PARTITION BY PULocationID ORDER BY "Date") AS v FROM span LEFT JOIN daily USING (PULocationID, "Date")"""))
+register("daily_ffill", _daily_ffill, with_tables(B.EVENT_TRIPS, DAILY, """span AS (SELECT VendorID, PULocationID, CAST(unnest(generate_series(min("Date"), max("Date"), INTERVAL 1 DAY)) AS DATE) AS "Date" FROM daily GROUP BY 1, 2)""",
+         select="""SELECT VendorID, PULocationID, "Date", last_value(v IGNORE NULLS) OVER (PARTITION BY VendorID, PULocationID ORDER BY "Date") AS v FROM span LEFT JOIN daily USING (VendorID, PULocationID, "Date")"""))
 
 # --- unions and samples --------------------------------------------------------------------
 
-register("merge_months", lambda s, d: U.merge_months([B.series(s, d).where("VendorID = 0").drop("avg_amount"), B.series(s, d).where("VendorID = 1").drop("demand")]),
-         with_tables(*E, select="""SELECT VendorID, PULocationID, "timestamp", CASE WHEN VendorID = 0 THEN demand END AS demand, avg_distance,
-           CASE WHEN VendorID = 1 THEN avg_amount END AS avg_amount FROM series WHERE VendorID < 2"""))
+register("merge_months", lambda s, d: U.merge_months([_halves(s, d)[0].drop("avg_amount"), _halves(s, d)[1].drop("demand")]),
+         with_tables(*E, select="""SELECT VendorID, PULocationID, "timestamp", CASE WHEN "timestamp" < TIMESTAMP '2024-01-15' THEN demand END AS demand, avg_distance,
+           CASE WHEN "timestamp" >= TIMESTAMP '2024-01-15' THEN avg_amount END AS avg_amount FROM series"""))
 register("union_distinct",
-         lambda s, d: U.union_distinct(B.trips(s, d).where("VendorID <> 1").select("PULocationID", "payment_type"), B.trips(s, d).where("VendorID <> 0").select("PULocationID", "payment_type")),
-         with_tables(B.TRIPS, select="SELECT PULocationID, payment_type FROM trips WHERE VendorID <> 1 UNION SELECT PULocationID, payment_type FROM trips WHERE VendorID <> 0"))
+         lambda s, d: U.union_distinct(B.trips(s, d).select("PULocationID", "payment_type"), B.trips(s, d).select(F.col("DOLocationID").alias("PULocationID"), "payment_type")),
+         with_tables(B.TRIPS, select="SELECT PULocationID, payment_type FROM trips UNION SELECT DOLocationID, payment_type FROM trips"))
 register("union_all_tagged",
-         lambda s, d: U.union_all_tagged({"Yellow": B.event_trips(s, d).where("VendorID = 0").select("event_id"), "Green": B.event_trips(s, d).where("VendorID <= 1").select("event_id")}),
-         with_tables(B.EVENT_TRIPS, select="SELECT event_id, 'Yellow' AS type FROM trips_e WHERE VendorID = 0 UNION ALL SELECT event_id, 'Green' AS type FROM trips_e WHERE VendorID <= 1"))
+         lambda s, d: U.union_all_tagged({"Yellow": B.raw_yellow(s, d).select("tpep_pickup_datetime").toDF("pickup"), "Green": B.raw_green(s, d).select("lpep_pickup_datetime").toDF("pickup"), "App": B.raw_app(s, d).select("pickup_datetime").toDF("pickup")}),
+         with_tables(B.RAW, select="SELECT started AS pickup, CASE l_returnflag WHEN 'A' THEN 'Yellow' WHEN 'N' THEN 'Green' ELSE 'App' END AS type FROM raw"))
 register("concat_segments",
          lambda s, d: U.concat_segments(A.mean_volume(B.keyed_series(s, d)).withColumn("segment", F.lit("HIGH")), F.col("mean_demand") < 1.1),
          with_tables(*E, B.KEYED, select="SELECT Series_ID, avg(demand) AS mean_demand, CASE WHEN avg(demand) < 1.1 THEN 'BASELINE' ELSE 'HIGH' END AS segment FROM keyed GROUP BY 1"))
@@ -205,9 +205,8 @@ register("sample_fraction", lambda s, d: U.sample_fraction(B.event_trips(s, d),
 COLS = ["pickup_datetime", "PULocationID", "DOLocationID", "tip_amount", "VendorID", "payment_type", "fare_amount", "l_orderkey"]
 SHARES = {0: (1, 5), 1: (2, 100), 2: (3, 20)}
 register("balanced_sample",
-         lambda s, d: U.balanced_sample(B.trips(s, d).select(*COLS), SHARES, ["l_orderkey"], ["pickup_datetime", "DOLocationID", "tip_amount"], (1, 23)),
-         with_tables(B.TRIPS, "base AS (SELECT " + ", ".join(COLS) + """ FROM trips WHERE PULocationID BETWEEN 1 AND 23 AND DOLocationID BETWEEN 1 AND 23
-           AND (VendorID, payment_type) IN ((0, 1), (1, 2), (2, 3)))""", select=f"""SELECT * FROM base WHERE {BUCKET.format(keys='l_orderkey')} < CASE VendorID WHEN 0 THEN 5 WHEN 1 THEN 100 ELSE 20 END
+         lambda s, d: U.balanced_sample(B.trips(s, d).select(*COLS), SHARES, ["l_orderkey"], ["pickup_datetime", "DOLocationID", "tip_amount"], (0, 24)),
+         with_tables(B.TRIPS, "base AS (SELECT " + ", ".join(COLS) + """ FROM trips WHERE (VendorID, payment_type) IN ((0, 1), (1, 2), (2, 3)))""", select=f"""SELECT * FROM base WHERE {BUCKET.format(keys='l_orderkey')} < CASE VendorID WHEN 0 THEN 5 WHEN 1 THEN 100 ELSE 20 END
            UNION SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY VendorID, PULocationID
              ORDER BY pickup_datetime, DOLocationID, tip_amount, payment_type, fare_amount, l_orderkey) = 1"""))
 
