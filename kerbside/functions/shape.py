@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from kerbside.functions.text import as_col
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def months_to_long(df: DataFrame, ids: Sequence[str], months: Sequence[str] | None = None) -> DataFrame:
@@ -26,7 +24,8 @@ def minmax_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Scale columns to [0, 1] over the whole table; flat columns become 0."""
     out = {}
     for c in cols:
-        low, high = df.agg(F.min(c)).scalar(), df.agg(F.max(c)).scalar()
+        ends = df.agg(F.struct(F.min(c).alias("low"), F.max(c).alias("high"))).scalar()
+        low, high = ends["low"], ends["high"]
         out[c] = F.when(high == low, F.lit(0.0)).otherwise(F.try_divide(F.col(c) - low, high - low))
     return df.withColumns(out)
 
@@ -34,10 +33,9 @@ def minmax_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def label_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     """0-based codes of the distinct values in ascending order.
 
-    Ranks are taken over the distinct values only, a label set, and joined back.
+    For label sets such as vendors or zones: the distinct labels are ranked in one
+    task, the rows themselves only meet the codes by a join.
     """
-    from pyspark.sql import Window
-
     codes = (
         df.select(col)
         .where(F.col(col).isNotNull())
@@ -70,7 +68,3 @@ def ablation_columns(columns: Sequence[str], mode: str) -> list[str]:
     return [c for c in columns if c not in dropped]
 
 
-def scaled_angle(col: Column | str, period: float) -> Column:
-    import math
-
-    return as_col(col) * F.lit(2 * math.pi / period)

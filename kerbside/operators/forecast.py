@@ -13,8 +13,9 @@ from kerbside.functions.maths import clean_forecast
 from kerbside.functions.text import series_key
 from kerbside.functions.time import cyclic, iso_weekday, step
 from kerbside.operators.grid import complete_spine
-from kerbside.operators.lookup import merge_forecasts, route_to_segment
+from kerbside.operators.lookup import route_to_segment
 from kerbside.operators.series import by_series, fill_static
+from kerbside.operators.stats import quantiles
 
 KEYS = ["VendorID", "PULocationID"]
 Z80 = 1.28
@@ -62,32 +63,37 @@ def seasonal_naive(history: DataFrame, horizon: int = 24, value: str = "demand",
     )
 
 
-def empirical_quantile_forecast(series: DataFrame, horizon: int = 24, value: str = "demand", name: str = "demand", keys=KEYS) -> DataFrame:
-    """p10 / p50 / p90 of the series' history at the same weekday and hour.
+def hour_of_week_quantiles(rows: DataFrame, history: DataFrame, targets: dict[str, str], keys=KEYS) -> DataFrame:
+    """pred_<name>_p10 / p50 / p90 of history's values at the weekday and hour of the given rows.
 
-    A (series, weekday, hour) group has one value per week of history.
+    targets maps output names to value columns. A (series, weekday, hour) group has
+    one value per week of history.
     """
-    future = (
-        series.groupBy(*keys)
-        .agg(F.max("timestamp").alias("_last"))
-        .withColumn("timestamp", F.explode(F.sequence(F.col("_last") + step(3600), F.col("_last") + step(horizon * 3600), step(3600))))
-        .withColumns({"_dow": iso_weekday("timestamp"), "_hour": F.hour("timestamp")})
-    )
     levels = F.array(*[F.lit(q) for q in LEVELS.values()])
-    profile = series.groupBy(*keys, iso_weekday("timestamp").alias("_dow"), F.hour("timestamp").alias("_hour")).agg(
-        F.percentile(value, levels).alias("_q")
-    )
-    return future.join(profile, [*keys, "_dow", "_hour"], "left").select(
-        *keys, "timestamp", *[F.col("_q")[i].alias(f"pred_{name}_{p}") for i, p in enumerate(LEVELS)]
+    slot = {"_dow": iso_weekday("timestamp"), "_hour": F.hour("timestamp")}
+    profile = history.groupBy(*keys, *[c.alias(n) for n, c in slot.items()]).agg(
+        *[F.percentile(value, levels).alias(f"_{name}") for name, value in targets.items()]
     )
+    at = rows.withColumns(slot).join(profile, [*keys, *slot], "left")
+    picked = [F.col(f"_{t}")[i].alias(f"pred_{t}_{p}") for t in targets for i, p in enumerate(LEVELS)]
+    return at.select(*rows.columns, *picked)
+
+
+def horizon_rows(series: DataFrame, horizon: int, keys=KEYS) -> DataFrame:
+    """The next hours of every series."""
+    last = series.groupBy(*keys).agg(F.max("timestamp").alias("_last"))
+    ahead = F.sequence(F.col("_last") + step(3600), F.col("_last") + step(horizon * 3600), step(3600))
+    return last.select(*keys, F.explode(ahead).alias("timestamp"))
+
+
+def empirical_quantile_forecast(series: DataFrame, horizon: int = 24, value: str = "demand", name: str = "demand", keys=KEYS) -> DataFrame:
+    """Hour-of-week quantiles of the series' own history for its next hours."""
+    return hour_of_week_quantiles(horizon_rows(series, horizon, keys), series, {name: value}, keys)
 
 
 def sample_quantiles(samples: DataFrame, value: str, name: str, keys=("Series_ID", "timestamp")) -> DataFrame:
-    """p10 / p50 / p90 over the sample draws of each (series, instant)."""
-    levels = F.array(*[F.lit(q) for q in LEVELS.values()])
-    return samples.groupBy(*keys).agg(F.percentile(value, levels).alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(f"pred_{name}_{p}") for i, p in enumerate(LEVELS)]
-    )
+    """p10 / p50 / p90 over the sample draws of each (series, instant), however many there are."""
+    return quantiles(samples, keys, value, {f"pred_{name}_{p}": q for p, q in LEVELS.items()}).drop("total")
 
 
 def forecast(series: DataFrame, router: DataFrame, horizon: int = 24) -> DataFrame:
@@ -107,25 +113,8 @@ def forecast(series: DataFrame, router: DataFrame, horizon: int = 24) -> DataFra
     ).fillna(0, subset=["demand"])
     profile = empirical_quantile_forecast(anchored, horizon)
     demand = naive.unionByName(profile)
-    horizon_rows = demand.select(*KEYS, "timestamp")
-    others = [
-        empirical_profile_at(horizon_rows, series, "avg_amount", "amount"),
-        empirical_profile_at(horizon_rows, series, "avg_distance", "distance"),
-    ]
-    merged = merge_forecasts(demand, *others).withColumn("Series_ID", series_key("VendorID", "PULocationID"))
-    return clean_forecast(merged, ["demand", "amount", "distance"])
-
-
-def empirical_profile_at(rows: DataFrame, series: DataFrame, value: str, name: str, keys=KEYS) -> DataFrame:
-    """Hour-of-week quantiles of a value at the given (series, instant) rows."""
-    levels = F.array(*[F.lit(q) for q in LEVELS.values()])
-    profile = series.groupBy(*keys, iso_weekday("timestamp").alias("_dow"), F.hour("timestamp").alias("_hour")).agg(
-        F.percentile(value, levels).alias("_q")
-    )
-    at = rows.withColumns({"_dow": iso_weekday("timestamp"), "_hour": F.hour("timestamp")})
-    return at.join(profile, [*keys, "_dow", "_hour"], "left").select(
-        *keys, "timestamp", *[F.col("_q")[i].alias(f"pred_{name}_{p}") for i, p in enumerate(LEVELS)]
-    )
+    full = hour_of_week_quantiles(demand, series, {"amount": "avg_amount", "distance": "avg_distance"})
+    return clean_forecast(full.withColumn("Series_ID", series_key("VendorID", "PULocationID")), ["demand", "amount", "distance"])
 
 
 def lag_features_for_regression(series: DataFrame, lags: int = 5, value: str = "demand", keys=KEYS) -> DataFrame:

@@ -208,27 +208,25 @@ def polygon_centroid(zones: DataFrame, polygons: str = "polygons", zone_id: str
     )
 
 
-def zone_pull(
-    zones: DataFrame, popularity: DataFrame, nearest: int = 3, eps: float = 1e-4, blocks: int | None = None
-) -> DataFrame:
+def zone_trips(zones: DataFrame, popularity: DataFrame) -> DataFrame:
+    """Zones with their total trips, 0 for zones without any."""
+    pop = popularity.select(F.col("PULocationID").alias("_p"), F.col("total_trips").cast("double").alias("_n"))
+    return zones.join(pop, F.col("zone") == F.col("_p"), "left").select(
+        "zone", "lat", "lon", F.coalesce("_n", F.lit(0.0)).alias("trips")
+    )
+
+
+def zone_pull(counted: DataFrame, nearest: int = 3, eps: float = 1e-4, blocks: int | None = None) -> DataFrame:
     """Attractiveness of a zone: 0.8 own trips + 0.2 sum of neighbours' trips over their distance.
 
-    The nearest zones of a zone include itself; it does not count as its neighbour.
+    counted comes from zone_trips. The nearest zones of a zone include itself; it
+    does not count as its own neighbour.
     """
-    pop = popularity.select(F.col("PULocationID").alias("_p"), F.col("total_trips").cast("double").alias("_trips"))
-    points = zones.select(F.col("zone").alias("_own"), "lat", "lon")
-    around = neighbours(zone_knn(points, zones, nearest, "_own", blocks=blocks), "_own").where(F.col("zone") != F.col("_own"))
-    near = (
-        around.join(pop, around.zone == pop._p, "left")
-        .groupBy("_own")
-        .agg(F.sum(F.coalesce("_trips", F.lit(0.0)) / (F.col("d") + eps)).alias("_near"))
-    )
-    return (
-        zones.select("zone", "lat", "lon")
-        .join(pop, F.col("zone") == F.col("_p"), "left")
-        .join(near, F.col("zone") == F.col("_own"), "left")
-        .select("zone", "lat", "lon", (0.8 * F.coalesce("_trips", F.lit(0.0)) + 0.2 * F.coalesce("_near", F.lit(0.0))).alias("pull"))
-    )
+    places = counted.withColumnRenamed("zone", "_own")
+    near = zone_knn(places, counted, nearest, "_own", ["trips"], blocks)
+    others = F.filter("near", lambda z: z["zone"] != F.col("_own"))
+    around = F.aggregate(others, F.lit(0.0), lambda total, z: total + z["trips"] / (z["d"] + eps))
+    return near.select(F.col("_own").alias("zone"), "lat", "lon", (0.8 * F.col("trips") + 0.2 * around).alias("pull"))
 
 
 def greedy_routes(
@@ -247,11 +245,11 @@ def greedy_routes(
     one with the greatest pull per distance (ties: the nearer, then the lower id).
     starts: start_id, lat, lon. Adds route (zone ids) and route_rad (length).
 
-    A hop is one equi-join of the routes with the zones' candidate lists. The zone
-    table with its pull is checkpointed, so the trips are read once.
+    A hop is one equi-join of the routes with the zones' candidate lists. The zones
+    with their trips are checkpointed, so the trips are read once.
     """
     blocks = pack_blocks(zones)
-    pulled = cut_lineage(zone_pull(zones, popularity, nearest, eps, blocks))
+    pulled = zone_pull(cut_lineage(zone_trips(zones, popularity)), nearest, eps, blocks)
     lists = zone_knn(pulled.select(F.col("zone").alias("_at"), "lat", "lon"), pulled, k, "_at", ["pull"], blocks).select(
         "_at", F.col("near").alias("_near")
     )

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from kerbside.functions.maths import map_values
 from kerbside.operators.prep import city_trips
 from kerbside.operators.series import continuity_check, first_per_zone
 
@@ -64,12 +65,11 @@ def balanced_sample(
 ) -> DataFrame:
     """Per vendor (payment type, percent): a sample plus each zone's first trip.
 
-    Like SQL UNION this merges equal rows; keep a row id among the columns to
-    avoid that.
+    All vendors are sampled in one pass, with the vendor's own percentage. Like SQL
+    UNION this merges equal rows; keep a row id among the columns to avoid that.
     """
-    base = city_trips(trips, *zones)
-    parts = []
-    for vendor, (payment, percent) in shares.items():
-        mine = base.where((F.col("VendorID") == vendor) & (F.col("payment_type") == payment))
-        parts.append(sample_fraction(mine, percent, keys).unionByName(first_per_zone(mine, order)))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    paid = map_values("VendorID", {v: payment for v, (payment, _) in shares.items()}, None)
+    percent = map_values("VendorID", {v: share for v, (_, share) in shares.items()}, 0)
+    base = city_trips(trips, *zones).where(F.col("payment_type") == paid)
+    sampled = base.where(hash_bucket(keys) < percent)
+    return union_distinct(sampled, first_per_zone(base, order, ["VendorID", "PULocationID"]))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Buckets per doubling of the magnitude in the coarse pass of order_statistics.
-RESOLUTION = 256
+RESOLUTION = 4096
 
 
 def _coarse(v: Column, resolution: int) -> Column:
@@ -29,7 +29,8 @@ def order_statistics(
 
     Equal values are counted before anything moves, coarse buckets of the counts
     locate the ranks, and only buckets that hold one are sorted. No task ever
-    sees a whole group.
+    sees a whole group: the window over the buckets of a group has at most
+    ``resolution`` rows per doubling of the values.
     """
     keys = [f"_k{i}" for i in range(len(by))]
     counted = (
@@ -139,8 +140,8 @@ def value_bounds(df: DataFrame, col: str, share: float = 0.99) -> DataFrame:
 
 def normalise(df: DataFrame, col: str, name: str = "normalised", share: float = 0.99) -> DataFrame:
     """Position between the bounds, at most 1; 0.5 when the bounds coincide."""
-    bounds = value_bounds(df, col, share)
-    low, high = bounds.select("min").scalar(), bounds.select("max").scalar()
+    bounds = value_bounds(df, col, share).select(F.struct("min", "max")).scalar()
+    low, high = bounds["min"], bounds["max"]
     v = F.col(col)
     return df.withColumn(
         name,

@@ -61,16 +61,24 @@ def vendor_tip_mean(train: DataFrame) -> DataFrame:
 
 
 def tip_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Expected tip of the test trips: P(tip) by vendor x mean tip by route, else by vendor."""
-    scored = with_fallback(
-        test.join(tip_probability(train), "VendorID", "left"),
-        route_tip_mean(train),
-        vendor_tip_mean(train),
-        ROUTE,
-        ["VendorID"],
-        "base_amount",
-        "fallback_amount",
+    """Expected tip of the test trips: P(tip) by vendor x mean tip by route, else by vendor.
+
+    The training trips are read once: counts and sums by route give the vendor
+    figures as well.
+    """
+    paid = (F.col("tip_amount") > 0) & (F.col("fare_amount") > 0)
+    routes = train.groupBy(*ROUTE).agg(
+        F.count("tip_amount").alias("_n"),
+        F.count_if(F.col("tip_amount") > 0).alias("_tipped"),
+        F.count_if(paid).alias("_paid"),
+        F.sum(F.when(paid, F.col("tip_amount"))).alias("_sum"),
     )
+    vendors = routes.groupBy("VendorID").agg(
+        F.try_divide(F.sum("_tipped"), F.sum("_n")).alias("base_prob"),
+        F.try_divide(F.sum("_sum"), F.sum("_paid")).alias("fallback_amount"),
+    )
+    amounts = routes.select(*ROUTE, F.try_divide("_sum", "_paid").alias("base_amount"))
+    scored = with_fallback(test, amounts, vendors, ROUTE, ["VendorID"], "base_amount", "fallback_amount")
     return scored.withColumn("pred_baseline", F.col("base_prob") * F.col("base_amount"))
 
 

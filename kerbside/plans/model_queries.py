@@ -281,7 +281,7 @@ PULL = f"""pop AS (SELECT PULocationID, sum("count")::DOUBLE AS n FROM rollup_ G
   nn AS (SELECT * FROM zz QUALIFY row_number() OVER (PARTITION BY own ORDER BY d, other) <= 3),
   pulled AS (SELECT zone, lat, lon, 0.8::DOUBLE * coalesce(p.n, 0) + 0.2::DOUBLE * coalesce((SELECT sum(coalesce(q.n, 0) / (d + 0.0001::DOUBLE)) FROM nn LEFT JOIN pop q ON q.PULocationID = nn.other
     WHERE nn.own = z.zone AND nn.other <> z.zone), 0) AS pull FROM zone_points z LEFT JOIN pop p ON p.PULocationID = z.zone)"""
-register("zone_pull", lambda s, d: rounded(GE.zone_pull(B.zone_points(s, d), A.zone_popularity(B.rollup(s, d))), 4, "pull"),
+register("zone_pull", lambda s, d: rounded(GE.zone_pull(GE.zone_trips(B.zone_points(s, d), A.zone_popularity(B.rollup(s, d)))), 4, "pull"),
          with_tables(B.TRIPS, B.ROLLUP, B.ZONE_POINTS, PULL, select="SELECT zone, lat, lon, round(pull, 4) AS pull FROM pulled"))
 
 
