@@ -94,6 +94,18 @@ def elapsed_micros(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end))
 
 
+def as_instant(ts: Column | str) -> Column:
+    """A wall-clock time as the TIMESTAMP that shows it in UTC, whatever the session zone."""
+    return F.timestamp_micros(elapsed_micros(ntz("1970-01-01"), ts))
+
+
+def from_instant(t: Column | str) -> Column:
+    """Inverse of as_instant."""
+    micros = F.unix_micros(as_col(t))
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return ntz("1970-01-01") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def duration_minutes(start: Column | str, end: Column | str) -> Column:
     return elapsed_micros(start, end) / F.lit(60_000_000.0)
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from kerbside.functions.time import as_instant, from_instant
 from kerbside.operators.rollup import hourly_series
 
 
 def hourly_series_stream(trips: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """hourly_series of a stream; hours are final once the watermark has passed them."""
-    return hourly_series(trips.withWatermark("pickup_datetime", delay))
+    """hourly_series of a stream; hours are final once the watermark has passed them.
+
+    Watermarks need instants, so the wall-clock times pass through UTC.
+    """
+    timed = trips.withColumn("pickup_datetime", as_instant("pickup_datetime")).withWatermark("pickup_datetime", delay)
+    return hourly_series(timed).withColumn("timestamp", from_instant("timestamp"))
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
