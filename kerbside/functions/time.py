@@ -51,7 +51,10 @@ def trunc_time(ts: Column | str, interval: str) -> Column:
         return day.cast("timestamp_ntz")
     if DAY_SECONDS % n:
         raise ValueError(f"{interval} does not divide a day")
-    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    if n % 60 == 0:
+        return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute - minute % (n // 60))
+    second = minute * 60 + F.second(ts)
     return day.cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), (second - second % n).cast("decimal(18,6)")
     )
@@ -90,8 +93,18 @@ def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
+def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
+    """Whole seconds between two wall-clock times.
+
+    Taken from the interval: timestampdiff would convert both to instants of the
+    session's zone and count hours that daylight saving skips or repeats.
+    """
+    return (as_col(end) - as_col(start)).cast("interval second").cast("bigint")
+
+
 def elapsed_micros(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end))
+    seconds = (as_col(end) - as_col(start)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def as_instant(ts: Column | str) -> Column:

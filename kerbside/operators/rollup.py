@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbside.functions.time import GROUPING_INTERVAL, duration_hours, duration_minutes, iso_weekday, ntz, trunc_grain, trunc_time
+from kerbside.functions.time import (
+    GROUPING_INTERVAL, duration_hours, duration_minutes, elapsed_seconds, iso_weekday, ntz, trunc_grain, trunc_time,
+)
 from kerbside.operators.grid import all_zones, observed_grid
 from kerbside.operators.lookup import with_od_boroughs, with_station_weather, with_zone_names
 from kerbside.operators.prep import in_period, optional_in, positive_duration, valid_zones
@@ -186,7 +188,7 @@ def latest_per_zone(rent: DataFrame, ids: DataFrame, start, end) -> DataFrame:
 def series_features(series: DataFrame, key: str = "Series_ID", ts: str = "timestamp") -> DataFrame:
     """Volume, variability and rhythm of each series."""
     eps = 1e-4
-    span = F.timestamp_diff("SECOND", series.agg(F.min(ts)).scalar(), series.agg(F.max(ts)).scalar())
+    span = elapsed_seconds(series.agg(F.min(ts)).scalar(), series.agg(F.max(ts)).scalar())
     hours = F.greatest(F.lit(1.0), F.bround(span / 3600.0, 0))
     h, demand = F.hour(ts), F.col("demand")
 

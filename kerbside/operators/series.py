@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kerbside.functions.time import interval_seconds, ntz, step
+from kerbside.functions.time import elapsed_seconds, interval_seconds, ntz, step
 from kerbside.operators.grid import complete_spine
 
 KEYS = ["VendorID", "PULocationID"]
@@ -222,7 +222,7 @@ def supervised_windows(series: DataFrame, past: int = 72, horizon: int = 24, str
 def time_index(df: DataFrame, freq: str, ts: str = "timestamp") -> DataFrame:
     """Whole steps since the first instant of the table."""
     first = df.agg(F.min(ts)).scalar()
-    return df.withColumn("time_idx", F.floor(F.timestamp_diff("SECOND", first, F.col(ts)) / interval_seconds(freq)).cast("int"))
+    return df.withColumn("time_idx", F.floor(elapsed_seconds(first, ts) / interval_seconds(freq)).cast("int"))
 
 
 def scale_per_series(df: DataFrame, col: str, kind: str = "minmax", fit_on: Column | None = None, keys=KEYS, name: str | None = None) -> DataFrame:
@@ -262,7 +262,7 @@ def continuity_check(a: DataFrame, b: DataFrame, ts: str = "timestamp") -> DataF
         "last_a",
         "first_b",
         (F.col("last_a") + step(3600) == F.col("first_b")).alias("contiguous"),
-        F.floor(F.timestamp_diff("SECOND", F.col("last_a"), F.col("first_b")) / 86_400).cast("int").alias("gap_days"),
+        F.floor(elapsed_seconds("last_a", "first_b") / 86_400).cast("int").alias("gap_days"),
     )
 
 

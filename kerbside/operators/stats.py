@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Buckets per doubling of the magnitude in the coarse pass of order_statistics.
-RESOLUTION = 4096
+RESOLUTION = 512
 
 
 def _coarse(v: Column, resolution: int) -> Column:
@@ -15,11 +15,46 @@ def _coarse(v: Column, resolution: int) -> Column:
     return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * resolution).cast("int")
 
 
+def _targets(sizes: DataFrame, keys: Sequence[str], positions: dict[str, Column]) -> DataFrame:
+    """The buckets that hold a wanted rank, with the ranks and the rows before them.
+
+    sizes has one row per (group, bucket), at most ``resolution`` of them per
+    doubling of the values, so the windows over a group stay small.
+    """
+    group = Window.partitionBy(*keys)
+    sized = sizes.withColumns(
+        {"_before": F.sum("_bn").over(group.orderBy("_b")) - F.col("_bn"), "total": F.sum("_bn").over(group)}
+    )
+    ranks = {}
+    for i, expr in enumerate(positions.values()):
+        ranks |= {f"_lo{i}": F.floor(expr), f"_hi{i}": F.ceil(expr), f"_f{i}": expr - F.floor(expr)}
+    sized = sized.withColumns(ranks)
+    wanted = F.lit(False)
+    for name in (n for n in ranks if not n.startswith("_f")):
+        wanted = wanted | F.col(name).between(F.col("_before"), F.col("_before") + F.col("_bn") - 1)
+    return sized.where(wanted).drop("_bn")
+
+
+def _within(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values in a target bucket of their group; for no key, or one key with few values.
+
+    The targets come as a scalar of at most two buckets per rank and group.
+    """
+    if not keys:
+        wanted = targets.agg(F.collect_set("_b")).scalar()
+    else:
+        by_group = targets.groupBy(*keys).agg(F.collect_set("_b").alias("_bs"))
+        pairs = by_group.agg(F.map_from_entries(F.collect_list(F.struct(*keys, "_bs")))).scalar()
+        wanted = F.try_element_at(pairs, F.col(keys[0]))
+    return values.where(F.array_contains(wanted, F.col("_b")))
+
+
 def order_statistics(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     positions: dict[str, Column],
+    few_groups: bool | None = None,
     resolution: int = RESOLUTION,
 ) -> DataFrame:
     """Exact values at 0-based ranks of the sorted non-null values, by group.
@@ -27,42 +62,26 @@ def order_statistics(
     positions maps output names to rank expressions over the column ``total`` (the
     group's number of values); fractional ranks interpolate linearly.
 
-    Equal values are counted before anything moves, coarse buckets of the counts
-    locate the ranks, and only buckets that hold one are sorted. No task ever
-    sees a whole group: the window over the buckets of a group has at most
-    ``resolution`` rows per doubling of the values.
+    No task ever sees a whole group: coarse buckets are counted on the map side to
+    locate the ranks, and only buckets that hold one are sorted. With few groups
+    (or none) the input is read a second time for just those buckets; with many
+    groups its values are counted once and shuffled instead.
     """
+    few_groups = (not by) if few_groups is None else few_groups
+    if few_groups and len(by) > 1:
+        raise ValueError("few_groups takes at most one key")
     keys = [f"_k{i}" for i in range(len(by))]
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_b", _coarse(F.col("_v"), resolution))
-    )
-    group = Window.partitionBy(*keys)
-    totals = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumns(
-            {
-                "_before": F.sum("_bn").over(group.orderBy("_b")) - F.col("_bn"),
-                "total": F.sum("_bn").over(group),
-            }
-        )
-    )
-    ranks = {}
-    for i, expr in enumerate(positions.values()):
-        ranks[f"_lo{i}"] = F.floor(expr)
-        ranks[f"_hi{i}"] = F.ceil(expr)
-        ranks[f"_f{i}"] = expr - F.floor(expr)
-    totals = totals.withColumns(ranks)
-    wanted = F.lit(False)
-    for name in ranks:
-        if not name.startswith("_f"):
-            wanted = wanted | F.col(name).between(F.col("_before"), F.col("_before") + F.col("_bn") - 1)
-    targets = totals.where(wanted).select(
-        *[F.col(k).alias(f"t{k}") for k in keys], F.col("_b").alias("t_b"), "_before", "total", *ranks
+    number = F.col(value).cast("double")
+    values = df.where(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)], number.alias("_v"), _coarse(number, resolution).alias("_b")
     )
+    if few_groups:
+        targets = _targets(values.groupBy(*keys, "_b").agg(F.count("*").alias("_bn")), keys, positions)
+        counted = _within(values, targets, keys).groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))
+    else:
+        counted = values.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))
+        targets = _targets(counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")), keys, positions)
+    targets = targets.withColumnsRenamed({k: f"t{k}" for k in [*keys, "_b"]})
     same = F.col("_b") == F.col("t_b")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
@@ -84,9 +103,12 @@ def order_statistics(
     return picked.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "total", *positions)
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], few_groups: bool | None = None
+) -> DataFrame:
     """Exact linear-interpolation quantiles by group: keys, total, one column per name."""
-    return order_statistics(df, by, value, {n: F.lit(float(p)) * (F.col("total") - 1) for n, p in probs.items()})
+    positions = {n: F.lit(float(p)) * (F.col("total") - 1) for n, p in probs.items()}
+    return order_statistics(df, by, value, positions, few_groups)
 
 
 def median_by(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -104,7 +126,7 @@ def income_by_zone(income: DataFrame, year: int) -> DataFrame:
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and extremes, one row per column."""
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "label", "v")
-    quart = quantiles(long, ["label"], "v", {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0})
+    quart = quantiles(long, ["label"], "v", {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}, True)
     iqr = F.col("q3") - F.col("q1")
     return quart.select(
         "label", "q1", "med", "q3",
@@ -120,7 +142,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     moments = long.groupBy("label").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
     )
-    ranks = quantiles(long, ["label"], "v", {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0})
+    ranks = quantiles(long, ["label"], "v", {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0}, True)
     return moments.join(ranks.drop("total"), "label")
 
 

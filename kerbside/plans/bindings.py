@@ -43,7 +43,9 @@ TRIPS = """trips AS (
 
 
 def trips(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
+    # the join with orders needs this partitioning at any size that cannot be broadcast;
+    # on a small table it spreads the rows of a single file over the cores
+    line = table(spark, sf, "lineitem").repartition("l_orderkey")
     joined = (
         line.join(table(spark, sf, "orders"), line.l_orderkey == F.col("o_orderkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

@@ -84,8 +84,8 @@ def rounded(df, digits=6, *cols):
 
 register("monthly_mean_of_daily_means", lambda s, d: rounded(A.monthly_mean_of_daily_means(B.trips(s, d)), 4, "monthly_avg"),
          with_tables(B.TRIPS, MONTHLY_FARE, select="SELECT month, type, round(monthly_avg, 4) AS monthly_avg FROM fares"))
-register("monthly_mean_duration", lambda s, d: rounded(A.monthly_mean_duration(B.trips(s, d)), 6, "avg_trip_duration_h"),
-         with_tables(B.TRIPS, MONTHLY_DURATION, select="SELECT month, type, round(avg_trip_duration_h, 6) AS avg_trip_duration_h FROM durations"))
+register("monthly_mean_duration", lambda s, d: rounded(A.monthly_mean_duration(B.trips(s, d)), 9, "avg_trip_duration_h"),
+         with_tables(B.TRIPS, MONTHLY_DURATION, select="SELECT month, type, round(avg_trip_duration_h, 9) AS avg_trip_duration_h FROM durations"))
 
 
 def _earnings(spark, sf):
@@ -102,11 +102,11 @@ register("monthly_earnings", _earnings, with_tables(B.TRIPS, REPORT, INDUSTRY, M
 def _idle(spark, sf):
     report, durations = _report(spark, sf), A.monthly_mean_duration(B.trips(spark, sf))
     df = J.monthly_idle(report.select("month", "type", "m_hours"), report.select("month", "type", "m_trips_per_driver"), durations)
-    return rounded(df, 6, "avg_trip_duration_h", "free_hours")
+    return rounded(df, 9, "avg_trip_duration_h", "free_hours")
 
 
 register("monthly_idle", _idle, with_tables(B.TRIPS, REPORT, INDUSTRY, MONTHLY_DURATION, select="""SELECT month, type, m_hours, m_trips_per_driver,
-  round(avg_trip_duration_h, 6) AS avg_trip_duration_h, round(m_hours - m_trips_per_driver * avg_trip_duration_h, 6) AS free_hours
+  round(avg_trip_duration_h, 9) AS avg_trip_duration_h, round(m_hours - m_trips_per_driver * avg_trip_duration_h, 9) AS free_hours
   FROM industry JOIN durations USING (month, type)"""))
 TOP = """top AS (SELECT PULocationID, DOLocationID, count(*) AS total_trips FROM trips GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 6)"""
 register("top_routes", lambda s, d: A.top_routes(B.trips(s, d)), with_tables(B.TRIPS, TOP, select="SELECT * FROM top"))
@@ -325,8 +325,8 @@ FEATURES = """spans AS (SELECT greatest(1, round_even((epoch(max("timestamp")) -
   features AS (SELECT * EXCLUDE (hours), cv * cv AS cv2, hours / active_hours AS adi, weekend_demand / (total_demand + 0.0001::DOUBLE) AS weekend_ratio,
     morning_demand / (total_demand + 0.0001::DOUBLE) AS morning_ratio, evening_demand / (total_demand + 0.0001::DOUBLE) AS evening_ratio FROM ratios)"""
 FUZZY = ["std_demand", "mean_real", "cv", "cv2", "adi", "weekend_ratio", "morning_ratio", "evening_ratio"]
-register("series_features", lambda s, d: rounded(A.series_features(B.keyed_series(s, d)), 6, *FUZZY),
-         with_tables(B.EVENT_TRIPS, B.SERIES, B.KEYED, FEATURES, select="SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in FUZZY) + ") FROM features"))
+register("series_features", lambda s, d: rounded(A.series_features(B.keyed_series(s, d)), 9, *FUZZY),
+         with_tables(B.EVENT_TRIPS, B.SERIES, B.KEYED, FEATURES, select="SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in FUZZY) + ") FROM features"))
 register("mean_volume", lambda s, d: A.mean_volume(B.keyed_series(s, d)),
          with_tables(B.EVENT_TRIPS, B.SERIES, B.KEYED, select="SELECT Series_ID, avg(demand) AS mean_demand FROM keyed GROUP BY 1"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kerbside.functions.time import elapsed_micros
 from kerbside.plans import bindings as B
 from kerbside.plans.registry import register, with_tables
 from kerbside.scratch import scratch_dir
@@ -217,7 +218,7 @@ def _epoch_series(spark, sf):
     from kerbside.operators.refdata import epoch_series_to_daily
 
     points = B.table(spark, sf, "events").select(
-        "event_id", F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 1000).alias("x"),
+        "event_id", F.floor(elapsed_micros(F.lit("1970-01-01").cast("timestamp_ntz"), "ts") / 1000).alias("x"),
         F.col("value").alias("y"),
     )
     return epoch_series_to_daily(points, ["event_id"])

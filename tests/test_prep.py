@@ -120,6 +120,23 @@ def test_times_do_not_depend_on_the_session_zone(spark):
     assert got[1] == (ts("1969-12-31 23:59:59"), ts("1969-12-31 23:30:00"), ts("1969-12-31 23:00:00"), ts("1969-12-25"))
 
 
+def test_wall_clock_spans_ignore_daylight_saving(spark):
+    """In New York the clocks went from 02:00 to 03:00 on 2024-03-10 and back on 2024-11-03."""
+    from kerbside.operators.grid import complete_spine, zone_time_grid
+
+    df = spark.createDataFrame([(ts("2024-03-10 01:30:00"), ts("2024-03-10 03:30:00.5")), (ts("2024-11-03 03:00:00"), ts("2024-11-03 00:30:00"))], "a TIMESTAMP_NTZ, b TIMESTAMP_NTZ")
+    assert [r[0] for r in df.select(T.duration_minutes("a", "b")).collect()] == [120 + 0.5 / 60, -150.0]
+    assert [r[0] for r in df.select(T.elapsed_seconds("a", "b")).collect()] == [7200, -9000]
+    assert df.select(T.from_instant(T.as_instant("a")).alias("a")).collect() == df.select("a").collect()
+    zones = spark.createDataFrame([(1,)], "PULocationID INT")
+    for interval, n in (("1h", 25), ("1d", 2)):
+        grid = zone_time_grid(zones, "2024-03-10 00:00:00", "2024-03-11 00:00:00", interval)
+        assert grid.select("time_bucket").distinct().count() == n
+        assert grid.agg(F.max("time_bucket")).first()[0] == ts("2024-03-11")
+    s = spark.createDataFrame([(1, ts("2024-03-10 00:00:00"), 1), (1, ts("2024-03-10 05:00:00"), 1)], "k INT, t TIMESTAMP_NTZ, n INT")
+    assert [r.t.hour for r in complete_spine(s, ["k"], "t", "1h").orderBy("t").collect()] == list(range(6))
+
+
 def test_grain_choice(spark):
     spans = [("2024-01-01 00:00:00", "2024-01-01 03:00:00"), ("2024-01-01", "2024-01-08"), ("2024-01-01", "2024-01-09"), ("2023-01-01", "2024-01-01"), ("2023-01-01", "2024-01-02")]
     df = spark.createDataFrame([(ts(a), ts(b)) for a, b in spans], "a TIMESTAMP_NTZ, b TIMESTAMP_NTZ")
