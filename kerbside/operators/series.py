@@ -148,16 +148,22 @@ def fill_static(df: DataFrame, cols: Sequence[str], keys=KEYS) -> DataFrame:
 
 
 def interpolate_linear(df: DataFrame, value: str, keys: Sequence[str], ts: str) -> DataFrame:
-    """Linear between known neighbours by position; edges take the nearest known value."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """Linear between known neighbours by position; edges take the nearest known value.
+
+    The next known value is the last one so far in reverse order: a frame that
+    reaches forward to the end would be evaluated anew for every row.
+    """
+    group = Window.partitionBy(*keys)
+    w = group.orderBy(ts)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = group.orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
     known = df.withColumn("_p", F.row_number().over(w)).withColumn("_kp", F.when(F.col(value).isNotNull(), F.col("_p")))
     known = known.withColumns(
         {
             "_v0": F.last(value, ignorenulls=True).over(back),
             "_p0": F.last("_kp", ignorenulls=True).over(back),
-            "_v1": F.first(value, ignorenulls=True).over(ahead),
-            "_p1": F.first("_kp", ignorenulls=True).over(ahead),
+            "_v1": F.last(value, ignorenulls=True).over(ahead),
+            "_p1": F.last("_kp", ignorenulls=True).over(ahead),
         }
     )
     between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(

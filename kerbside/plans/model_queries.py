@@ -65,6 +65,11 @@ register("route_tip_mean", lambda s, d: TP.route_tip_mean(_split(s, d)[0]),
            WHERE {PART} = 'train' AND tip_amount > 0 AND fare_amount > 0 GROUP BY 1, 2, 3"""))
 
 
+register("vendor_tip_mean", lambda s, d: TP.vendor_tip_mean(_split(s, d)[0]),
+         with_tables(B.TRIPS, select=f"""SELECT VendorID, avg(tip_amount) AS fallback_amount FROM trips
+           WHERE {PART} = 'train' AND tip_amount > 0 AND fare_amount > 0 GROUP BY 1"""))
+
+
 def _tip_baseline(s, d):
     train, test = _split(s, d)
     return TP.tip_baseline(train, test).select("l_orderkey", "l_linenumber", "VendorID", "base_prob", "base_amount", "fallback_amount", "pred_baseline")

@@ -272,3 +272,22 @@ register("smape", lambda s, d: rounded(M.smape(B.preds(s, d), "demand", "predict
          with_tables(*P, select="SELECT round(avg(coalesce(2 * abs(demand - prediction) / nullif(abs(demand) + abs(prediction), 0), 0)), 9) AS smape FROM preds"))
 register("huber", lambda s, d: rounded(M.huber(B.preds(s, d), "demand", "prediction"), 9, "huber"),
          with_tables(*P, "e AS (SELECT abs(demand - prediction) AS e FROM preds)", select="SELECT round(avg(CASE WHEN e <= 0.2::DOUBLE THEN 0.5::DOUBLE * e * e ELSE 0.2::DOUBLE * (e - 0.1::DOUBLE) END), 9) AS huber FROM e"))
+
+# --- the roll-up on a stream -----------------------------------------------------------------
+
+
+def _streamed(s, d):
+    """All event trips as a file stream; hours past the watermark are written."""
+    from kerbside.scratch import scratch_dir
+    from kerbside.streaming.hourly import hourly_series_stream, write_stream
+
+    source, out = scratch_dir(s, "stream-in"), scratch_dir(s, "stream-out")
+    trips = B.event_trips(s, d)
+    trips.write.parquet(source)
+    query = write_stream(hourly_series_stream(s.readStream.schema(trips.schema).parquet(source)), out, f"{out}-state")
+    query.awaitTermination()
+    return s.read.parquet(out)
+
+
+register("hourly_series_stream", _streamed, with_tables(*E, select="""SELECT * FROM series
+  WHERE "timestamp" + INTERVAL 2 HOUR <= (SELECT date_trunc('milliseconds', max(pickup_datetime)) FROM trips_e)"""))
