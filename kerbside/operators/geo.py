@@ -253,6 +253,9 @@ def greedy_routes(
     lists = zone_knn(pulled.select(F.col("zone").alias("_at"), "lat", "lon"), pulled, k, "_at", ["pull"], blocks).select(
         "_at", F.col("near").alias("_near")
     )
+    if blocks == 1:
+        # counted to be small: hops need no shuffle, however many routes meet in one zone
+        lists = F.broadcast(lists)
 
     def choose(near: Column, visited: Column) -> Column:
         open_zones = F.filter(near, lambda z: ~F.array_contains(visited, z["zone"]))

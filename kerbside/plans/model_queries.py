@@ -20,7 +20,7 @@ from kerbside.functions.maths import LANDMARKS
 from kerbside.functions.time import cyclic, with_cyclic_calendar
 from kerbside.plans.registry import register, with_tables
 from kerbside.plans.rollup_queries import FEATURES, rounded
-from kerbside.plans.series_queries import KEYS, OVER, int_series
+from kerbside.plans.series_queries import INT_SERIES, KEYS, OVER, ROLLED, int_series
 
 E = [B.EVENT_TRIPS, B.SERIES]
 
@@ -404,10 +404,13 @@ def _features(s, d):
 
     rows = located(s, d)
     out = ML.feature_pipeline("demand").fit(rows).transform(rows)
-    return out.select(*KEYS, "timestamp", F.size(vector_to_array("features")).alias("width"), "mean", "std", "d_t1", "amt_t5")
+    return rounded(out.select(*KEYS, "timestamp", F.size(vector_to_array("features")).alias("width"), "mean", "std", "d_t1", "amt_t5"), 6, "std", "d_t1", "amt_t5")
 
 
-register("feature_matrix", _features)
+# vendors + 2 coordinates + 4 calendar values + 15 lags
+register("feature_matrix", _features, with_tables(*E, INT_SERIES, ROLLED, select=f"""SELECT VendorID, PULocationID, "timestamp",
+  CAST((SELECT count(DISTINCT VendorID) FROM s) + 21 AS INTEGER) AS width, mean, round(std, 6) AS std, round(coalesce(lag(demand_sc) OVER ({OVER}), 0), 6) AS d_t1,
+  round(coalesce(lag(avg_amount_sc, 5) OVER ({OVER}), 0), 6) AS amt_t5 FROM rolled"""))
 register("encode_vendor",
          lambda s, d: ML.encode_vendor(B.event_trips(s, d).select("event_id", "VendorID")),
          with_tables(B.EVENT_TRIPS, """codes AS (SELECT VendorID, row_number() OVER (ORDER BY count(*) DESC, VendorID::VARCHAR) AS i FROM trips_e GROUP BY 1)""",
