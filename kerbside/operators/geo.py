@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbside.functions.maths import haversine_rad, mercator_xy, planar_m
+from kerbside.functions.maths import haversine_rad, mercator_xy, planar_m, rad
 from kerbside.scratch import cut_lineage
 
 # A zone table up to this size travels as one packed array; larger ones go block by block.
@@ -18,16 +18,29 @@ def pack_blocks(zones: DataFrame, pack_rows: int = PACK_ROWS) -> int:
     return max(1, -(-zones.count() // pack_rows))
 
 
-def _nearest(packed: Column, lat, lon, payload: Sequence[str], k: int) -> Column:
-    distances = F.transform(
-        packed,
-        lambda z: F.struct(
-            haversine_rad(lat, lon, z["lat"], z["lon"]).alias("d"),
-            z["zone"].alias("zone"),
-            *[z[p].alias(p) for p in payload],
+def _on_sphere(df: DataFrame) -> DataFrame:
+    """Adds the unit vector of (lat, lon): straight-line distance between such points
+    orders them like the great-circle distance, without trigonometry per pair."""
+    lat, lon = rad(F.col("lat")), rad(F.col("lon"))
+    return df.withColumns({"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)})
+
+
+def _nearest(packed: Column, payload: Sequence[str], k: int) -> Column:
+    """The k entries of the packed zones nearest to the row's (_x, _y, _z)."""
+
+    def chord(z, i):
+        dx, dy, dz = z["_x"] - F.col("_x"), z["_y"] - F.col("_y"), z["_z"] - F.col("_z")
+        return F.struct((dx * dx + dy * dy + dz * dz).alias("c"), i.alias("i"))
+
+    first = F.slice(F.sort_array(F.transform(packed, chord)), 1, k)
+    return F.transform(
+        first,
+        lambda r: F.struct(
+            haversine_rad(F.col("lat"), F.col("lon"), F.get(packed, r["i"])["lat"], F.get(packed, r["i"])["lon"]).alias("d"),
+            F.get(packed, r["i"])["zone"].alias("zone"),
+            *[F.get(packed, r["i"])[p].alias(p) for p in payload],
         ),
     )
-    return F.slice(F.sort_array(distances), 1, k)
 
 
 def zone_knn(
@@ -46,16 +59,16 @@ def zone_knn(
     one is packed in hash blocks that every point meets one at a time by an
     equi-join, and the blocks' winners are merged per point.
     """
-    entry = F.struct("zone", "lat", "lon", *payload)
+    zones = _on_sphere(zones)
+    pack = F.sort_array(F.collect_list(F.struct("zone", "lat", "lon", "_x", "_y", "_z", *payload)))
     n = blocks or pack_blocks(zones)
+    located, near = _on_sphere(points), _nearest(F.col("_packed"), payload, k)
     if n == 1:
-        packed = points.withColumn("_packed", zones.agg(F.collect_list(entry)).scalar())
-        return packed.withColumn("near", _nearest(F.col("_packed"), F.col("lat"), F.col("lon"), payload, k)).drop("_packed")
-    packs = zones.groupBy(F.pmod(F.xxhash64("zone"), F.lit(n)).cast("int").alias("_block")).agg(
-        F.collect_list(entry).alias("_packed")
-    )
-    met = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packs, "_block")
-    ranked = met.select(point_id, _nearest(F.col("_packed"), F.col("lat"), F.col("lon"), payload, k).alias("_near"))
+        packed = located.withColumn("_packed", zones.agg(pack).scalar())
+        return packed.withColumn("near", near).select(*points.columns, "near")
+    packs = zones.groupBy(F.pmod(F.xxhash64("zone"), F.lit(n)).cast("int").alias("_block")).agg(pack.alias("_packed"))
+    met = located.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packs, "_block")
+    ranked = met.select(point_id, near.alias("_near"))
     merged = ranked.groupBy(point_id).agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("near")
     )
@@ -167,7 +180,8 @@ def points_in_polygons(points: DataFrame, zones: DataFrame, cell: float = 0.02,
 
     points has x and y; zones has the polygons column. Points meet the polygons
     whose bounding box touches their grid cell; the exact test is part of the join
-    condition.
+    condition. Each cell keeps only the edges that a ray from inside it towards
+    greater x can touch, so the test does not grow with the polygon.
     """
     boxed = polygon_edges(zones)
     spans = [
@@ -179,6 +193,15 @@ def points_in_polygons(points: DataFrame, zones: DataFrame, cell: float = 0.02,
         .withColumn("_zy", F.explode("_ys"))
         .drop("_ys")
     )
+    slack = cell * 1e-6  # covers the rounding of the cell numbers
+    x_low, y_low, y_high = F.col("_zx") * cell - slack, F.col("_zy") * cell - slack, (F.col("_zy") + 1) * cell + slack
+    touched = F.filter(
+        "edges",
+        lambda e: (F.greatest(e["x1"], e["x2"]) >= x_low)
+        & (F.greatest(e["y1"], e["y2"]) >= y_low)
+        & (F.least(e["y1"], e["y2"]) <= y_high),
+    )
+    cells = cells.withColumn("edges", touched).where(F.size("edges") > 0)
     located = points.withColumns(
         {"_cx": F.floor(F.col("x") / cell).cast("bigint"), "_cy": F.floor(F.col("y") / cell).cast("bigint")}
     )
