@@ -77,9 +77,8 @@ def zone_knn(
 
 def neighbours(knn: DataFrame, *keep: str) -> DataFrame:
     """One row per (point, neighbour) with its rank."""
-    return knn.select(*keep, F.posexplode("near").alias("rank", "_z")).select(
-        *keep, (F.col("rank") + 1).alias("rank"), F.col("_z.zone").alias("zone"), F.col("_z.d").alias("d")
-    )
+    ranked = F.transform("near", lambda z, i: F.struct((i + 1).alias("rank"), z["zone"].alias("zone"), z["d"].alias("d")))
+    return knn.select(*keep, F.inline(ranked))
 
 
 def planar_zones(zones: DataFrame) -> DataFrame:
@@ -282,11 +281,10 @@ def greedy_routes(
 
     def choose(near: Column, visited: Column) -> Column:
         open_zones = F.filter(near, lambda z: ~F.array_contains(visited, z["zone"]))
+        # (score, -distance, -zone) as an array: fields of a struct would be extracted
+        # below the projection, each with its own evaluation of the whole choice
         return F.array_max(
-            F.transform(
-                open_zones,
-                lambda z: F.struct((z["pull"] / (z["d"] + eps)).alias("score"), (-z["d"]).alias("nd"), (-z["zone"]).alias("nz")),
-            )
+            F.transform(open_zones, lambda z: F.array(z["pull"] / (z["d"] + eps), -z["d"], -z["zone"].cast("double")))
         )
 
     def advance(df: DataFrame) -> DataFrame:
@@ -294,8 +292,8 @@ def greedy_routes(
         if max_km is not None:
             done = done | (F.col("route_rad") * 6371.0088 >= max_km)
         return (
-            df.withColumn("_stop", F.when(~done, (-best["nz"]).cast("int")))
-            .withColumn("route_rad", F.col("route_rad") + F.when(F.col("_stop").isNotNull(), -best["nd"]).otherwise(0.0))
+            df.withColumn("_stop", F.when(~done, (-best[2]).cast("int")))
+            .withColumn("route_rad", F.col("route_rad") + F.when(F.col("_stop").isNotNull(), -best[1]).otherwise(0.0))
             .withColumn("route", F.when(F.col("_stop").isNotNull(), F.array_append("route", F.col("_stop"))).otherwise(F.col("route")))
             .drop("_best")
         )
