@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_used: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder that all executors share.
 
-    Only a local session without that setting falls back to the machine's own
-    temporary folder; on a cluster the setting is required.
+    It lies below the folder ``spark.checkpoint.dir`` names; where that is unset,
+    below the warehouse, which is shared as well. The folders of a session go when
+    the program ends.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by the executors")
-        root = tempfile.mkdtemp(prefix="kerbside-")
-    return f"{root.rstrip('/')}/kerbside/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{root.rstrip('/')}/kerbside-{spark.sparkContext.applicationId}"
+    if own not in _used:
+        _used.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if its session still runs."""
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
