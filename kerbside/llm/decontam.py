@@ -12,10 +12,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
 
-from kerbside.llm.store import open_folder
-from kerbside.llm.words import alnum_words, raw_texts
+from kerbside.llm.store import open_folder, with_text_columns
+from kerbside.llm.words import alnum_words
 from kerbside.scratch import scratch_dir
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # letters, digits and non-ASCII characters, before lower-casing
@@ -229,41 +228,29 @@ def scan(
     with a null id count as one whose id is the empty text.
     """
     folder = build_shards(items, window, item_id, item_text, shard_words)
-    names = docs.columns if keep is None else keep
-    kept = len(names)
-    at = names.index(text_col) if text_col in names else kept
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = raw_texts(batch.column(at))
-            split = [alnum_words(t) for t in texts]
-            spans: list[list] = [[] for _ in texts]
-            found: list[set] = [set() for _ in texts]
-            for name, row in _shards(folder):
-                automaton = _shard(folder, name, row)
-                for i, words in enumerate(split):
-                    hit, which = automaton.hits(words)
-                    if hit:
-                        spans[i] += hit
-                        found[i] |= which
-            spans = [_merged(s) for s in spans]
-            columns = [
-                *batch.columns[:kept],
-                pa.array([len(w) for w in split], pa.int64()),
-                pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(x or "" for x in f) for f in found], pa.list_(pa.string())),
-                pa.array([_without(t.decode(), s) if s else None for t, s in zip(texts, spans)], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
-
-    # columns go by position: those of docs may have any names
-    sent = docs.select(*names, *([] if at < kept else [text_col]))
-    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(sent.schema[:kept])])
+
+    def compute(texts: list[bytes]) -> list[pa.Array]:
+        split = [alnum_words(t) for t in texts]
+        spans: list[list] = [[] for _ in texts]
+        found: list[set] = [set() for _ in texts]
+        for name, row in _shards(folder):
+            automaton = _shard(folder, name, row)
+            for i, words in enumerate(split):
+                hit, which = automaton.hits(words)
+                if hit:
+                    spans[i] += hit
+                    found[i] |= which
+        spans = [_merged(s) for s in spans]
+        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        return [
+            pa.array([len(w) for w in split], pa.int64()),
+            pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span),
+            pa.array([sorted(x or "" for x in f) for f in found], pa.list_(pa.string())),
+            pa.array([_without(t.decode(), s) if s else None for t, s in zip(texts, spans)], pa.string()),
+        ]
+
     added = "_n_words bigint, _spans array<struct<first:bigint,end:bigint>>, _items array<string>, _clean string"
-    for i, f in enumerate(StructType.fromDDL(added)):
-        schema.add(f"c{kept + i}", f.dataType)
-    done = sent.toDF(*[f"c{i}" for i in range(len(sent.columns))]).mapInArrow(run, schema)
-    return done.toDF(*names, "_n_words", "_spans", "_items", "_clean")
+    return with_text_columns(docs, text_col, compute, added, keep)
 
 
 def hit_words(spans="_spans"):

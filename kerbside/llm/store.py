@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
+from kerbside.llm.words import raw_texts
 from kerbside.scratch import scratch_dir
 
 
@@ -32,3 +36,60 @@ def view(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
             return np.frombuffer(f.read_buffer(), dtype=dtype)
     with fs.open_input_file(path) as f:
         return np.frombuffer(f.read_buffer(), dtype=dtype)
+
+
+def with_text_columns(
+    docs: DataFrame,
+    text_col: str,
+    compute: Callable[[list[bytes]], list[pa.Array]],
+    added: str,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The columns ``keep`` of docs (all by default) and new ones computed from whole texts.
+
+    compute gets the UTF-8 texts of a batch (null as empty) and returns the arrays
+    of the columns that the DDL string ``added`` names. Columns of docs with those
+    names are replaced; their names otherwise don't matter.
+    """
+    new = StructType.fromDDL(added)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    kept = len(names)
+    at = names.index(text_col) if text_col in names else kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                columns = [*part.columns[:kept], *compute(raw_texts(part.column(at)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+    sent = docs.select(*names, *([] if at < kept else [text_col])).toDF(*[f"c{i}" for i in range(kept + (at == kept))])
+    types = [f.dataType for f in sent.schema[:kept]] + [f.dataType for f in new]
+    schema = StructType([StructField(f"c{i}", t) for i, t in enumerate(types)])
+    return sent.mapInArrow(run, schema).toDF(*names, *new.names)
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``most`` bytes of text; a longer text is a run of its own."""
+    if batch.column(text).nbytes <= most:
+        yield batch
+        return
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
+    run = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """The rows with their 0-based position in the given order, without one task seeing them all.
+
+    Rows are dealt out by range and sorted in their tasks; the number of rows in the
+    tasks before gives each task its base. Equal rows get distinct positions.
+    """
+    local = stash(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked"
+    ).withColumns({"_task": F.shiftright("_at", 33), "_local": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = local.groupBy("_task").agg(F.count("*").alias("_n"))
+    bases = tasks.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row for each task
+    return local.join(F.broadcast(bases), "_task").withColumn(name, F.col("_base") + F.col("_local")).drop("_task", "_at", "_local", "_base")

@@ -5,14 +5,19 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-# Chunks a worker remembers; beyond it starts anew. About 150 MB.
-REMEMBERED = 700_000
+from kerbside.llm.words import ASCII_LOWER
+
+# Chunks that a worker remembers at most, twice over. About 350 MB.
+REMEMBERED = 800_000
 # Characters handed to the library at once.
 AT_ONCE = 1_000_000
+# Stands between words that are encoded together; three bytes that no other text shares with it but in U+E000 to U+EFFF.
+PRIVATE = "\ue000"
+# Punctuation that is a token sequence of its own after a letter or digit.
+ENDINGS = b".,;:!?%$&#*|)]}"
 
 
 class Encoder:
@@ -23,6 +28,7 @@ class Encoder:
     tokenizer's own rules never join characters across the cut:
 
     * a vocabulary that drops white space: cut at every ASCII white space;
+    * both kinds begin anew with the punctuation that ends a word;
     * a byte-level vocabulary whose words carry their leading space: cut before a
       single space, and around a single line feed, between two other characters.
 
@@ -36,13 +42,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = f"<u{width}"
+        self.width, self.dtype = width, f"<u{width}"
         with open(path) as f:
             rules = json.load(f)
         self.cut = _cut(rules.get("normalizer"), rules.get("pre_tokenizer"), rules.get("post_processor"))
-        self.inner: dict = {}  # words, or words after a space
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.feed = self.whole(["\n"])[0] if self.cut == "spaces" else b""
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # what was known when the memory was last full
+        self.endings: dict[bytes, bytes] = {}
+        self.between = "\n" if self.cut == "spaces" else f" {PRIVATE} "
+        self.gap = np.frombuffer(self.whole([self.between])[0], dtype=self.dtype)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids by the library alone, a bounded number of characters at a time."""
@@ -63,51 +71,81 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
-        if len(self.inner) + len(self.first) > REMEMBERED:
-            self.inner.clear()
-            self.first.clear()
+        if self.cut is None:
+            return self.whole([t.decode() for t in texts])
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        skip = 0
         if self.cut == "words":
-            return [self._words(t) for t in texts]
-        if self.cut == "spaces":
-            return [self._spaces(t.decode()) for t in texts]
-        return self.whole([t.decode() for t in texts])
-
-    def _words(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.inner
-        parts = list(map(known.get, words))
-        if None in parts:
-            new = list({w for w, p in zip(words, parts) if p is None})
-            known.update(zip(new, self.whole([w.decode() for w in new])))
-            parts = [known[w] for w in words]
-        return b"".join(parts)
-
-    def _spaces(self, text: str) -> bytes:
-        if not text:
-            return b""
-        lines = [line.split(" ") for line in text.split("\n")]
-        parts: list = []
-        for words in lines:
-            parts.append(self.first.get(words[0]))
-            parts.extend(map(self.inner.get, words[1:]))
-            parts.append(self.feed)
-        parts.pop()
-        if None in parts and not self._learn(lines):
-            return self.whole([text])[0]
-        if None in parts:
-            parts = list(chain.from_iterable([self.first[w[0]], *map(self.inner.__getitem__, w[1:]), self.feed] for w in lines))
-            parts.pop()
-        return b"".join(parts)
-
-    def _learn(self, lines: list[list[str]]) -> bool:
-        """Encode the unknown words of a text; False if it has white space that can't be cut at."""
-        first = {w[0] for w in lines} - self.first.keys()
-        inner = {x for w in lines for x in w[1:] if x not in self.inner}
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in chain(first, inner)):
-            return False
-        self.first.update(zip(first, self.whole(list(first))))
-        self.inner.update(zip(inner, self.whole([" " + w for w in inner])))
-        return True
+            split = [t.translate(ASCII_LOWER).split() for t in texts]  # as the vocabulary's own rule does
+        else:
+            # a chunk is a word after a space, or a line feed and the word after it
+            split = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] if t else [] for t in texts]
+            skip = self.gap.nbytes  # the line feed put before each text
+        out: list = [list(map(self.known.get, words)) for words in split]
+        holes = [i for i, parts in enumerate(out) if None in parts]
+        new = {w for i in holes for w, p in zip(split[i], out[i]) if p is None}
+        odd = {w for w in new if not _clean(w)} if skip else set()
+        self._learn(new - odd)
+        for i in holes:
+            if odd and not odd.isdisjoint(split[i]):
+                out[i] = [bytes(skip), self.whole([texts[i].decode()])[0]]
+            else:
+                out[i] = [self.known[w] if p is None else p for w, p in zip(split[i], out[i])]
+        return [b"".join(parts)[skip:] for parts in out]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Know the chunks: from before, from a known word and its punctuation, or from the library."""
+        known = self.known
+        again = new & self.before.keys()
+        known.update((w, self.before[w]) for w in again)
+        ended: list[tuple[bytes, bytes, bytes]] = []
+        words: set[bytes] = set()
+        for w in new - again:
+            core = w.rstrip(ENDINGS)
+            if len(core) < len(w) and core[-1:].isalnum():
+                ended.append((w, core, w[len(core) :]))
+                if core not in known:
+                    if core in self.before:
+                        known[core] = self.before[core]
+                    else:
+                        words.add(core)
+            else:
+                words.add(w)
+        ordered = list(words)
+        for i in range(0, len(ordered), 4096):
+            part = ordered[i : i + 4096]
+            texts = [w.decode() for w in part]
+            if self.cut == "words":
+                known.update(zip(part, self._together(texts)))
+                continue
+            feed = self.gap.tobytes()
+            found = self._together([w[1:] if w[0] == "\n" else " " + w for w in texts])
+            known.update((w, feed + f if w[:1] == b"\n" else f) for w, f in zip(part, found))
+        for w, core, ending in ended:
+            if ending not in self.endings:
+                self.endings[ending] = self.whole([ending.decode()])[0]
+            known[w] = known[core] + self.endings[ending]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words from one call: as one text with a known token sequence between them."""
+        apart = [i for i, w in enumerate(words) if any("\ue000" <= c <= "\uefff" for c in w)] if self.cut == "words" else []
+        if apart:
+            return self._call(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        at = np.flatnonzero(ids == self.gap[0])
+        if len(at) != len(words) - 1:
+            return self._call(words)
+        starts = [0, *((at + len(self.gap)) * self.width).tolist()]
+        ends = [*(at * self.width).tolist(), ids.nbytes]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(starts, ends)]
+
+
+def _clean(chunk: bytes) -> bool:
+    """Whether a chunk, after its line feed, begins and ends with something but white space."""
+    word = chunk.decode().removeprefix("\n")
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
 def _cut(normalizer, pre_tokenizer, post_processor) -> str | None:
