@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import decontam, packing, simhash, token_files
+from kerbside.llm import decontam, packing, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
 QUERIES: dict = {}
@@ -13,8 +16,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def shipped(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = shipped
+    return shipped
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,3 +65,27 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op7_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance weight and selection of every document."""
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    return quality.resample(docs, model, keep=["doc_id"])
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the ids."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"), toxicity.third)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.third(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    found = wrappers.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
+import kerbside
 from kerbside.llm.words import raw_texts
 from kerbside.scratch import scratch_dir
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package, however the driver found it; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        top = Path(kerbside.__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="kerbside-")  # the driver's copy, which Spark serves to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / "kerbside.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, Path("kerbside") / f.relative_to(top))
+        spark.sparkContext.addPyFile(str(archive))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once to the shared folder and continue from the files."""
     path = scratch_dir(df.sparkSession, name)

@@ -160,7 +160,7 @@ def train(
         names, weights, bias = fit(rows, frame["kind"].to_numpy(dtype=bool), prior)
         return pd.DataFrame({"names": [names.tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
-    fitted = sample.groupBy(F.lit(1)).applyInPandas(learn, "names binary, weights binary, bias double").collect()
+    fitted = sample.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(learn, "names binary, weights binary, bias double").collect()
     if not fitted:
         return np.array([], dtype=np.uint64), np.array([]), -50.0
     found = fitted[0]
