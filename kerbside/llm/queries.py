@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import decontam, packing, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm import decontam, embeddings, packing, quality, simhash, token_files, toxicity, wrappers
 from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
@@ -89,3 +89,9 @@ def op10_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     found = wrappers.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op5_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_vectors(table(spark, sf, "embeddings"), threshold=0.93)
