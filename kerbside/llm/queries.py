@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import decontam, embeddings, packing, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm import brown, decontam, embeddings, packing, quality, simhash, token_files, toxicity, wrappers
 from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_brown(spark: SparkSession, sf: str) -> DataFrame:
+    """Log10 probability of every document under the class model and under unigrams."""
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = brown.score(docs, brown.fit(docs, ~held_out), keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
+
+
 @query
 def op2_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of the packed documents with a checksum of their ids."""
