@@ -258,16 +258,20 @@ def hit_words(spans="_spans"):
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.5, text_col: str = "text", **names: str
+    docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.5, text_col: str = "text", length_col: str | None = None, **names: str
 ) -> DataFrame:
     """docs without the benchmark's passages, in the columns of docs.
 
     The words of every occurrence of a window go from the text; a document loses its
     row where they are more than ``max_share`` of its words. Other documents,
     null and empty texts included, stay unchanged. Words that a removal brings
-    together are not searched again.
+    together are not searched again. ``length_col`` names a column that holds the text's
+    length in characters; it follows the change.
     """
     found = scan(docs, items, window, text_col=text_col, **names)
     share = hit_words() / F.col("_n_words")
     kept = found.where((F.size("_spans") == 0) | (share <= max_share))
+    if length_col is not None:
+        length = F.length("_clean").cast(docs.schema[length_col].dataType)
+        kept = kept.withColumn(length_col, F.coalesce(length, length_col))
     return kept.withColumn(text_col, F.coalesce("_clean", text_col)).drop("_n_words", "_spans", "_items", "_clean")

@@ -161,10 +161,11 @@ def resample(
     replacement in proportion to the weights; k is by default the number of
     documents at the model's cut or above. All rows whose key equals the k-th are
     selected, so repeated rows share their fate. The noise is a function of id and
-    text. Texts without words have weight 0 (accepted by any cut below 0).
+    text. Columns of docs with the names of new ones are replaced. Texts without words have weight 0 (accepted by any cut below 0).
     """
-    names = docs.columns if keep is None else keep
-    weighed = weigh(docs.withColumn("_key", F.xxhash64(id_col, text_col)), model, text_col, [*[c for c in names if c != "_key"], "_key"])
+    added = {"_key", "sample_key", "selected", "n_grams", "log_ratio", "mean_log_ratio"}
+    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    weighed = weigh(docs.withColumn("_key", F.xxhash64(id_col, text_col)), model, text_col, [*names, "_key"])
     keyed = stash(weighed.withColumn("sample_key", SCALE * F.col("mean_log_ratio") + gumbel("_key")).drop("_key"), "weighed")
     if k is None:
         k = keyed.where(F.col("mean_log_ratio") >= F.lit(float(model.cut))).count()

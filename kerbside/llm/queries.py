@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import brown, decontam, embeddings, packing, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm import brown, decontam, embeddings, licenses, packing, quality, simhash, token_files, toxicity, wrappers
 from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
@@ -107,3 +107,17 @@ def op10_extract(spark: SparkSession, sf: str) -> DataFrame:
 def op5_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """Links and component of every vector."""
     return embeddings.near_vectors(table(spark, sf, "embeddings"), threshold=0.93)
+
+
+@query
+def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Own and inherited licence of every document.
+
+    A document is a file /source/language/doc-<id>; those whose id is divisible by 50 are
+    called LICENSE-<id>, and where it is divisible by 100 lie in /source.
+    """
+    i = F.col("doc_id")
+    folder = F.concat_ws("/", F.lit(""), "source", F.when(F.coalesce(i % 100 != 0, F.lit(True)), F.col("lang")))
+    name = F.concat(F.when(i % 50 == 0, "LICENSE-").otherwise("doc-"), i.cast("string"))
+    files = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", folder, name))
+    return licenses.scan(files, keep=["doc_id", "path"])

@@ -137,10 +137,12 @@ def keep_first(
     """
     found = near_duplicates(docs, width, distance, id_col, text_col)
     first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("_first"))
-    first = first.select(F.col("_first.id").alias("_first_id"), F.col("_first.key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_first_id")) & (keyed["_key"] == first["_key"])
-    return keyed.join(first, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # names of docs may be anything
+    i, text = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
+    keyed = docs.toDF(*inner).withColumn("_key", F.xxhash64(text))
+    same = F.col(i).eqNullSafe(F.col("_first.id")) & (F.col("_key") == F.col("_first.key"))
+    kept = keyed.join(first.select("_first"), same, "left_semi").dropDuplicates([i, "_key"])
+    return kept.drop("_key").toDF(*docs.columns)
 
 
 def hex_digits(bits: Column) -> Column:
