@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kerbside.llm.store import slices, stash, with_text_columns
+from kerbside.llm.store import plain, slices, stash, with_text_columns
 from kerbside.llm.words import alnum_words, raw_texts
 
 THRESHOLD = 0.8
@@ -119,9 +119,10 @@ def scan(
     license is the own one, else the inherited one.
 
     Null and empty texts have no licence of their own, null paths nothing to inherit. Repeated
-    rows stay.
+    rows stay. Columns of files with the new names are replaced.
     """
-    names = files.columns if keep is None else keep
+    added = ["own_license", "score", "inherited_license", "license_dir", "license"]
+    names = [c for c in (files.columns if keep is None else keep) if c not in added]
     m = matcher(files, templates, text_col)
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
@@ -132,8 +133,9 @@ def scan(
             found.append(best[1])
         return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
 
-    inner = [f"c{i}" for i in range(len(names))]
-    rows = files.select(*[F.col(c).alias(i) for c, i in zip(names, inner)], F.col(path_col).alias("_path"), F.col(text_col).alias("_text"))
+    rows, at = plain(files)
+    inner = [at[c] for c in names]
+    rows = rows.select(*inner, F.col(at[path_col]).alias("_path"), F.col(at[text_col]).alias("_text"))
     own = stash(with_text_columns(rows, "_text", compute, "_own string, _score double", [*inner, "_path"]), "own")
     folder = F.regexp_extract("_path", r"^(.*?)/+[^/]*$", 1)
     own = own.withColumn("_dir", F.when(F.col("_path").isNotNull(), folder))
@@ -146,8 +148,5 @@ def scan(
     nearest = dirs.join(best, "_from").groupBy("_dir").agg(F.max_by(F.struct("_from", "_lent"), F.length("_from")).alias("_n"))
     joined = own.join(nearest.withColumnRenamed("_dir", "_d"), F.col("_dir") == F.col("_d"), "left")
     lent, where = F.col("_n._lent"), F.col("_n._from")
-    return joined.select(
-        *[F.col(i).alias(c) for i, c in zip(inner, names)],
-        F.col("_own").alias("own_license"), F.col("_score").alias("score"), lent.alias("inherited_license"), where.alias("license_dir"),
-        F.coalesce("_own", lent).alias("license"),
-    )
+    found = joined.select(*inner, "_own", "_score", lent, where, F.coalesce("_own", lent))
+    return found.toDF(*names, *added)

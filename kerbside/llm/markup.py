@@ -30,6 +30,9 @@ ENDS = {
 # such an element keeps an opening tag from ending elements outside of it
 SCOPES = frozenset("table ul ol dl td th body html article section main div aside nav header footer".split())
 
+# Elements below this depth dissolve into their ancestor, but for boilerplate.
+DEEPEST = 120
+
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>" + "|".join(RAW) + rf")\b(?P<rawattr>{_ATTRIBUTES})>(?P<content>.*?)(?:</(?P=raw)\s*>|$)"
@@ -72,7 +75,7 @@ def parse(html: str) -> Node:
     and comments leave no gap. A line break is white space. Unclosed elements end where
     HTML ends them, stray closing tags are ignored. Text is decoded, its white space
     single, and runs of white space alone are left out. Raw content (scripts, styles
-    and the like) is not kept."""
+    and the like) is not kept. Depth is bounded."""
     root = Node("root")
     open_nodes: list[tuple[str, Node]] = [("root", root)]
     inline: list[str] = []  # open inline elements of the current run
@@ -130,8 +133,10 @@ def parse(html: str) -> Node:
                 break
             if name in SCOPES:
                 break
-        node = Node(key)
-        open_nodes[-1][1].children.append(node)
+        node = open_nodes[-1][1]
+        if len(open_nodes) < DEEPEST or (dropped and not node.key.endswith("!")):
+            node = Node(key)
+            open_nodes[-1][1].children.append(node)
         if tag not in VOID and not token["attr"].endswith("/"):
             open_nodes.append((tag, node))
     flush()

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbside.llm.store import ranked, slices, stash, with_text_columns
+from kerbside.llm.store import plain, ranked, slices, stash, with_text_columns
 from kerbside.llm.words import raw_texts
 
 BUCKETS = 1 << 14
@@ -165,10 +165,11 @@ def resample(
     """
     added = {"_key", "sample_key", "selected", "n_grams", "log_ratio", "mean_log_ratio"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    weighed = weigh(docs.withColumn("_key", F.xxhash64(id_col, text_col)), model, text_col, [*names, "_key"])
+    rows, inner = plain(docs)
+    weighed = weigh(rows.withColumn("_key", F.xxhash64(inner[id_col], inner[text_col])), model, inner[text_col], [*[inner[c] for c in names], "_key"])
     keyed = stash(weighed.withColumn("sample_key", SCALE * F.col("mean_log_ratio") + gumbel("_key")).drop("_key"), "weighed")
     if k is None:
         k = keyed.where(F.col("mean_log_ratio") >= F.lit(float(model.cut))).count()
     least = ranked(keyed.select("sample_key"), F.desc("sample_key")).where(F.col("rank") == k - 1).first()
     selected = F.lit(k > 0) if least is None else F.col("sample_key") >= F.lit(least.sample_key)
-    return keyed.withColumn("selected", selected)
+    return keyed.withColumn("selected", selected).toDF(*names, "n_grams", "log_ratio", "mean_log_ratio", "sample_key", "selected")

@@ -62,6 +62,12 @@ def view(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype=dtype)
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns c0, c1, ... and what each name became, for names of any kind."""
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*inner), dict(zip(df.columns, inner))
+
+
 def with_text_columns(
     docs: DataFrame,
     text_col: str,
@@ -86,7 +92,8 @@ def with_text_columns(
                 columns = [*part.columns[:kept], *compute(raw_texts(part.column(at)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    sent = docs.select(*names, *([] if at < kept else [text_col])).toDF(*[f"c{i}" for i in range(kept + (at == kept))])
+    rows, inner = plain(docs)
+    sent = rows.select(*[inner[c] for c in names], *([] if at < kept else [inner[text_col]])).toDF(*[f"c{i}" for i in range(kept + (at == kept))])
     types = [f.dataType for f in sent.schema[:kept]] + [f.dataType for f in new]
     schema = StructType([StructField(f"c{i}", t) for i, t in enumerate(types)])
     return sent.mapInArrow(run, schema).toDF(*names, *new.names)

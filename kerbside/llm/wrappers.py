@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbside.llm.markup import HEADINGS, Node, parse
-from kerbside.llm.store import stash, with_text_columns
+from kerbside.llm.store import plain, stash, with_text_columns
 
 LONGEST_GROUP = 5
 FAN_IN = 64
@@ -23,8 +23,8 @@ class Item:
     """One term of a wrapper: a text slot, an element, or a group, with a quantifier.
 
     key names what it matches; many and maybe are the quantifiers (once, +, ?, *).
-    A slot counts its characters, those in links, its texts, and keeps a hash of
-    the text while all were equal. main marks slots of the main text.
+    A slot counts its characters, those in links, the pages that have it, and keeps a
+    hash of the text while all were equal. main marks slots of the main text.
     """
 
     __slots__ = ("key", "main", "many", "maybe", "parts", "stats")
@@ -48,12 +48,13 @@ def induce(node: Node) -> Item:
     return Item(node.key, fold([induce(c) for c in node.children]))
 
 
-def _join(a: Item, b: Item) -> Item:
-    """One term for both of equal key."""
+def _join(a: Item, b: Item, one_page: bool = False) -> Item:
+    """One term for both of equal key; of one page, or of different ones."""
     if a.key == "#":
-        stats = [x + y for x, y in zip(a.stats[:3], b.stats[:3])] + [a.stats[3] if a.stats[3] == b.stats[3] else None]
+        pages = max(a.stats[2], b.stats[2]) if one_page else a.stats[2] + b.stats[2]
+        stats = [a.stats[0] + b.stats[0], a.stats[1] + b.stats[1], pages, a.stats[3] if a.stats[3] == b.stats[3] else None]
         return Item("#", None, a.many or b.many, a.maybe or b.maybe, stats)
-    return Item(a.key, align(a.parts, b.parts), a.many or b.many, a.maybe or b.maybe)
+    return Item(a.key, align(a.parts, b.parts, one_page), a.many or b.many, a.maybe or b.maybe)
 
 
 def fold(items: list[Item]) -> list[Item]:
@@ -62,7 +63,7 @@ def fold(items: list[Item]) -> list[Item]:
     for item in items:
         if out and out[-1].key == item.key:
             maybe = out[-1].maybe and item.maybe
-            out[-1] = _join(out[-1], item)
+            out[-1] = _join(out[-1], item, True)
             out[-1].many, out[-1].maybe = True, maybe
         else:
             out.append(item)
@@ -76,14 +77,14 @@ def fold(items: list[Item]) -> list[Item]:
                 continue
             end = at + size
             while [x.key for x in out[end : end + size]] == keys:
-                run = [_join(a, b) for a, b in zip(run, out[end : end + size])]
+                run = [_join(a, b, True) for a, b in zip(run, out[end : end + size])]
                 end += size
             out[at:end] = [Item("(" + " ".join(keys) + ")", run, many=True)]
             at += 1
     return out
 
 
-def align(a: list[Item], b: list[Item]) -> list[Item]:
+def align(a: list[Item], b: list[Item], one_page: bool = False) -> list[Item]:
     """The terms of both sequences in order: the longest common ones joined, the others optional."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -94,7 +95,7 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i].key == b[j].key and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(_join(a[i], b[j]))
+            out.append(_join(a[i], b[j], one_page))
             i, j = i + 1, j + 1
             continue
         if j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
@@ -261,8 +262,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     empty text; pages without a host share one wrapper. A column named text is replaced.
     """
     names = [c for c in (pages.columns if keep is None else keep) if c != "text"]
-    inner = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*names, url_col, html_col]))}
-    rows = pages.select(*[F.col(c).alias(i) for c, i in inner.items()]).withColumn("host", host_of(F.col(inner[url_col])))
+    rows, inner = plain(pages)
+    rows = rows.select(*dict.fromkeys(inner[c] for c in [*names, url_col, html_col])).withColumn("host", host_of(F.col(inner[url_col])))
     joined = rows.join(learn(pages, url_col, html_col), "host", "left")
     # wrapper and page travel as one text: the length of the first comes before them
     both = joined.withColumn("_both", F.concat(F.length("wrapper").cast("string"), F.lit(":"), "wrapper", F.coalesce(inner[html_col], F.lit(""))))
