@@ -5,14 +5,16 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from kerbside.llm.memory import keep_one
 from kerbside.llm.store import open_folder, with_text_columns
 from kerbside.llm.words import alnum_words
 from kerbside.scratch import scratch_dir
@@ -165,7 +167,6 @@ def build_shards(items: DataFrame, window: int, id_col: str, text_col: str, shar
     return folder
 
 
-@lru_cache(maxsize=1)
 def _shard(folder: str, name: str, row: int) -> Automaton:
     fs, path = open_folder(folder)
     return pickle.loads(pq.read_table(f"{path}/{name}", filesystem=fs, columns=["automaton"]).column(0)[row].as_py())
@@ -174,8 +175,6 @@ def _shard(folder: str, name: str, row: int) -> Automaton:
 @lru_cache(maxsize=1)
 def _shards(folder: str) -> list[tuple[str, int]]:
     fs, path = open_folder(folder)
-    from pyarrow import fs as pafs
-
     names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.endswith(".parquet"))
     return [(n, r) for n in names for r in range(pq.ParquetFile(fs.open_input_file(f"{path}/{n}")).metadata.num_rows)]
 
@@ -234,7 +233,7 @@ def scan(
         spans: list[list] = [[] for _ in texts]
         found: list[set] = [set() for _ in texts]
         for name, row in _shards(folder):
-            automaton = _shard(folder, name, row)
+            automaton = keep_one(("automaton", folder, name, row), partial(_shard, folder, name, row))
             for i, words in enumerate(split):
                 hit, which = automaton.hits(words)
                 if hit:

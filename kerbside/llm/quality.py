@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kerbside.llm.memory import keep_one
 from kerbside.llm.store import plain, ranked, slices, stash, with_text_columns
 from kerbside.llm.words import raw_texts
 
@@ -92,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(marks, "_id", "left").select("text", "_good")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
+        grams = keep_one("grams", Grams)
         total = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 0):
@@ -133,10 +134,9 @@ def weigh(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     log_ratio is the log of the document's target probability over its raw
     probability. A text without words has 0 in all three.
     """
-    memory: list[Grams] = []
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        grams = memory[0] if memory else memory.append(Grams()) or memory[0]
+        grams = keep_one("grams", Grams)
         found = [grams.of(t) for t in texts]
         n = np.array([len(f) for f in found], dtype=np.int64)
         total = np.array([model.ratio[f].sum() for f in found], dtype=np.float64)

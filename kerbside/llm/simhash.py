@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbside.llm.components import connected_components
+from kerbside.llm.memory import forget
 from kerbside.llm.store import stash
 from kerbside.llm.words import raw_texts, space_words
 
@@ -44,6 +45,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             prints = np.array([fingerprint(t, width) for t in raw_texts(batch.column(2))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["id", "key", "fingerprint"])

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 
+from kerbside.llm.memory import keep_one
 from kerbside.llm.words import ASCII_LOWER
 
-# Chunks that a worker remembers at most, twice over. About 350 MB.
-REMEMBERED = 800_000
+# Chunks that a worker remembers at most, twice over. About 250 MB.
+REMEMBERED = 600_000
 # Characters handed to the library at once.
 AT_ONCE = 1_000_000
 # Stands between words that are encoded together; three bytes that no other text shares with it but in U+E000 to U+EFFF.
@@ -165,10 +165,9 @@ def _cut(normalizer, pre_tokenizer, post_processor) -> str | None:
     return "words" if known and spaceless and rest else None
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, width: int = 4) -> Encoder:
-    """One encoder for each vocabulary and worker."""
-    return Encoder(path, width)
+    """The worker's encoder for a vocabulary."""
+    return keep_one(("encoder", path, width), lambda: Encoder(path, width))
 
 
 def vocabulary_size(path: str) -> int:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kerbside.llm.memory import keep_one
 from kerbside.llm.store import slices, stash, with_text_columns
 from kerbside.llm.words import alnum_words, raw_texts
 
@@ -144,7 +145,7 @@ def train(
     kinds = F.filter(F.array(F.when(F.col("_mark").isNotNull(), True), F.when(drawn, False)), lambda k: k.isNotNull())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features()
+        f = keep_one("features", Features)
         for batch in batches:
             for part in slices(batch, 0):
                 found = [np.sort(np.fromiter(f.of(t), dtype=np.uint64)).tobytes() for t in raw_texts(part.column(0))]
@@ -176,10 +177,9 @@ def score(
     """
     names, weights, bias = model
     weight = dict(zip(names.tolist(), weights.tolist()))
-    memory: list[Features] = []
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        f = memory[0] if memory else memory.append(Features()) or memory[0]
+        f = keep_one("features", Features)
         told = weight.keys()
         z = np.array([bias + sum(map(weight.__getitem__, f.of(t) & told)) for t in texts])
         return [pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))]
