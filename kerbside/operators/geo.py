@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbside.functions.maths import haversine_rad, mercator_xy, planar_m, rad
-from kerbside.scratch import cut_lineage
 
-# A zone table up to this size travels as one packed array; larger ones go block by block.
-PACK_ROWS = 2_000
-
-
-def pack_blocks(zones: DataFrame, pack_rows: int = PACK_ROWS) -> int:
-    """Number of blocks needed, from a count of the zone table."""
-    return max(1, -(-zones.count() // pack_rows))
+# Grid cells of level l are 2 ** (l - FINEST) wide, on the unit sphere in space; the last level's hold everything.
+FINEST, COARSEST = 24, 25
 
 
 def _on_sphere(df: DataFrame) -> DataFrame:
@@ -25,54 +20,73 @@ def _on_sphere(df: DataFrame) -> DataFrame:
     return df.withColumns({"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)})
 
 
-def _nearest(packed: Column, payload: Sequence[str], k: int) -> Column:
-    """The k entries of the packed zones nearest to the row's (_x, _y, _z)."""
+def _cell(level: Column, ahead: Sequence[int | Column] = (0, 0, 0)) -> list[Column]:
+    """The cell of a unit vector at a level, or one some cells ahead, as columns of level and place."""
+    width = F.pow(F.lit(2.0), level - FINEST)
+    places = [(F.floor(F.col(a) / width) + n).cast("bigint").alias(f"_c{a}") for a, n in zip(("_x", "_y", "_z"), ahead)]
+    return [level.cast("int").alias("_level"), *places]
 
-    def chord(z, i):
-        dx, dy, dz = z["_x"] - F.col("_x"), z["_y"] - F.col("_y"), z["_z"] - F.col("_z")
-        return F.struct((dx * dx + dy * dy + dz * dz).alias("c"), i.alias("i"))
 
-    first = F.slice(F.sort_array(F.transform(packed, chord)), 1, k)
-    return F.transform(
-        first,
-        lambda r: F.struct(
-            haversine_rad(F.col("lat"), F.col("lon"), F.get(packed, r["i"])["lat"], F.get(packed, r["i"])["lon"]).alias("d"),
-            F.get(packed, r["i"])["zone"].alias("zone"),
-            *[F.get(packed, r["i"])[p].alias(p) for p in payload],
-        ),
-    )
+CELL = ["_level", "_c_x", "_c_y", "_c_z"]
 
 
-def zone_knn(
-    points: DataFrame,
-    zones: DataFrame,
-    k: int,
-    point_id: str,
-    payload: Sequence[str] = (),
-    blocks: int | None = None,
-) -> DataFrame:
-    """The k nearest zones of every point as an array of (d, zone, payload...), nearest first.
+def _around(zones: DataFrame, level: Column) -> DataFrame:
+    """Every zone in its cell and the 26 next to it, for each level."""
+    near = F.explode(F.array(*[F.struct(*[F.lit(i).alias(f"_{n}") for n, i in zip("ijk", c)]) for c in product((-1, 0, 1), repeat=3)]))
+    spread = zones.withColumn("_l", level).withColumn("_n", near)
+    return spread.select(*zones.columns, *_cell(F.col("_l"), [F.col("_n._i"), F.col("_n._j"), F.col("_n._k")]))
+
+
+def candidates(places: DataFrame, zones: DataFrame, k: int) -> DataFrame:
+    """(lat, lon, zone, _lat, _lon, _chord): zones among which the k nearest of every distinct place are.
 
-    points: point_id, lat, lon; zones: zone, lat, lon, payload. Distances are
-    great-circle radians. A zone table of counted small size is packed into one
-    array and ranked inside each row, without any shuffle of the points. A larger
-    one is packed in hash blocks that every point meets one at a time by an
-    equi-join, and the blocks' winners are merged per point.
+    Cells of doubling width grow around a place: at the finest level whose 27 cells around
+    the place hold k zones, the k-th nearest is at most 2 sqrt(3) widths away, so the
+    27 cells of four times that width hold all candidates. Both steps are
+    equi-joins on cells. The finest level follows from the number and the extent of the zones, so a place
+    meets a number of candidates that depends on k and on how unevenly the zones lie, not on their number.
     """
-    zones = _on_sphere(zones)
-    pack = F.sort_array(F.collect_list(F.struct("zone", "lat", "lon", "_x", "_y", "_z", *payload)))
-    n = blocks or pack_blocks(zones)
-    located, near = _on_sphere(points), _nearest(F.col("_packed"), payload, k)
-    if n == 1:
-        packed = located.withColumn("_packed", zones.agg(pack).scalar())
-        return packed.withColumn("near", near).select(*points.columns, "near")
-    packs = zones.groupBy(F.pmod(F.xxhash64("zone"), F.lit(n)).cast("int").alias("_block")).agg(pack.alias("_packed"))
-    met = located.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packs, "_block")
-    ranked = met.select(point_id, near.alias("_near"))
-    merged = ranked.groupBy(point_id).agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("near")
-    )
-    return points.join(merged, point_id, "left")
+    located = lambda df: df.where((F.abs(F.col("lat")) <= 90) & (F.abs(F.col("lon")) < float("inf")))
+    z = _on_sphere(located(zones.where(F.col("zone").isNotNull()).select("zone", "lat", "lon")))
+    p = _on_sphere(located(places.select("lat", "lon")).distinct())
+    spans = [F.max(c) - F.min(c) for c in ("_x", "_y", "_z")]
+    typical = F.log2(F.try_divide(F.greatest(*spans, F.lit(2.0**-FINEST)), F.sqrt(F.count("*")))) + FINEST
+    finest = z.agg(F.greatest(F.least(F.floor(typical), F.lit(COARSEST)), F.lit(0)).cast("int")).scalar()
+    finest = F.coalesce(finest, F.lit(COARSEST))
+    levels = F.sequence(finest, F.lit(COARSEST))
+    held = _around(z, F.explode(levels)).groupBy(*CELL).agg(F.count("*").alias("_held")).where((F.col("_held") >= k) | (F.col("_level") == COARSEST))
+    looked = p.withColumn("_l", F.explode(levels)).select("lat", "lon", "_x", "_y", "_z", *_cell(F.col("_l")))
+    enough = looked.join(held, CELL).groupBy("lat", "lon").agg(F.min("_level").alias("_l"), *[F.first(c).alias(c) for c in ("_x", "_y", "_z")])
+    # beyond the coarsest level nothing is left to widen
+    wide = enough.select("lat", "lon", *[F.col(c).alias(f"{c}p") for c in ("_x", "_y", "_z")], *[c for c in _cell(F.col("_l") + 2)])
+    met = wide.join(_around(z, F.explode(F.sequence(finest + 2, F.lit(COARSEST + 2)))).withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), CELL)
+    chord = sum(((F.col(c) - F.col(f"{c}p")) ** 2 for c in ("_x", "_y", "_z")), F.lit(0.0))
+    return met.select("lat", "lon", "zone", "_lat", "_lon", chord.alias("_chord"))
+
+
+def nearest_zones(places: DataFrame, zones: DataFrame, k: int) -> DataFrame:
+    """(lat, lon, near): the k zones nearest to every distinct place, nearest first, as (d, zone).
+
+    Distances are great-circle radians; of equally near zones the smaller id
+    comes first. Places without finite coordinates, and zones without them or without id, are left out.
+    """
+    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("_chord", "zone"))
+    best = candidates(places, zones, k).withColumn("_rank", rank).where(F.col("_rank") <= k)
+    d = haversine_rad(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    entries = F.sort_array(F.collect_list(F.struct("_rank", d.alias("d"), "zone")))
+    return best.groupBy("lat", "lon").agg(F.transform(entries, lambda e: F.struct(e["d"].alias("d"), e["zone"].alias("zone"))).alias("near"))
+
+
+def zone_knn(points: DataFrame, zones: DataFrame, k: int) -> DataFrame:
+    """points with near, the k zones nearest to each as (d, zone), nearest first.
+
+    points has lat and lon; zones: zone, lat, lon. Points without finite coordinates have an
+    empty list. Rows are kept as they are, whatever their ids.
+    """
+    near = nearest_zones(points, zones, k).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    joined = points.join(near, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
+    empty = F.array().cast(near.schema["near"].dataType)
+    return joined.select(*points.columns, F.coalesce("near", empty).alias("near"))
 
 
 def neighbours(knn: DataFrame, *keep: str) -> DataFrame:
@@ -238,17 +252,25 @@ def zone_trips(zones: DataFrame, popularity: DataFrame) -> DataFrame:
     )
 
 
-def zone_pull(counted: DataFrame, nearest: int = 3, eps: float = 1e-4, blocks: int | None = None) -> DataFrame:
+def zone_pull(counted: DataFrame, nearest: int = 3, eps: float = 1e-4) -> DataFrame:
     """Attractiveness of a zone: 0.8 own trips + 0.2 sum of neighbours' trips over their distance.
 
     counted comes from zone_trips. The nearest zones of a zone include itself; it
-    does not count as its own neighbour.
+    does not count as its own neighbour. Zones without coordinates have no neighbours.
     """
-    places = counted.withColumnRenamed("zone", "_own")
-    near = zone_knn(places, counted, nearest, "_own", ["trips"], blocks)
-    others = F.filter("near", lambda z: z["zone"] != F.col("_own"))
-    around = F.aggregate(others, F.lit(0.0), lambda total, z: total + z["trips"] / (z["d"] + eps))
-    return near.select(F.col("_own").alias("zone"), "lat", "lon", (0.8 * F.col("trips") + 0.2 * around).alias("pull"))
+    near = neighbours(zone_knn(counted.select("zone", "lat", "lon").withColumnRenamed("zone", "_own"), counted, nearest), "_own")
+    trips = counted.select(F.col("zone").alias("_z"), F.col("trips").alias("_t"))
+    others = near.join(trips, (F.col("zone") == F.col("_z")) & (F.col("zone") != F.col("_own")))
+    around = others.groupBy("_own").agg(F.sum(F.col("_t") / (F.col("d") + eps)).alias("_around"))
+    joined = counted.join(around, F.col("zone") == F.col("_own"), "left")
+    return joined.select("zone", "lat", "lon", (0.8 * F.col("trips") + 0.2 * F.coalesce("_around", F.lit(0.0))).alias("pull"))
+
+
+def _with_pull(near: DataFrame, pulled: DataFrame) -> DataFrame:
+    """(lat, lon, choices): the near zones of each place with their pull and place, nearest first."""
+    pull = pulled.select(F.col("zone").alias("_z"), "pull", F.col("lat").alias("zlat"), F.col("lon").alias("zlon"))
+    rows = near.select("lat", "lon", F.inline("near")).join(pull, F.col("zone") == F.col("_z"))
+    return rows.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("d", "zone", "pull", "zlat", "zlon"))).alias("choices"))
 
 
 def greedy_routes(
@@ -265,45 +287,33 @@ def greedy_routes(
 
     Every hop takes, among the k zones nearest to the current place, the unvisited
     one with the greatest pull per distance (ties: the nearer, then the lower id).
-    starts: start_id, lat, lon. Adds route (zone ids) and route_rad (length).
+    starts: lat, lon and any other columns. Adds route (zone ids) and route_rad (length). A
+    start without coordinates has an empty route.
 
-    A hop is one equi-join of the routes with the zones' candidate lists. The zones
-    with their trips are checkpointed, so the trips are read once.
+    A hop is one equi-join of the routes with the choices at their place, which are
+    found once for all places: those of the starts and of the zones.
     """
-    blocks = pack_blocks(zones)
-    pulled = zone_pull(cut_lineage(zone_trips(zones, popularity)), nearest, eps, blocks)
-    lists = zone_knn(pulled.select(F.col("zone").alias("_at"), "lat", "lon"), pulled, k, "_at", ["pull"], blocks).select(
-        "_at", F.col("near").alias("_near")
-    )
-    if blocks == 1:
-        # counted to be small: hops need no shuffle, however many routes meet in one zone
-        lists = F.broadcast(lists)
-
-    def choose(near: Column, visited: Column) -> Column:
-        open_zones = F.filter(near, lambda z: ~F.array_contains(visited, z["zone"]))
-        # (score, -distance, -zone) as an array: fields of a struct would be extracted
-        # below the projection, each with its own evaluation of the whole choice
-        return F.array_max(
-            F.transform(open_zones, lambda z: F.array(z["pull"] / (z["d"] + eps), -z["d"], -z["zone"].cast("double")))
-        )
-
-    def advance(df: DataFrame) -> DataFrame:
-        best, done = F.col("_best"), F.col("_best").isNull()
-        if max_km is not None:
-            done = done | (F.col("route_rad") * 6371.0088 >= max_km)
-        return (
-            df.withColumn("_stop", F.when(~done, (-best[2]).cast("int")))
-            .withColumn("route_rad", F.col("route_rad") + F.when(F.col("_stop").isNotNull(), -best[1]).otherwise(0.0))
-            .withColumn("route", F.when(F.col("_stop").isNotNull(), F.array_append("route", F.col("_stop"))).otherwise(F.col("route")))
-            .drop("_best")
-        )
-
+    pulled = zone_pull(zone_trips(zones, popularity), nearest, eps)
+    places = starts.select("lat", "lon").union(zones.select("lat", "lon"))
+    lists = _with_pull(nearest_zones(places, zones, k), pulled)
+    lists = lists.select(F.col("lat").alias("_llat"), F.col("lon").alias("_llon"), "choices")
     kept = starts.columns
-    routes = zone_knn(starts, pulled, k, "start_id", ["pull"], blocks).withColumns(
-        {"route": F.array().cast("array<int>"), "route_rad": F.lit(0.0)}
-    )
-    routes = advance(routes.withColumn("_best", choose(F.col("near"), F.col("route"))).drop("near"))
-    for _ in range(stops - 1):
-        joined = routes.join(lists, F.col("_stop") == F.col("_at"), "left")
-        routes = advance(joined.withColumn("_best", choose(F.col("_near"), F.col("route"))).drop("_at", "_near"))
+    zone_type = zones.schema["zone"].dataType.simpleString()
+    routes = starts.withColumns({
+        "_lat": F.col("lat").cast("double"), "_lon": F.col("lon").cast("double"), "route": F.array().cast(f"array<{zone_type}>"), "route_rad": F.lit(0.0)
+    })
+    for _ in range(stops):
+        at = routes.join(lists, (F.col("_lat") == F.col("_llat")) & (F.col("_lon") == F.col("_llon")), "left")
+        open_zones = F.filter("choices", lambda c: ~F.array_contains(F.col("route"), c["zone"]))
+        if max_km is not None:
+            open_zones = F.when(F.col("route_rad") * 6371.0088 < max_km, open_zones)
+        scored = F.transform(open_zones, lambda c: F.struct((-c["pull"] / (c["d"] + eps)).alias("_s"), c["d"].alias("_d"), c["zone"].alias("_stop"), c["zlat"].alias("_zlat"), c["zlon"].alias("_zlon")))
+        # a generator evaluates the choice once, however many of its fields are used
+        chosen = at.select(*kept, "route", "route_rad", F.inline_outer(F.array(F.array_min(scored))))
+        routes = chosen.select(
+            *kept,
+            F.when(F.col("_stop").isNotNull(), F.array_append("route", F.col("_stop"))).otherwise(F.col("route")).alias("route"),
+            (F.col("route_rad") + F.coalesce("_d", F.lit(0.0))).alias("route_rad"),
+            F.col("_zlat").alias("_lat"), F.col("_zlon").alias("_lon"),
+        )
     return routes.select(*kept, "route", "route_rad")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kerbside.functions.time import interval_seconds, ntz, step
+from kerbside.functions.time import elapsed_seconds, interval_seconds, ntz, step
 
 
 def zone_time_grid(ids: DataFrame, start, end, interval: str, zone: str = "PULocationID", bucket: str = "time_bucket") -> DataFrame:
@@ -62,27 +62,40 @@ def complete_spine(
     start: Column | None = None,
     end: Column | None = None,
 ) -> DataFrame:
-    """Add the missing instants of every series; new rows have NULL values.
+    """One row per instant of every series; instants without a row have NULL values.
 
     Each row is extended up to its successor, so the only shuffle is the one by
     series, which later windows over the same keys reuse. scope='series' spans
     every series' own range; 'global' spans the whole table's (or start..end).
+
+    Instants count in steps of freq from the series' first row; a global spine's
+    from start, or from the table's first row. A row between two steps belongs to
+    the step before it. Rows of a series at one instant become one: per value the
+    largest, NULLs aside. Rows without an instant, or outside start..end, are left out.
     """
-    every = step(interval_seconds(freq))
-    w = Window.partitionBy(*keys).orderBy(ts)
-    first, last = F.col(ts), F.lead(ts).over(w) - every
+    seconds = interval_seconds(freq)
+    every = step(seconds)
+    values = [c for c in series.columns if c not in (*keys, ts)]
+    dealt = series.where(F.col(ts).isNotNull()).repartition(*keys)
     if scope == "global":
         low = start if start is not None else series.agg(F.min(ts)).scalar()
         high = end if end is not None else series.agg(F.max(ts)).scalar()
-        first = F.when(F.lag(ts).over(w).isNull(), low).otherwise(F.col(ts))
-        last = F.coalesce(last, high)
+        placed = dealt.withColumns({"_from": low, "_to": high}).where(F.col(ts).between(F.col("_from"), F.col("_to")))
     elif scope == "series":
-        last = F.coalesce(last, F.col(ts))
+        own = Window.partitionBy(*keys)
+        placed = dealt.withColumns({"_from": F.min(ts).over(own), "_to": F.max(ts).over(own)})
     else:
         raise ValueError(scope)
-    values = [c for c in series.columns if c not in (*keys, ts)]
-    return (
-        series.withColumns({"_first": first, "_last": last})
-        .withColumn("_at", F.explode(F.sequence("_first", "_last", every)))
-        .select(*keys, F.col("_at").alias(ts), *[F.when(F.col("_at") == F.col(ts), F.col(v)).alias(v) for v in values])
+    passed = F.floor(elapsed_seconds("_from", ts) / seconds) * seconds
+    at = F.col("_from") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), passed.cast("decimal(18,6)"))
+    # dealt out by series already: neither the reduction nor the window shuffles
+    rows = placed.withColumn("_at", at).groupBy(*keys, "_at").agg(
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"), *[F.max(v).alias(v) for v in values]
     )
+    w = Window.partitionBy(*keys).orderBy("_at")
+    first, last = F.col("_at"), F.coalesce(F.lead("_at").over(w) - every, F.col("_at"))
+    if scope == "global":
+        first = F.when(F.lag("_at").over(w).isNull(), F.col("_from")).otherwise(first)
+        last = F.coalesce(F.lead("_at").over(w) - every, F.col("_to"))
+    spans = rows.withColumns({"_first": first, "_last": last}).withColumn(ts, F.explode(F.sequence("_first", "_last", every)))
+    return spans.select(*keys, ts, *[F.when(F.col(ts) == F.col("_at"), F.col(v)).alias(v) for v in values])

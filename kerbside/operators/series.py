@@ -272,9 +272,14 @@ def continuity_check(a: DataFrame, b: DataFrame, ts: str = "timestamp") -> DataF
     )
 
 
-def daily_ffill(df: DataFrame, date: str, value: str, keys: Sequence[str]) -> DataFrame:
-    """One row per day, the last value carried over missing days."""
+def daily_ffill(df: DataFrame, date: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per day, the last value carried over missing days.
+
+    Several points of one day become one with the largest value; rows without a date are left out.
+    """
+    points = df.where(F.col(date).isNotNull())
+    days = (points.repartition(*keys) if keys else points).groupBy(*keys, date).agg(F.max(value).alias(value))
     after = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
-    held = df.withColumn("_last", F.coalesce(F.date_sub(after, 1), F.col(date)))
-    days = held.withColumn("_day", F.explode(F.sequence(F.col(date), F.col("_last"), F.expr("INTERVAL 1 DAY"))))
-    return days.select(*keys, F.col("_day").alias(date), value)
+    held = days.withColumn("_last", F.coalesce(F.date_sub(after, 1), F.col(date)))
+    filled = held.withColumn("_day", F.explode(F.sequence(F.col(date), F.col("_last"), F.expr("INTERVAL 1 DAY"))))
+    return filled.select(*keys, F.col("_day").alias(date), value)

@@ -2,113 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Buckets per doubling of the magnitude in the coarse pass of order_statistics.
-RESOLUTION = 512
+# Accuracy of the sketch that brackets a rank: it is off by at most 1 / ACCURACY of the rows.
+ACCURACY = 100_000
+# Up to so many values a bracket is the whole group; beyond, one rank is less than 1 / ACCURACY of the rows.
+BRACKETED = 200_000
 
+Rank = tuple[float, Callable[[Column], Column]]
 
-def _coarse(v: Column, resolution: int) -> Column:
-    """A monotone integer key of a number: its logarithmic bucket, with sign."""
-    return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * resolution).cast("int")
 
+def linear(p: float) -> Rank:
+    """Rank of a quantile among sorted values, interpolated linearly."""
+    return p, lambda total: F.lit(float(p)) * (total - 1)
 
-def _targets(sizes: DataFrame, keys: Sequence[str], positions: dict[str, Column]) -> DataFrame:
-    """The buckets that hold a wanted rank, with the ranks and the rows before them.
-
-    sizes has one row per (group, bucket), at most ``resolution`` of them per
-    doubling of the values, so the windows over a group stay small.
-    """
-    group = Window.partitionBy(*keys)
-    sized = sizes.withColumns(
-        {"_before": F.sum("_bn").over(group.orderBy("_b")) - F.col("_bn"), "total": F.sum("_bn").over(group)}
-    )
-    ranks = {}
-    for i, expr in enumerate(positions.values()):
-        ranks |= {f"_lo{i}": F.floor(expr), f"_hi{i}": F.ceil(expr), f"_f{i}": expr - F.floor(expr)}
-    sized = sized.withColumns(ranks)
-    wanted = F.lit(False)
-    for name in (n for n in ranks if not n.startswith("_f")):
-        wanted = wanted | F.col(name).between(F.col("_before"), F.col("_before") + F.col("_bn") - 1)
-    return sized.where(wanted).drop("_bn")
 
-
-def _within(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Values in a target bucket of their group; for no key, or one key with few values.
-
-    The targets come as a scalar of at most two buckets per rank and group.
-    """
-    if not keys:
-        wanted = targets.agg(F.collect_set("_b")).scalar()
-    else:
-        by_group = targets.groupBy(*keys).agg(F.collect_set("_b").alias("_bs"))
-        pairs = by_group.agg(F.map_from_entries(F.collect_list(F.struct(*keys, "_bs")))).scalar()
-        wanted = F.try_element_at(pairs, F.col(keys[0]))
-    return values.where(F.array_contains(wanted, F.col("_b")))
+def _brackets(values: Column, ranks: Sequence[Rank]) -> Column:
+    """(total, lows, highs): values between which each rank's value lies, one pair per rank."""
+    slack = 3 / ACCURACY
+    ends = [max(0.0, p - slack) for p, _ in ranks] + [min(1.0, p + slack) for p, _ in ranks]
+    sketch = F.percentile_approx(values, ends, ACCURACY)
+    k = len(ranks)
+    return F.struct(
+        F.count(values).alias("total"), F.min(values).alias("min"), F.max(values).alias("max"), *[sketch[i].alias(f"lo{i}") for i in range(k)],
+        *[sketch[k + i].alias(f"hi{i}") for i in range(k)],
+    )
 
 
 def order_statistics(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    positions: dict[str, Column],
-    few_groups: bool | None = None,
-    resolution: int = RESOLUTION,
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], ranks: Mapping[str, Rank], extra: Mapping[str, Callable[[Column], Column]] | None = None
 ) -> DataFrame:
-    """Exact values at 0-based ranks of the sorted non-null values, by group.
-
-    positions maps output names to rank expressions over the column ``total`` (the
-    group's number of values); fractional ranks interpolate linearly.
-
-    No task ever sees a whole group: coarse buckets are counted on the map side to
-    locate the ranks, and only buckets that hold one are sorted. With few groups
-    (or none) the input is read a second time for just those buckets; with many
-    groups its values are counted once and shuffled instead.
+    """Exact values at 0-based ranks of the sorted non-null values, by group and column.
+
+    One row per group and column: the keys, label (the column's name), total, one double per
+    name in ranks, and the aggregates ``extra`` of the column. Fractional ranks interpolate
+    linearly. NaN counts as larger than any number, as in Spark's ``percentile``; ranks
+    are found among the values as they are, so large whole numbers are told apart.
+    A group or column without values gives no row.
+
+    The data is read twice. A sketch brackets every rank between two values; then
+    all values outside of the brackets are only counted, and those inside are counted value
+    by value. So a sorted window holds, per group and column, a share of 1 / ACCURACY of the
+    rows at most for large groups, whatever the values' range, and equal values are one row.
     """
-    few_groups = (not by) if few_groups is None else few_groups
-    if few_groups and len(by) > 1:
-        raise ValueError("few_groups takes at most one key")
+    extra = extra or {}
     keys = [f"_k{i}" for i in range(len(by))]
-    number = F.col(value).cast("double")
-    values = df.where(F.col(value).isNotNull()).select(
-        *[F.col(c).alias(k) for c, k in zip(by, keys)], number.alias("_v"), _coarse(number, resolution).alias("_b")
-    )
-    if few_groups:
-        targets = _targets(values.groupBy(*keys, "_b").agg(F.count("*").alias("_bn")), keys, positions)
-        counted = _within(values, targets, keys).groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))
+    names = [f"_v{i}" for i in range(len(cols))]
+    values = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], *[F.col(c).alias(v) for c, v in zip(cols, names)])
+    found = [_brackets(F.col(v), list(ranks.values())).alias(f"_s{v}") for v in names]
+    more = [f(F.col(v)).alias(f"_x{v}{e}") for v in names for e, f in extra.items()]
+    sketched = values.groupBy(*keys).agg(*found, *more)
+    if keys:
+        other = sketched.select(*[F.col(k).alias(f"t{k}") for k in keys], *[f"_s{v}" for v in names])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
+        met, sketch_of = values.join(other, same), {v: F.col(f"_s{v}") for v in names}
     else:
-        counted = values.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))
-        targets = _targets(counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")), keys, positions)
-    targets = targets.withColumnsRenamed({k: f"t{k}" for k in [*keys, "_b"]})
-    same = F.col("_b") == F.col("t_b")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = (
-        counted.join(targets, same)
-        .withColumn("_end", F.sum("_n").over(inside) + F.col("_before"))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+        row = sketched.select(F.struct(*[f"_s{v}" for v in names])).scalar()
+        met, sketch_of = values, {v: row[f"_s{v}"] for v in names}
+
+    def entry(i: int, v: str) -> Column:
+        s, x = sketch_of[v], F.col(v)
+        inside, below = s["total"] <= BRACKETED, F.lit(0)
+        for k in range(len(ranks)):
+            inside = inside | ((x >= s[f"lo{k}"]) & (x <= s[f"hi{k}"]))
+            below = below + F.when(x >= s[f"lo{k}"], 1).otherwise(0)
+        wide = x if len(cols) == 1 else x.cast("double")
+        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("c"), F.when(inside, wide).alias("v"), F.when(~inside, below).alias("gap"), wide.alias("x")))
+
+    entries = F.array(*[entry(i, v) for i, v in enumerate(names)])
+    counted = met.select(*keys, F.explode(entries).alias("e")).where("e is not null").groupBy(*keys, F.col("e.c").alias("_c"), F.col("e.v").alias("_v"), F.col("e.gap").alias("_gap")).agg(
+        F.count("*").alias("_n"), F.min("e.x").alias("_x")
     )
+    whole = Window.partitionBy(*keys, "_c")
+    ranked = counted.withColumns({"total": F.sum("_n").over(whole), "_end": F.sum("_n").over(whole.orderBy("_x"))}).withColumn("_start", F.col("_end") - F.col("_n"))
 
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end")), F.col("_v")))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_v"))).cast("double")
 
     out = []
-    for i, name in enumerate(positions):
-        low, high = at(f"_lo{i}"), at(f"_hi{i}")
-        out.append((low + (high - low) * F.max(f"_f{i}")).alias(name))
-    picked = ranked.groupBy(*keys).agg(F.max("total").alias("total"), *out)
-    return picked.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "total", *positions)
-
-
-def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], few_groups: bool | None = None
-) -> DataFrame:
+    for name, (_, rank) in ranks.items():
+        r = rank(F.col("total"))
+        low, high = at(F.floor(r)), at(F.ceil(r))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * F.max(r - F.floor(r))).alias(name))
+    label = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_c") + 1)
+    picked = ranked.groupBy(*keys, "_c").agg(F.max("total").alias("total"), *out).withColumn("label", label)
+    if extra:
+        packed = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), *[F.col(f"_x{v}{e}").alias(e) for e in extra]) for i, v in enumerate(names)]))
+        long = sketched.select(*[F.col(k).alias(f"t{k}") for k in keys], packed.alias("_e")).select(*[f"t{k}" for k in keys], "_e.*")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
+        picked = picked.join(long.withColumnRenamed("_c", "_tc"), same & (F.col("_c") == F.col("_tc")))
+    return picked.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "label", "total", *ranks, *extra)
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles by group: keys, total, one column per name."""
-    positions = {n: F.lit(float(p)) * (F.col("total") - 1) for n, p in probs.items()}
-    return order_statistics(df, by, value, positions, few_groups)
+    return order_statistics(df, by, [value], {n: linear(p) for n, p in probs.items()}).drop("label")
 
 
 def median_by(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -125,8 +119,8 @@ def income_by_zone(income: DataFrame, year: int) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and extremes, one row per column."""
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "label", "v")
-    quart = quantiles(long, ["label"], "v", {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}, True)
+    extremes = {"min": lambda v: F.min(v).cast("double"), "max": lambda v: F.max(v).cast("double")}
+    quart = order_statistics(df, [], cols, {"q1": linear(0.25), "med": linear(0.5), "q3": linear(0.75)}, extremes)
     iqr = F.col("q3") - F.col("q1")
     return quart.select(
         "label", "q1", "med", "q3",
@@ -138,26 +132,19 @@ def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max, one row per column."""
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "label", "v")
-    moments = long.groupBy("label").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
-    )
-    ranks = quantiles(long, ["label"], "v", {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0}, True)
-    return moments.join(ranks.drop("total"), "label")
+    moments = {
+        "mean": F.avg, "std": F.stddev_samp, "min": lambda v: F.min(v).cast("double"), "max": lambda v: F.max(v).cast("double"),
+    }
+    quart = {"q25": linear(0.25), "q50": linear(0.5), "q75": linear(0.75)}
+    found = order_statistics(df, [], cols, quart, moments)
+    return found.select("label", F.col("total").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_bounds(df: DataFrame, col: str, share: float = 0.99) -> DataFrame:
     """Smallest value, value at index floor(share * n) of the sorted list, largest value."""
-    return order_statistics(
-        df,
-        [],
-        col,
-        {
-            "min": F.lit(0),
-            "max": F.floor(F.lit(share) * F.col("total")),
-            "absolute_max": F.col("total") - 1,
-        },
-    ).drop("total")
+    ends = {"min": lambda v: F.min(v).cast("double"), "absolute_max": lambda v: F.max(v).cast("double")}
+    index = {"max": (share, lambda total: F.floor(F.lit(share) * total))}
+    return order_statistics(df, [], [col], index, ends).select("min", "max", "absolute_max")
 
 
 def normalise(df: DataFrame, col: str, name: str = "normalised", share: float = 0.99) -> DataFrame:
@@ -175,13 +162,22 @@ def normalise(df: DataFrame, col: str, name: str = "normalised", share: float =
 
 
 def density_histogram(
-    df: DataFrame, by: Sequence[str], col: str, low: float, high: float, bins: int
+    df: DataFrame, by: Sequence[str], col: str, bins: int, low: float | None = None, high: float | None = None
 ) -> DataFrame:
-    """Relative frequency of the bins of [low, high) within each group."""
-    width = (high - low) / bins
-    binned = (
-        df.where((F.col(col) >= low) & (F.col(col) < high))
-        .groupBy(*by, F.floor((F.col(col) - low) / width).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
+    """Relative frequency of equal bins from low to high within each group.
+
+    The range is by default that of the table's finite values, so no value is left
+    out; the largest one is in the last bin. With a given range, smaller values are
+    in bin -1 and values from high on in bin ``bins``; infinite values always are. Shares
+    are of all values of the group but NULL and NaN.
+    """
+    x = F.col(col).cast("double")
+    finite = F.when(F.abs(x) < float("inf"), x)
+    ends = df.agg(F.struct(F.min(finite).alias("low"), F.max(finite).alias("high"))).scalar()
+    first = F.lit(float(low)) if low is not None else ends["low"]
+    last = F.lit(float(high)) if high is not None else ends["high"]
+    place = F.floor(F.coalesce(F.try_divide((finite - first) * bins, last - first), F.lit(0.0)))
+    inner = F.when((x == last) & F.lit(high is None), F.lit(bins - 1)).when(finite < first, -1).when(finite >= last, bins).otherwise(F.least(place, F.lit(bins - 1)))
+    at = F.when(finite.isNull(), F.when(x > 0, bins).otherwise(-1)).otherwise(inner)
+    binned = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return binned.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))

@@ -196,20 +196,20 @@ register("feature_array", lambda s, d: events(s, d).select("event_id", N.feature
 
 def _nested(s, d):
     from kerbside.operators.rollup import zone_measures_over_time
-    from kerbside.plans.rollup_queries import END, START
 
-    grid = zone_measures_over_time(B.rollup(s, d), B.ids(s, d), ["total_trips", "total_price"], START, END, "day")
+    grid = zone_measures_over_time(B.rollup(s, d), B.ids(s, d), ["total_trips", "total_price"], "1995-01-01", "2002-01-01", "week")
     nested = SH.nest_by_time_zone(grid, "time_bucket", "PULocationID", ["total_trips", "total_price"])
     return nested.select("variable", "time_bucket", F.explode("zones").alias("zone", "value"))
 
 
-register("nest_by_time_zone", _nested, with_tables(B.TRIPS, B.ROLLUP, """agg AS (SELECT PULocationID AS z, date_trunc('day', pickup_datetime) AS time_bucket, sum("count") AS n, sum(fare_amount) AS f FROM rollup_
-    WHERE pickup_datetime BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-03-15' GROUP BY 1, 2)""",
+register("nest_by_time_zone", _nested, with_tables(B.TRIPS, B.ROLLUP, """agg AS (SELECT PULocationID AS z, time_bucket(INTERVAL 7 DAY, pickup_datetime, TIMESTAMP '1970-01-01') AS time_bucket, sum("count") AS n, sum(fare_amount) AS f
+    FROM rollup_ GROUP BY 1, 2)""",
     """grid AS (SELECT z.z, b.time_bucket, coalesce(n, 0)::BIGINT AS n, coalesce(f, 0)::BIGINT AS f FROM (SELECT n_nationkey AS z FROM nation) z, (SELECT DISTINCT time_bucket FROM agg) b
       LEFT JOIN agg a ON a.z = z.z AND a.time_bucket = b.time_bucket)""",
     select="""SELECT 'total_trips' AS variable, time_bucket, CAST(z AS SMALLINT) AS zone, n::DOUBLE AS value FROM grid
       UNION ALL SELECT 'total_price', time_bucket, CAST(z AS SMALLINT), f::DOUBLE FROM grid"""))
-MONTHS = [f"1997-{m:02d}" for m in range(1, 13)]
+# one column per month that orders can have
+MONTHS = [f"{year}-{m:02d}" for year in range(1995, 2002) for m in range(1, 13)]
 
 
 def wide_rent(s, d):

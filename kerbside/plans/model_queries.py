@@ -248,24 +248,30 @@ def _centroids(s, d):
 register("polygon_centroid", _centroids, with_tables(B.PLACES, select="SELECT start_id AS locationid, round(lon + 0.125::DOUBLE, 5) AS Longitude, round(lat + 0.25::DOUBLE, 5) AS Latitude FROM places"))
 NEAR = f"""near AS (SELECT start_id, zone, {haversine_sql('p.lat', 'p.lon', 'z.lat', 'z.lon')} AS d FROM places p, zone_points z)"""
 register("zone_knn",
-         lambda s, d: rounded(GE.neighbours(GE.zone_knn(B.places(s, d), B.zone_points(s, d), 5, "start_id"), "start_id"), 9, "d"),
+         lambda s, d: rounded(GE.neighbours(GE.zone_knn(B.places(s, d), B.zone_points(s, d), 5), "start_id"), 9, "d"),
          with_tables(B.PLACES, B.ZONE_POINTS, NEAR, select="""SELECT start_id, CAST(row_number() OVER w AS INTEGER) AS rank, zone, round(d, 9) AS d FROM near
            WINDOW w AS (PARTITION BY start_id ORDER BY d, zone) QUALIFY row_number() OVER w <= 5"""))
-register("zone_knn_blocks",
-         lambda s, d: rounded(GE.neighbours(GE.zone_knn(B.places(s, d), B.zone_points(s, d), 3, "start_id", blocks=4), "start_id"), 9, "d"),
-         with_tables(B.PLACES, B.ZONE_POINTS, NEAR, select="""SELECT start_id, CAST(row_number() OVER w AS INTEGER) AS rank, zone, round(d, 9) AS d FROM near
-           WINDOW w AS (PARTITION BY start_id ORDER BY d, zone) QUALIFY row_number() OVER w <= 3"""))
-PLANAR = f"planar AS (SELECT start_id, {MERCATOR_X.format(lon='lon')} AS x, {MERCATOR_Y.format(lat='lat')} AS y FROM places)"
 
 
-def _places_as_zones(s, d):
-    return B.places(s, d).withColumnRenamed("start_id", "zone")
+def _many_zones(s, d):
+    """Customers as zones, spread so that their density stays the same however many there are."""
+    i = F.col("c_custkey")
+    return B.table(s, d, "customer").select(i.alias("zone"), (F.floor(i / 180) * 0.011 - 60).alias("lat"), ((i % 180) * 0.013 + (i * i % 7) * 0.0011).alias("lon"))
+
+
+MANY_ZONES = "many AS (SELECT c_custkey AS zone, (c_custkey // 180) * 0.011::DOUBLE - 60 AS lat, (c_custkey % 180) * 0.013::DOUBLE + (c_custkey * c_custkey % 7) * 0.0011::DOUBLE AS lon FROM customer)"
+register("zone_knn_many",
+         lambda s, d: rounded(GE.neighbours(GE.zone_knn(B.places(s, d), _many_zones(s, d), 3), "start_id"), 9, "d").drop("zone"),
+         with_tables(B.PLACES, MANY_ZONES, f"""near AS (SELECT start_id, zone, {haversine_sql('p.lat', 'p.lon', 'z.lat', 'z.lon')} AS d FROM places p, many z)""",
+           select="""SELECT start_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(d, 9) AS d FROM near
+           WINDOW w AS (PARTITION BY start_id ORDER BY d, zone) QUALIFY row_number() OVER w <= 3"""))
+PLANAR = f"planar AS (SELECT zone, {MERCATOR_X.format(lon='lon')} AS x, {MERCATOR_Y.format(lat='lat')} AS y FROM many)"
 
 
 METRES = "CAST(round_even(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 0) AS BIGINT)"
-register("zone_distances_within", lambda s, d: GE.zone_distances_within(_places_as_zones(s, d), 1500.0),
-         with_tables(B.PLACES, PLANAR, select=f"""SELECT a.start_id AS id_a, b.start_id AS id_b, {METRES} AS metres FROM planar a, planar b
-           WHERE a.start_id < b.start_id AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 1500.0::DOUBLE * 1500.0::DOUBLE"""))
+register("zone_distances_within", lambda s, d: GE.zone_distances_within(_many_zones(s, d), 1500.0),
+         with_tables(MANY_ZONES, PLANAR, select=f"""SELECT a.zone AS id_a, b.zone AS id_b, {METRES} AS metres FROM planar a, planar b
+           WHERE a.zone < b.zone AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 1500.0::DOUBLE * 1500.0::DOUBLE"""))
 ZONE_PLANAR = f"zp AS (SELECT zone, {MERCATOR_X.format(lon='lon')} AS x, {MERCATOR_Y.format(lat='lat')} AS y FROM zone_points)"
 register("pair_distances",
          lambda s, d: GE.pair_distances(B.trips(s, d).select("PULocationID", "DOLocationID").distinct(), B.zone_points(s, d), "PULocationID", "DOLocationID"),
@@ -388,7 +394,7 @@ register("weighted_sum_stage", _weighted, with_tables(*E, select="""SELECT Vendo
 def _sql_stage(s, d):
     from pyspark.ml.feature import SQLTransformer
 
-    out = SQLTransformer(statement=ML.rolling_statement("demand")).transform(int_series(s, d))
+    out = ML.SeriesHistory(label="demand").transform(int_series(s, d))
     out = SQLTransformer(statement="SELECT *, demand_sc AS prediction FROM __THIS__").transform(out)
     out = SQLTransformer(statement=ML.DENORMALISE).transform(out)
     return rounded(out.select(*KEYS, "timestamp", "mean", "std", "demand_sc", "prediction_real"), 6, "mean", "std", "demand_sc", "prediction_real")

@@ -35,8 +35,8 @@ register("keep_known_vendors",
 register("clip_to_month", lambda s, d: P.clip_to_month(B.table(s, d, "orders"), "1998-12", "o_orderdate").select("o_orderkey", "o_orderdate"),
          "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-12-01' AND o_orderdate < TIMESTAMP '1999-01-01'")
 register("unify",
-         lambda s, d: P.unify(B.raw_yellow(s, d), "yellow", MONTH).unionByName(P.unify(B.raw_app(s, d), "fhvhv", MONTH)),
-         with_tables(B.RAW, select=B.hub_sql("A", "0", IN_MONTH) + " UNION ALL "
+         lambda s, d: P.unify(B.raw_yellow(s, d), "yellow", MONTH).unionByName(P.unify(B.raw_green(s, d), "green", MONTH)).unionByName(P.unify(B.raw_app(s, d), "fhvhv", MONTH)),
+         with_tables(B.RAW, select=B.hub_sql("A", "0", IN_MONTH) + " UNION ALL " + B.hub_sql("N", "1", IN_MONTH) + " UNION ALL "
                      + B.hub_sql("R", B.APP_VENDOR, f"{B.APP_VENDOR} < 4 AND {IN_MONTH}", B.APP_TOTAL, "7")))
 register("narrow_types",
          lambda s, d: P.narrow_types(B.raw_yellow(s, d).withColumn("tpep_pickup_datetime", F.col("tpep_pickup_datetime") + F.expr("INTERVAL '0.25' SECOND")))

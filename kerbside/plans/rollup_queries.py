@@ -123,19 +123,21 @@ register("pair_actual_pred",
 
 
 def _forecast_parts(spark, sf):
-    s = B.series(spark, sf)
+    """Three whole tables whose hours overlap only in part."""
+    s, hour = B.series(spark, sf), F.expr("INTERVAL 1 HOUR")
     keys = ["PULocationID", "VendorID", "timestamp"]
     return (
-        s.where("demand > 1").select(*keys, "demand"),
-        s.where("avg_amount > 2000").select(*keys, "avg_amount"),
-        s.where("avg_distance > 50").select(*keys, "avg_distance"),
+        s.select(*keys, "demand"),
+        s.withColumn("timestamp", F.col("timestamp") + hour).select(*keys, "avg_amount"),
+        s.withColumn("timestamp", F.col("timestamp") - hour).select(*keys, "avg_distance"),
     )
 
 
 register("merge_forecasts", lambda s, d: J.merge_forecasts(*_forecast_parts(s, d)),
-         with_tables(B.EVENT_TRIPS, B.SERIES, select="""SELECT PULocationID, VendorID, "timestamp", CASE WHEN demand > 1 THEN demand END AS demand,
-           CASE WHEN avg_amount > 2000 THEN avg_amount END AS avg_amount, CASE WHEN avg_distance > 50 THEN avg_distance END AS avg_distance
-           FROM series WHERE demand > 1 OR avg_amount > 2000 OR avg_distance > 50"""))
+         with_tables(B.EVENT_TRIPS, B.SERIES, """later AS (SELECT PULocationID, VendorID, "timestamp" + INTERVAL 1 HOUR AS "timestamp", avg_amount FROM series)""",
+                     """earlier AS (SELECT PULocationID, VendorID, "timestamp" - INTERVAL 1 HOUR AS "timestamp", avg_distance FROM series)""",
+                     select="""SELECT PULocationID, VendorID, "timestamp", demand, avg_amount, avg_distance FROM (SELECT PULocationID, VendorID, "timestamp", demand FROM series)
+           FULL JOIN later USING (PULocationID, VendorID, "timestamp") FULL JOIN earlier USING (PULocationID, VendorID, "timestamp")"""))
 register("with_fallback",
          lambda s, d: J.with_fallback(
              B.event_trips(s, d).select("event_id", "VendorID", "PULocationID"),
@@ -173,13 +175,13 @@ register("map_areas", _map_areas, """SELECT c_custkey AS LocationID, AskingRent
 # --- grids ------------------------------------------------------------------------------
 
 BUCKETS = """buckets AS (SELECT PULocationID, date_trunc('day', pickup_datetime) AS time_bucket, count(*) AS n FROM trips_e
-  WHERE total_amount > 20000 GROUP BY 1, 2)"""
+  GROUP BY 1, 2)"""
 
 
 def _buckets(spark, sf):
     from kerbside.functions.time import trunc_time
 
-    e = B.event_trips(spark, sf).where("total_amount > 20000")
+    e = B.event_trips(spark, sf)
     return e.groupBy("PULocationID", trunc_time("pickup_datetime", "1d").alias("time_bucket")).agg(F.count("*").alias("n"))
 
 
@@ -225,7 +227,8 @@ register("half_hour_series",
          with_tables(B.EVENT_TRIPS, select="""SELECT VendorID, PULocationID, time_bucket(INTERVAL 30 MINUTE, pickup_datetime, TIMESTAMP '1970-01-01') AS pickup_interval,
            count(*) AS demand, avg(total_amount) AS mean_amount, round(stddev_samp(total_amount), 4) AS std_amount, avg(trip_distance) AS mean_distance
            FROM trips_e GROUP BY 1, 2, 3"""))
-register("dashboard_rollup", lambda s, d: A.dashboard_rollup(B.trips(s, d), "1995-01-01", "1999-12-31 23:59:59"),
+register("dashboard_rollup", lambda s, d: A.dashboard_rollup(B.trips(s, d)), with_tables(B.TRIPS, B.ROLLUP, select="SELECT * FROM rollup_"))
+register("dashboard_rollup_period", lambda s, d: A.dashboard_rollup(B.trips(s, d), "1995-01-01", "1999-12-31 23:59:59"),
          with_tables(B.TRIPS, B.ROLLUP, select="SELECT * FROM rollup_ WHERE pickup_datetime <= TIMESTAMP '1999-12-31 23:59:59'"))
 ALL_MEASURES = """CAST(sum("count") AS BIGINT) AS total_trips, CAST(sum(fare_amount) AS BIGINT) AS total_price,
   sum(fare_amount)::DOUBLE / sum("count") AS mean_price, CAST(sum(tip_amount) AS BIGINT) AS total_tip, sum(tip_amount)::DOUBLE / sum("count") AS mean_tip,
@@ -275,7 +278,9 @@ register("income_by_zone",
          lambda s, d: ST.income_by_zone(B.table(s, d, "orders").select((F.col("o_custkey") % 25).alias("locationid"), F.year("o_orderdate").alias("year"),
                                         F.col("o_totalprice").alias("median_income")), 1998),
          "SELECT o_custkey % 25 AS locationid, quantile_cont(o_totalprice, 0.5::DOUBLE) AS median_income FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1")
-register("mean_by_zone_hour", lambda s, d: A.mean_by_zone_hour(B.rollup(s, d), [6, 7]),
+register("mean_by_zone_hour", lambda s, d: A.mean_by_zone_hour(B.rollup(s, d)),
+         with_tables(B.TRIPS, B.ROLLUP, select="""SELECT PULocationID, CAST(hour(pickup_datetime) AS INTEGER) AS hour, avg("count") AS "count" FROM rollup_ GROUP BY 1, 2"""))
+register("mean_by_zone_hour_weekend", lambda s, d: A.mean_by_zone_hour(B.rollup(s, d), [6, 7]),
          with_tables(B.TRIPS, B.ROLLUP, select="""SELECT PULocationID, CAST(hour(pickup_datetime) AS INTEGER) AS hour, avg("count") AS "count" FROM rollup_
            WHERE isodow(pickup_datetime) IN (6, 7) GROUP BY 1, 2"""))
 register("od_matrix", lambda s, d: A.od_matrix(B.trips(s, d), B.lookup(s, d)),
@@ -367,6 +372,10 @@ register("value_bounds", lambda s, d: ST.value_bounds(B.event_trips(s, d), "tota
 register("normalise", lambda s, d: ST.normalise(B.event_trips(s, d).select("event_id", "total_amount"), "total_amount"),
          with_tables(B.EVENT_TRIPS, BOUNDS, select="""SELECT event_id, total_amount, CASE WHEN "min" = "max" THEN 0.5::DOUBLE WHEN total_amount >= "max" THEN 1.0::DOUBLE
            ELSE (total_amount - "min") / ("max" - "min") END AS normalised FROM trips_e, bounds_"""))
-register("density_histogram", lambda s, d: ST.density_histogram(B.event_trips(s, d), ["VendorID"], "total_amount", 0, 10000, 50),
-         with_tables(B.EVENT_TRIPS, select="""SELECT VendorID, CAST(floor(total_amount / 200.0::DOUBLE) AS INTEGER) AS bin, count(*) AS n,
-           count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY VendorID) AS share FROM trips_e WHERE total_amount < 10000 GROUP BY 1, 2"""))
+HISTOGRAM = """ends AS (SELECT min(total_amount)::DOUBLE AS lo, max(total_amount)::DOUBLE AS hi FROM trips_e)"""
+register("density_histogram", lambda s, d: ST.density_histogram(B.event_trips(s, d), ["VendorID"], "total_amount", 50),
+         with_tables(B.EVENT_TRIPS, HISTOGRAM, select="""SELECT VendorID, CAST(CASE WHEN total_amount = hi THEN 49 ELSE least(floor((total_amount - lo) * 50 / (hi - lo)), 49) END AS INTEGER) AS bin,
+           count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY VendorID) AS share FROM trips_e, ends GROUP BY 1, 2"""))
+register("density_histogram_range", lambda s, d: ST.density_histogram(B.event_trips(s, d), ["VendorID"], "total_amount", 50, 1000, 10000),
+         with_tables(B.EVENT_TRIPS, select="""SELECT VendorID, CAST(CASE WHEN total_amount < 1000 THEN -1 WHEN total_amount >= 10000 THEN 50 ELSE floor((total_amount - 1000) * 50 / 9000.0::DOUBLE) END AS INTEGER) AS bin,
+           count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY VendorID) AS share FROM trips_e GROUP BY 1, 2"""))

@@ -12,13 +12,8 @@ from kerbside.sources import readers as R
 from kerbside.sources import writers as W
 
 
-def _read_parquet(spark, sf):
-    df = R.read_parquet(spark, {f"{sf}/orders.parquet"}, "o_orderkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ")
-    return df.where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
-
-
-register("read_parquet", _read_parquet,
-         "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+register("read_parquet", lambda s, d: R.read_parquet(s, {f"{d}/orders.parquet"}, "o_orderkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ"),
+         "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
 
 
 def _csv_round_trip(spark, sf):
@@ -121,7 +116,7 @@ register("expected_months_vendors", _expected, with_tables(EXPECTED, select="SEL
 
 def _missing(spark, sf):
     status = F.col("o_orderstatus")
-    existing = B.table(spark, sf, "orders").where("o_totalprice > 498000").select(
+    existing = B.table(spark, sf, "orders").select(
         F.trunc("o_orderdate", "month").alias("month"),
         F.when(status == "F", "fhvhv").when(status == "O", "green").otherwise("yellow").alias("vendor"),
     )
@@ -129,22 +124,44 @@ def _missing(spark, sf):
 
 
 register("missing_partitions", _missing, with_tables(EXPECTED, """existing AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-  CASE o_orderstatus WHEN 'F' THEN 'fhvhv' WHEN 'O' THEN 'green' ELSE 'yellow' END AS vendor FROM orders
-  WHERE o_totalprice > 498000)""", select="SELECT * FROM expected ANTI JOIN existing USING (month, vendor)"))
+  CASE o_orderstatus WHEN 'F' THEN 'fhvhv' WHEN 'O' THEN 'green' ELSE 'yellow' END AS vendor FROM orders)""",
+  select="SELECT * FROM expected ANTI JOIN existing USING (month, vendor)"))
+
+
+def _by_month(spark, sf):
+    """All orders in one folder per vendor and month, <vendor>_<month>."""
+    path, status = scratch_dir(spark, "months"), F.col("o_orderstatus")
+    vendor = F.when(status == "F", "fhvhv").when(status == "O", "green").otherwise("yellow")
+    rows = B.table(spark, sf, "orders").withColumn("file", F.concat_ws("_", vendor, F.date_format("o_orderdate", "yyyy-MM")))
+    rows.repartition("file").write.partitionBy("file").parquet(path)
+    return spark.read.option("basePath", path).parquet(path)
 
 
-def _stored(spark, sf):
-    path = scratch_dir(spark, "months")
-    for month in ("1997-03", "1997-04"):
-        from kerbside.operators.prep import clip_to_month
+register("list_stored_months", lambda s, d: R.stored_partitions(_by_month(s, d)),
+         """SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CASE o_orderstatus WHEN 'F' THEN 'fhvhv' WHEN 'O' THEN 'green' ELSE 'yellow' END AS vendor FROM orders""")
+register("missing_stored_months", lambda s, d: R.missing_partitions(_expected(s, d), R.stored_partitions(_by_month(s, d))),
+         with_tables(EXPECTED, """existing AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+           CASE o_orderstatus WHEN 'F' THEN 'fhvhv' WHEN 'O' THEN 'green' ELSE 'yellow' END AS vendor FROM orders)""", select="SELECT * FROM expected ANTI JOIN existing USING (month, vendor)"))
 
-        W.write_parquet(clip_to_month(B.table(spark, sf, "orders"), month, "o_orderdate"), f"{path}/data/{month}")
-    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
-    return rows.groupBy(F.regexp_extract(F.input_file_name(), r"/data/(\d{4}-\d{2})/", 1).alias("month")).agg(F.count("*").alias("rows"))
+
+def _collection(spark, sf):
+    """The nations as one FeatureCollection document."""
+    x = F.col("n_nationkey").cast("double")
+    ring = F.array(F.array(x, x), F.array(x + 1, x), F.array(x + 1, x + 1), F.array(x, x + 1), F.array(x, x))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.col("n_nationkey").cast("string").alias("locationid"), F.col("n_name").alias("zone"), F.col("n_regionkey").cast("string").alias("borough")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+    )
+    path = scratch_dir(spark, "collection")
+    doc = B.table(spark, sf, "nation").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.sort_array(F.collect_list(feature)).alias("features"))).alias("value"))
+    doc.write.text(path)
+    return R.read_features(spark, path)
 
 
-register("list_stored_months", _stored, """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rows FROM orders
-  WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-05-01' GROUP BY 1""")
+register("read_feature_collection",
+         lambda s, d: _collection(s, d).select("locationid", "zone", "borough", F.size("polygons").alias("parts"), F.col("polygons")[0][0][2][0].alias("x_max")),
+         "SELECT CAST(n_nationkey AS INTEGER) AS locationid, n_name AS zone, CAST(n_regionkey AS VARCHAR) AS borough, 1 AS parts, n_nationkey::DOUBLE + 1 AS x_max FROM nation")
 
 
 def _parquet_round_trip(spark, sf):
@@ -214,18 +231,31 @@ register("preview", lambda s, d: R.preview(B.table(s, d, "events"), ["ts", "even
 register("row_count", lambda s, d: R.row_count(B.trips(s, d)), with_tables(B.TRIPS, select="SELECT count(*) AS rows FROM trips"))
 
 
-def _epoch_series(spark, sf):
+def _epoch_series(spark, sf, *keys):
     from kerbside.operators.refdata import epoch_series_to_daily
 
     points = B.table(spark, sf, "events").select(
-        "event_id", F.floor(elapsed_micros(F.lit("1970-01-01").cast("timestamp_ntz"), "ts") / 1000).alias("x"),
-        F.col("value").alias("y"),
+        *keys, F.floor(elapsed_micros(F.lit("1970-01-01").cast("timestamp_ntz"), "ts") / 1000).alias("x"), F.col("value").alias("y")
     )
-    return epoch_series_to_daily(points, ["event_id"])
+    return epoch_series_to_daily(points, keys)
+
+
+CEILED = """CAST(date_trunc('day', ms) + CASE WHEN ms > date_trunc('day', ms) THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS DATE) AS "Date",
+  value AS cnn_fear_index FROM (SELECT *, make_timestamp(epoch_ms(ts) * 1000) AS ms FROM events)"""
+register("epoch_series_to_daily", lambda s, d: _epoch_series(s, d, "event_id"), f"SELECT event_id, {CEILED}")
+
+
+def _epoch_filled(spark, sf):
+    """S16, then W22: many instants a day become one value for every day."""
+    from kerbside.operators.series import daily_ffill
+
+    return daily_ffill(_epoch_series(spark, sf, "event_type"), "Date", "cnn_fear_index", ["event_type"])
 
 
-register("epoch_series_to_daily", _epoch_series, """SELECT event_id, CAST(date_trunc('day', ms) + CASE WHEN ms > date_trunc('day', ms) THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS DATE) AS "Date",
-  value AS cnn_fear_index FROM (SELECT *, make_timestamp(epoch_ms(ts) * 1000) AS ms FROM events)""")
+register("epoch_series_filled", _epoch_filled, with_tables(f"points AS (SELECT event_type, {CEILED})",
+    """daily AS (SELECT event_type, "Date", max(cnn_fear_index) AS v FROM points GROUP BY 1, 2)""",
+    """span AS (SELECT event_type, CAST(unnest(generate_series(min("Date"), max("Date"), INTERVAL 1 DAY)) AS DATE) AS "Date" FROM daily GROUP BY 1)""",
+    select="""SELECT event_type, "Date", last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY "Date") AS cnn_fear_index FROM span LEFT JOIN daily USING (event_type, "Date")"""))
 register("extract_links", lambda s, d: R.extract_links(B.table(s, d, "pages")),
          """SELECT page_id, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS position, unnest(links) AS href
             FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages) WHERE len(links) > 0""")

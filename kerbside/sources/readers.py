@@ -78,11 +78,15 @@ def missing_partitions(expected: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def stored_partitions(df: DataFrame) -> DataFrame:
-    """(month, vendor) parsed from the file names '<vendor>_<YYYY-MM>...' of a table."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    """(month, vendor) of a table's files, from the last '<vendor>_<YYYY-MM>' in their paths.
+
+    Files may be named so, or lie in folders that are.
+    """
+    path = F.input_file_name()
+    named = r"([a-z]+)_(\d{4}-\d{2})(?!.*[a-z]_\d{4}-\d{2})"
     return df.select(
-        F.try_to_date(F.concat(F.regexp_extract(name, r"(\d{4}-\d{2})", 1), F.lit("-01")), "yyyy-MM-dd").alias("month"),
-        F.regexp_extract(name, r"^([a-z]+)_", 1).alias("vendor"),
+        F.try_to_date(F.concat(F.regexp_extract(path, named, 2), F.lit("-01")), "yyyy-MM-dd").alias("month"),
+        F.regexp_extract(path, named, 1).alias("vendor"),
     ).distinct()
 
 

@@ -1,6 +1,7 @@
 """Geography and order statistics against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -57,24 +58,90 @@ def test_bounds_and_flat_normalisation(spark):
     assert {r.normalised for r in flat.collect()} == {0.5}
 
 
+def test_order_statistics_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    groups = {"nan": [1.0, 2.0, 3.0, nan], "inf": [-inf, 1.0, 2.0, inf], "all nan": [nan, nan], "ties": [5.0] * 9 + [6.0], "one": [0.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("none", None)], "k STRING, v DOUBLE")
+    want = {r.k: list(r.q) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("q")).where("k != 'none'").collect()}
+    got = {r.k: [r.low, r.mid, r.high] for r in ST.quantiles(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 1.0}).collect()}
+    assert repr(sorted(got.items())) == repr(sorted(want.items()))
+    wide = {r.label: (r.total, r.low, r.mid, r.high) for r in ST.order_statistics(df, [], ["v"], {"low": ST.linear(0.0), "mid": ST.linear(0.25), "high": ST.linear(1.0)}).collect()}
+    assert wide["v"][0] == 21 and wide["v"][1] == -inf and math.isnan(wide["v"][3])
+
+
+def test_brackets_are_exact_beyond_the_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(ST, "BRACKETED", 50)
+    monkeypatch.setattr(ST, "ACCURACY", 60)
+    rng = random.Random(3)
+    rows = [("narrow", 40.7 + rng.random() * 1e-9) for _ in range(4000)] + [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(3000)] + [
+        ("ties", float(rng.randrange(3))) for _ in range(3000)] + [("ids", float(1_700_000_000 + i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE").repartition(4)
+    probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.77, "e": 1.0}
+    for r in ST.quantiles(df, ["k"], "v", probs).collect():
+        values = sorted(v for k, v in rows if k == r.k)
+        for name, p in probs.items():
+            at = p * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert r[name] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12)
+    big = spark.createDataFrame([(2**53 + i,) for i in range(0, 9, 2)], "v BIGINT")
+    assert ST.quantiles(big, [], "v", {"m": 0.5}).first().m == float(2**53 + 4)
+
+
+def test_histogram_leaves_nothing_out(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 50.0, None, float("nan"), float("inf"))], "v DOUBLE")
+    own = {r.bin: (r.n, r.share) for r in ST.density_histogram(df, [], "v", 7).collect()}
+    assert own == {0: (3, 0.6), 6: (1, 0.2), 7: (1, 0.2)}
+    given = {r.bin: r.n for r in ST.density_histogram(df, [], "v", 4, 2, 10).collect()}
+    assert given == {-1: 1, 0: 2, 4: 2}
+
+
 def test_box_whiskers_stay_inside_the_data(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)], "v DOUBLE")
     r = ST.box_stats(df, ["v"]).first()
     assert (r.q1, r.med, r.q3, r.whislo, r.whishi, r["max"]) == (2.0, 3.0, 4.0, 1.0, 7.0, 100.0)
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 5])
-def test_nearest_zones(spark, blocks):
-    zones, points = zone_table(60), [(i, la, lo) for i, la, lo in zone_table(25, 3)]
+@pytest.mark.parametrize("n", [3, 60, 900])
+def test_nearest_zones(spark, n):
+    zones, points = zone_table(n), [(i, la, lo) for i, la, lo in zone_table(25, 3)]
     df = GE.zone_knn(
         spark.createDataFrame(points, "start_id INT, lat DOUBLE, lon DOUBLE"),
-        spark.createDataFrame(zones, "zone INT, lat DOUBLE, lon DOUBLE"), 4, "start_id", blocks=blocks)
+        spark.createDataFrame(zones, "zone INT, lat DOUBLE, lon DOUBLE"), 4)
     got = {r.start_id: [z.zone for z in r.near] for r in df.collect()}
     for i, la, lo in points:
         want = sorted(zones, key=lambda z: haversine((la, lo), z[1:]))[:4]
         assert got[i] == [z[0] for z in want]
 
 
+def test_nearest_zones_of_repeated_and_missing_places(spark):
+    zones = [(4_000_000_000, 40.0, -74.0), (5, 40.2, -74.0), (6, None, -74.0), (None, 40.0, -74.0), (7, 40.0, 179.99), (8, 40.0, -179.99)]
+    points = [(1, 40.19, -74.0), (1, 40.01, -74.0), (2, None, -74.0), (3, 40.0, float("nan")), (None, 40.0, 179.999), (4, 40.11, -74.0)]
+    df = GE.zone_knn(spark.createDataFrame(points, "start_id INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(zones, "zone BIGINT, lat DOUBLE, lon DOUBLE"), 2)
+    got = sorted(((r.start_id or 0, [z.zone for z in r.near]) for r in df.collect()), key=lambda r: (r[0], r[1][:1]))
+    assert got == [(0, [7, 8]), (1, [5, 4_000_000_000]), (1, [4_000_000_000, 5]), (2, []), (3, []), (4, [5, 4_000_000_000])]
+    none = spark.createDataFrame([], "zone BIGINT, lat DOUBLE, lon DOUBLE")
+    assert {tuple(r.near) for r in GE.zone_knn(spark.createDataFrame(points, "start_id INT, lat DOUBLE, lon DOUBLE"), none, 2).collect()} == {()}
+
+
+def test_candidates_do_not_grow_with_the_zones(spark):
+    per_place = {}
+    for side in (20, 80):
+        zones = [(i * side + j, 40 + 0.01 * i, -74 + 0.01 * j) for i in range(side) for j in range(side)]
+        places = [(40.003 + 0.01 * i, -73.996 + 0.01 * i) for i in range(0, side, 2)]
+        met = GE.candidates(spark.createDataFrame(places, "lat DOUBLE, lon DOUBLE"), spark.createDataFrame(zones, "zone INT, lat DOUBLE, lon DOUBLE"), 5)
+        per_place[side] = met.count() / len(places)
+    assert per_place[80] < 2 * per_place[20] and per_place[80] < 1000
+
+
+def test_routes_with_large_zone_ids(spark):
+    zones = [(3_000_000_000 + i, 40 + 0.01 * i, -74.0) for i in range(4)]
+    df = GE.greedy_routes(
+        spark.createDataFrame([(1, 40.0, -74.0), (2, None, None)], "start_id INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(zones, "zone BIGINT, lat DOUBLE, lon DOUBLE"),
+        spark.createDataFrame([(3_000_000_002, 5)], "PULocationID BIGINT, total_trips BIGINT"))
+    got = {r.start_id: list(r.route) for r in df.collect()}
+    assert sorted(got[1]) == [z for z, _, _ in zones] and got[2] == []
+
+
 def walk(start, zones, trips, stops, k=20, eps=1e-4, limit=None):
     """The route one stop at a time, for comparison."""
     where = {z: (la, lo) for z, la, lo in zones}

@@ -5,10 +5,11 @@ import pytest
 from harness import compare, connect
 
 import __spark_entry__ as entry
+from kerbside.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-MODELS = [name for name in entry.queries() if name not in ORACLES]
+MODELS = [name for name in QUERIES if name not in ORACLES]
 
 
 @pytest.fixture(scope="module")
