@@ -21,13 +21,16 @@ def one_hot(df: DataFrame, col: str, values: Sequence, drop_first: bool = False)
 
 
 def minmax_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Scale columns to [0, 1] over the whole table; flat columns become 0."""
+    """Scale columns to [0, 1] over the whole table; flat columns become 0.
+
+    The ends of all columns come from one aggregate.
+    """
+    ends = df.agg(F.struct(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("low", F.min), ("high", F.max))])).scalar()
     out = {}
-    for c in cols:
-        ends = df.agg(F.struct(F.min(c).alias("low"), F.max(c).alias("high"))).scalar()
-        low, high = ends["low"], ends["high"]
+    for i, c in enumerate(cols):
+        low, high = F.col("_ends")[f"low_{i}"], F.col("_ends")[f"high_{i}"]
         out[c] = F.when(high == low, F.lit(0.0)).otherwise(F.try_divide(F.col(c) - low, high - low))
-    return df.withColumns(out)
+    return df.withColumn("_ends", ends).withColumns(out).drop("_ends")
 
 
 def label_codes(df: DataFrame, col: str, name: str) -> DataFrame:

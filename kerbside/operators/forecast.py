@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +17,7 @@ from kerbside.operators.grid import complete_spine
 from kerbside.operators.lookup import route_to_segment
 from kerbside.operators.series import by_series, fill_static
 from kerbside.operators.stats import quantiles
+from kerbside.scratch import cut_lineage
 
 KEYS = ["VendorID", "PULocationID"]
 Z80 = 1.28
@@ -38,8 +40,8 @@ def recent_history(
 def seasonal_naive(history: DataFrame, horizon: int = 24, value: str = "demand", name: str = "demand", keys=KEYS) -> DataFrame:
     """Repeat the last 24 values; the band is 1.28 deviations of the history wide, p10 at least 0.
 
-    history has no gaps. Every one of the last 24 rows fans out to the steps it
-    predicts, so nothing is joined.
+    history has no gaps; one of fewer than 24 rows repeats what it has. Every row
+    fans out to the steps it predicts, so nothing is joined.
     """
     w = Window.partitionBy(*keys)
     rows = history.withColumns(
@@ -47,12 +49,12 @@ def seasonal_naive(history: DataFrame, horizon: int = 24, value: str = "demand",
             "_back": F.row_number().over(w.orderBy(F.desc("timestamp"))),
             "_last": F.max("timestamp").over(w),
             "_band": F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)) * Z80,
+            "_period": F.least(F.count(F.lit(1)).over(w), F.lit(24)).cast("int"),
         }
-    ).where(F.col("_back") <= 24)
-    first_step = 25 - F.col("_back")
-    steps = rows.withColumn("_step", F.explode(F.sequence(first_step, F.lit(horizon), F.lit(24)))) if horizon >= 24 else (
-        rows.withColumn("_step", first_step).where(F.col("_step") <= horizon)
-    )
+    ).where(F.col("_back") <= F.col("_period"))
+    first = F.col("_period") + 1 - F.col("_back")
+    repeats = F.when(first <= horizon, F.sequence(first, F.lit(horizon), F.col("_period")))
+    steps = rows.withColumn("_step", F.explode(repeats))
     mid = F.col(value).cast("double")
     return steps.select(
         *keys,
@@ -96,27 +98,85 @@ def sample_quantiles(samples: DataFrame, value: str, name: str, keys=("Series_ID
     return quantiles(samples, keys, value, {f"pred_{name}_{p}": q for p, q in LEVELS.items()}).drop("total")
 
 
+SLOT = ("_dow", "_hour")
+
+
+def with_profile(rows: DataFrame, history: DataFrame, targets: dict[str, str], keys=KEYS) -> DataFrame:
+    """pred_<name>_p10 / p50 / p90 of the value columns at each row's time, never empty where there is any value.
+
+    The quantiles are those of the series at the row's hour of the week; where it has no
+    value then, those of the hour of the day, then of the whole series, then of all series.
+    targets maps output names to value columns.
+    """
+    levels = F.array(*[F.lit(q) for q in LEVELS.values()])
+    slots = {"_dow": iso_weekday("timestamp"), "_hour": F.hour("timestamp")}
+    past, out = history.withColumns(slots), rows.withColumns(slots)
+    chain: dict[str, list[Column]] = {name: [] for name in targets}
+    for step_, by in enumerate(([*keys, *SLOT], [*keys, "_hour"], [*keys])):
+        named = {c: f"_{step_}{c}" for c in by}
+        profile = past.groupBy(*by).agg(*[F.percentile(v, levels).alias(f"_{step_}_{name}") for name, v in targets.items()])
+        on = F.lit(True)
+        for c, n in named.items():
+            on = on & F.col(c).eqNullSafe(F.col(n))
+        out = out.join(profile.withColumnsRenamed(named), on, "left")
+        for name in targets:
+            chain[name].append(F.col(f"_{step_}_{name}"))
+    overall = history.agg(F.struct(*[F.percentile(v, levels).alias(name) for name, v in targets.items()])).scalar()
+    picked = [F.coalesce(*c, overall[t])[i].alias(f"pred_{t}_{p}") for t, c in chain.items() for i, p in enumerate(LEVELS)]
+    return out.select(*rows.columns, *picked)
+
+
+# History that the model of a segment learns from, in hours: all, or the newest ones.
+SEGMENT_HISTORY = {"LOW": None, "MID": None, "HIGH": 28 * 24}
+
+
 def forecast(series: DataFrame, router: DataFrame, horizon: int = 24) -> DataFrame:
-    """Demand, amount and distance quantiles of the next hours, ready to publish.
+    """Demand, amount and distance quantiles of the next hours of every series, ready to publish.
+
+    All series are forecast from the newest hour of the table on; hours without a row have no
+    demand, also at the end of a series that has fallen silent. Demand by segment: BASELINE
+    repeats yesterday's; LOW has the quantiles of the hour of the day, MID those of
+    the hour of the week, HIGH those of the hour of the week in the last four weeks. Amount and distance have those of the
+    hours with trips: at the hour of the week, else the hour of the day, else of the
+    whole series, else of all series.
 
-    BASELINE series repeat yesterday's demand, the others use their hour-of-week
-    profile; amount and distance always use the profile.
+    The series are checkpointed (one row per series and hour), so the trips are read once.
     """
-    keyed = route_to_segment(series.withColumn("Series_ID", series_key("VendorID", "PULocationID")), router)
+    series = cut_lineage(series)
     newest = series.agg(F.max("timestamp")).scalar()
-    routed = keyed.withColumn("_naive", F.col("segment") == "BASELINE").drop("Series_ID", "segment")
-    demand_rows = routed.select(*KEYS, "timestamp", "demand", "_naive")
-    naive = seasonal_naive(recent_history(demand_rows.where("_naive").drop("_naive"), newest=newest), horizon)
-    # every series ends at the newest hour of the table, with zero demand if it is silent
-    anchored = complete_spine(
-        routed.where(~F.col("_naive")).select(*KEYS, "timestamp", "demand"), KEYS, "timestamp", "1h", "global", end=newest
-    ).fillna(0, subset=["demand"])
-    profile = empirical_quantile_forecast(anchored, horizon)
-    demand = naive.unionByName(profile)
-    full = hour_of_week_quantiles(demand, series, {"amount": "avg_amount", "distance": "avg_distance"})
+    keyed = series.withColumn("Series_ID", series_key("VendorID", "PULocationID"))
+    routes = route_to_segment(keyed.select(*KEYS, "Series_ID").distinct(), router).select(*KEYS, "segment")
+    hours = complete_spine(series.select(*KEYS, "timestamp", "demand"), KEYS, "timestamp", "1h", "global", end=newest)
+    routed = hours.fillna(0, subset=["demand"]).join(routes, KEYS)
+    naive = seasonal_naive(
+        routed.where((F.col("segment") == "BASELINE") & (F.col("timestamp") > newest - step(72 * 3600))).drop("segment"), horizon
+    )
+    parts = [naive]
+    for segment, recent in SEGMENT_HISTORY.items():
+        past = routed.where(F.col("segment") == segment)
+        if recent is not None:
+            past = past.where(F.col("timestamp") > newest - step(recent * 3600))
+        ahead = horizon_rows(past, horizon)
+        if segment == "LOW":
+            # one profile of the day for all weekdays
+            parts.append(hour_of_day_quantiles(ahead, past))
+        else:
+            parts.append(with_profile(ahead, past, {"demand": "demand"}))
+    demand = reduce(DataFrame.unionByName, parts)
+    full = with_profile(demand, series, {"amount": "avg_amount", "distance": "avg_distance"})
     return clean_forecast(full.withColumn("Series_ID", series_key("VendorID", "PULocationID")), ["demand", "amount", "distance"])
 
 
+def hour_of_day_quantiles(rows: DataFrame, history: DataFrame, value: str = "demand", name: str = "demand", keys=KEYS) -> DataFrame:
+    """pred_<name>_p10 / p50 / p90 of history's values at the hour of the given rows, else of the series."""
+    levels = F.array(*[F.lit(q) for q in LEVELS.values()])
+    by_hour = history.groupBy(*keys, F.hour("timestamp").alias("_hour")).agg(F.percentile(value, levels).alias("_at_hour"))
+    whole = history.groupBy(*keys).agg(F.percentile(value, levels).alias("_ever"))
+    at = rows.withColumn("_hour", F.hour("timestamp")).join(by_hour, [*keys, "_hour"], "left").join(whole, list(keys), "left")
+    q = F.coalesce("_at_hour", "_ever")
+    return at.select(*rows.columns, *[q[i].alias(f"pred_{name}_{p}") for i, p in enumerate(LEVELS)])
+
+
 def lag_features_for_regression(series: DataFrame, lags: int = 5, value: str = "demand", keys=KEYS) -> DataFrame:
     w = by_series(keys)
     hour_sin, hour_cos = cyclic(F.hour("timestamp"), 24)

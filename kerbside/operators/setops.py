@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from kerbside.functions.maths import map_values
+from kerbside.functions.time import ntz
 from kerbside.operators.prep import city_trips
 from kerbside.operators.series import continuity_check, first_per_zone
+from kerbside.scratch import cut_lineage
 
 
 def merge_months(frames: Sequence[DataFrame], schema=None) -> DataFrame:
@@ -62,14 +64,18 @@ def balanced_sample(
     keys: Sequence[str],
     order: Sequence[str],
     zones: tuple[int, int] = (1, 263),
+    since=None,
+    ts: str = "pickup_datetime",
 ) -> DataFrame:
     """Per vendor (payment type, percent): a sample plus each zone's first trip.
 
-    All vendors are sampled in one pass, with the vendor's own percentage. Like SQL
-    UNION this merges equal rows; keep a row id among the columns to avoid that.
+    All vendors are sampled in one pass, with the vendor's own percentage; trips before
+    ``since`` don't count. Like SQL UNION this merges equal rows; keep a row id among the
+    columns to avoid that. The trips that count are checkpointed, so the table is read once.
     """
     paid = map_values("VendorID", {v: payment for v, (payment, _) in shares.items()}, None)
     percent = map_values("VendorID", {v: share for v, (_, share) in shares.items()}, 0)
-    base = city_trips(trips, *zones).where(F.col("payment_type") == paid)
+    counted = trips if since is None else trips.where(F.col(ts) >= ntz(since))
+    base = cut_lineage(city_trips(counted, *zones).where(F.col("payment_type") == paid))
     sampled = base.where(hash_bucket(keys) < percent)
     return union_distinct(sampled, first_per_zone(base, order, ["VendorID", "PULocationID"]))

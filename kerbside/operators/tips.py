@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +16,7 @@ from kerbside.functions.maths import bearing_deg, landmark_distances, manhattan_
 from kerbside.functions.time import fractional_hour, iso_weekday, ntz
 from kerbside.operators.lookup import with_daily_sun, with_fallback, with_hourly_climate, with_od_centroids
 from kerbside.operators.prep import has_tip, tipped
+from kerbside.scratch import cut_lineage
 
 ROUTE = ["PULocationID", "DOLocationID", "VendorID"]
 
@@ -86,26 +87,32 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
 
-def tip_tweedie(train: DataFrame, features: Sequence[str], power: float = 1.55, label: str = "tip_amount"):
-    """Tweedie regression with log link, a fitted pipeline with output ``pred_tweedie``."""
-    glm = GeneralizedLinearRegression(
+def _training_rows(train: DataFrame, features: Sequence[str], *labels: str) -> DataFrame:
+    """Assembled rows in the shared folder, as narrow as the fit needs: its passes read these instead of the trips."""
+    return cut_lineage(_assembler(features).transform(train).select("features", *labels))
+
+
+def _tweedie(rows: DataFrame, power: float, label: str):
+    return GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, labelCol=label,
         featuresCol="features", predictionCol="pred_tweedie", maxIter=25,
-    )
-    return Pipeline(stages=[_assembler(features), glm]).fit(train)
+    ).fit(rows)
+
+
+def tip_tweedie(train: DataFrame, features: Sequence[str], power: float = 1.55, label: str = "tip_amount"):
+    """Tweedie regression with log link, a fitted pipeline with output ``pred_tweedie``."""
+    return PipelineModel([_assembler(features), _tweedie(_training_rows(train, features, label), power, label)])
 
 
 def tip_hurdle(train: DataFrame, features: Sequence[str]):
-    """Two fitted parts: P(tip > 0), and the amount among tipped trips."""
-    gate = Pipeline(
-        stages=[
-            _assembler(features),
-            LogisticRegression(labelCol="has_tip", featuresCol="features", probabilityCol="gate_probability",
-                               rawPredictionCol="gate_raw", predictionCol="gate_class", maxIter=25),
-        ]
-    ).fit(has_tip(train))
-    amount = tip_tweedie(tipped(train), features)
-    return gate, amount
+    """Two fitted parts: P(tip > 0), and the amount among tipped trips. The training trips are read once."""
+    rows = _training_rows(has_tip(train), features, "has_tip", "tip_amount", "fare_amount")
+    gate = LogisticRegression(
+        labelCol="has_tip", featuresCol="features", probabilityCol="gate_probability",
+        rawPredictionCol="gate_raw", predictionCol="gate_class", maxIter=25,
+    ).fit(rows)
+    assembler = _assembler(features)
+    return PipelineModel([assembler, gate]), PipelineModel([assembler, _tweedie(tipped(rows), 1.55, "tip_amount")])
 
 
 def score_hurdle(models, df: DataFrame) -> DataFrame:

@@ -95,7 +95,30 @@ def _tweedie(s, d):
     return TP.tip_tweedie(rows.where("part = 'train'"), TIP_INPUTS).transform(rows.where("part = 'test'")).drop("features")
 
 
-register("tip_tweedie", _tweedie)
+register("tip_tweedie_rows", _tweedie)
+N_PARTS = f"""n AS (SELECT count(*) FILTER ({PART} = 'train') AS fitted, count(*) FILTER ({PART} = 'test') AS scored FROM trips)"""
+
+
+def _equations(rows, weight, observed, expected):
+    """Per input: sum of weight * expected * input over sum of weight * observed * input; 1 where the fit's equations hold."""
+    inputs = {"one": F.lit(1.0), **{c: F.col(c).cast("double") for c in TIP_INPUTS}}
+    return [F.round(F.sum(weight * expected * x) / F.sum(weight * observed * x), 3).alias(f"eq_{n}") for n, x in inputs.items()]
+
+
+EQUATIONS = ", ".join(f"1.0::DOUBLE AS eq_{n}" for n in ("one", *TIP_INPUTS))
+
+
+def _tweedie_equations(s, d):
+    """The score equations of the fit over its training rows, and the number of rows scored."""
+    rows = _tip_train(s, d)
+    model = TP.tip_tweedie(rows.where("part = 'train'"), TIP_INPUTS)
+    scored = model.transform(rows).select("part", "tip_amount", "pred_tweedie", *TIP_INPUTS)
+    fitted, mu = scored.where("part = 'train'"), F.col("pred_tweedie")
+    sums = fitted.agg(F.count("*").alias("fitted"), *_equations(fitted, mu ** (1 - 1.55), F.col("tip_amount"), mu))
+    return sums.withColumn("scored", scored.where((F.col("part") == "test") & (mu > 0)).agg(F.count("*")).scalar())
+
+
+register("tip_tweedie", _tweedie_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, scored FROM n"))
 
 
 def _hurdle(s, d):
@@ -104,8 +127,37 @@ def _hurdle(s, d):
     return TP.mixed_prediction(scored.join(TP.tip_probability(rows.where("part = 'train'")), "VendorID", "left"))
 
 
-register("tip_hurdle", _hurdle)
-register("gaussian_mixture_tips", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
+register("tip_hurdle_rows", _hurdle)
+
+
+def _hurdle_equations(s, d):
+    """Both parts' equations over the training rows, and how the parts combine in the rows scored."""
+    rows = _tip_train(s, d)
+    models = TP.tip_hurdle(rows.where("part = 'train'"), TIP_INPUTS)
+    scored = TP.score_hurdle(models, rows)
+    fitted, tested = scored.where("part = 'train'"), scored.where("part = 'test'")
+    gate = fitted.agg(F.count("*").alias("fitted"), *_equations(fitted, F.lit(1.0), F.when(F.col("tip_amount") > 0, 1.0).otherwise(0.0), F.col("p_tip")))
+    mu = F.col("amount_given_tip")
+    paid = fitted.where((F.col("tip_amount") > 0) & (F.col("fare_amount") > 0))
+    amount = paid.agg(F.struct(*_equations(paid, mu ** (1 - 1.55), F.col("tip_amount"), mu))).scalar()
+    together = tested.agg(F.count_if(F.abs(F.col("pred_hurdle") - F.col("p_tip") * mu) < 1e-9)).scalar()
+    return gate.withColumns({f"amount_{n}": amount[f"eq_{n}"] for n in ("one", *TIP_INPUTS)} | {"scored": together})
+
+
+register("tip_hurdle", _hurdle_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, " + ", ".join(f"1.0::DOUBLE AS amount_{n}" for n in ("one", *TIP_INPUTS)) + ", scored FROM n"))
+register("gaussian_mixture_rows", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
+
+
+def _mixture_moments(s, d):
+    """The mixture's total weight, mean and second moment, which are the sample's."""
+    m, v = F.col("mean"), F.col("std") * F.col("std")
+    return TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)).agg(
+        F.count("*").alias("components"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.sum(F.col("weight") * m), 3).alias("mean"),
+        F.round(F.sum(F.col("weight") * (v + m * m)) / F.sum(F.col("weight") * m), 2).alias("spread"))
+
+
+register("gaussian_mixture_tips", _mixture_moments, with_tables(B.TRIPS, select="""SELECT 3::BIGINT AS components, 1.0::DOUBLE AS weight, round(avg(tip_amount / 100.0::DOUBLE), 3) AS mean,
+  round(avg((tip_amount / 100.0::DOUBLE) * (tip_amount / 100.0::DOUBLE)) / avg(tip_amount / 100.0::DOUBLE), 2) AS spread FROM trips"""))
 
 # --- segments ------------------------------------------------------------------------------
 
@@ -131,9 +183,82 @@ def _dense_features(s, d):
     return A.series_features(months.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours)))
 
 
-register("segment_series", lambda s, d: SG.segment_series(_dense_features(s, d)).select("Series_ID", "mean_real", "segment"))
-register("segment_by_volume", lambda s, d: SG.segment_by_volume(daily_series(s, d)))
-register("classify_demand", lambda s, d: SG.classify_demand(B.rollup(s, d), "1995-01-01", "2002-01-01", 8, days=[1, 2, 3, 4, 5]))
+register("segment_series_rows", lambda s, d: SG.segment_series(_dense_features(s, d)).select("Series_ID", "mean_real", "segment"))
+register("segment_by_volume_rows", lambda s, d: SG.segment_by_volume(daily_series(s, d)))
+register("classify_demand_rows", lambda s, d: SG.classify_demand(B.rollup(s, d), "1995-01-01", "2002-01-01", 8, days=[1, 2, 3, 4, 5]))
+
+
+def _strays(labelled, label, cols, labels):
+    """Number of rows that are nearer to the mean of another label's rows than to their own's."""
+    spread = labelled.agg(F.struct(*[F.stddev_samp(c).alias(c) for c in cols])).scalar()
+    means = labelled.groupBy(F.col(label).alias("_of")).agg(*[F.avg(c).alias(c) for c in cols])
+    packed = means.agg(F.collect_list(F.struct("_of", *cols))).scalar()  # a row for each label
+    rows = labelled.withColumn("_means", packed)
+    far = lambda m: sum((F.coalesce(F.try_divide(F.col(c) - m[c], F.col("_spread")[c]), F.lit(0.0)) ** 2 for c in cols), F.lit(0.0))
+    nearest = F.array_min(F.transform("_means", lambda m: F.struct(far(m).alias("far"), m["_of"].alias("of"))))
+    return rows.withColumn("_spread", spread).withColumn("_nearest", nearest["of"]).agg(F.count_if(F.col("_nearest") != F.col(label))).scalar()
+
+
+def _in_order(labelled, label, value, labels):
+    """Whether the means of the labels' rows rise in the order of the labels."""
+    means = [F.avg(F.when(F.col(label) == n, F.col(value))) for n in labels]
+    rising = F.lit(True)
+    for low, high in zip(means, means[1:]):
+        rising = rising & F.coalesce(low < high, F.lit(False))
+    return rising.alias("in_order")
+
+
+def _segments(s, d):
+    """How many series the rule takes, and that the others lie in the cluster of their own centre."""
+    found = SG.segment_series(_dense_features(s, d))
+    rest = found.where("segment <> 'BASELINE'")
+    counts = found.agg(F.count("*").alias("series"), F.count_if(F.col("segment") == "BASELINE").alias("baseline"), _in_order(found, "segment", "mean_real", SG.LEVELS))
+    return counts.withColumn("strays", _strays(rest, "segment", ["mean_real", "cv", "weekend_ratio"], SG.LEVELS))
+
+
+MONTHLY = """keyed AS (SELECT VendorID || '_' || PULocationID AS Series_ID, TIMESTAMP '2024-01-01' + to_hours(CAST(datediff('month', DATE '1995-01-01', m) AS INTEGER)) AS "timestamp", demand
+  FROM (SELECT VendorID, PULocationID, date_trunc('month', pickup_datetime) AS m, count(*) AS demand FROM trips GROUP BY 1, 2, 3))"""
+register("segment_series", _segments, with_tables(B.TRIPS, MONTHLY, FEATURES, select="""SELECT count(*) AS series, count(*) FILTER ((adi > 1.5 AND cv2 > 0.5) OR mean_real < 0.5) AS baseline,
+  true AS in_order, 0::BIGINT AS strays FROM features"""))
+
+
+def _volumes(s, d):
+    found = SG.segment_by_volume(daily_series(s, d))
+    counts = found.agg(F.count("*").alias("series"), F.round(F.sum("mean_demand"), 6).alias("volume"), _in_order(found, "segment", "mean_demand", SG.LEVELS))
+    return counts.withColumn("strays", _strays(found, "segment", ["mean_demand"], SG.LEVELS))
+
+
+register("segment_by_volume", _volumes, with_tables(B.TRIPS, MONTHLY, select="""SELECT count(*) AS series, round(sum(v), 6) AS volume, true AS in_order, 0::BIGINT AS strays
+  FROM (SELECT Series_ID, avg(demand) AS v FROM keyed GROUP BY 1)"""))
+
+
+def _demand_classes(s, d):
+    """Every zone's class at eight o'clock: all zones, and no smaller demand in a higher class."""
+    rollup = B.rollup(s, d)
+    found = SG.classify_demand(rollup, "1995-01-01", "2002-01-01", 8)
+    at = A.mean_by_zone_hour(rollup).where("hour = 8").select("PULocationID", F.col("count").alias("n"))
+    top = lambda c: F.max(F.when(F.col("demand_class") == c, F.col("n")))
+    low = lambda *c: F.min(F.when(F.col("demand_class").isin(*c), F.col("n")))
+    ranked = F.coalesce(top("low") <= low("medium", "high"), F.lit(True)) & F.coalesce(top("medium") <= low("high"), F.lit(True))
+    return found.join(at, "PULocationID").agg(F.count("*").alias("zones"), F.round(F.sum("n"), 6).alias("demand"), ranked.alias("ranked"))
+
+
+register("classify_demand", _demand_classes, with_tables(B.TRIPS, B.ROLLUP, select="""SELECT count(*) AS zones, round(sum(n), 6) AS demand, true AS ranked FROM (
+  SELECT PULocationID, avg("count") AS n FROM rollup_ WHERE hour(pickup_datetime) = 8 GROUP BY 1)"""))
+
+
+def _ordered_clusters(s, d):
+    """Vendors as clusters, labelled by their mean amount."""
+    from kerbside.functions.maths import map_values
+
+    trips = B.event_trips(s, d)
+    centres = [r.m for r in trips.groupBy("VendorID").agg(F.avg("total_amount").alias("m")).orderBy("VendorID").collect()]
+    names = SG.order_clusters(centres, ["A", "B", "C", "D", "E"])
+    return trips.groupBy("VendorID").agg(F.count("*").alias("n")).withColumn("label", map_values("VendorID", names, None))
+
+
+register("order_clusters", _ordered_clusters, with_tables(B.EVENT_TRIPS, select="""SELECT VendorID, n, ['A', 'B', 'C', 'D', 'E'][row_number() OVER (ORDER BY m)] AS label
+  FROM (SELECT VendorID, count(*) AS n, avg(total_amount) AS m FROM trips_e GROUP BY 1)"""))
 
 # --- forecasts ---------------------------------------------------------------------------------
 
@@ -177,29 +302,48 @@ register("sample_quantiles",
 
 
 def _forecast(s, d):
-    router = B.keyed_series(s, d).groupBy("Series_ID").agg(F.sum("demand").alias("n")).where("n >= 80").select("Series_ID", F.lit("MID").alias("segment"))
+    n = F.sum("demand")
+    segment = F.when(n >= 90, "HIGH").when(n >= 80, "MID").when(n >= 70, "LOW")
+    router = B.keyed_series(s, d).groupBy("Series_ID").agg(segment.alias("segment")).where("segment is not null")
     return FC.forecast(B.series(s, d), router)
 
 
 PUBLISHED = ", ".join(
-    f"CASE WHEN pred_{t}_{q} IS NOT NULL THEN greatest(round_even(pred_{t}_{q}, {n}), 0) END AS pred_{t}_{q}"
+    f"greatest(round_even(pred_{t}_{q}, {n}), 0) AS pred_{t}_{q}"
     for t, n in (("demand", 0), ("amount", 2), ("distance", 2)) for q in ("p10", "p50", "p90")
 )
+def quants(value):
+    return f"quantile_cont({value}::DOUBLE, [0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE])"
+
+
+SAME = "{0}.VendorID = {1}.VendorID AND {0}.PULocationID = {1}.PULocationID"
 register("forecast", _forecast, with_tables(
-    *E, HISTORY, NAIVE.format(last=0), B.FULL_GLOBAL,
-    """routed AS (SELECT VendorID, PULocationID, sum(demand) >= 80 AS modelled FROM series GROUP BY 1, 2)""",
-    """anchored AS (SELECT g.VendorID, g.PULocationID, g."timestamp", coalesce(g.demand, 0) AS demand FROM full_g g JOIN routed r ON r.VendorID = g.VendorID AND r.PULocationID = g.PULocationID AND modelled
-         WHERE g."timestamp" >= (SELECT min("timestamp") FROM series s JOIN routed q ON s.VendorID = q.VendorID AND s.PULocationID = q.PULocationID AND modelled))""",
-    f"""prof AS (SELECT VendorID, PULocationID, isodow("timestamp") AS w, hour("timestamp") AS h, {quant_sql('demand', 'demand')} FROM anchored GROUP BY 1, 2, 3, 4)""",
-    f"""others AS (SELECT VendorID, PULocationID, isodow("timestamp") AS w, hour("timestamp") AS h, {quant_sql('avg_amount', 'amount')}, {quant_sql('avg_distance', 'distance')} FROM series GROUP BY 1, 2, 3, 4)""",
-    """ahead AS (SELECT VendorID, PULocationID, unnest(generate_series((SELECT max("timestamp") FROM series) + INTERVAL 1 HOUR, (SELECT max("timestamp") FROM series) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS "timestamp"
-         FROM routed WHERE modelled)""",
-    """demand AS (SELECT a.VendorID, a.PULocationID, a."timestamp", pred_demand_p10, pred_demand_p50, pred_demand_p90 FROM ahead a LEFT JOIN prof p
-         ON a.VendorID = p.VendorID AND a.PULocationID = p.PULocationID AND isodow(a."timestamp") = w AND hour(a."timestamp") = h
-       UNION ALL SELECT n.VendorID, n.PULocationID, n."timestamp", pred_demand_p10, pred_demand_p50, pred_demand_p90 FROM naive n JOIN routed r
-         ON n.VendorID = r.VendorID AND n.PULocationID = r.PULocationID AND NOT modelled)""",
-    select=f"""SELECT d.VendorID, d.PULocationID, d."timestamp", d.VendorID || '_' || d.PULocationID AS Series_ID, {PUBLISHED} FROM demand d LEFT JOIN others o
-      ON d.VendorID = o.VendorID AND d.PULocationID = o.PULocationID AND isodow(d."timestamp") = w AND hour(d."timestamp") = h"""))
+    *E, B.FULL_GLOBAL,
+    """routed AS (SELECT VendorID, PULocationID, CASE WHEN sum(demand) >= 90 THEN 'HIGH' WHEN sum(demand) >= 80 THEN 'MID' WHEN sum(demand) >= 70 THEN 'LOW' ELSE 'BASELINE' END AS segment
+         FROM series GROUP BY 1, 2)""",
+    """newest AS (SELECT max("timestamp") AS t FROM series)""",
+    f"""hours AS (SELECT g.VendorID, g.PULocationID, g."timestamp", coalesce(g.demand, 0) AS demand, segment FROM full_g g JOIN routed r ON {SAME.format('g', 'r')})""",
+    """history AS (SELECT * FROM hours, newest WHERE segment = 'BASELINE' AND "timestamp" > t - INTERVAL 72 HOUR)""",
+    NAIVE.format(last=0).replace("(SELECT max(\"timestamp\") FROM series)", "(SELECT t FROM newest)"),
+    """past AS (SELECT * FROM hours, newest WHERE segment IN ('LOW', 'MID') OR (segment = 'HIGH' AND "timestamp" > t - INTERVAL 672 HOUR))""",
+    f"""of_week AS (SELECT VendorID, PULocationID, isodow("timestamp") AS w, hour("timestamp") AS h, {quants('demand')} AS q FROM past WHERE segment <> 'LOW' GROUP BY 1, 2, 3, 4)""",
+    f"""of_day AS (SELECT VendorID, PULocationID, hour("timestamp") AS h, {quants('demand')} AS q FROM past GROUP BY 1, 2, 3)""",
+    f"""ever AS (SELECT VendorID, PULocationID, {quants('demand')} AS q FROM past GROUP BY 1, 2)""",
+    """ahead AS (SELECT VendorID, PULocationID, unnest(generate_series(t + INTERVAL 1 HOUR, t + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS "timestamp" FROM routed, newest WHERE segment <> 'BASELINE')""",
+    f"""modelled AS (SELECT a.*, coalesce(o.q, y.q, e.q) AS q FROM ahead a
+         LEFT JOIN of_week o ON {SAME.format('a', 'o')} AND isodow(a."timestamp") = o.w AND hour(a."timestamp") = o.h
+         LEFT JOIN of_day y ON {SAME.format('a', 'y')} AND hour(a."timestamp") = y.h LEFT JOIN ever e ON {SAME.format('a', 'e')})""",
+    """demand AS (SELECT VendorID, PULocationID, "timestamp", q[1] AS pred_demand_p10, q[2] AS pred_demand_p50, q[3] AS pred_demand_p90 FROM modelled
+         UNION ALL SELECT VendorID, PULocationID, "timestamp", pred_demand_p10, pred_demand_p50, pred_demand_p90 FROM naive)""",
+    *[f"""{n}_week AS (SELECT VendorID, PULocationID, isodow("timestamp") AS w, hour("timestamp") AS h, {quants(v)} AS q FROM series GROUP BY 1, 2, 3, 4),
+       {n}_day AS (SELECT VendorID, PULocationID, hour("timestamp") AS h, {quants(v)} AS q FROM series GROUP BY 1, 2, 3),
+       {n}_ever AS (SELECT VendorID, PULocationID, {quants(v)} AS q FROM series GROUP BY 1, 2),
+       {n}_at AS (SELECT d.VendorID, d.PULocationID, d."timestamp", coalesce(o.q, y.q, e.q, (SELECT {quants(v)} FROM series)) AS q FROM demand d
+         LEFT JOIN {n}_week o ON {SAME.format('d', 'o')} AND isodow(d."timestamp") = o.w AND hour(d."timestamp") = o.h
+         LEFT JOIN {n}_day y ON {SAME.format('d', 'y')} AND hour(d."timestamp") = y.h LEFT JOIN {n}_ever e ON {SAME.format('d', 'e')})""" for n, v in (("amount", "avg_amount"), ("distance", "avg_distance"))],
+    """published AS (SELECT d.*, a.q[1] AS pred_amount_p10, a.q[2] AS pred_amount_p50, a.q[3] AS pred_amount_p90, x.q[1] AS pred_distance_p10, x.q[2] AS pred_distance_p50, x.q[3] AS pred_distance_p90
+         FROM demand d JOIN amount_at a USING (VendorID, PULocationID, "timestamp") JOIN distance_at x USING (VendorID, PULocationID, "timestamp"))""",
+    select=f"""SELECT VendorID, PULocationID, "timestamp", VendorID || '_' || PULocationID AS Series_ID, {PUBLISHED} FROM published"""))
 
 
 def _lag_regression(s, d):
@@ -207,7 +351,24 @@ def _lag_regression(s, d):
     return model.transform(rows).select(*KEYS, "timestamp", "demand", "prediction")
 
 
-register("lag_regression", _lag_regression)
+register("lag_regression_rows", _lag_regression)
+
+
+def _moments(s, d):
+    """Mean of prediction times each input: least squares makes it that of the demand times the input."""
+    model, rows = FC.lag_regression(int_series(s, d), "demand", ["avg_amount"])
+    inputs = {"one": F.lit(1.0), **{c: F.col(c) for c in [*FC.REGRESSION_FEATURES, "avg_amount"]}}
+    scored = model.transform(rows)
+    return scored.agg(F.count("prediction").alias("rows"), *[F.round(F.avg(F.col("prediction") * x), 4).alias(f"by_{n}") for n, x in inputs.items()])
+
+
+INPUTS = {
+    "one": "1", **{f"lag_{i}": f"coalesce(lag(demand, {i}) OVER ({OVER}), 0)" for i in range(1, 6)},
+    "hour_sin": """sin(2 * pi() * hour("timestamp") / 24)""", "hour_cos": """cos(2 * pi() * hour("timestamp") / 24)""",
+    "dow_sin": """sin(2 * pi() * isodow("timestamp") / 7)""", "dow_cos": """cos(2 * pi() * isodow("timestamp") / 7)""", "avg_amount": "avg_amount",
+}
+register("lag_regression", _moments, with_tables(*E, INT_SERIES, "x AS (SELECT demand, " + ", ".join(f"{x} AS x_{n}" for n, x in INPUTS.items()) + " FROM s)",
+         select="SELECT count(*) AS rows, " + ", ".join(f"round(avg(demand::DOUBLE * x_{n}), 4) AS by_{n}" for n in INPUTS) + " FROM x"))
 
 
 def _scenario(s, d):
@@ -215,7 +376,21 @@ def _scenario(s, d):
     return FC.scenario_forecast(model, rows, {"avg_amount": 5000.0}).select(*KEYS, "timestamp", "avg_amount", "prediction", "scenario")
 
 
-register("scenario_forecast", _scenario)
+register("scenario_forecast_rows", _scenario)
+
+
+def _scenario_shift(s, d):
+    """A linear model's answer moves in proportion to the change, and not at all where there is none."""
+    rows = _scenario(s, d).withColumn("change", 5000.0 - F.col("avg_amount")).withColumn("shift", F.col("scenario") - F.col("prediction"))
+    slope = F.try_divide(F.sum(F.col("shift") * F.col("change")), F.sum(F.col("change") * F.col("change")))
+    rows = rows.withColumn("_slope", rows.agg(slope).scalar())
+    return rows.agg(
+        F.count("*").alias("rows"), F.round(F.avg("avg_amount"), 4).alias("avg_amount"), F.round(F.avg("prediction"), 4).alias("prediction"),
+        F.count_if(F.abs(F.col("shift") - F.col("_slope") * F.col("change")) > 1e-6).alias("off"), F.count_if((F.col("change") == 0) & (F.col("shift") != 0)).alias("moved"))
+
+
+register("scenario_forecast", _scenario_shift, with_tables(*E, INT_SERIES, select="""SELECT count(*) AS rows, round(avg(avg_amount), 4) AS avg_amount, round(avg(demand), 4) AS prediction,
+  0::BIGINT AS off, 0::BIGINT AS moved FROM s"""))
 
 # --- geography -------------------------------------------------------------------------------------
 

@@ -9,6 +9,7 @@ from kerbside.operators import lookup as J
 from kerbside.operators import rollup as A
 from kerbside.operators import stats as ST
 from kerbside.plans import bindings as B
+from kerbside.scratch import cut_lineage
 from kerbside.plans.registry import register, with_tables
 
 START, END = "1996-03-01", "1996-03-15"
@@ -89,7 +90,7 @@ register("monthly_mean_duration", lambda s, d: rounded(A.monthly_mean_duration(B
 
 
 def _earnings(spark, sf):
-    report, fares = _report(spark, sf), A.monthly_mean_of_daily_means(B.trips(spark, sf))
+    report, fares = cut_lineage(_report(spark, sf)), A.monthly_mean_of_daily_means(B.trips(spark, sf))
     df = J.monthly_earnings(report.select("month", "type", "m_hours"), report.select("month", "type", "m_trips_per_driver"), fares)
     return rounded(rounded(df, 4, "monthly_avg"), 2, "hourly_earnings")
 
@@ -100,7 +101,7 @@ register("monthly_earnings", _earnings, with_tables(B.TRIPS, REPORT, INDUSTRY, M
 
 
 def _idle(spark, sf):
-    report, durations = _report(spark, sf), A.monthly_mean_duration(B.trips(spark, sf))
+    report, durations = cut_lineage(_report(spark, sf)), A.monthly_mean_duration(B.trips(spark, sf))
     df = J.monthly_idle(report.select("month", "type", "m_hours"), report.select("month", "type", "m_trips_per_driver"), durations)
     return rounded(df, 9, "avg_trip_duration_h", "free_hours")
 

@@ -76,8 +76,8 @@ def _audit(spark, sf):
     return W.leakage_audit(W.sequences(labelled, ["demand"], 5).dropna(subset=["label"]))
 
 
-register("leakage_audit", _audit, with_tables(*E, """l AS (SELECT *, lead(demand) OVER w AS label, row_number() OVER w AS rn FROM series
-  WINDOW w AS (PARTITION BY VendorID, PULocationID ORDER BY "timestamp"))""", select="""SELECT count(*) AS rows, 0::BIGINT AS time_errors,
+register("leakage_audit", _audit, with_tables(*E, """l AS (SELECT *, lead(demand) OVER w AS label, lead("timestamp") OVER w AS later, row_number() OVER w AS rn FROM series
+  WINDOW w AS (PARTITION BY VendorID, PULocationID ORDER BY "timestamp"))""", select="""SELECT count(*) AS rows, count(*) FILTER (later <= "timestamp") AS time_errors,
   count(*) FILTER (label = demand) AS label_matches, count(*) FILTER (label = demand)::DOUBLE / count(*) AS match_share FROM l WHERE rn >= 5 AND label IS NOT NULL"""))
 register("first_per_zone",
          lambda s, d: W.first_per_zone(B.trips(s, d).select("PULocationID", "pickup_datetime", "DOLocationID", "tip_amount", "l_orderkey"), ["pickup_datetime", "DOLocationID", "tip_amount"]),
@@ -209,6 +209,12 @@ register("balanced_sample",
          with_tables(B.TRIPS, "base AS (SELECT " + ", ".join(COLS) + """ FROM trips WHERE (VendorID, payment_type) IN ((0, 1), (1, 2), (2, 3)))""", select=f"""SELECT * FROM base WHERE {BUCKET.format(keys='l_orderkey')} < CASE VendorID WHEN 0 THEN 5 WHEN 1 THEN 100 ELSE 20 END
            UNION SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY VendorID, PULocationID
              ORDER BY pickup_datetime, DOLocationID, tip_amount, payment_type, fare_amount, l_orderkey) = 1"""))
+register("balanced_sample_since",
+         lambda s, d: U.balanced_sample(B.trips(s, d).select(*COLS), SHARES, ["l_orderkey"], ["pickup_datetime", "DOLocationID", "tip_amount"], (0, 24), "1998-01-01"),
+         with_tables(B.TRIPS, "base AS (SELECT " + ", ".join(COLS) + """ FROM trips WHERE (VendorID, payment_type) IN ((0, 1), (1, 2), (2, 3)) AND pickup_datetime >= TIMESTAMP '1998-01-01')""",
+                     select=f"""SELECT * FROM base WHERE {BUCKET.format(keys='l_orderkey')} < CASE VendorID WHEN 0 THEN 5 WHEN 1 THEN 100 ELSE 20 END
+           UNION SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY VendorID, PULocationID
+             ORDER BY pickup_datetime, DOLocationID, tip_amount, payment_type, fare_amount, l_orderkey) = 1"""))
 
 # --- metrics ---------------------------------------------------------------------------------
 
@@ -277,17 +283,16 @@ register("huber", lambda s, d: rounded(M.huber(B.preds(s, d), "demand", "predict
 
 
 def _streamed(s, d):
-    """All event trips as a file stream; hours past the watermark are written."""
+    """All event trips as a file stream; every hour's latest state."""
     from kerbside.scratch import scratch_dir
-    from kerbside.streaming.hourly import hourly_series_stream, write_stream
+    from kerbside.streaming.hourly import hourly_series_stream, latest_hours, write_updates
 
     source, out = scratch_dir(s, "stream-in"), scratch_dir(s, "stream-out")
     trips = B.event_trips(s, d)
     trips.write.parquet(source)
-    query = write_stream(hourly_series_stream(s.readStream.schema(trips.schema).parquet(source)), out, f"{out}-state")
+    query = write_updates(hourly_series_stream(s.readStream.schema(trips.schema).parquet(source)), out, f"{out}-state")
     query.awaitTermination()
-    return s.read.parquet(out)
+    return latest_hours(s, out)
 
 
-register("hourly_series_stream", _streamed, with_tables(*E, select="""SELECT * FROM series
-  WHERE "timestamp" + INTERVAL 2 HOUR <= (SELECT date_trunc('milliseconds', max(pickup_datetime)) FROM trips_e)"""))
+register("hourly_series_stream", _streamed, with_tables(*E, select="SELECT * FROM series"))

@@ -1,4 +1,4 @@
-"""Table schemas and code sets (fixed values of the data model)."""
+"""The hub schema, zone features and code sets (fixed values of the data model)."""
 
 from __future__ import annotations
 
@@ -33,46 +33,11 @@ PAYMENT_UNKNOWN = 5
 UNKNOWN_ZONES = (264, 265)
 FIRST_ZONE, LAST_ZONE = 1, 263
 
-RAW_YELLOW = struct(
-    "VendorID INT, tpep_pickup_datetime TIMESTAMP_NTZ, tpep_dropoff_datetime TIMESTAMP_NTZ, "
-    "passenger_count INT, trip_distance DOUBLE, RatecodeID INT, store_and_fwd_flag STRING, "
-    "PULocationID INT, DOLocationID INT, payment_type INT, fare_amount DOUBLE, extra DOUBLE, "
-    "mta_tax DOUBLE, tip_amount DOUBLE, tolls_amount DOUBLE, improvement_surcharge DOUBLE, "
-    "total_amount DOUBLE, congestion_surcharge DOUBLE, Airport_fee DOUBLE, cbd_congestion_fee DOUBLE"
-)
-RAW_GREEN = struct(
-    "VendorID INT, lpep_pickup_datetime TIMESTAMP_NTZ, lpep_dropoff_datetime TIMESTAMP_NTZ, "
-    "store_and_fwd_flag STRING, RatecodeID INT, PULocationID INT, DOLocationID INT, "
-    "passenger_count INT, trip_distance DOUBLE, fare_amount DOUBLE, extra DOUBLE, mta_tax DOUBLE, "
-    "tip_amount DOUBLE, tolls_amount DOUBLE, ehail_fee DOUBLE, improvement_surcharge DOUBLE, "
-    "total_amount DOUBLE, payment_type INT, trip_type INT, congestion_surcharge DOUBLE, "
-    "cbd_congestion_fee DOUBLE"
-)
-RAW_HVFHV = struct(
-    "hvfhs_license_num STRING, dispatching_base_num STRING, originating_base_num STRING, "
-    "request_datetime TIMESTAMP_NTZ, on_scene_datetime TIMESTAMP_NTZ, pickup_datetime TIMESTAMP_NTZ, "
-    "dropoff_datetime TIMESTAMP_NTZ, PULocationID INT, DOLocationID INT, trip_miles DOUBLE, "
-    "trip_time INT, base_passenger_fare DOUBLE, tolls DOUBLE, bcf DOUBLE, sales_tax DOUBLE, "
-    "congestion_surcharge DOUBLE, airport_fee DOUBLE, tips DOUBLE, driver_pay DOUBLE, "
-    "shared_request_flag STRING, shared_match_flag STRING, access_a_ride_flag STRING, "
-    "wav_request_flag STRING, wav_match_flag STRING, cbd_congestion_fee DOUBLE"
-)
 UNIFIED_TRIPS = struct(
     "VendorID TINYINT, pickup_datetime TIMESTAMP_NTZ, dropoff_datetime TIMESTAMP_NTZ, "
     "trip_distance FLOAT, PULocationID SMALLINT, DOLocationID SMALLINT, payment_type TINYINT, "
     "tip_amount BIGINT, tolls_amount BIGINT, fare_amount BIGINT, total_amount BIGINT"
 )
-HOURLY_SERIES = struct(
-    "VendorID INT, PULocationID INT, timestamp TIMESTAMP_NTZ, demand INT, avg_distance FLOAT, avg_amount FLOAT"
-)
-ZONE_LOOKUP = struct("LocationID INT, Borough STRING, Zone STRING")
-ZONE_CENTROIDS = struct("locationid INT, Latitude DOUBLE, Longitude DOUBLE")
-INDUSTRY_REPORT = struct(
-    "`Month/Year` STRING, `License Class` STRING, `Trips Per Day` STRING, `Unique Vehicles` STRING, "
-    "`Unique Drivers` STRING, `Avg Hours Per Day Per Driver` DOUBLE, `Avg Minutes Per Trip` DOUBLE"
-)
-ASKING_RENT = struct("LocationID INT, Date DATE, AskingRent DOUBLE")
-HOUSE_INCOME = struct("locationid INT, year INT, median_income DOUBLE")
 FEATURE = T.StructType(
     [
         T.StructField("type", T.StringType()),

@@ -13,7 +13,7 @@ from kerbside.plans import QUERIES, bindings as B
 from kerbside.scratch import scratch_dir
 from kerbside.sources import readers as R
 from kerbside.sources import writers as W
-from kerbside.streaming.hourly import hourly_series_stream, write_stream
+from kerbside.streaming.hourly import hourly_series_stream, latest_hours, write_stream, write_updates
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,6 +90,12 @@ def test_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     trips.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(trips.schema).option("maxFilesPerTrigger", 10).parquet(source)
+    query = write_updates(hourly_series_stream(stream, "40 days"), str(tmp_path / "all"), str(tmp_path / "all-checkpoint"))
+    query.awaitTermination(240)
+    assert query.exception() is None
+    whole, batch = latest_hours(spark, str(tmp_path / "all")), A.hourly_series(trips)
+    assert whole.exceptAll(batch).count() == 0 and batch.exceptAll(whole).count() == 0
+    stream = spark.readStream.schema(trips.schema).option("maxFilesPerTrigger", 10).parquet(source)
     query = write_stream(hourly_series_stream(stream, "1 hour"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     query.awaitTermination(240)
     assert query.exception() is None
