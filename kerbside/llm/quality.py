@@ -11,14 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbside.llm.memory import keep_one
+from kerbside.llm.memory import Memo, keep_one
 from kerbside.llm.store import plain, ranked, slices, stash, with_text_columns
 from kerbside.llm.words import raw_texts
 
 BUCKETS = 1 << 14
 MAX_LABELLED = 20_000  # ids of each label that the models and the cut are fitted on, about
 SCALE = 32.0  # n-grams whose mean log ratio counts as a document's log weight
-WORD_MEMORY = 500_000
+WORD_MEMORY = 300_000
 _RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 
 
@@ -37,21 +37,14 @@ class Grams:
     """
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.memo = Memo(lambda w: zlib.crc32(w) << 16 | zlib.crc32(shape(w.decode()).encode()) & 0xFFFF, WORD_MEMORY)
 
     def of(self, text: bytes) -> np.ndarray:
         """Buckets of all n-grams, repeats included."""
-        if len(self.known) > WORD_MEMORY:
-            self.known.clear()
         words = text.split()
         if not words:
             return np.array([], dtype=np.int64)
-        known = self.known
-        codes = list(map(known.get, words))
-        if None in codes:
-            for w in {w for w, c in zip(words, codes) if c is None}:
-                known[w] = zlib.crc32(w) << 16 | zlib.crc32(shape(w.decode()).encode()) & 0xFFFF
-            codes = [known[w] for w in words]
+        codes = self.memo.of(words)
         codes = np.array(codes, dtype=np.int64)
         tokens = codes & 0xFFFF
         tokens[1:][codes[1:] == codes[:-1]] += 1 << 16
@@ -97,11 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         total = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 0):
-                for text, good in zip(raw_texts(part.column(0)), part.column(1).to_pylist()):
-                    n = np.bincount(grams.of(text), minlength=BUCKETS)
-                    total[0] += n
-                    if good:
-                        total[1] += n
+                found = [grams.of(text) for text in raw_texts(part.column(0))]
+                for side, kept in ((0, found), (1, [f for f, good in zip(found, part.column(1).to_pylist()) if good])):
+                    if kept:
+                        total[side] += np.bincount(np.concatenate(kept), minlength=BUCKETS)
         side, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(bucket), pa.array(total[side, bucket])], names=["side", "bucket", "n"])
 
