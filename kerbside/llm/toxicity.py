@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbside.llm.memory import keep_one
+from kerbside.llm.memory import Memo, keep_one
 from kerbside.llm.store import slices, stash, with_text_columns
 from kerbside.llm.words import alnum_words, raw_texts
 
@@ -20,27 +21,17 @@ MAX_UNLABELLED = 9_000
 MIN_Z = 6.0  # standard errors by which a feature must be more frequent in confirmed documents
 MIN_SHARE = 0.4  # estimated share of positive documents among those with the feature
 DEFAULT_PRIOR = 0.1
-WORD_MEMORY = 500_000
+WORD_MEMORY = 250_000
 
 
 class Features:
     """64-bit names of a text's distinct words and of their first four characters."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.memo = Memo(lambda w: (xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(w.decode()[:4].encode(), 1)), WORD_MEMORY)
 
     def of(self, text: bytes) -> set[int]:
-        if len(self.known) > WORD_MEMORY:
-            self.known.clear()
-        found: set[int] = set()
-        known = self.known
-        for w in set(alnum_words(text)):
-            pair = known.get(w)
-            if pair is None:
-                head = w.decode()[:4].encode()
-                pair = known[w] = (xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(head, 1))
-            found.update(pair)
-        return found
+        return set(chain.from_iterable(self.memo.of(list(set(alnum_words(text))))))
 
 
 def fit(rows: list[np.ndarray], confirmed: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
