@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kerbside.scratch import cut_lineage
+
 
 def months_to_long(df: DataFrame, ids: Sequence[str], months: Sequence[str] | None = None) -> DataFrame:
     """One column per 'YYYY-MM' -> rows (ids, Date, AskingRent)."""
@@ -34,17 +36,18 @@ def minmax_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_codes(df: DataFrame, col: str, name: str) -> DataFrame:
-    """0-based codes of the distinct values in ascending order.
+    """0-based codes of the distinct values in ascending order; NULL has none.
 
-    For label sets such as vendors or zones: the distinct labels are ranked in one
-    task, the rows themselves only meet the codes by a join.
+    The distinct values are dealt out by range and sorted in their tasks, and each task's
+    codes start after the values of the tasks before it. They are checkpointed in that order.
     """
-    codes = (
-        df.select(col)
-        .where(F.col(col).isNotNull())
-        .distinct()
-        .withColumn(name, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
-    )
+    labels = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    numbered = cut_lineage(labels.withColumn("_at", F.monotonically_increasing_id())).withColumn("_task", F.shiftright("_at", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = numbered.groupBy("_task").agg(F.count("*").alias("_n"))  # a row for each task
+    bases = tasks.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    code = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    codes = numbered.join(bases, "_task").select(col, code.cast("int").alias(name))
     return df.join(codes, col, "left")
 
 

@@ -232,6 +232,8 @@ register("one_hot", lambda s, d: SH.one_hot(B.event_trips(s, d).select("event_id
          with_tables(B.EVENT_TRIPS, select="SELECT event_id, VendorID, (VendorID = 0)::INTEGER::DOUBLE AS VendorID_0, (VendorID = 1)::INTEGER::DOUBLE AS VendorID_1, (VendorID = 2)::INTEGER::DOUBLE AS VendorID_2 FROM trips_e"))
 register("label_codes", lambda s, d: SH.label_codes(events(s, d).select("event_id", "event_type"), "event_type", "code"),
          "SELECT event_id, event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS code FROM events")
+register("label_codes_of_ids", lambda s, d: SH.label_codes(events(s, d).select("event_id", "value"), "value", "code"),
+         "SELECT event_id, value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM events")
 register("label_when",
          lambda s, d: events(s, d).select("event_id", N.label_when([(F.col("value") > 100, "high"), (F.col("value") > 20, "mid")], "low").alias("label")),
          "SELECT event_id, CASE WHEN value > 100 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS label FROM events")

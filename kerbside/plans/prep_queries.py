@@ -125,12 +125,16 @@ register("fresh_window_since", lambda s, d: P.fresh_window(B.table(s, d, "events
          "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
 
 
-def _ablated(spark, sf):
+def _ablated(spark, sf, mode):
     from kerbside.functions.maths import landmark_distances
     from kerbside.operators.lookup import with_od_centroids
 
     trips = with_od_centroids(B.event_trips(spark, sf).select("event_id", "PULocationID", "DOLocationID", "trip_distance"), B.centroids(spark, sf))
-    return P.ablate_features(landmark_distances(trips), "drop_all")
+    return P.ablate_features(landmark_distances(trips), mode)
 
 
-register("ablate_features", _ablated, with_tables(B.EVENT_TRIPS, select="SELECT event_id, PULocationID, DOLocationID, trip_distance FROM trips_e"))
+PLACED = """p.Longitude AS pickup_longitude, p.Latitude AS pickup_latitude, q.Longitude AS dropoff_longitude, q.Latitude AS dropoff_latitude"""
+FROM_PLACED = "trips_e JOIN centroids p ON PULocationID = p.locationid JOIN centroids q ON DOLocationID = q.locationid"
+register("ablate_features", lambda s, d: _ablated(s, d, "drop_all"), with_tables(B.EVENT_TRIPS, select="SELECT event_id, PULocationID, DOLocationID, trip_distance FROM trips_e"))
+register("ablate_distances", lambda s, d: _ablated(s, d, "drop_dists"),
+         with_tables(B.EVENT_TRIPS, B.CENTROIDS, select=f"SELECT event_id, PULocationID, DOLocationID, trip_distance, {PLACED} FROM {FROM_PLACED}"))

@@ -223,6 +223,9 @@ register("complete_spine_global", lambda s, d: G.complete_spine(B.series(s, d),
 register("hourly_series", lambda s, d: A.hourly_series(B.trips(s, d)),
          with_tables(B.TRIPS, select="""SELECT VendorID, PULocationID, date_trunc('hour', pickup_datetime) AS "timestamp", CAST(count(*) AS INTEGER) AS demand,
            CAST(avg(trip_distance) AS FLOAT) AS avg_distance, CAST(avg(total_amount) AS FLOAT) AS avg_amount FROM trips GROUP BY 1, 2, 3"""))
+register("hourly_series_of_hub", lambda s, d: A.hourly_series(B.hub(s, d)),
+         with_tables(B.RAW, B.HUB, select="""SELECT VendorID, PULocationID, date_trunc('hour', pickup_datetime) AS "timestamp", CAST(count(*) AS INTEGER) AS demand,
+           CAST(avg(trip_distance) AS FLOAT) AS avg_distance, CAST(avg(total_amount) AS FLOAT) AS avg_amount FROM hub WHERE PULocationID NOT IN (264, 265) GROUP BY 1, 2, 3"""))
 register("half_hour_series",
          lambda s, d: rounded(A.half_hour_series(B.event_trips(s, d)), 4, "std_amount"),
          with_tables(B.EVENT_TRIPS, select="""SELECT VendorID, PULocationID, time_bucket(INTERVAL 30 MINUTE, pickup_datetime, TIMESTAMP '1970-01-01') AS pickup_interval,

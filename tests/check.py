@@ -1,6 +1,7 @@
 """python tests/check.py [sf folder] [name ...]: run queries against their SQL and time them."""
 
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -19,7 +20,8 @@ def main():
     wanted = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kerbside-check-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = connect(sf), entry.oracle_sql(), 0
