@@ -139,5 +139,5 @@ def test_spine_and_window_share_one_shuffle(spark):
     from kerbside.operators.series import moving_average
 
     text = plan(moving_average(spark.read.parquet(f"{SF}/events.parquet").selectExpr(
-        "1 AS VendorID", "user_id AS PULocationID", "date_trunc('hour', ts) AS timestamp", "1 AS demand"), complete=True))
+        "event_id % 3 AS VendorID", "user_id AS PULocationID", "date_trunc('hour', ts) AS timestamp", "1 AS demand"), complete=True))
     assert text.count("Exchange hashpartitioning") == 1
