@@ -29,12 +29,14 @@ class Index:
         n = self.n = len(docs)
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        keys, tf = np.unique(owner << 32 | np.concatenate([d.astype(np.int64) for d in docs]), return_counts=True)
-        doc, (names, term) = keys >> 32, np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+        keys, tf = np.unique(owner << 32 | np.concatenate(docs), return_counts=True)
+        del owner
+        doc, (names, term) = (keys >> 32).astype(np.int32), np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+        del keys
         df = np.bincount(term, minlength=len(names))
         idf = np.log((n - df + 0.5) / (df + 0.5))
         told = idf[term] > 0
-        doc, term, tf = doc[told], term[told], tf[told]
+        doc, term, tf = doc[told], term[told].astype(np.int32), tf[told]
         norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1))
         weight = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
         # rows of a document are in order; postings need the order of terms

@@ -10,8 +10,8 @@ import numpy as np
 from kerbside.llm.memory import keep_one
 from kerbside.llm.words import ASCII_LOWER
 
-# Chunks that a worker remembers at most, twice over. About 250 MB.
-REMEMBERED = 600_000
+# Chunks that a worker remembers at most, twice over. About 200 MB.
+REMEMBERED = 450_000
 # Characters handed to the library at once.
 AT_ONCE = 1_000_000
 # Stands between words that are encoded together; three bytes that no other text shares with it but in U+E000 to U+EFFF.
