@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # every ASCII byte but digits and letters becomes a space; bytes of other characters stay
@@ -22,3 +24,17 @@ def space_words(text: bytes) -> list[bytes]:
 def alnum_words(text: bytes) -> list[bytes]:
     """Runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased."""
     return text.translate(ALNUM_LOWER).split()
+
+
+def coded_space_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The space_words of many texts: their number in each text, all of them as places, and the distinct words."""
+    column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column)))
+    lengths, flat = pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    empty = ~full.to_numpy(zero_copy_only=False)  # a text without words splits into one empty word
+    if empty.any():
+        lengths[np.repeat(np.arange(len(texts)), lengths)[empty]] = 0
+        flat = flat.filter(full)
+    coded = flat.dictionary_encode()
+    return lengths, coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()

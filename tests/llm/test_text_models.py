@@ -231,3 +231,10 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
 def test_long_texts_are_read_whole(spark):
     docs = spark.createDataFrame([(1, LONG + "\nLicensed under CC BY 4.0.", "/a/b")], "doc_id bigint, text string, path string")
     assert licenses.scan(docs).first().own_license == "CC-BY-4.0"
+
+
+def test_coded_words_are_the_words(spark):
+    texts = [(r.text or "").encode() for r in documents(spark).collect()] + [b" a  b\t\x0b\x0cC ", "À\x85É\x1c  É É".encode(), b""]
+    lengths, codes, words = brown.coded_space_words(texts)
+    assert lengths.tolist() == [len(space_words(t.decode())) for t in texts]
+    assert [words[c].decode() for c in codes] == [w for t in texts for w in space_words(t.decode())] and len(set(words)) == len(words)
