@@ -74,10 +74,11 @@ def with_text_columns(
     compute: Callable[[list[bytes]], list[pa.Array]],
     added: str,
     keep: list[str] | None = None,
+    most: int = 8_000_000,
 ) -> DataFrame:
     """The columns ``keep`` of docs (all by default) and new ones computed from whole texts.
 
-    compute gets the UTF-8 texts of a batch (null as empty) and returns the arrays
+    compute gets the UTF-8 texts of some rows (null as empty, about ``most`` bytes) and returns the arrays
     of the columns that the DDL string ``added`` names. Columns of docs with those
     names are replaced; their names otherwise don't matter.
     """
@@ -88,7 +89,7 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, most):
                 columns = [*part.columns[:kept], *compute(raw_texts(part.column(at)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
