@@ -14,6 +14,7 @@ from kerbside.llm.words import raw_texts
 
 SHARD_DOCS = 1024
 SHARD_BYTES = 16_000_000
+SLICE = 256  # texts encoded together
 PIECE = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -168,15 +169,17 @@ def pack(
         kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             kinds[0] = batch.schema.field(0).type
-            texts = raw_texts(batch.column(1))
-            for i, text in zip(batch.column(0).to_pylist(), texts):
-                if parts and (len(parts) >= shard_docs or size + len(text) > shard_bytes):
-                    rows, sequence = shard_rows(ids, parts, sequence)
-                    yield _batch(rows, kinds, id_col)
-                    ids, parts, size = [], [], 0
-                ids.append(i)
-                parts.append(encoder(tokenizer).encode([text])[0] + end)
-                size += len(text)
+            texts, names = raw_texts(batch.column(1)), batch.column(0).to_pylist()
+            for at in range(0, len(texts), SLICE):
+                several = texts[at : at + SLICE]
+                for i, text, encoded in zip(names[at : at + SLICE], several, encoder(tokenizer).encode(several)):
+                    if parts and (len(parts) >= shard_docs or size + len(text) > shard_bytes):
+                        rows, sequence = shard_rows(ids, parts, sequence)
+                        yield _batch(rows, kinds, id_col)
+                        ids, parts, size = [], [], 0
+                    ids.append(i)
+                    parts.append(encoded + end)
+                    size += len(text)
         if parts:
             yield _batch(shard_rows(ids, parts, sequence)[0], kinds, id_col)
 
