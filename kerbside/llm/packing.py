@@ -15,6 +15,7 @@ from kerbside.llm.words import raw_texts
 SHARD_DOCS = 1024
 SHARD_BYTES = 16_000_000
 SLICE = 256  # texts encoded together
+REMEMBERED = 600_000  # chunks; the shard's index needs memory too
 PIECE = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -172,7 +173,7 @@ def pack(
             texts, names = raw_texts(batch.column(1)), batch.column(0).to_pylist()
             for at in range(0, len(texts), SLICE):
                 several = texts[at : at + SLICE]
-                for i, text, encoded in zip(names[at : at + SLICE], several, encoder(tokenizer).encode(several)):
+                for i, text, encoded in zip(names[at : at + SLICE], several, encoder(tokenizer, remembered=REMEMBERED).encode(several)):
                     if parts and (len(parts) >= shard_docs or size + len(text) > shard_bytes):
                         rows, sequence = shard_rows(ids, parts, sequence)
                         yield _batch(rows, kinds, id_col)

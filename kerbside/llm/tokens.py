@@ -10,8 +10,8 @@ import numpy as np
 from kerbside.llm.memory import keep_one
 from kerbside.llm.words import ASCII_LOWER
 
-# Chunks that a worker remembers at most, twice over. About 250 MB.
-REMEMBERED = 600_000
+# Chunks that a worker remembers at most, twice over: about 400 bytes for each.
+REMEMBERED = 800_000
 # Characters handed to the library at once.
 AT_ONCE = 1_000_000
 # Stands between words that are encoded together; three bytes that no other text shares with it but in U+E000 to U+EFFF.
@@ -36,13 +36,13 @@ class Encoder:
     whole. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.dtype = width, f"<u{width}"
+        self.width, self.dtype, self.remembered = width, f"<u{width}", remembered or REMEMBERED
         with open(path) as f:
             rules = json.load(f)
         self.cut = _cut(rules.get("normalizer"), rules.get("pre_tokenizer"), rules.get("post_processor"))
@@ -73,7 +73,7 @@ class Encoder:
         """Ids of UTF-8 texts."""
         if self.cut is None:
             return self.whole([t.decode() for t in texts])
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.before, self.known = self.known, {}
         skip = 0
         if self.cut == "words":
@@ -165,9 +165,9 @@ def _cut(normalizer, pre_tokenizer, post_processor) -> str | None:
     return "words" if known and spaceless and rest else None
 
 
-def encoder(path: str, width: int = 4) -> Encoder:
+def encoder(path: str, width: int = 4, remembered: int | None = None) -> Encoder:
     """The worker's encoder for a vocabulary."""
-    return keep_one(("encoder", path, width), lambda: Encoder(path, width))
+    return keep_one(("encoder", path, width, remembered), lambda: Encoder(path, width, remembered))
 
 
 def vocabulary_size(path: str) -> int:
