@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbside.functions.maths import haversine_rad, mercator_xy, planar_m, rad
+from kerbside.scratch import cut_lineage
 
 # Grid cells of level l are 2 ** (l - FINEST) wide, on the unit sphere in space; the last level's hold everything.
 FINEST, COARSEST = 24, 25
@@ -291,11 +292,11 @@ def greedy_routes(
     start without coordinates has an empty route.
 
     A hop is one equi-join of the routes with the choices at their place, which are
-    found once for all places: those of the starts and of the zones.
+    found once for all places, those of the starts and of the zones, and checkpointed.
     """
     pulled = zone_pull(zone_trips(zones, popularity), nearest, eps)
     places = starts.select("lat", "lon").union(zones.select("lat", "lon"))
-    lists = _with_pull(nearest_zones(places, zones, k), pulled)
+    lists = cut_lineage(_with_pull(nearest_zones(places, zones, k), pulled))
     lists = lists.select(F.col("lat").alias("_llat"), F.col("lon").alias("_llon"), "choices")
     kept = starts.columns
     zone_type = zones.schema["zone"].dataType.simpleString()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Accuracy of the sketch that brackets a rank: it is off by at most 1 / ACCURACY of the rows.
-ACCURACY = 100_000
+ACCURACY = 10_000
 # Up to so many values a bracket is the whole group; beyond, one rank is less than 1 / ACCURACY of the rows.
 BRACKETED = 200_000
 
