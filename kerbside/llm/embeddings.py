@@ -1,34 +1,35 @@
-"""Near-duplicate embeddings by sorted projection passes."""
+"""Near-duplicate embeddings by comparing blocks of each label, whole."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from kerbside.llm.components import connected_components
-from kerbside.llm.store import ranked, stash
+from kerbside.llm.store import open_folder, ranked, stash
+from kerbside.scratch import scratch_dir
 
-PASSES = 16
-WINDOW = 24
-BLOCK = 2048  # neighbours in order that are compared in one call
-TILE = 1024  # vectors of a component that are compared in one call
+TILE = 1024  # vectors that are compared in one call
+TILES = 4  # of a block, which is a file and a task
 BITS = 62
+MOST_TASKS = 10_000
 
 
 @lru_cache(maxsize=8)
-def _planes(dims: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dims]).standard_normal((dims, passes * BITS))
+def _planes(dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dims]).standard_normal((dims, BITS))
 
 
-def _keys(units: np.ndarray, passes: int, seed: int) -> np.ndarray:
-    """Row and pass: the signs of BITS random projections, the first one most significant."""
-    signs = (units @ _planes(units.shape[1], passes, seed) > 0).reshape(len(units), passes, BITS)
-    return signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+def _keys(units: np.ndarray, seed: int) -> np.ndarray:
+    """The signs of BITS random projections of each row, the first one most significant."""
+    return (units @ _planes(units.shape[1], seed) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
 def _matrix(column) -> np.ndarray:
@@ -54,8 +55,6 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
-    passes: int = PASSES,
-    window: int = WINDOW,
     seed: int = 11,
 ) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of vectors.
@@ -65,14 +64,12 @@ def near_vectors(
     links, n_links the number of other rows linked directly, kept whether the row's
     id is its component's.
 
-    Rows with equal vectors are one node that counts for as many. In each pass the nodes
-    are ordered by label and the signs of a series of random projections, and each is
-    compared with the next ``window`` ones; verified pairs of all passes are
-    united. A pair of cosine c agrees in a sign with probability 1 - arccos(c) / pi, so
-    it is near in order in some pass with a probability that grows with passes and
-    window. The window bounds what a pass compares, not what a vector may link to:
-    within each component every pair is then compared exactly, tile by tile, so
-    dense groups of any size get their whole counts.
+    Rows with equal vectors are one node that counts for as many. The nodes are ordered by
+    label and the signs of a series of random projections and cut into blocks, which are
+    files in the shared folder. A task takes one block and compares it with all blocks of
+    the labels it holds, so every link is found, whatever the size of a label. Only tiles
+    whose bounding cone is out of reach of a vector are left out, which is exact. Links inside
+    a block and repeated links between parts of two blocks leave the tasks as one.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing:
     0 links, their own id. So do rows with a null label. Of a component with null
@@ -91,7 +88,7 @@ def near_vectors(
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, label, vector = batch.columns
+            node, label, weight, vector = batch.columns
             dims = np.diff(vector.offsets.to_numpy())
             flat = vector.flatten().to_numpy()
             at = np.concatenate([[0], np.cumsum(dims)])
@@ -100,39 +97,15 @@ def near_vectors(
                 x = flat[at[where][:, None] + np.arange(d)]
                 x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
                 x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-                keys = _keys(x, passes, seed)
                 take = pa.array(where)
-                columns = [node.take(take), label.take(take), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "unit", "keys"])
-
-    units = nodes.select("node", "label", "vector").mapInArrow(project, f"node bigint, label {kind}, unit binary, keys array<bigint>")
-    units = stash(units, "units")
-    in_order = ranked(units.select("node", "label", "unit", F.posexplode("keys").alias("pass", "key")), "pass", "label", F.length("unit"), "key")
-    block = F.floor(F.col("rank") / BLOCK)
-    halo = (F.col("rank") % BLOCK < window) & (F.col("rank") >= BLOCK)
-    blocks = in_order.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        group = pd.factorize(frame["pass"].astype(str) + " " + frame["label"].astype(str) + " " + frame["unit"].str.len().astype(str))[0]
-        width = frame["unit"].str.len().to_numpy()
-        node, found = frame["node"].to_numpy(), []
-        for w in np.unique(width):  # lengths are in order within a label: runs of equal ones
-            where = np.flatnonzero(width == w)
-            x, g = _matrix(frame["unit"].to_numpy()[where]), group[where]
-            for d in range(1, min(window, len(where) - 1) + 1):
-                near = (g[:-d] == g[d:]) & (where[d:] - where[:-d] == d)
-                near &= np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold
-                i = np.flatnonzero(near)
-                found.append(np.stack([where[i], where[i + d]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        root = _stars(a, b, len(frame))
-        linked = np.flatnonzero(root != np.arange(len(frame)))
-        return pd.DataFrame({"a": node[root[linked]], "b": node[linked]})
-
-    links = blocks.select("node", "label", "unit", "pass", "rank", "block").groupBy("block").applyInPandas(compare, "a bigint, b bigint")
-    members = stash(connected_components(links), "members")
-    counted = _count_links(members, units, nodes, threshold)
+                columns = [c.take(take) for c in (node, label, weight)]
+                columns += [pa.array([r.tobytes() for r in x], pa.binary()), pa.array(_keys(x, seed), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "weight", "unit", "key"])
+
+    units = nodes.select("node", "label", "weight", "vector").mapInArrow(project, f"node bigint, label {kind}, weight bigint, unit binary, key bigint")
+    units = units.withColumn("width", F.length("unit"))
+    in_order = stash(ranked(units, "label", "width", "key"), "units")
+    counted = _linked(in_order, threshold)
     group = nodes.join(counted, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
     found = group.join(ids, "component").select(
@@ -151,39 +124,107 @@ def near_vectors(
     )
 
 
-def _count_links(members: DataFrame, units: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, component, links): rows linked with each node of a component, beside its own.
+def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of a and b have a cosine of ``threshold`` at least: in single precision, in double where that is too close."""
+    found = a.astype(np.float32) @ b.astype(np.float32).T
+    slack = (a.shape[1] + 4) * 2.0**-22
+    near = found >= threshold + slack
+    i, j = np.nonzero((found >= threshold - slack) & ~near)
+    for at in range(0, len(i), 1 << 16):
+        k, m = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        near[k, m] = np.einsum("ij,ij->i", a[k], b[m]) >= threshold
+    return near
+
+
+def _within_reach(a: np.ndarray, tile: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of a that may link with a row of the tile: their angle to its centre is at most its radius and a link's angle."""
+    centre = tile.sum(axis=0)
+    norm = np.sqrt(centre @ centre)
+    if norm < 1e-6:
+        return np.arange(len(a))
+    centre /= norm
+    reach = np.arccos(np.clip((tile @ centre).min(), -1, 1)) + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    return np.arange(len(a)) if reach >= np.pi else np.flatnonzero(a @ centre >= np.cos(reach))
 
-    A component is cut into tiles of about TILE nodes by a hash, and every two tiles
-    meet in a task of their own; small components share tasks. So no component is gathered whole.
-    """
-    sizes = members.groupBy("component").agg(F.count("*").alias("_size"))
-    tiles = F.ceil(F.col("_size") / TILE)
-    rows = members.join(sizes, "component").join(units.select("node", "unit"), "node").join(nodes.select("node", "weight"), "node")
-    total = members.count()
-    shared = F.pmod(F.xxhash64("component"), F.lit(max(1, total // (8 * TILE))))
-    own = F.pmod(F.xxhash64("node"), tiles)
-    met = F.transform(F.sequence(F.lit(0).cast("bigint"), tiles - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = rows.withColumns({"_tiles": tiles, "_own": own, "_met": F.explode(met)}).select(
-        "component", "node", "unit", "weight", F.col("_own").alias("own"), F.col("_met.i").alias("i"), F.col("_met.j").alias("j"),
-        F.when(F.col("_tiles") > 1, F.col("component")).otherwise(-1 - shared).alias("task"),
-    )
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in frame.groupby("component"):
-            i, j = part["i"].iloc[0], part["j"].iloc[0]
-            a, b = part[part["own"] == i], part[part["own"] == j]
-            if not len(a) or not len(b):
-                continue
-            near = _matrix(a["unit"]) @ _matrix(b["unit"]).T >= threshold
-            if i == j:
-                np.fill_diagonal(near, False)
-                out.append(pd.DataFrame({"node": a["node"], "component": a["component"], "links": near @ a["weight"].to_numpy()}))
-            else:
-                out.append(pd.DataFrame({"node": a["node"], "component": a["component"], "links": near @ b["weight"].to_numpy()}))
-                out.append(pd.DataFrame({"node": b["node"], "component": b["component"], "links": a["weight"].to_numpy() @ near}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "component": [], "links": []})
-
-    counted = dealt.groupBy("task", "i", "j").applyInPandas(count, "node bigint, component bigint, links bigint")
-    return counted.groupBy("node", "component").agg(F.sum("links").alias("links"))
+def _roots(near: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each row of a symmetric matrix of links, the diagonal included."""
+    n = len(near)
+    root = _stars(np.arange(n), near.argmax(axis=1), n)
+    a, b = np.nonzero(near & (root[:, None] != root[None, :]))
+    return _stars(root[a], root[b], n)[root]
+
+
+def _runs(starts: np.ndarray) -> Iterator[slice]:
+    cuts = [0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), len(starts)]
+    yield from (slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
+def _linked(in_order: DataFrame, threshold: float) -> DataFrame:
+    """(node, component, links): the component of every node and the rows linked with it, beside its own."""
+    spark, tile = in_order.sparkSession, TILE
+    block = TILES * tile
+    folder = scratch_dir(spark, "blocks")
+    spans = in_order.groupBy("label", "width").agg(F.min("rank").alias("start"), F.max("rank").alias("end"))
+    rows = in_order.join(spans, ["label", "width"]).select("node", "weight", "unit", "rank", "start", "end", F.floor(F.col("rank") / block).alias("block"))
+
+    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rank")
+        node, unit, root = frame["node"].to_numpy(), frame["unit"].to_numpy(), np.arange(len(frame))
+        for run in _runs(frame["start"].to_numpy()):
+            x = _matrix(unit[run])
+            near = np.concatenate([_near(x[i : i + tile], x, threshold) for i in range(0, len(x), tile)])
+            near |= near.T
+            np.fill_diagonal(near, True)
+            root[run] = run.start + _roots(near)
+        frame = frame.assign(root=node[root])
+        fs, path = open_folder(folder)
+        fs.create_dir(path, recursive=True)
+        draft = f"{path}/_{uuid.uuid4().hex}"  # attempts of a task don't meet
+        pq.write_table(pa.Table.from_pandas(frame[["node", "weight", "unit", "start", "end", "root"]], preserve_index=False), draft, filesystem=fs, compression="none")
+        fs.move(draft, f"{path}/{key[0]}")
+        return frame[["node", "root"]]
+
+    members = stash(rows.groupBy("block").applyInPandas(write, "node bigint, root bigint"), "members")
+
+    def read(number: int) -> pd.DataFrame:
+        fs, path = open_folder(folder)
+        return pq.read_table(f"{path}/{number}", filesystem=fs).to_pandas()
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number in (int(n) for frame in frames for n in frame["id"]):
+            own = read(number)
+            links, starts, roots = np.zeros(len(own), dtype=np.int64), own["start"].to_numpy(), own["root"].to_numpy()
+            runs = [(run, _matrix(own["unit"].to_numpy()[run])) for run in _runs(starts)]
+            for other in range(starts[0] // block, own["end"].iloc[-1] // block + 1):
+                met = own if other == number else read(other)
+                pairs = []
+                for run, x in runs:
+                    theirs = np.flatnonzero(met["start"].to_numpy() == starts[run.start])
+                    for at in range(0, len(theirs), tile):
+                        part = theirs[at : at + tile]
+                        y = _matrix(met["unit"].to_numpy()[part])
+                        reached = _within_reach(x, y, threshold)
+                        for i in range(0, len(reached), tile):
+                            mine = reached[i : i + tile]
+                            near = _near(x[mine], y, threshold)
+                            mine = mine + run.start
+                            if other == number:
+                                near[mine[:, None] == part[None, :]] = False
+                            if not near.any():
+                                continue
+                            links[mine] += near @ met["weight"].to_numpy()[part]
+                            if other > number:
+                                a, b = np.nonzero(near)
+                                pairs.append(pd.DataFrame({"a": roots[mine[a]], "b": met["root"].to_numpy()[part[b]]}).drop_duplicates())
+                if pairs:
+                    yield pd.concat(pairs).drop_duplicates().assign(links=0)
+            some = np.flatnonzero(links)
+            yield pd.DataFrame({"a": own["node"].to_numpy()[some], "b": pd.array([None] * len(some), dtype="Int64"), "links": links[some]})
+
+    last = in_order.agg(F.max("rank")).first()[0]
+    blocks = 0 if last is None else last // block + 1
+    found = stash(spark.range(0, blocks, 1, max(1, min(blocks, MOST_TASKS))).mapInPandas(compare, "a bigint, b bigint, links bigint"), "found")
+    joined = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "root")
+    links = found.where("b is null").select(F.col("a").alias("node"), "links")
+    return members.join(joined, "root", "left").join(links, "node", "left").select("node", F.coalesce("component", "root").alias("component"), "links")

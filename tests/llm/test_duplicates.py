@@ -132,6 +132,25 @@ def test_tiles_count_whole_components(spark, monkeypatch):
     assert [found[r[0]] for r in rows] == degree.tolist()
 
 
+def test_vectors_at_the_edge_of_a_dense_group_keep_their_links(spark):
+    random = np.random.default_rng(6)
+    centre = random.standard_normal(64)
+    dense = centre + random.standard_normal((3000, 64)) * 0.15
+    away = random.standard_normal((1500, 64))
+    members = dense[:1500] / np.linalg.norm(dense[:1500], axis=1, keepdims=True)
+    away -= (away * members).sum(axis=1, keepdims=True) * members
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    edge = members * 0.935 + away * np.sqrt(1 - 0.935**2)  # a cosine of 0.935 to one of the group
+    vectors = np.concatenate([dense, edge, random.standard_normal((3000, 64))]).astype(np.float32)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    least = groups(np.argwhere(np.triu(near)).tolist(), range(len(vectors)))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    assert found == {i: (int(n), least[i]) for i, n in enumerate(near.sum(axis=1))}
+
+
 def test_embedding_query(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sum(r.n_links for r in QUERIES["op5_embeddings"](spark, SF).collect()) == 2 * len(slow_links(rows))
