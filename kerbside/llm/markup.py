@@ -10,7 +10,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp")
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
+FOREIGN = frozenset("svg math object template".split())
 BOILERPLATE_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe svg math object button select textarea title dialog menu dir".split()
 )
@@ -35,11 +36,11 @@ DEEPEST = 120
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>" + "|".join(RAW) + rf")\b(?P<rawattr>{_ATTRIBUTES})>(?P<content>.*?)(?:</(?P=raw)\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(?P<raw>" + "|".join(RAW) + rf")(?=[\s/>])(?P<rawattr>{_ATTRIBUTES})>(?P<content>.*?)(?:</(?P=raw)(?=[\s/>])[^>]*>|$)"
     rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>{_ATTRIBUTES})>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -57,14 +58,14 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
     """Key of an element (its name and the words of class and id), and whether it is boilerplate."""
     dropped, words = tag in BOILERPLATE_TAGS, []
     if attributes:
-        for name, *values in _NAMED.findall(attributes):
-            value = "".join(values).lower()
-            if name.lower() in ("class", "id"):
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values).lower()
+            if name in ("class", "id"):
                 words += _WORD.findall(value)
-            elif name.lower() == "role":
+            elif name == "role":
                 dropped |= value in BOILERPLATE_ROLES
                 words.append("=" + value)
-            elif name.lower() == "hidden" or value == "true":
+            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 dropped = True
     dropped |= not BOILERPLATE_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
     return f"{tag}.{'.'.join(dict.fromkeys(words))}" + "!" * dropped, dropped
@@ -75,12 +76,14 @@ def parse(html: str) -> Node:
     and comments leave no gap. A line break is white space. Unclosed elements end where
     HTML ends them, stray closing tags are ignored. Text is decoded, its white space
     single, and runs of white space alone are left out. Raw content (scripts, styles
-    and the like) is not kept. Depth is bounded."""
+    and the like) is not kept, nor are drawings, formulas, objects and templates, which end with
+    their parent where they are not closed. Depth is bounded."""
     root = Node("root")
     open_nodes: list[tuple[str, Node]] = [("root", root)]
     inline: list[str] = []  # open inline elements of the current run
     pieces: list[str] = []
     linked: list[str] = []
+    foreign: list[str] = []  # open elements from a drawing or the like on
 
     def flush() -> None:
         if pieces:
@@ -94,8 +97,26 @@ def parse(html: str) -> Node:
         flush()
         del open_nodes[at:]
 
-    for token in _TOKEN.finditer(html):
+    at_char = 0
+    while (token := _TOKEN.match(html, at_char)) is not None:
+        at_char = token.end()
         text = token["text"]
+        if foreign:
+            if token["raw"] is not None and token["rawattr"].endswith("/"):
+                at_char = token.start("content")  # as in XML
+            if token["tag"] is None:
+                continue
+            tag = token["tag"].lower()
+            if not token["close"]:
+                if tag not in VOID and not token["attr"].endswith("/"):
+                    foreign.append(tag)
+                continue
+            if tag in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+                continue
+            if tag not in inline and not any(name == tag for name, _ in open_nodes):
+                continue
+            foreign.clear()
         if text is not None:
             pieces.append(text)
             if "a" in inline:
@@ -119,6 +140,10 @@ def parse(html: str) -> Node:
                     pop(at)
                     break
             continue
+        if tag in FOREIGN:
+            if not token["attr"].endswith("/") or tag in ("object", "template"):
+                foreign.append(tag)
+            continue
         key, dropped = _describe(tag, token["attr"])
         if tag in INLINE and not dropped:
             if tag not in VOID:

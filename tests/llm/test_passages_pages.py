@@ -124,6 +124,31 @@ def test_page_edge_cases(spark):
     assert wrappers.extract(df).count() == 0
 
 
+def test_only_whole_attributes_hide_an_element(spark):
+    kept = ['style="overflow:hidden"', 'title="A hidden gem"', 'data-hidden="false"', "title='x class=\"ad\" hidden'", "data-class=sidebar", "aria-hidden=false", "data-aria-hidden=true"]
+    for n, attributes in enumerate(kept):
+        assert texts(spark, [(1, f"http://h{n}/", f"<body {attributes}><p {attributes}>kept</p></body>")]) == {1: "kept"}
+    gone = ["hidden", "HIDDEN=''", "id=x hidden", "aria-hidden='true'", "class='x ad'", "role=navigation"]
+    assert all(parse(f"<div {a}>x</div>").children[0].key.endswith("!") for a in gone)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>a</p><svg class="i"/><p>kept text</p></article>', "a kept text"),
+        ("<article><p>one<style-guide>two</style-guide></p><p>three</p></article>", "one two three"),
+        ("<article><p>a <svg><path d='x'></p><p>b</p></article>", "a b"),
+        ("<article><div><object data=x><p>fallback</div><p>b</p></article>", "b"),
+        ("<article><template><p>x<template><p>y</template>z</template><p>b</p></article>", "b"),
+        ("<article><p>a<svg><style/><title>t</title><foreignObject><div>x</div></foreignObject></svg>b</p><math/>c</article>", "ab c"),
+        ("<article><p><a href=/>l<svg></a>b</p></article>", "lb"),
+        ("<article><p>a<script>x</script >b<script>y", "ab"),
+    ],
+)
+def test_left_out_elements_end_where_html_ends_them(html, text):
+    assert " ".join(_words(parse(html))) == text
+
+
 def test_repetitions_and_options():
     one, two = (wrappers.induce(parse(h)) for h in ("<h2>a</h2><p>b</p><p>c</p><h2>d</h2><p>e</p>", "<h2>a</h2><p>b</p><hr>"))
     keys = lambda w: [(i.key, i.many, i.maybe) for i in w.parts]
