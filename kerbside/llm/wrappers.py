@@ -24,13 +24,14 @@ class Item:
 
     key names what it matches; many and maybe are the quantifiers (once, +, ?, *).
     A slot counts its characters, those in links, the pages that have it, and keeps a
-    hash of the text while all were equal. main marks slots of the main text.
+    hash of the text while all were equal. main marks slots of the main text: 2 in an
+    article, 1 elsewhere, for pages that fill none of the first.
     """
 
     __slots__ = ("key", "main", "many", "maybe", "parts", "stats")
 
     def __init__(self, key, parts=None, many=False, maybe=False, stats=None):
-        self.key, self.parts, self.many, self.maybe, self.stats, self.main = key, parts, many, maybe, stats, False
+        self.key, self.parts, self.many, self.maybe, self.stats, self.main = key, parts, many, maybe, stats, 0
 
     def dump(self) -> list:
         return [self.key, [p.dump() for p in self.parts] if self.parts is not None else None, self.many, self.maybe, self.stats]
@@ -156,9 +157,9 @@ def match(items: list[Item], nodes: list[Node]) -> list[tuple[Item, Node]] | Non
 def mark_main(wrapper: Item) -> Item:
     """Mark the slots of the main text.
 
-    Slots in boilerplate elements never count. Where an article or main element has
-    others, those are the main text. Elsewhere it is every other slot that is not
-    mostly links and whose text differs between the host's pages.
+    Slots in boilerplate elements never count. Where a page fills others in an article or
+    main element, those are its main text. On the host's other pages it is every slot
+    outside that is not mostly links and whose text differs between the host's pages.
     """
     inside: list[Item] = []
     outside: list[Item] = []
@@ -181,30 +182,34 @@ def mark_main(wrapper: Item) -> Item:
             walk(part, article)
 
     walk(wrapper, False)
-    if not inside:
-        outside = [s for s in outside if s.stats[1] <= s.stats[0] / 2]
-        varied = [s for s in outside if s.stats[2] < LEAST_PAGES or s.stats[3] is None]
-        outside = varied or outside
-    for slot in inside or outside:
-        slot.main = True
+    outside = [s for s in outside if s.stats[1] <= s.stats[0] / 2]
+    varied = [s for s in outside if s.stats[2] < LEAST_PAGES or s.stats[3] is None]
+    for slot in varied or outside:
+        slot.main = 1
+    for slot in inside:
+        slot.main = 2
     return wrapper
 
 
 def main_text(wrapper: Item, root: Node) -> str | None:
-    """Text of the main slots in page order; None if the page does not match."""
-    out: list[str] = []
+    """Text of the main slots in page order; None if the page does not match.
+
+    Pages of one host differ in layout: one that fills no slot in an article takes the others.
+    """
+    out: list[tuple[int, str]] = []
     stack: list[tuple[Item, Node]] = [(wrapper, root)]
     while stack:
         item, node = stack.pop()
         if node.key == "#":
             if item.main:
-                out.append(node.text)
+                out.append((item.main, node.text))
             continue
         pairs = match(item.parts, node.children)
         if pairs is None:
             return None
         stack.extend(reversed(pairs))
-    return " ".join(out)
+    first = max((rank for rank, _ in out), default=0)
+    return " ".join(text for rank, text in out if rank == first)
 
 
 def host_of(url: Column) -> Column:
@@ -257,7 +262,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     Wrappers are learned per host from all pages; a page's text is what its host's
     main slots take of it, blocks joined by one space. A page that its host's wrapper
-    does not match as a whole is read through a wrapper of its own. Character
+    does not match as a whole, or finds no text in, is read through a wrapper of its own. Character
     references are decoded and white space is single. Null and empty pages have an
     empty text; pages without a host share one wrapper. A column named text is replaced.
     """
@@ -275,7 +280,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
             dumped, html = text[: int(size)], text[int(size) :]
             root = parse(html)
             found = main_text(_wrapper(dumped), root)
-            out.append(main_text(mark_main(induce(root)), root) if found is None else found)
+            out.append(main_text(mark_main(induce(root)), root) if not found else found)
         return [pa.array(out, pa.string())]
 
     done = with_text_columns(both, "_both", compute, "text string", [inner[c] for c in names])

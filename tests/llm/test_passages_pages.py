@@ -149,6 +149,16 @@ def test_left_out_elements_end_where_html_ends_them(html, text):
     assert " ".join(_words(parse(html))) == text
 
 
+def test_layouts_of_one_host_have_main_texts_of_their_own(spark):
+    new = "<div class=motto>Our motto</div><article><p>New {0}</p></article>"
+    old = "<div class=motto>Our motto</div><div class=content><p>Old {0}</p></div>"
+    for url in ("http://mixed.example/", None):
+        rows = [(i, url, page((new if i % 3 else old).format(i))) for i in range(12)]
+        assert texts(spark, rows) == {i: f"New {i}" if i % 3 else f"Old {i}" for i in range(12)}
+    rows = [(i, "http://same.example/", page(new.format(i) if i else "<div class=plain><p>Same</p></div>")) for i in [0, 0, 0, 0, *range(1, 9)]]
+    assert texts(spark, rows)[0] == "Same"
+
+
 def test_repetitions_and_options():
     one, two = (wrappers.induce(parse(h)) for h in ("<h2>a</h2><p>b</p><p>c</p><h2>d</h2><p>e</p>", "<h2>a</h2><p>b</p><hr>"))
     keys = lambda w: [(i.key, i.many, i.maybe) for i in w.parts]
