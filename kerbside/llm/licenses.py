@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kerbside.llm.license_texts import HEADERS, TEXTS
 from kerbside.llm.store import plain, slices, stash, with_text_columns
 from kerbside.llm.words import alnum_words, raw_texts
 
@@ -75,15 +76,82 @@ class Matcher:
         return (score, self.names[at]) if score >= least else (0.0, None)
 
 
+class LongMatcher:
+    """Cosine of whole texts and of runs of their lines to headers and licence texts, in the vectors of Matcher."""
+
+    def __init__(self, headers: Sequence[tuple[str, str]], texts: Sequence[tuple[str, str]], df: Mapping[bytes, int], passages: int):
+        self.names = [n for n, _ in [*headers, *texts]]
+        self.kind = [1] * len(headers) + [2] * len(texts)
+        split = [alnum_words(t.encode()) for _, t in [*headers, *texts]]
+        self.sizes = [len(w) for w in split]
+        self.place = {w: i for i, w in enumerate(sorted({w for words in split for w in words}))}
+        self.weight = np.array([math.log((passages + 1) / (df.get(w, 0) + 1)) + 1 for w in self.place])
+        self.other = math.log(passages + 1) + 1
+        rows = np.zeros((len(split), len(self.place)))
+        for row, words in zip(rows, split):
+            for w in words:
+                row[self.place[w]] += 1
+        rows *= self.weight
+        self.rows = rows / np.maximum(np.sqrt((rows**2).sum(axis=1, keepdims=True)), 1e-12)
+
+    def best(self, lines: list[list[bytes]], least: float) -> tuple[float, str | None]:
+        """Cosine and name of the best of all, if at least ``least``: licence texts come before headers,
+        the whole text before a run of lines, then the higher cosine and the first name."""
+        seen = {i for line in lines for w in line if (i := self.place.get(w)) is not None}
+        # a cosine is at most the norm of the template's words that occur
+        shared = (self.rows[:, sorted(seen)] ** 2).sum(axis=1)
+        possible = np.flatnonzero(shared >= least * least - 1e-9)
+        if not seen or not len(possible):
+            return 0.0, None
+        extra: dict[bytes, int] = {}
+        known = len(self.place)
+        ids = np.array([i if (i := self.place.get(w)) is not None else known + extra.setdefault(w, len(extra)) for line in lines for w in line])
+        weight = np.concatenate([self.weight, np.full(len(extra), self.other)])
+        ends = np.cumsum([len(line) for line in lines])
+        starts = np.concatenate([[0], ends[:-1]])
+        mass = np.concatenate([[0], np.cumsum(weight[ids] ** 2)])
+        found: list[tuple[int, bool, float, str]] = []
+        for t in possible:
+            row = np.concatenate([self.rows[t], np.zeros(len(extra))]) * weight
+            dot = np.concatenate([[0], np.cumsum(row[ids])])
+
+            def cosine(a: int, b: int) -> float:
+                code, n = np.unique(ids[a:b], return_counts=True)
+                return float(min((dot[b] - dot[a]) / math.sqrt(((n * weight[code]) ** 2).sum()), 1.0))
+
+            if (score := cosine(0, len(ids))) >= least:
+                found.append((self.kind[t], True, score, self.names[t]))
+                continue
+            # runs of about as many words as the template: the lines that reach its length, and one line less
+            last = np.minimum(np.searchsorted(ends, starts + self.sizes[t]), len(ends) - 1)
+            first, last = np.tile(np.arange(len(ends)), 2), np.concatenate([last, last - 1])
+            a, b = starts[first[first <= last]], ends[last[first <= last]]
+            # counts of words are whole: the norm is at least the root of the mass
+            bound = (dot[b] - dot[a]) / np.sqrt(mass[b] - mass[a])
+            top = 0.0
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < max(least, top) or top == 1.0:
+                    break
+                top = max(top, cosine(a[i], b[i]))
+            if top >= least:
+                found.append((self.kind[t], False, top, self.names[t]))
+        if not found:
+            return 0.0, None
+        kind, whole, score, name = min(found, key=lambda f: (-f[0], -f[1], -f[2], f[3]))
+        return score, name
+
+
 def passages(text: bytes) -> list[list[bytes]]:
     """The words of each line that has any, and of the whole text where it has several such lines."""
     lines = [w for line in text.split(b"\n") if (w := alnum_words(line))]
     return lines if len(lines) < 2 else [*lines, [w for line in lines for w in line]]
 
 
-def matcher(files: DataFrame, templates: Mapping[str, str], text_col: str = "text") -> Matcher:
-    """A matcher whose document frequencies come from every passage of all files."""
-    words = {w for t in templates.values() for w in alnum_words(t.encode())}
+def matchers(
+    files: DataFrame, templates: Mapping[str, str], headers: Sequence[tuple[str, str]], texts: Sequence[tuple[str, str]], text_col: str = "text"
+) -> tuple[Matcher, LongMatcher]:
+    """Matchers whose document frequencies come from every passage of all files."""
+    words = {w for t in [*templates.values(), *(t for _, t in [*headers, *texts])] for w in alnum_words(t.encode())}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -98,7 +166,8 @@ def matcher(files: DataFrame, templates: Mapping[str, str], text_col: str = "tex
 
     found = files.select(text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {None if r.word is None else bytes(r.word): r.n for r in found}  # a row for each template word
-    return Matcher(templates, df, df.pop(None, 0))
+    total = df.pop(None, 0)
+    return Matcher(templates, df, total), LongMatcher(headers, texts, df, total)
 
 
 def scan(
@@ -108,12 +177,15 @@ def scan(
     path_col: str = "path",
     text_col: str = "text",
     keep: list[str] | None = None,
+    headers: Sequence[tuple[str, str]] = HEADERS,
+    texts: Sequence[tuple[str, str]] = TEXTS,
 ) -> DataFrame:
     """The columns ``keep`` of files (all by default) with own_license, score, inherited_license, license_dir, license.
 
-    own_license is the template most similar to any passage of the whole text, if its
-    cosine is at least ``threshold``: passages are the lines, as headers have them, and the
-    text itself, as licence files have it. A file whose name says licence lends its
+    own_license is the template most similar to a passage, if its cosine is at least
+    ``threshold``. The licence texts and the headers of several lines are compared with the whole text and
+    with every run of lines about as long as they are, wherever the lines break; where
+    none is found, the one-sentence templates are compared with each line and the whole text. A file whose name says licence lends its
     own licence to its directory, the one with the highest score (then the first by name) if there
     are several; a file inherits from the nearest directory above it that has one, its own included.
     license is the own one, else the inherited one.
@@ -123,12 +195,15 @@ def scan(
     """
     added = ["own_license", "score", "inherited_license", "license_dir", "license"]
     names = [c for c in (files.columns if keep is None else keep) if c not in added]
-    m = matcher(files, templates, text_col)
+    short, long = matchers(files, templates, headers, texts, text_col)
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
         scores, found = [], []
         for text in texts:
-            best = max((m.best(p, threshold) for p in passages(text)), key=lambda b: (b[0], [-x for x in (b[1] or "").encode()]), default=(0.0, None))
+            parts = passages(text)
+            best = long.best(parts[:-1] or parts, threshold)
+            if best[1] is None:
+                best = max((short.best(p, threshold) for p in parts), key=lambda b: (b[0], [-x for x in (b[1] or "").encode()]), default=(0.0, None))
             scores.append(best[0])
             found.append(best[1])
         return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]

@@ -228,6 +228,23 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(documents(spark).withColumn("path", F.lit("/x/LICENSE"))).count() == 15
 
 
+def test_licence_texts_and_headers_are_found(spark):
+    texts, heads = dict(licenses.TEXTS), licenses.HEADERS
+    words = lambda name, t: " ".join(t.split())
+    wrapped = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    files = [(f"/{n}/LICENSE", f"Copyright (c) 2020 Some Body\nAll rights reserved.\n\n{t}") for n, t in texts.items()]
+    files += [(f"/{n}/src/a.c", f"int {n[:3]}_x;") for n in texts]
+    files += [(f"/head{i}/{n}", f"/*\n * a.c - does things\n * Copyright 2020 Some Body\n{wrapped(t, 7)}\n */\n" + "int main(void) { return 0; }\n" * 40) for i, (n, t) in enumerate(heads)]
+    files += [("/line/MIT", words("MIT", texts["MIT"]) + "\ncode"), ("/both/Apache-2.0", texts["Apache-2.0"] + "\n\nBundled:\n" + texts["MIT"])]
+    files += [("/prose/None", "The software is provided to any person. You may copy this file, see the notice.\n" * 20), ("/short/proprietary", "x\nAll rights reserved.\ny")]
+    rows = {r.path: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for n in texts:
+        assert rows[f"/{n}/LICENSE"].own_license == rows[f"/{n}/src/a.c"].license == n
+    for path, r in rows.items():
+        if path.split("/")[1].startswith(("head", "line", "both", "prose", "short")):
+            assert str(r.own_license) == path.split("/")[2], path
+
+
 def test_long_texts_are_read_whole(spark):
     docs = spark.createDataFrame([(1, LONG + "\nLicensed under CC BY 4.0.", "/a/b")], "doc_id bigint, text string, path string")
     assert licenses.scan(docs).first().own_license == "CC-BY-4.0"
