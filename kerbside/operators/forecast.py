@@ -16,7 +16,7 @@ from kerbside.functions.time import cyclic, iso_weekday, step
 from kerbside.operators.grid import complete_spine
 from kerbside.operators.lookup import route_to_segment
 from kerbside.operators.series import by_series, fill_static
-from kerbside.operators.stats import quantiles
+from kerbside.operators.stats import linear, order_statistics, quantiles
 from kerbside.scratch import cut_lineage
 
 KEYS = ["VendorID", "PULocationID"]
@@ -110,7 +110,11 @@ def with_profile(rows: DataFrame, history: DataFrame, targets: dict[str, str], k
     """
     levels = F.array(*[F.lit(q) for q in LEVELS.values()])
     slots = {"_dow": iso_weekday("timestamp"), "_hour": F.hour("timestamp")}
-    past, out = history.withColumns(slots), rows.withColumns(slots)
+    whole = order_statistics(history, [], list(dict.fromkeys(targets.values())), {p: linear(q) for p, q in LEVELS.items()})
+    found = F.array(*[F.col(p) for p in LEVELS])
+    overall = whole.agg(F.struct(*[F.max(F.when(F.col("label") == v, found)).alias(name) for name, v in targets.items()])).scalar()
+    # below the joins, so the subquery is planned and run once
+    past, out = history.withColumns(slots), rows.withColumns({**slots, "_overall": overall})
     chain: dict[str, list[Column]] = {name: [] for name in targets}
     for step_, by in enumerate(([*keys, *SLOT], [*keys, "_hour"], [*keys])):
         named = {c: f"_{step_}{c}" for c in by}
@@ -121,8 +125,7 @@ def with_profile(rows: DataFrame, history: DataFrame, targets: dict[str, str], k
         out = out.join(profile.withColumnsRenamed(named), on, "left")
         for name in targets:
             chain[name].append(F.col(f"_{step_}_{name}"))
-    overall = history.agg(F.struct(*[F.percentile(v, levels).alias(name) for name, v in targets.items()])).scalar()
-    picked = [F.coalesce(*c, overall[t])[i].alias(f"pred_{t}_{p}") for t, c in chain.items() for i, p in enumerate(LEVELS)]
+    picked = [F.coalesce(*c, F.col("_overall")[t])[i].alias(f"pred_{t}_{p}") for t, c in chain.items() for i, p in enumerate(LEVELS)]
     return out.select(*rows.columns, *picked)
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,23 @@ def test_history_of_a_silent_series_is_zero(spark):
     assert full.count() == 144 and by_hour(full, "demand", 1)[100] == 0 and min(by_hour(full, "demand", 1)) == 29
 
 
+def test_the_fallback_of_a_profile_counts_values_in_many_tasks(spark):
+    history = spark.range(0, 5000, 1, 8).select(
+        F.col("id").alias("VendorID"), F.lit(1).alias("PULocationID"), F.lit(DAY).cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("id") % 7 > 0, F.sqrt("id")).alias("x"), F.lit(None).cast("double").alias("y"),
+    )
+    ahead = spark.createDataFrame([(-1, 1, dt.datetime(2024, 1, 2))], "VendorID BIGINT, PULocationID INT, timestamp TIMESTAMP_NTZ")
+    got = FC.with_profile(ahead, history, {"a": "x", "b": "x", "none": "y"})
+    r = got.first()
+    expected = np.quantile([i**0.5 for i in range(5000) if i % 7], [0.1, 0.5, 0.9])
+    for name in ("a", "b"):
+        assert [r[f"pred_{name}_{p}"] for p in ("p10", "p50", "p90")] == pytest.approx(expected.tolist())
+    assert r.pred_none_p50 is None
+    # exact percentiles buffer every value of a group: only groups of one series may have them
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "percentile(" in line and "Aggregate [VendorID" not in line]
+
+
 def test_forecast_covers_every_series_once(spark):
     s = hours(spark, {(v, 1): {h: v + 1 for h in range(200)} for v in range(3)}).withColumns({"avg_amount": F.lit(5.0), "avg_distance": F.lit(2.0)})
     router = spark.createDataFrame([("0_1", "LOW")], "Series_ID STRING, segment STRING")
