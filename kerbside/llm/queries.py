@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import brown, decontam, embeddings, licenses, packing, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm import brown, conversations, decontam, embeddings, licenses, packing, quality, simhash, token_files, toxicity, wrappers
 from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
@@ -123,6 +123,13 @@ def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(files, keep=["doc_id", "path"])
 
 
+@query
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults, cheapest audit and digest of the repaired turns of every conversation, after damage."""
+    report, _ = conversations.repair(conversations.damaged(table(spark, sf, "conversations")))
+    return report.withColumnRenamed("id", "conv_id")
+
+
 # --- the same results in SQL, where it can state them ---
 
 ORACLES["op5_embeddings"] = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
