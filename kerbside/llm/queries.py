@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import brown, conversations, decontam, embeddings, licenses, packing, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm import brown, conversations, decontam, embeddings, licenses, packing, pieces, quality, simhash, token_files, toxicity, wrappers
 from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
@@ -123,6 +123,18 @@ def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(files, keep=["doc_id", "path"])
 
 
+@query
+def op12_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    found = pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Faults, cheapest audit and digest of the repaired turns of every conversation, after damage."""
