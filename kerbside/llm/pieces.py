@@ -44,7 +44,7 @@ class Cutter:
         plain_marks = self.model.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.apart = plain_marks and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.mark = [self.model.piece_to_id(MARK)]
-        self.memo = Memo(self._one, REMEMBERED)
+        self.memo = Memo(None, REMEMBERED)
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Number of chunks of each text, the distinct chunks, and the place of every chunk among them."""
@@ -77,9 +77,6 @@ class Cutter:
         mixed[~late], mixed[late] = codes[:known], codes[known:]
         return lengths, coded.dictionary, mixed
 
-    def _one(self, chunk: str) -> list[int]:
-        return self.model.encode(chunk) if chunk or not self.apart else self.mark
-
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks; those a worker knows are not segmented again."""
         known, before = self.memo.known, self.memo.before
@@ -143,10 +140,13 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
             yield flush()
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = None
         for batch in batches:
             for i in range(batch.num_rows):
-                chunks = batch.column("chunks")[i].as_py()
-                ids = cutter(model).segment(chunks)
+                if batch.column("bucket")[i].as_py() != bucket:  # no other bucket has its chunks
+                    bucket = batch.column("bucket")[i].as_py()
+                    cutter(model).memo = Memo(None, REMEMBERED)
+                ids = cutter(model).segment(_unpacked(batch.column("chunks")[i].as_py()))
                 lengths = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
                 flat = np.fromiter((x for part in ids for x in part), dtype=np.uint32, count=int(lengths.sum()))
                 columns = [*[batch.column(c).slice(i, 1) for c in ("slice", "file", "bucket")], pa.array([_narrow(lengths)]), pa.array([_narrow(flat)])]
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
         if held:
             yield from _read_slice(folder, file, held, cutter(model))
 
-    chunks = sent.mapInArrow(lists, "slice string, file string, packs array<struct<bucket:int,chunks:array<string>>>")
+    chunks = sent.mapInArrow(lists, "slice string, file string, packs array<struct<bucket:int,chunks:binary>>")
     chunks = chunks.select("slice", "file", F.explode("packs").alias("p")).select("slice", "file", "p.*")
     ids = chunks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(segment, "slice string, file string, bucket int, lengths binary, ids binary")
     placed = ids.repartition("slice").sortWithinPartitions("slice").mapInArrow(place, schema)
@@ -184,14 +184,23 @@ def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int64)
 
 
+def _packed(chunks: list[bytes]) -> bytes:
+    """Chunks as one compressed run of bytes; 0xFF, which no UTF-8 text holds, ends each."""
+    raw = b"".join(c + b"\xff" for c in chunks)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(pack: bytes) -> list[str]:
+    raw = pa.decompress(pack[8:], int.from_bytes(pack[:8], "little"), codec="zstd", asbytes=True)
+    return [c.decode() for c in raw.split(b"\xff")[:-1]]
+
+
 def _write_slice(table: pa.Table, folder: str, key: str, name: str, cut: Cutter) -> pa.RecordBatch:
     """Write the kept columns and each text as places in the slice's list; returns the list, dealt to buckets."""
     lengths, distinct, codes = cut.cut(table.column(0).combine_chunks() if table.num_rows else table.column(0))
-    bucket = np.fromiter((zlib.crc32(c) % BUCKETS for c in distinct.cast(pa.large_binary()).to_pylist()), dtype=np.int32, count=len(distinct))
-    order = np.argsort(bucket, kind="stable")
-    sizes = np.bincount(bucket, minlength=BUCKETS)
-    place = np.empty(len(order), dtype=np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)  # the ids come back bucket by bucket
+    words = distinct.cast(pa.large_binary()).to_pylist()
+    bucket = np.fromiter((zlib.crc32(c) % BUCKETS for c in words), dtype=np.uint16, count=len(words))
+    order, ends = np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=BUCKETS))
     codes_column = _lists(lengths, pa.array(codes.astype(np.int32)))
     fs, base = open_folder(folder)
     fs.create_dir(base, recursive=True)
@@ -199,14 +208,13 @@ def _write_slice(table: pa.Table, folder: str, key: str, name: str, cut: Cutter)
     kept = pa.table([*table.columns[1:], codes_column], names=[*table.column_names[1:], "codes"])
     with fs.open_output_stream(f"{base}/{name}.docs") as out, pa.ipc.new_file(out, kept.schema, options=options) as writer:
         writer.write_table(kept)
-    places = pa.table([pa.array(place)], names=["place"])
-    with fs.open_output_stream(f"{base}/{name}.places") as out, pa.ipc.new_file(out, places.schema, options=options) as writer:
-        writer.write_table(places)
-    full = np.flatnonzero(sizes)
-    ordered = distinct.take(pa.array(order)).cast(pa.string())
-    packs = pa.StructArray.from_arrays([pa.array(full, pa.int32()), _lists(sizes[full], ordered)], names=["bucket", "chunks"])
-    if not len(full):  # empty texts only: a pack without chunks brings the slice back
-        packs = pa.StructArray.from_arrays([pa.array([0], pa.int32()), _lists(np.array([0]), ordered)], names=["bucket", "chunks"])
+    buckets = pa.table([pa.array(bucket)], names=["bucket"])
+    with fs.open_output_stream(f"{base}/{name}.buckets") as out, pa.ipc.new_file(out, buckets.schema, options=options) as writer:
+        writer.write_table(buckets)
+    full = np.flatnonzero(np.diff(ends, prepend=0)).tolist() or [0]  # empty texts only: an empty pack brings the slice back
+    starts = [0, *ends[:-1].tolist()]
+    packed = [_packed([words[i] for i in order[starts[b] : ends[b]].tolist()]) for b in full]
+    packs = pa.StructArray.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "chunks"])
     return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([name]), _lists(np.array([len(packs)]), packs)], names=["slice", "file", "packs"])
 
 
@@ -214,8 +222,10 @@ def _read_slice(folder: str, name: str, packs: list[tuple], cut: Cutter) -> Iter
     """The slice's documents with their ids, a bounded number of ids at a time."""
     packs.sort(key=lambda p: p[0])
     fs, base = open_folder(folder)
-    with fs.open_input_file(f"{base}/{name}.places") as f:
-        place = pa.ipc.open_file(f).read_all().column(0).to_numpy()
+    with fs.open_input_file(f"{base}/{name}.buckets") as f:
+        bucket = pa.ipc.open_file(f).read_all().column(0).to_numpy()
+    place = np.empty(len(bucket), dtype=np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))  # the ids come bucket by bucket
     lengths = np.concatenate([_wide(p[1]) for p in packs])
     flat = np.concatenate([_wide(p[2]) for p in packs]).astype(np.int32)
     starts = (np.cumsum(lengths) - lengths)[place]
