@@ -44,7 +44,7 @@ class Cutter:
         plain_marks = self.model.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.apart = plain_marks and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.mark = [self.model.piece_to_id(MARK)]
-        self.memo = Memo(None, REMEMBERED)
+        self.forget()
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Number of chunks of each text, the distinct chunks, and the place of every chunk among them."""
@@ -77,6 +77,9 @@ class Cutter:
         mixed[~late], mixed[late] = codes[:known], codes[known:]
         return lengths, coded.dictionary, mixed
 
+    def forget(self) -> None:
+        self.memo = Memo(lambda chunk: self.model.encode(chunk) if chunk or not self.apart else self.mark, REMEMBERED)
+
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks; those a worker knows are not segmented again."""
         known, before = self.memo.known, self.memo.before
@@ -145,7 +148,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
             for i in range(batch.num_rows):
                 if batch.column("bucket")[i].as_py() != bucket:  # no other bucket has its chunks
                     bucket = batch.column("bucket")[i].as_py()
-                    cutter(model).memo = Memo(None, REMEMBERED)
+                    cutter(model).forget()
                 ids = cutter(model).segment(_unpacked(batch.column("chunks")[i].as_py()))
                 lengths = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
                 flat = np.fromiter((x for part in ids for x in part), dtype=np.uint32, count=int(lengths.sum()))
