@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbside.llm import brown, conversations, decontam, embeddings, licenses, packing, pieces, quality, simhash, token_files, toxicity, wrappers
+from kerbside.llm import brown, conversations, decontam, embeddings, licenses, packing, pieces, quality, simhash, token_files, toxicity, whitening, wrappers
 from kerbside.llm.store import ship
 from kerbside.scratch import scratch_dir
 
@@ -123,6 +123,19 @@ def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(files, keep=["doc_id", "path"])
 
 
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened components of every vector."""
+    vectors = table(spark, sf, "embeddings")
+    model = whitening.fit(vectors, most=16)
+    rows = whitening.transform(vectors, model, keep=["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 @query
 def op12_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
