@@ -121,9 +121,7 @@ class RealRoots:
         positive = len(self.c) - 1
         if not positive:
             return []
-        top = 1 << (1 + max(abs(c) for c in self.c).bit_length())
-        while self.above(top, 0):
-            top *= 2
+        top = 1 << (-self.c[-2] // self.c[-1]).bit_length()  # above the sum of the roots
         while top > 1 and not self.above(top // 2, 0):
             top //= 2
         found: list[tuple[Fraction, int]] = []
