@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kerbside.functions.maths import clean_forecast
 from kerbside.functions.text import series_key
 from kerbside.functions.time import cyclic, iso_weekday, step
+from kerbside.operators.boosting import assembled, boosted_regression
 from kerbside.operators.grid import complete_spine
 from kerbside.operators.lookup import route_to_segment
 from kerbside.operators.series import by_series, fill_static
@@ -203,6 +204,19 @@ def lag_regression(series: DataFrame, value: str = "demand", extra: Sequence[str
     return Pipeline(stages=stages).fit(rows), rows
 
 
+def lag_boosted(series: DataFrame, val_from, test_from, value: str = "demand", extra: Sequence[str] = (), keys=KEYS, **options) -> DataFrame:
+    """The rows from ``test_from`` on with the prediction of boosted trees on lags and calendar.
+
+    One model for all series: fitted before ``val_from``, stopped on the rows between. Lags are
+    those of the whole series.
+    """
+    rows = lag_features_for_regression(series, value=value, keys=keys)
+    features = [*REGRESSION_FEATURES, *extra]
+    past = rows.where(F.col("timestamp") < test_from).withColumn("_val", F.col("timestamp") >= val_from)
+    model = boosted_regression(past, features, value, "_val", **options)
+    return model.transform(assembled(rows.where(F.col("timestamp") >= test_from), features)).select(*rows.columns, "prediction")
+
+
 def scenario_forecast(model, rows: DataFrame, overrides: dict[str, float]) -> DataFrame:
     """Score rows as they are and with covariates replaced; adds prediction and scenario."""
     keep = [*rows.columns, "prediction"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kerbside.functions.maths import bearing_deg, landmark_distances, manhattan_m, temp_discomfort
 from kerbside.functions.time import fractional_hour, iso_weekday, ntz
+from kerbside.operators.boosting import Boosted, assembled, boost, boosted_gate
 from kerbside.operators.lookup import with_daily_sun, with_fallback, with_hourly_climate, with_od_centroids
 from kerbside.operators.prep import has_tip, tipped
 from kerbside.scratch import cut_lineage
@@ -124,6 +125,30 @@ def score_hurdle(models, df: DataFrame) -> DataFrame:
     return df.withColumn("pred_hurdle", F.col("p_tip") * F.col("amount_given_tip"))
 
 
+def tip_tweedie_boosted(rows: DataFrame, features: Sequence[str], **options) -> Boosted:
+    """Boosted trees under the Tweedie loss for the rows whose ``part`` is train, stopped on those of val."""
+    parts = rows.where(F.col("part").isin("train", "val")).withColumn("_val", F.col("part") == "val")
+    return boost(parts, features, "tip_amount", "_val", loss="tweedie", **options)
+
+
+def tip_hurdle_boosted(rows: DataFrame, features: Sequence[str], **options):
+    """Boosted trees for P(tip > 0) and, under the Tweedie loss, for the amount among tipped trips.
+
+    Both are fitted on the rows whose ``part`` is train and stopped on those of val.
+    """
+    parts = has_tip(rows.where(F.col("part").isin("train", "val"))).withColumn("_val", F.col("part") == "val")
+    gate = boosted_gate(parts, features, "has_tip", "_val")
+    return gate, boost(tipped(parts), features, "tip_amount", "_val", loss="tweedie", **options)
+
+
+def score_hurdle_boosted(models, df: DataFrame) -> DataFrame:
+    """p_tip, the amount given a tip, and their product."""
+    gate, amount = models
+    scored = gate.transform(assembled(df, amount.features))
+    scored = scored.select(*df.columns, vector_to_array("_probability")[1].alias("p_tip"))
+    return amount.transform(scored, "amount_given_tip").withColumn("pred_hurdle", F.col("p_tip") * F.col("amount_given_tip"))
+
+
 def mixed_prediction(scored: DataFrame) -> DataFrame:
     """Historical probability x modelled amount."""
     return scored.withColumn("pred_mixed", F.col("base_prob") * F.col("amount_given_tip"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from kerbside.operators import boosting as BO
 from kerbside.operators import forecast as FC
 from kerbside.operators import geo as GE
 from kerbside.operators import ml as ML
@@ -145,6 +146,45 @@ def _hurdle_equations(s, d):
 
 
 register("tip_hurdle", _hurdle_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, " + ", ".join(f"1.0::DOUBLE AS amount_{n}" for n in ("one", *TIP_INPUTS)) + ", scored FROM n"))
+
+
+ROUNDS = {"rounds": 24, "rate": 0.25, "patience": 3}
+
+
+def _hurdle_boosted(s, d):
+    rows = _tip_train(s, d)
+    models = TP.tip_hurdle_boosted(rows, TIP_INPUTS, **ROUNDS)
+    return TP.score_hurdle_boosted(models, rows.where("part = 'test'"))
+
+
+register("tip_hurdle_boosted", _hurdle_boosted)
+
+
+def _tweedie_boosted(s, d):
+    rows = _tip_train(s, d)
+    return TP.tip_tweedie_boosted(rows, TIP_INPUTS, **ROUNDS).transform(rows.where("part = 'test'"), "pred_tweedie")
+
+
+register("tip_tweedie_boosted", _tweedie_boosted)
+STUMP_INPUTS = ["trip_distance", "VendorID", "payment_type", "PULocationID"]
+
+
+def _stump(s, d):
+    """One split by the squared error of the fare: every trip has its side's mean."""
+    trips = B.trips(s, d).select("l_orderkey", "l_linenumber", *STUMP_INPUTS, (F.col("fare_amount") / 100.0).alias("fare"), F.lit(False).alias("held"))
+    model = BO.boost(trips, STUMP_INPUTS, "fare", "held", rounds=1, rate=1.0, depth=1)
+    return rounded(model.transform(trips).select("l_orderkey", "l_linenumber", "prediction"), 4, "prediction")
+
+
+SIDES = " UNION ALL ".join(
+    f"SELECT {i} AS f, {c}::DOUBLE AS v, count(*) AS n, sum(fare_amount / 100.0::DOUBLE) AS s FROM trips GROUP BY 2" for i, c in enumerate(STUMP_INPUTS)
+)
+register("boosted_stump", _stump, with_tables(B.TRIPS, f"sides AS ({SIDES})",
+         """cuts AS (SELECT f, v, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY f) AS n_all, sum(s) OVER (PARTITION BY f) AS s_all
+              FROM sides WINDOW w AS (PARTITION BY f ORDER BY v))""",
+         """best AS (SELECT f, v, s / n AS low, (s_all - s) / (n_all - n) AS high FROM cuts WHERE n >= 20 AND n_all - n >= 20
+              ORDER BY s * s / n + (s_all - s) * (s_all - s) / (n_all - n) DESC LIMIT 1)""",
+         select="SELECT l_orderkey, l_linenumber, round(CASE WHEN [" + ", ".join(f"{c}::DOUBLE" for c in STUMP_INPUTS) + "][f + 1] <= v THEN low ELSE high END, 4) AS prediction FROM trips, best"))
 register("gaussian_mixture_rows", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
 
 
@@ -371,6 +411,19 @@ register("lag_regression", _moments, with_tables(*E, INT_SERIES, "x AS (SELECT d
          select="SELECT count(*) AS rows, " + ", ".join(f"round(avg(demand::DOUBLE * x_{n}), 4) AS by_{n}" for n in INPUTS) + " FROM x"))
 
 
+def _lag_boosted(s, d):
+    """The last tenth of the table's time, predicted from trees fitted on the first eight."""
+    series = int_series(s, d)
+    ends = series.agg(F.unix_seconds(F.min("timestamp").cast("timestamp")).alias("a"), F.unix_seconds(F.max("timestamp").cast("timestamp")).alias("b")).first()
+    first = series.agg(F.min("timestamp")).scalar()
+    at = lambda share: first + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int((ends.b - ends.a) * share)))
+    found = FC.lag_boosted(series, at(0.8), at(0.9), "demand", ["avg_amount"])
+    return found.select(*KEYS, "timestamp", "demand", "prediction")
+
+
+register("lag_boosted", _lag_boosted)
+
+
 def _scenario(s, d):
     model, rows = FC.lag_regression(int_series(s, d), "demand", ["avg_amount"])
     return FC.scenario_forecast(model, rows, {"avg_amount": 5000.0}).select(*KEYS, "timestamp", "avg_amount", "prediction", "scenario")

@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from kerbside.operators import boosting as BO
 from kerbside.operators import forecast as FC
 from kerbside.operators import ml as ML
 from kerbside.operators import segment as SG
@@ -147,3 +149,76 @@ def test_weighted_sum(spark):
 def test_evaluator_agrees_with_the_aggregate(spark):
     df = spark.createDataFrame([(1, 2.0), (4, 2.0), (3, None)], "demand INT, prediction DOUBLE")
     assert ML.evaluate(df, "demand", "prediction") == pytest.approx(1.5)
+
+
+def steps(spark, n=4000):
+    """A label that no line follows, in three parts."""
+    x, y = F.col("id") % 40, F.floor(F.col("id") / 40) % 25
+    jump = F.when((x > 12) & (y < 10), 9.0).when(x > 30, 2.0).otherwise(4.0)
+    part = F.when(F.col("id") % 5 == 0, "test").when(F.col("id") % 5 == 1, "val").otherwise("train")
+    return spark.range(n).select("id", x.cast("double").alias("x"), y.cast("double").alias("y"), jump.alias("jump"), part.alias("part"), (F.hash("id") % 100 / 100).alias("noise"))
+
+
+def error_of(df, label, pred):
+    return df.agg(F.avg(F.abs(F.col(label) - F.col(pred)))).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("loss", "label", "mean"), [("squared", "jump + noise", "jump + 0.495"), ("tweedie", "if(noise > 0.5, jump, 0.0)", "jump * 0.49")]
+)
+def test_boosted_trees_beat_the_linear_model(spark, loss, label, mean):
+    rows = steps(spark).withColumns({"label": F.expr(label), "held": F.col("part") == "val"})
+    model = BO.boost(rows.where("part <> 'test'"), ["x", "y"], "label", "held", loss=loss, rate=0.4, rounds=8)
+    tests = rows.where("part = 'test'")
+    train = rows.where("part = 'train'")
+    line = Pipeline(stages=[VectorAssembler(inputCols=["x", "y"], outputCol="f"), LinearRegression(featuresCol="f", labelCol="label", predictionCol="p")]).fit(train)
+    assert 1 <= len(model.trees) <= 20 and min(model.losses) < 0.99 * model.losses[0]
+    squared = lambda df, p: df.agg(F.avg((F.expr(mean) - F.col(p)) ** 2)).first()[0]
+    assert squared(model.transform(tests), "prediction") < 0.5 * squared(line.transform(tests), "p")
+    assert model.transform(tests).columns == [*tests.columns, "prediction"]
+
+
+def test_boosting_stops_on_the_validation_rows(spark):
+    rows = steps(spark).withColumns({"label": F.rand(3), "held": F.col("part") == "val"})
+    model = BO.boost(rows, ["x", "y"], "label", "held", rounds=12, patience=2)
+    assert len(model.losses) - 1 < 12 and len(model.trees) == model.losses.index(min(model.losses))
+    everything = BO.boost(rows.withColumn("held", F.lit(False)), ["x", "y"], "label", "held", rounds=2)
+    assert len(everything.trees) == 2
+
+
+def test_a_logistic_step_is_a_newton_step(spark):
+    rows = steps(spark).withColumns({"label": (F.col("jump") > 5).cast("double"), "held": F.lit(False)})
+    model = BO.boost(rows, ["x"], "label", "held", loss="logistic", rounds=1, rate=1.0, depth=1)
+    p = rows.agg(F.avg("label")).first()[0]
+    got = {r.side: (r.m, r.s) for r in model.transform(rows).groupBy((F.col("x") > 12).alias("side")).agg(F.avg("label").alias("m"), F.max("prediction").alias("s")).collect()}
+    import math
+
+    for mean, score in got.values():
+        step = math.log(p / (1 - p)) + (mean - p) / (p * (1 - p))
+        assert score == pytest.approx(1 / (1 + math.exp(-step)), abs=1e-9)
+
+
+def test_boosted_hurdle_beats_the_linear_one(spark):
+    x = F.col("x")
+    rows = steps(spark).withColumns({
+        "tip_amount": F.when(((x > 12) & (x < 25)) | (F.col("noise") > 0.9), F.col("jump") + F.col("noise")).otherwise(0.0), "fare_amount": F.lit(5.0),
+    })
+    tests = rows.where("part = 'test'")
+    trees = TP.score_hurdle_boosted(TP.tip_hurdle_boosted(rows, ["x", "y"], rounds=6, rate=0.4), tests)
+    lines = TP.score_hurdle(TP.tip_hurdle(rows.where("part = 'train'"), ["x", "y"]), tests)
+    assert trees.count() == tests.count()
+    assert error_of(trees, "tip_amount", "pred_hurdle") < 0.8 * error_of(lines, "tip_amount", "pred_hurdle")
+
+
+def test_boosted_lags_beat_the_linear_model(spark):
+    hours = F.col("id")
+    jumpy = spark.range(1500).select(
+        F.lit(1).alias("VendorID"), F.lit(2).alias("PULocationID"), (F.lit(DAY) + F.make_dt_interval(F.lit(0), hours.cast("int"))).cast("timestamp_ntz").alias("timestamp"),
+        (F.when(hours % 24 == 8, 60).when(hours % 24 == 17, 35).otherwise(3) + F.hash("id") % 3).cast("int").alias("demand"),
+    )
+    val, test = (F.lit(DAY + dt.timedelta(hours=h)).cast("timestamp_ntz") for h in (1000, 1200))
+    trees = FC.lag_boosted(jumpy, val, test)
+    model, rows = FC.lag_regression(jumpy.where(F.col("timestamp") < test))
+    lines = model.transform(FC.lag_features_for_regression(jumpy)).where(F.col("timestamp") >= test)
+    assert trees.count() == 300
+    assert error_of(trees, "demand", "prediction") < 0.5 * error_of(lines, "demand", "prediction")
