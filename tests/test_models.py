@@ -156,7 +156,7 @@ def steps(spark, n=4000):
     x, y = F.col("id") % 40, F.floor(F.col("id") / 40) % 25
     jump = F.when((x > 12) & (y < 10), 9.0).when(x > 30, 2.0).otherwise(4.0)
     part = F.when(F.col("id") % 5 == 0, "test").when(F.col("id") % 5 == 1, "val").otherwise("train")
-    return spark.range(n).select("id", x.cast("double").alias("x"), y.cast("double").alias("y"), jump.alias("jump"), part.alias("part"), (F.hash("id") % 100 / 100).alias("noise"))
+    return spark.range(n).select("id", x.cast("double").alias("x"), y.cast("double").alias("y"), jump.alias("jump"), part.alias("part"), (F.pmod(F.hash("id"), F.lit(100)) / 100).alias("noise"))
 
 
 def error_of(df, label, pred):
