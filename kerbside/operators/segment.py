@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbside.functions.maths import map_values
+from kerbside.operators.clusters import nearest, optimal_centres
 from kerbside.operators.prep import in_period, optional_in
 from kerbside.operators.rollup import mean_by_zone_hour, mean_volume
 from kerbside.operators.setops import concat_segments
@@ -53,24 +54,19 @@ def segment_series(features: DataFrame, seed: int = 42) -> DataFrame:
     return concat_segments(labelled, lumpy()).drop("_raw", "_std", "_cluster")
 
 
-def segment_by_volume(series: DataFrame, key: str = "Series_ID", seed: int = 42) -> DataFrame:
-    """LOW / MID / HIGH by mean demand."""
+def segment_by_volume(series: DataFrame, key: str = "Series_ID") -> DataFrame:
+    """LOW / MID / HIGH by mean demand: the three clusters with the least squared distances."""
     volume = mean_volume(series, key)
-    model = _kmeans(volume, ["mean_demand"], len(LEVELS), False, seed)
-    names = order_clusters([float(c[0]) for c in model.stages[-1].clusterCenters()], LEVELS)
-    return model.transform(volume).withColumn("segment", map_values("_cluster", names, None)).drop("_raw", "_cluster")
+    return volume.withColumn("segment", nearest("mean_demand", optimal_centres(volume, "mean_demand", len(LEVELS)), LEVELS))
 
 
-def classify_demand(
-    rollup: DataFrame, start, end, hour: int, vendors=None, days: Sequence[int] | None = None, seed: int = 42
-) -> DataFrame:
+def classify_demand(rollup: DataFrame, start, end, hour: int, vendors=None, days: Sequence[int] | None = None) -> DataFrame:
     """low / medium / high demand of each zone at one hour of the day.
 
-    The classes are learnt from all days, the rows to classify only from the given
-    weekdays.
+    The classes are the three optimal clusters of all zones' hourly means, learnt from all days; the rows to classify come only from the given
+    weekdays and get the class of the nearest centre.
     """
     rows = optional_in(in_period(rollup, start, end), "VendorID", vendors)
-    model = _kmeans(mean_by_zone_hour(rows), ["count"], 3, False, seed)
-    names = order_clusters([float(c[0]) for c in model.stages[-1].clusterCenters()], ("low", "medium", "high"))
+    centres = optimal_centres(mean_by_zone_hour(rows), "count", 3)
     at = mean_by_zone_hour(rows, days).where(F.col("hour") == hour)
-    return model.transform(at).select("PULocationID", map_values("_cluster", names, None).alias("demand_class"))
+    return at.select("PULocationID", nearest("count", centres, ("low", "medium", "high")).alias("demand_class"))

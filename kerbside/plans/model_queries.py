@@ -96,7 +96,7 @@ def _tweedie(s, d):
     return TP.tip_tweedie(rows.where("part = 'train'"), TIP_INPUTS).transform(rows.where("part = 'test'")).drop("features")
 
 
-register("tip_tweedie_rows", _tweedie)
+register("tip_tweedie", _tweedie)
 N_PARTS = f"""n AS (SELECT count(*) FILTER ({PART} = 'train') AS fitted, count(*) FILTER ({PART} = 'test') AS scored FROM trips)"""
 
 
@@ -119,7 +119,7 @@ def _tweedie_equations(s, d):
     return sums.withColumn("scored", scored.where((F.col("part") == "test") & (mu > 0)).agg(F.count("*")).scalar())
 
 
-register("tip_tweedie", _tweedie_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, scored FROM n"))
+register("tip_tweedie_facts", _tweedie_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, scored FROM n"))
 
 
 def _hurdle(s, d):
@@ -128,7 +128,7 @@ def _hurdle(s, d):
     return TP.mixed_prediction(scored.join(TP.tip_probability(rows.where("part = 'train'")), "VendorID", "left"))
 
 
-register("tip_hurdle_rows", _hurdle)
+register("tip_hurdle", _hurdle)
 
 
 def _hurdle_equations(s, d):
@@ -145,7 +145,7 @@ def _hurdle_equations(s, d):
     return gate.withColumns({f"amount_{n}": amount[f"eq_{n}"] for n in ("one", *TIP_INPUTS)} | {"scored": together})
 
 
-register("tip_hurdle", _hurdle_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, " + ", ".join(f"1.0::DOUBLE AS amount_{n}" for n in ("one", *TIP_INPUTS)) + ", scored FROM n"))
+register("tip_hurdle_facts", _hurdle_equations, with_tables(B.TRIPS, N_PARTS, select=f"SELECT fitted, {EQUATIONS}, " + ", ".join(f"1.0::DOUBLE AS amount_{n}" for n in ("one", *TIP_INPUTS)) + ", scored FROM n"))
 
 
 ROUNDS = {"rounds": 24, "rate": 0.25, "patience": 3}
@@ -185,7 +185,7 @@ register("boosted_stump", _stump, with_tables(B.TRIPS, f"sides AS ({SIDES})",
          """best AS (SELECT f, v, s / n AS low, (s_all - s) / (n_all - n) AS high FROM cuts WHERE n >= 20 AND n_all - n >= 20
               ORDER BY s * s / n + (s_all - s) * (s_all - s) / (n_all - n) DESC LIMIT 1)""",
          select="SELECT l_orderkey, l_linenumber, round(CASE WHEN [" + ", ".join(f"{c}::DOUBLE" for c in STUMP_INPUTS) + "][f + 1] <= v THEN low ELSE high END, 4) AS prediction FROM trips, best"))
-register("gaussian_mixture_rows", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
+register("gaussian_mixture_tips", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
 
 
 def _mixture_moments(s, d):
@@ -196,7 +196,7 @@ def _mixture_moments(s, d):
         F.round(F.sum(F.col("weight") * (v + m * m)) / F.sum(F.col("weight") * m), 2).alias("spread"))
 
 
-register("gaussian_mixture_tips", _mixture_moments, with_tables(B.TRIPS, select="""SELECT 3::BIGINT AS components, 1.0::DOUBLE AS weight, round(avg(tip_amount / 100.0::DOUBLE), 3) AS mean,
+register("gaussian_mixture_facts", _mixture_moments, with_tables(B.TRIPS, select="""SELECT 3::BIGINT AS components, 1.0::DOUBLE AS weight, round(avg(tip_amount / 100.0::DOUBLE), 3) AS mean,
   round(avg((tip_amount / 100.0::DOUBLE) * (tip_amount / 100.0::DOUBLE)) / avg(tip_amount / 100.0::DOUBLE), 2) AS spread FROM trips"""))
 
 # --- segments ------------------------------------------------------------------------------
@@ -223,9 +223,26 @@ def _dense_features(s, d):
     return A.series_features(months.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours)))
 
 
-register("segment_series_rows", lambda s, d: SG.segment_series(_dense_features(s, d)).select("Series_ID", "mean_real", "segment"))
-register("segment_by_volume_rows", lambda s, d: SG.segment_by_volume(daily_series(s, d)))
-register("classify_demand_rows", lambda s, d: SG.classify_demand(B.rollup(s, d), "1995-01-01", "2002-01-01", 8, days=[1, 2, 3, 4, 5]))
+register("segment_series", lambda s, d: SG.segment_series(_dense_features(s, d)).select("Series_ID", "mean_real", "segment"))
+# cuts between sorted distinct values, all pairs of them, by prefix sums; the best pair and its clusters' means
+CUTS = """distinct_ AS (SELECT v, count(*) AS n FROM {values} WHERE v IS NOT NULL GROUP BY 1),
+  mean_ AS (SELECT sum(v * n) / sum(n) AS m FROM distinct_),
+  prefix AS (SELECT v, row_number() OVER w AS i, sum(n) OVER w AS n, sum(n * (v - m)) OVER w AS s, sum(n * (v - m) * (v - m)) OVER w AS q FROM distinct_, mean_ WINDOW w AS (ORDER BY v)),
+  last_ AS (SELECT * FROM prefix ORDER BY i DESC LIMIT 1),
+  pairs AS (SELECT a.s / a.n + m AS low, (b.s - a.s) / (b.n - a.n) + m AS mid, (z.s - b.s) / (z.n - b.n) + m AS high,
+      a.q - a.s * a.s / a.n + (b.q - a.q) - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) + (z.q - b.q) - (z.s - b.s) * (z.s - b.s) / (z.n - b.n) AS squares
+    FROM prefix a JOIN prefix b ON a.i < b.i JOIN last_ z ON b.i < z.i CROSS JOIN mean_),
+  centres AS (SELECT * FROM pairs ORDER BY squares, low, mid LIMIT 1)"""
+CLASS = "CASE WHEN {x} <= (low + mid) / 2 THEN '{}' WHEN {x} <= (mid + high) / 2 THEN '{}' ELSE '{}' END"
+MONTHLY = """keyed AS (SELECT VendorID || '_' || PULocationID AS Series_ID, TIMESTAMP '2024-01-01' + to_hours(CAST(datediff('month', DATE '1995-01-01', m) AS INTEGER)) AS "timestamp", demand
+  FROM (SELECT VendorID, PULocationID, date_trunc('month', pickup_datetime) AS m, count(*) AS demand FROM trips GROUP BY 1, 2, 3))"""
+register("segment_by_volume", lambda s, d: rounded(SG.segment_by_volume(daily_series(s, d)), 9, "mean_demand"),
+         with_tables(B.TRIPS, MONTHLY, "volumes AS (SELECT Series_ID, avg(demand) AS v FROM keyed GROUP BY 1)", CUTS.format(values="volumes"),
+                     select=f"SELECT Series_ID, round(v, 9) AS mean_demand, {CLASS.format('LOW', 'MID', 'HIGH', x='v')} AS segment FROM volumes, centres"))
+AT_HOUR = """SELECT PULocationID, hour(pickup_datetime) AS h, avg("count") AS v FROM rollup_ WHERE pickup_datetime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2002-01-01'"""
+register("classify_demand", lambda s, d: SG.classify_demand(B.rollup(s, d), "1995-01-01", "2002-01-01", 8, days=[1, 2, 3, 4, 5]),
+         with_tables(B.TRIPS, B.ROLLUP, f"all_ AS ({AT_HOUR} GROUP BY 1, 2)", f"weekdays AS ({AT_HOUR} AND isodow(pickup_datetime) <= 5 GROUP BY 1, 2)", CUTS.format(values="all_"),
+                     select=f"SELECT PULocationID, {CLASS.format('low', 'medium', 'high', x='v')} AS demand_class FROM weekdays, centres WHERE h = 8"))
 
 
 def _strays(labelled, label, cols, labels):
@@ -256,9 +273,7 @@ def _segments(s, d):
     return counts.withColumn("strays", _strays(rest, "segment", ["mean_real", "cv", "weekend_ratio"], SG.LEVELS))
 
 
-MONTHLY = """keyed AS (SELECT VendorID || '_' || PULocationID AS Series_ID, TIMESTAMP '2024-01-01' + to_hours(CAST(datediff('month', DATE '1995-01-01', m) AS INTEGER)) AS "timestamp", demand
-  FROM (SELECT VendorID, PULocationID, date_trunc('month', pickup_datetime) AS m, count(*) AS demand FROM trips GROUP BY 1, 2, 3))"""
-register("segment_series", _segments, with_tables(B.TRIPS, MONTHLY, FEATURES, select="""SELECT count(*) AS series, count(*) FILTER ((adi > 1.5 AND cv2 > 0.5) OR mean_real < 0.5) AS baseline,
+register("segment_series_facts", _segments, with_tables(B.TRIPS, MONTHLY, FEATURES, select="""SELECT count(*) AS series, count(*) FILTER ((adi > 1.5 AND cv2 > 0.5) OR mean_real < 0.5) AS baseline,
   true AS in_order, 0::BIGINT AS strays FROM features"""))
 
 
@@ -268,7 +283,7 @@ def _volumes(s, d):
     return counts.withColumn("strays", _strays(found, "segment", ["mean_demand"], SG.LEVELS))
 
 
-register("segment_by_volume", _volumes, with_tables(B.TRIPS, MONTHLY, select="""SELECT count(*) AS series, round(sum(v), 6) AS volume, true AS in_order, 0::BIGINT AS strays
+register("segment_by_volume_facts", _volumes, with_tables(B.TRIPS, MONTHLY, select="""SELECT count(*) AS series, round(sum(v), 6) AS volume, true AS in_order, 0::BIGINT AS strays
   FROM (SELECT Series_ID, avg(demand) AS v FROM keyed GROUP BY 1)"""))
 
 
@@ -283,7 +298,7 @@ def _demand_classes(s, d):
     return found.join(at, "PULocationID").agg(F.count("*").alias("zones"), F.round(F.sum("n"), 6).alias("demand"), ranked.alias("ranked"))
 
 
-register("classify_demand", _demand_classes, with_tables(B.TRIPS, B.ROLLUP, select="""SELECT count(*) AS zones, round(sum(n), 6) AS demand, true AS ranked FROM (
+register("classify_demand_facts", _demand_classes, with_tables(B.TRIPS, B.ROLLUP, select="""SELECT count(*) AS zones, round(sum(n), 6) AS demand, true AS ranked FROM (
   SELECT PULocationID, avg("count") AS n FROM rollup_ WHERE hour(pickup_datetime) = 8 GROUP BY 1)"""))
 
 
