@@ -16,7 +16,8 @@ from kerbside.functions.time import cyclic, iso_weekday, step
 from kerbside.operators.boosting import assembled, boosted_regression
 from kerbside.operators.grid import complete_spine
 from kerbside.operators.lookup import route_to_segment
-from kerbside.operators.series import by_series, fill_static
+from kerbside.operators.regression import Quantiles, backtest, quantile_regression, vector_least_squares, vector_predictions
+from kerbside.operators.series import by_series, fill_static, supervised_windows
 from kerbside.operators.stats import linear, order_statistics, quantiles
 from kerbside.scratch import cut_lineage
 
@@ -217,6 +218,60 @@ def lag_boosted(series: DataFrame, val_from, test_from, value: str = "demand", e
     return model.transform(assembled(rows.where(F.col("timestamp") >= test_from), features)).select(*rows.columns, "prediction")
 
 
+# what is known a day ahead
+DAY_AHEAD_LAGS = (24, 48, 72)
+DAY_AHEAD_FEATURES = [*[f"lag_{i}" for i in DAY_AHEAD_LAGS], "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+
+
+def day_ahead_features(series: DataFrame, value: str = "demand", keys=KEYS) -> DataFrame:
+    """Every hour of every series with the values one, two and three days before, its calendar and its day.
+
+    Hours without a row have no demand; a series' first three days have no lags and are left out.
+    """
+    full = complete_spine(series.select(*keys, "timestamp", value), keys, "timestamp", "1h", "global").fillna(0, subset=[value])
+    w = by_series(keys)
+    hour_sin, hour_cos = cyclic(F.hour("timestamp"), 24)
+    dow_sin, dow_cos = cyclic(iso_weekday("timestamp"), 7)
+    lags = {f"lag_{i}": F.lag(value, i).over(w).cast("double") for i in DAY_AHEAD_LAGS}
+    calendar = {"hour_sin": hour_sin, "hour_cos": hour_cos, "dow_sin": dow_sin, "dow_cos": dow_cos}
+    return full.withColumns({**lags, **calendar, "day": F.to_date("timestamp")}).dropna(subset=list(lags))
+
+
+def rolling_backtest(series: DataFrame, value: str = "demand", history: int = 3, keys=KEYS) -> DataFrame:
+    """Each day's hours as predicted by a linear model of what was known before that day."""
+    return backtest(day_ahead_features(series, value, keys), DAY_AHEAD_FEATURES, value, "day", history)
+
+
+def demand_quantiles(series: DataFrame, until, value: str = "demand", keys=KEYS) -> Quantiles:
+    """Linear p10, p50 and p90 of the demand on day-old lags and the calendar, fitted before ``until``."""
+    rows = day_ahead_features(series, value, keys).where(F.col("timestamp") < until)
+    return quantile_regression(rows, DAY_AHEAD_FEATURES, value, LEVELS)
+
+
+def quantile_model_forecast(series: DataFrame, since, value: str = "demand", name: str = "demand", keys=KEYS) -> DataFrame:
+    """pred_<name>_p10 / p50 / p90 of the hours from ``since`` on, by quantile regression on the hours before; none is negative."""
+    model = demand_quantiles(series, since, value, keys)
+    ahead = day_ahead_features(series, value, keys).where(F.col("timestamp") >= since)
+    found = model.transform(ahead, f"pred_{name}_").select(*keys, "timestamp", value, *[f"pred_{name}_{p}" for p in LEVELS])
+    return found.withColumns({f"pred_{name}_{p}": F.greatest(f"pred_{name}_{p}", F.lit(0.0)) for p in LEVELS})
+
+
+def direct_forecast(series: DataFrame, past: int = 72, horizon: int = 24, stride: int = 24, value: str = "demand", keys=KEYS) -> DataFrame:
+    """The next hours of every series, all steps at once: one linear map from the last ``past`` values to the next ``horizon`` ones.
+
+    Fitted on all windows of all series, whose silent hours count as zero. (keys, timestamp, prediction).
+    """
+    full = complete_spine(series.select(*keys, "timestamp", value), keys, "timestamp", "1h", "global").fillna(0, subset=[value])
+    full = cut_lineage(full)
+    weights = vector_least_squares(supervised_windows(full, past, horizon, stride, keys, value), "past", "future")
+    w = by_series(keys)
+    last = full.select(
+        *keys, "timestamp", F.lead("timestamp").over(w).alias("_next"), F.collect_list(value).over(w.rowsBetween(1 - past, 0)).alias("_past")
+    ).where(F.col("_next").isNull() & (F.size("_past") == past))
+    steps = vector_predictions(last, "_past", weights, "_ahead").select(*keys, "timestamp", F.posexplode("_ahead").alias("_i", "prediction"))
+    return steps.select(*keys, (F.col("timestamp") + F.make_dt_interval(F.lit(0), F.col("_i") + 1)).alias("timestamp"), "prediction")
+
+
 def scenario_forecast(model, rows: DataFrame, overrides: dict[str, float]) -> DataFrame:
     """Score rows as they are and with covariates replaced; adds prediction and scenario."""
     keep = [*rows.columns, "prediction"]

@@ -17,6 +17,7 @@ from kerbside.functions.time import fractional_hour, iso_weekday, ntz
 from kerbside.operators.boosting import Boosted, assembled, boost, boosted_gate
 from kerbside.operators.lookup import with_daily_sun, with_fallback, with_hourly_climate, with_od_centroids
 from kerbside.operators.prep import has_tip, tipped
+from kerbside.operators.regression import Mixture, mixture_regression
 from kerbside.scratch import cut_lineage
 
 ROUTE = ["PULocationID", "DOLocationID", "VendorID"]
@@ -162,6 +163,11 @@ def gaussian_mixture_tips(df: DataFrame, k: int = 3, col: str = "tip_amount", se
     return Pipeline(stages=[_assembler([col]), gmm]).fit(df)
 
 
+def conditional_tip_mixture(train: DataFrame, features: Sequence[str], k: int = 3, rounds: int = 40) -> Mixture:
+    """Density of the tip given the trip: a mixture of regressions over the tipped trips."""
+    return mixture_regression(tipped(train), features, "tip_amount", k, rounds)
+
+
 def mixture_parameters(spark, model) -> DataFrame:
     """Weight, mean and deviation of the k components, ordered by mean."""
     gmm = model.stages[-1]

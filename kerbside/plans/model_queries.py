@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kerbside.operators import boosting as BO
 from kerbside.operators import forecast as FC
 from kerbside.operators import geo as GE
+from kerbside.operators import metrics as M
 from kerbside.operators import ml as ML
 from kerbside.operators import refdata as RD
+from kerbside.operators import regression as RG
 from kerbside.operators import rollup as A
 from kerbside.operators import segment as SG
 from kerbside.operators import tips as TP
@@ -188,6 +190,16 @@ register("boosted_stump", _stump, with_tables(B.TRIPS, f"sides AS ({SIDES})",
 register("gaussian_mixture_tips", lambda s, d: TP.mixture_parameters(s, TP.gaussian_mixture_tips(_tip_train(s, d), 3, max_iter=20)))
 
 
+def _conditional_mixture(s, d):
+    rows = _tip_train(s, d)
+    model = TP.conditional_tip_mixture(rows.where("part = 'train'"), TIP_INPUTS, 3, 25)
+    return model.transform(TP.tipped(rows.where("part = 'test'"))).select(
+        "l_orderkey", "l_linenumber", "tip_amount", "pred_mean", "pred_std", "log_density", "component")
+
+
+register("conditional_tip_mixture", _conditional_mixture)
+
+
 def _mixture_moments(s, d):
     """The mixture's total weight, mean and second moment, which are the sample's."""
     m, v = F.col("mean"), F.col("std") * F.col("std")
@@ -439,6 +451,81 @@ def _lag_boosted(s, d):
 register("lag_boosted", _lag_boosted)
 
 
+def _since(series, share):
+    """The instant after a share of the table's time, on the hour."""
+    ends = series.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    hours = int((ends.b - ends.a).total_seconds() // 3600 * share)
+    return F.lit(ends.a).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hours))
+
+
+def _quantile_model(s, d):
+    series = B.series(s, d)
+    return FC.quantile_model_forecast(series, _since(series, 0.8))
+
+
+register("quantile_model_forecast", _quantile_model)
+
+
+def _quantile_scores(s, d):
+    """Pinball loss over the last fifth of the table's time of the regression and of the hour-of-week percentiles, and the share between p10 and p90."""
+    series = B.series(s, d)
+    since = _since(series, 0.8)
+    model = FC.quantile_model_forecast(series, since)
+    rows = FC.day_ahead_features(series).select(*KEYS, "timestamp", "demand")
+    profile = FC.hour_of_week_quantiles(rows.where(F.col("timestamp") >= since), rows.where(F.col("timestamp") < since), {"demand": "demand"}).fillna(0)
+    columns = {q: f"pred_demand_{n}" for n, q in FC.LEVELS.items()}
+    inside = F.avg(F.col("demand").between(F.col("pred_demand_p10"), F.col("pred_demand_p90")).cast("double"))
+    return M.pinball_loss(model, "demand", columns).withColumns(
+        {"profile_loss": M.pinball_loss(profile, "demand", columns).select("loss").scalar(), "coverage": model.agg(inside).scalar()})
+
+
+register("quantile_model_scores", _quantile_scores)
+register("direct_forecast", lambda s, d: FC.direct_forecast(B.series(s, d)))
+
+
+def solved(table, size):
+    """Least squares in SQL: Gauss-Jordan steps over the matrix m (a list of rows, the right side last) of a table."""
+    for k in range(1, size + 1):
+        step = f"list_transform(m, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = {k} THEN x / m[{k}][{k}] ELSE x - r[{k}] * m[{k}][j] / m[{k}][{k}] END))"
+        table = f"(SELECT * REPLACE ({step} AS m) FROM {table})"
+    return table
+
+
+def matrix_sql(names, sums):
+    """The normal equations' matrix from the sums of products of the named columns (the label last)."""
+    return "[" + ", ".join("[" + ", ".join(sums(a, b) for b in names) + "]" for a in names[:-1]) + "]"
+
+
+AHEAD = {"one": "1.0::DOUBLE", **{f"lag_{i}": f"lag(demand, {i}) OVER ({OVER})::DOUBLE" for i in FC.DAY_AHEAD_LAGS},
+         "hour_sin": """sin(2 * pi() * hour("timestamp") / 24)""", "hour_cos": """cos(2 * pi() * hour("timestamp") / 24)""",
+         "dow_sin": """sin(2 * pi() * isodow("timestamp") / 7)""", "dow_cos": """cos(2 * pi() * isodow("timestamp") / 7)"""}
+AHEAD_NAMES = [*AHEAD, "demand"]
+BACKTEST = [
+    "filled AS (SELECT VendorID, PULocationID, \"timestamp\", coalesce(demand, 0) AS demand FROM full_g)",
+    "known AS (SELECT * FROM (SELECT VendorID, PULocationID, \"timestamp\", CAST(\"timestamp\" AS DATE) AS day, demand, " + ", ".join(f"{x} AS {n}" for n, x in AHEAD.items()) + " FROM filled) WHERE lag_72 IS NOT NULL)",
+    "daily AS (SELECT day, " + ", ".join(f"sum({a} * {b}) AS s_{a}_{b}" for i, a in enumerate(AHEAD_NAMES) for b in AHEAD_NAMES[i:]) + " FROM known GROUP BY 1)",
+    "sofar AS (SELECT day, count(*) OVER w AS days, " + ", ".join(f"sum(s_{a}_{b}) OVER w AS s_{a}_{b}" for i, a in enumerate(AHEAD_NAMES) for b in AHEAD_NAMES[i:])
+    + " FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    "origins AS (SELECT day, days, s_one_one AS rows, " + matrix_sql(AHEAD_NAMES, lambda a, b: f"s_{a}_{b}" if AHEAD_NAMES.index(a) <= AHEAD_NAMES.index(b) else f"s_{b}_{a}") + " AS m FROM sofar WHERE days >= 7)",
+    f"models AS (SELECT day, days, rows, list_transform(m, lambda r: r[{len(AHEAD) + 1}]) AS w FROM {solved('origins', len(AHEAD))})",
+]
+register("rolling_origin", lambda s, d: RG.rolling_origin(FC.day_ahead_features(B.series(s, d)), FC.DAY_AHEAD_FEATURES, "demand", "day", 7)
+         .select("day", "days", "rows", *[F.round(F.col("weights")[i], 6).alias(f"w_{n}") for i, n in enumerate(AHEAD)]),
+         with_tables(*E, B.FULL_GLOBAL, *BACKTEST, select="SELECT day, days, rows::BIGINT AS rows, " + ", ".join(f"round(w[{i}], 6) AS w_{n}" for i, n in enumerate(AHEAD, 1)) + " FROM models"))
+
+
+def _backtest(s, d):
+    scored = FC.rolling_backtest(B.series(s, d), history=7)
+    keyed = scored.withColumn("Series_ID", F.concat_ws("_", *KEYS))
+    return rounded(M.nested_mae(keyed), 6, "mean_mae", "median_mae")
+
+
+register("rolling_backtest", _backtest, with_tables(*E, B.FULL_GLOBAL, *BACKTEST,
+         "day_mae AS (SELECT VendorID, PULocationID, day, avg(abs(demand - (" + " + ".join(f"w[{i}] * {n}" for i, n in enumerate(AHEAD, 1)) + "))) AS mae FROM known JOIN models USING (day) GROUP BY 1, 2, 3)",
+         "series_mae AS (SELECT avg(mae) AS mae FROM day_mae GROUP BY VendorID, PULocationID)",
+         select="SELECT count(*) AS series, round(avg(mae), 6) AS mean_mae, round(quantile_cont(mae, 0.5::DOUBLE), 6) AS median_mae FROM series_mae"))
+
+
 def _scenario(s, d):
     model, rows = FC.lag_regression(int_series(s, d), "demand", ["avg_amount"])
     return FC.scenario_forecast(model, rows, {"avg_amount": 5000.0}).select(*KEYS, "timestamp", "avg_amount", "prediction", "scenario")
