@@ -54,6 +54,8 @@ class Scaled:
     @classmethod
     def of(cls, rows: DataFrame, features: Sequence[str]) -> Scaled:
         found = rows.agg(*[f(F.col(c).cast("double")) for c in features for f in (F.avg, F.stddev_pop)]).first()
+        if found[0] is None:
+            raise ValueError("no rows to fit")
         return cls(list(features), [float(m) for m in found[::2]], [float(s) or 1.0 for s in found[1::2]])
 
     def columns(self) -> list[Column]:
@@ -115,8 +117,6 @@ def mixture_regression(rows: DataFrame, features: Sequence[str], label: str, k:
     z = [*inputs.columns(), F.col(label).cast("double")]
     size = len(z)
     whole = known.agg(F.count("*"), *_products(z)).first()
-    if not whole[0]:
-        raise ValueError("no rows to fit")
     moments = _square(whole[1:], size)
     line = solve(moments[:-1, :-1], moments[:-1, -1])
     spread = math.sqrt(max(moments[-1, -1] - line @ moments[:-1, -1], 0.0) / whole[0]) or 1e-9
@@ -149,6 +149,10 @@ def mixture_regression(rows: DataFrame, features: Sequence[str], label: str, k:
 # --- quantile regression ----------------------------------------------------------------------
 
 
+# Steps go beyond the parabola's lowest point; up to twice as far they don't rise above where they began.
+STRETCH = 1.8
+
+
 @dataclass
 class Quantiles:
     inputs: Scaled
@@ -163,7 +167,7 @@ class Quantiles:
         return df.withColumn("_q", found).select(*df.columns, *[F.col("_q")[i].alias(f"{prefix}{n}") for i, n in enumerate(self.levels)])
 
 
-def quantile_regression(rows: DataFrame, features: Sequence[str], label: str, levels: dict[str, float], rounds: int = 60, tolerance: float = 1e-4) -> Quantiles:
+def quantile_regression(rows: DataFrame, features: Sequence[str], label: str, levels: dict[str, float], rounds: int = 60, tolerance: float = 2e-5) -> Quantiles:
     """Linear quantiles of the label: least mean pinball loss for every level (rising), found together.
 
     The loss is bounded from above by a parabola at every row, of weight 1 / (|residual| + e), so a round is one aggregate
@@ -175,8 +179,6 @@ def quantile_regression(rows: DataFrame, features: Sequence[str], label: str, le
     z, y = inputs.columns(), F.col(label).cast("double")
     zy, size = [*z, y], len(z) + 1
     whole = known.agg(F.count("*"), *_products(zy)).first()
-    if not whole[0]:
-        raise ValueError("no rows to fit")
     moments = _square(whole[1:], size)
     line = solve(moments[:-1, :-1], moments[:-1, -1])
     spread = math.sqrt(max(moments[-1, -1] - line @ moments[:-1, -1], 0.0) / whole[0]) or 1e-9
@@ -195,7 +197,9 @@ def quantile_regression(rows: DataFrame, features: Sequence[str], label: str, le
         for i, q in enumerate(levels.values()):
             at = len(off) + i * each
             m = _square(sums[at : at + each], size)
-            model.weights[i] = solve(m[:-1, :-1], m[:-1, -1] + (2 * q - 1) * ones).tolist()
+            old = np.array(model.weights[i])
+            step = solve(m[:-1, :-1], m[:-1, -1] + (2 * q - 1) * ones) - old
+            model.weights[i] = (old + STRETCH * step).tolist()
         e = max(e / 2, spread / 1000) if done or len(model.losses) % 3 == 0 else e
     return model
 

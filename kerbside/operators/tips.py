@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -97,7 +96,7 @@ def _training_rows(train: DataFrame, features: Sequence[str], *labels: str) -> D
 def _tweedie(rows: DataFrame, power: float, label: str):
     return GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, labelCol=label,
-        featuresCol="features", predictionCol="pred_tweedie", maxIter=25,
+        featuresCol="features", predictionCol="pred_tweedie", maxIter=50, tol=1e-10,
     ).fit(rows)
 
 
@@ -109,9 +108,8 @@ def tip_tweedie(train: DataFrame, features: Sequence[str], power: float = 1.55,
 def tip_hurdle(train: DataFrame, features: Sequence[str]):
     """Two fitted parts: P(tip > 0), and the amount among tipped trips. The training trips are read once."""
     rows = _training_rows(has_tip(train), features, "has_tip", "tip_amount", "fare_amount")
-    gate = LogisticRegression(
-        labelCol="has_tip", featuresCol="features", probabilityCol="gate_probability",
-        rawPredictionCol="gate_raw", predictionCol="gate_class", maxIter=25,
+    gate = GeneralizedLinearRegression(
+        family="binomial", labelCol="has_tip", featuresCol="features", predictionCol="p_tip", maxIter=50, tol=1e-10,
     ).fit(rows)
     assembler = _assembler(features)
     return PipelineModel([assembler, gate]), PipelineModel([assembler, _tweedie(tipped(rows), 1.55, "tip_amount")])
@@ -120,9 +118,8 @@ def tip_hurdle(train: DataFrame, features: Sequence[str]):
 def score_hurdle(models, df: DataFrame) -> DataFrame:
     """p_tip, the amount given a tip, and their product."""
     gate, amount = models
-    df = gate.transform(df).withColumn("p_tip", vector_to_array("gate_probability")[1])
-    df = df.drop("features", "gate_probability", "gate_raw", "gate_class")
-    df = amount.transform(df).withColumnRenamed("pred_tweedie", "amount_given_tip").drop("features")
+    df = amount.transform(gate.transform(df).drop("features"))
+    df = df.withColumnRenamed("pred_tweedie", "amount_given_tip").drop("features")
     return df.withColumn("pred_hurdle", F.col("p_tip") * F.col("amount_given_tip"))
 
 

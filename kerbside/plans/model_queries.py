@@ -27,6 +27,34 @@ from kerbside.plans.series_queries import INT_SERIES, KEYS, OVER, ROLLED, int_se
 
 E = [B.EVENT_TRIPS, B.SERIES]
 
+def solved(table, size):
+    """Least squares in SQL: Gauss-Jordan steps over the matrix m (a list of rows, the right side last) of a table."""
+    for k in range(1, size + 1):
+        step = f"list_transform(m, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = {k} THEN x / m[{k}][{k}] ELSE x - r[{k}] * m[{k}][j] / m[{k}][{k}] END))"
+        table = f"(SELECT * REPLACE ({step} AS m) FROM {table})"
+    return table
+
+
+def matrix_sql(names, sums):
+    """The normal equations' matrix from the sums of products of the named columns (the label last)."""
+    return "[" + ", ".join("[" + ", ".join(sums(a, b) for b in names) + "]" for a in names[:-1]) + "]"
+
+
+def reweighted(table, inputs, label, start, mean, weight, steps=30):
+    """A recursive fit(it, w): iteratively reweighted least squares over a table, from the link's ``start``.
+
+    mean and weight are expressions of the linear predictor eta and of mu.
+    """
+    names = [*inputs, "z"]
+    eta = " + ".join(f"w[{i}] * x_{n}" for i, n in enumerate(inputs, 1))
+    rows = f"""(SELECT it, mu, eta, {weight} AS v, {label} AS y, {", ".join(f"x_{n}" for n in inputs)} FROM
+      (SELECT *, {mean} AS mu FROM (SELECT *, {eta} AS eta FROM {table}, fit WHERE it < {steps})))"""
+    z = {**{n: f"x_{n}" for n in inputs}, "z": "(eta + (y - mu) / {slope})"}
+    return lambda slope: f"""fit(it, w) AS (SELECT 0, [{start}{", 0.0::DOUBLE" * (len(inputs) - 1)}] FROM {table} UNION ALL
+      SELECT it + 1, list_transform(m, lambda r: r[{len(names)}]) FROM {solved(f"(SELECT it, {matrix_sql(names, lambda a, b: f'sum(v * {z[a]} * {z[b].format(slope=slope)})')} AS m FROM {rows} GROUP BY it)", len(inputs))}),
+      last_fit AS (SELECT w FROM fit ORDER BY it DESC LIMIT 1)"""
+
+
 # --- tips ------------------------------------------------------------------------------
 
 GEO = ["pickup_longitude", "pickup_latitude", "dropoff_longitude", "dropoff_latitude"]
@@ -98,7 +126,16 @@ def _tweedie(s, d):
     return TP.tip_tweedie(rows.where("part = 'train'"), TIP_INPUTS).transform(rows.where("part = 'test'")).drop("features")
 
 
-register("tip_tweedie", _tweedie)
+X_TIPS = {"one": "1.0::DOUBLE", "fare": "fare_amount / 1e6::DOUBLE", "trip_distance": "trip_distance::DOUBLE", "VendorID": "VendorID::DOUBLE"}
+TIPPING = f"""tipping AS (SELECT l_orderkey, l_linenumber, {PART} AS part, VendorID, fare_amount / 1e6::DOUBLE AS fare, trip_distance, fare_amount,
+  tip_amount / 100.0::DOUBLE AS tip_amount, {", ".join(f"{x} AS x_{n}" for n, x in X_TIPS.items())} FROM trips)"""
+LINEAR = " + ".join(f"w[{i}] * x_{n}" for i, n in enumerate(X_TIPS, 1))
+TWEEDIE = reweighted("fitted", X_TIPS, "tip_amount", "ln(avg(tip_amount))", "exp(eta)", "pow(mu, 0.45::DOUBLE)")("mu")
+RECURSIVE = "WITH RECURSIVE "
+TIP_COLUMNS = "l_orderkey, l_linenumber, part, VendorID, fare, trip_distance, fare_amount, tip_amount"
+register("tip_tweedie", lambda s, d: rounded(_tweedie(s, d), 2, "pred_tweedie"),
+         with_tables(B.TRIPS, TIPPING, "fitted AS (SELECT * FROM tipping WHERE part = 'train')", TWEEDIE,
+                     select=f"SELECT {TIP_COLUMNS}, round(exp({LINEAR}), 2) AS pred_tweedie FROM tipping, last_fit WHERE part = 'test'").replace("WITH ", RECURSIVE, 1))
 N_PARTS = f"""n AS (SELECT count(*) FILTER ({PART} = 'train') AS fitted, count(*) FILTER ({PART} = 'test') AS scored FROM trips)"""
 
 
@@ -130,7 +167,18 @@ def _hurdle(s, d):
     return TP.mixed_prediction(scored.join(TP.tip_probability(rows.where("part = 'train'")), "VendorID", "left"))
 
 
-register("tip_hurdle", _hurdle)
+LOGIT = reweighted("seen", X_TIPS, "has_tip", "ln(avg(has_tip) / (1 - avg(has_tip)))", "1 / (1 + exp(-eta))", "mu * (1 - mu)")("(mu * (1 - mu))")
+HURDLE = [
+    "seen AS (SELECT *, CASE WHEN tip_amount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_tip FROM tipping WHERE part = 'train')",
+    LOGIT.replace("fit(it, w)", "gate_fit(it, w)").replace(", fit WHERE", ", gate_fit WHERE").replace("last_fit", "gate").replace("FROM fit ORDER", "FROM gate_fit ORDER"),
+    "fitted AS (SELECT * FROM tipping WHERE part = 'train' AND tip_amount > 0 AND fare_amount > 0)", TWEEDIE,
+    "base AS (SELECT VendorID AS v, avg(has_tip) AS base_prob FROM seen GROUP BY 1)",
+    f"""scored AS (SELECT {TIP_COLUMNS}, base_prob, 1 / (1 + exp(-({LINEAR.replace('w[', 'g.w[')}))) AS p_tip, exp({LINEAR.replace('w[', 'a.w[')}) AS amount
+      FROM tipping CROSS JOIN gate g CROSS JOIN last_fit a LEFT JOIN base ON v = VendorID WHERE part = 'test')""",
+]
+register("tip_hurdle", lambda s, d: rounded(rounded(_hurdle(s, d), 6, "p_tip", "base_prob"), 0, "amount_given_tip", "pred_hurdle", "pred_mixed"),
+         with_tables(B.TRIPS, TIPPING, *HURDLE, select=f"""SELECT {TIP_COLUMNS}, round(base_prob, 6) AS base_prob, round(p_tip, 6) AS p_tip, round(amount, 0) AS amount_given_tip,
+           round(p_tip * amount, 0) AS pred_hurdle, round(base_prob * amount, 0) AS pred_mixed FROM scored""").replace("WITH ", RECURSIVE, 1))
 
 
 def _hurdle_equations(s, d):
@@ -418,7 +466,7 @@ def _lag_regression(s, d):
     return model.transform(rows).select(*KEYS, "timestamp", "demand", "prediction")
 
 
-register("lag_regression_rows", _lag_regression)
+
 
 
 def _moments(s, d):
@@ -434,7 +482,15 @@ INPUTS = {
     "hour_sin": """sin(2 * pi() * hour("timestamp") / 24)""", "hour_cos": """cos(2 * pi() * hour("timestamp") / 24)""",
     "dow_sin": """sin(2 * pi() * isodow("timestamp") / 7)""", "dow_cos": """cos(2 * pi() * isodow("timestamp") / 7)""", "avg_amount": "avg_amount",
 }
-register("lag_regression", _moments, with_tables(*E, INT_SERIES, "x AS (SELECT demand, " + ", ".join(f"{x} AS x_{n}" for n, x in INPUTS.items()) + " FROM s)",
+LAGGED = [
+    "x AS (SELECT *, " + ", ".join(f"({x})::DOUBLE AS x_{n}" for n, x in INPUTS.items()) + " FROM s)",
+    "normal AS (SELECT " + matrix_sql([*INPUTS, "label"], lambda a, b: f"sum(x_{a} * {'demand' if b == 'label' else f'x_{b}'})") + " AS m FROM x)",
+    f"model_ AS (SELECT list_transform(m, lambda r: r[{len(INPUTS) + 1}]) AS w FROM {solved('normal', len(INPUTS))})",
+]
+FITTED = "(" + " + ".join(f"w[{i}] * x_{n}" for i, n in enumerate(INPUTS, 1)) + ")"
+register("lag_regression", lambda s, d: rounded(_lag_regression(s, d), 6, "prediction"),
+         with_tables(*E, INT_SERIES, *LAGGED, select=f"""SELECT VendorID, PULocationID, "timestamp", demand, round({FITTED}, 6) AS prediction FROM x, model_"""))
+register("lag_regression_facts", _moments, with_tables(*E, INT_SERIES, "x AS (SELECT demand, " + ", ".join(f"{x} AS x_{n}" for n, x in INPUTS.items()) + " FROM s)",
          select="SELECT count(*) AS rows, " + ", ".join(f"round(avg(demand::DOUBLE * x_{n}), 4) AS by_{n}" for n in INPUTS) + " FROM x"))
 
 
@@ -483,19 +539,6 @@ register("quantile_model_scores", _quantile_scores)
 register("direct_forecast", lambda s, d: FC.direct_forecast(B.series(s, d)))
 
 
-def solved(table, size):
-    """Least squares in SQL: Gauss-Jordan steps over the matrix m (a list of rows, the right side last) of a table."""
-    for k in range(1, size + 1):
-        step = f"list_transform(m, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = {k} THEN x / m[{k}][{k}] ELSE x - r[{k}] * m[{k}][j] / m[{k}][{k}] END))"
-        table = f"(SELECT * REPLACE ({step} AS m) FROM {table})"
-    return table
-
-
-def matrix_sql(names, sums):
-    """The normal equations' matrix from the sums of products of the named columns (the label last)."""
-    return "[" + ", ".join("[" + ", ".join(sums(a, b) for b in names) + "]" for a in names[:-1]) + "]"
-
-
 AHEAD = {"one": "1.0::DOUBLE", **{f"lag_{i}": f"lag(demand, {i}) OVER ({OVER})::DOUBLE" for i in FC.DAY_AHEAD_LAGS},
          "hour_sin": """sin(2 * pi() * hour("timestamp") / 24)""", "hour_cos": """cos(2 * pi() * hour("timestamp") / 24)""",
          "dow_sin": """sin(2 * pi() * isodow("timestamp") / 7)""", "dow_cos": """cos(2 * pi() * isodow("timestamp") / 7)"""}
@@ -531,7 +574,10 @@ def _scenario(s, d):
     return FC.scenario_forecast(model, rows, {"avg_amount": 5000.0}).select(*KEYS, "timestamp", "avg_amount", "prediction", "scenario")
 
 
-register("scenario_forecast_rows", _scenario)
+
+register("scenario_forecast", lambda s, d: rounded(_scenario(s, d), 6, "prediction", "scenario"),
+         with_tables(*E, INT_SERIES, *LAGGED, select=f"""SELECT VendorID, PULocationID, "timestamp", avg_amount, round({FITTED}, 6) AS prediction,
+           round({FITTED} + w[{list(INPUTS).index('avg_amount') + 1}] * (5000 - avg_amount), 6) AS scenario FROM x, model_"""))
 
 
 def _scenario_shift(s, d):
@@ -544,7 +590,7 @@ def _scenario_shift(s, d):
         F.count_if(F.abs(F.col("shift") - F.col("_slope") * F.col("change")) > 1e-6).alias("off"), F.count_if((F.col("change") == 0) & (F.col("shift") != 0)).alias("moved"))
 
 
-register("scenario_forecast", _scenario_shift, with_tables(*E, INT_SERIES, select="""SELECT count(*) AS rows, round(avg(avg_amount), 4) AS avg_amount, round(avg(demand), 4) AS prediction,
+register("scenario_forecast_facts", _scenario_shift, with_tables(*E, INT_SERIES, select="""SELECT count(*) AS rows, round(avg(avg_amount), 4) AS avg_amount, round(avg(demand), 4) AS prediction,
   0::BIGINT AS off, 0::BIGINT AS moved FROM s"""))
 
 # --- geography -------------------------------------------------------------------------------------
