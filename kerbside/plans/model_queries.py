@@ -511,7 +511,7 @@ def _since(series, share):
     """The instant after a share of the table's time, on the hour."""
     ends = series.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
     hours = int((ends.b - ends.a).total_seconds() // 3600 * share)
-    return F.lit(ends.a).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hours))
+    return F.lit(str(ends.a)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hours))
 
 
 def _quantile_model(s, d):

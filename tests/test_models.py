@@ -213,10 +213,10 @@ def test_boosted_hurdle_beats_the_linear_one(spark):
 def test_boosted_lags_beat_the_linear_model(spark):
     hours = F.col("id")
     jumpy = spark.range(1500).select(
-        F.lit(1).alias("VendorID"), F.lit(2).alias("PULocationID"), (F.lit(DAY) + F.make_dt_interval(F.lit(0), hours.cast("int"))).cast("timestamp_ntz").alias("timestamp"),
+        F.lit(1).alias("VendorID"), F.lit(2).alias("PULocationID"), (F.lit(str(DAY)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours.cast("int"))).alias("timestamp"),
         (F.when(hours % 24 == 8, 60).when(hours % 24 == 17, 35).otherwise(3) + F.hash("id") % 3).cast("int").alias("demand"),
     )
-    val, test = (F.lit(DAY + dt.timedelta(hours=h)).cast("timestamp_ntz") for h in (1000, 1200))
+    val, test = (F.lit(str(DAY + dt.timedelta(hours=h))).cast("timestamp_ntz") for h in (1000, 1200))
     trees = FC.lag_boosted(jumpy, val, test)
     model, rows = FC.lag_regression(jumpy.where(F.col("timestamp") < test))
     lines = model.transform(FC.lag_features_for_regression(jumpy)).where(F.col("timestamp") >= test)
