@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kerbside.functions.time import trunc_grain
 from kerbside.operators import grid as G
 from kerbside.operators import lookup as J
 from kerbside.operators import rollup as A
+from kerbside.operators import sketches as SK
 from kerbside.operators import stats as ST
 from kerbside.plans import bindings as B
 from kerbside.scratch import cut_lineage
@@ -383,3 +385,20 @@ register("density_histogram", lambda s, d: ST.density_histogram(B.event_trips(s,
 register("density_histogram_range", lambda s, d: ST.density_histogram(B.event_trips(s, d), ["VendorID"], "total_amount", 50, 1000, 10000),
          with_tables(B.EVENT_TRIPS, select="""SELECT VendorID, CAST(CASE WHEN total_amount < 1000 THEN -1 WHEN total_amount >= 10000 THEN 50 ELSE floor((total_amount - 1000) * 50 / 9000.0::DOUBLE) END AS INTEGER) AS bin,
            count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY VendorID) AS share FROM trips_e GROUP BY 1, 2"""))
+
+
+def _sketched(s, d):
+    """Box statistics of two vendors over five years, from monthly states in the shared folder alone."""
+    month = trunc_grain("pickup_datetime", "month").alias("month")
+    state = cut_lineage(SK.quantile_state(B.trips(s, d).select("*", month), ["month", "VendorID"], BOX))
+    return SK.sketched_box_stats(state.where("month < timestamp_ntz'1997-01-01'"), BOX, ["VendorID"])
+
+
+register("sketched_box_stats", _sketched)
+POINTS = 200
+register("density_curve", lambda s, d: rounded(rounded(SK.density_curve(B.event_trips(s, d), ["VendorID"], "total_amount", POINTS), 6, "x"), 12, "density"),
+         with_tables(B.EVENT_TRIPS, """ends AS (SELECT VendorID, count(*) AS n, min(total_amount) AS a, max(total_amount) AS b, stddev_samp(total_amount) * pow(count(*), -0.2::DOUBLE) AS h FROM trips_e GROUP BY 1)""",
+                     f"""grid AS (SELECT *, a - 3 * h AS low, (b - a + 6 * h) / {POINTS - 1} AS step FROM ends WHERE h > 0)""",
+                     """bins AS (SELECT VendorID, floor((total_amount - low) / step + 0.5::DOUBLE) AS i, count(*) AS w FROM trips_e JOIN grid USING (VendorID) GROUP BY 1, 2)""",
+                     f"""curve AS (SELECT VendorID, j, low + j * step AS x, step, sum(w * exp(-pow((j - i) * step / h, 2) / 2)) AS d FROM grid JOIN bins USING (VendorID), range({POINTS}) t(j) GROUP BY ALL)""",
+                     select="SELECT VendorID, round(x, 6) AS x, round(d / (sum(d) OVER (PARTITION BY VendorID) * step), 12) AS density FROM curve"))
