@@ -296,3 +296,25 @@ def _streamed(s, d):
 
 
 register("hourly_series_stream", _streamed, with_tables(*E, select="SELECT * FROM series"))
+
+
+def _stateful(s, d):
+    """All event trips as a file stream through the stateful moving average; one far-off trip closes the last hours."""
+    from kerbside.scratch import scratch_dir
+    from kerbside.streaming.forecast import moving_average_stream, use_rocksdb
+    from kerbside.streaming.hourly import write_stream
+
+    source, out = scratch_dir(s, "state-in"), scratch_dir(s, "state-out")
+    trips = B.event_trips(s, d).select(*KEYS, "pickup_datetime")
+    trips.write.parquet(source)
+    use_rocksdb(s)
+    schema, state = trips.schema, f"{out}-state"
+    write_stream(moving_average_stream(s.readStream.schema(schema).parquet(source), "1000 days"), out, state).awaitTermination()
+    end = trips.agg((F.max("pickup_datetime") + F.make_dt_interval(F.lit(2000))).alias("pickup_datetime"))
+    end.select(*[F.lit(-1).cast("int").alias(k) for k in KEYS], "pickup_datetime").write.mode("append").parquet(source)
+    write_stream(moving_average_stream(s.readStream.schema(schema).parquet(source), "1000 days"), out, state).awaitTermination()
+    return s.read.parquet(out)
+
+
+register("moving_average_stream", _stateful, with_tables(*E, B.FULL, select=f"""SELECT VendorID, PULocationID, "timestamp", coalesce(demand, 0) AS demand,
+           avg(coalesce(demand, 0)) OVER {BEFORE5} AS prediction FROM full_"""))
