@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kerbside.scratch import cut_lineage
+
 # Accuracy of the sketch that brackets a rank: it is off by at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
-# Up to so many values a bracket is the whole group; beyond, one rank is less than 1 / ACCURACY of the rows.
-BRACKETED = 200_000
+# Up to so many values a bracket is the whole group; beyond, the sketch's slack is several rows.
+BRACKETED = 20_000
+# Rows that a window sorts at most, about.
+WINDOW_ROWS = 100_000
 
 Rank = tuple[float, Callable[[Column], Column]]
 
@@ -19,16 +24,44 @@ def linear(p: float) -> Rank:
     return p, lambda total: F.lit(float(p)) * (total - 1)
 
 
-def _brackets(values: Column, ranks: Sequence[Rank]) -> Column:
-    """(total, lows, highs): values between which each rank's value lies, one pair per rank."""
+def _same(a: Sequence[str], b: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(a, b):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
+def _bracket(values: Column, p: float) -> Column:
+    """Two values of a group between which that of a rank lies."""
     slack = 3 / ACCURACY
-    ends = [max(0.0, p - slack) for p, _ in ranks] + [min(1.0, p + slack) for p, _ in ranks]
-    sketch = F.percentile_approx(values, ends, ACCURACY)
-    k = len(ranks)
-    return F.struct(
-        F.count(values).alias("total"), F.min(values).alias("min"), F.max(values).alias("max"), *[sketch[i].alias(f"lo{i}") for i in range(k)],
-        *[sketch[k + i].alias(f"hi{i}") for i in range(k)],
-    )
+    sketch = F.percentile_approx(values, [max(0.0, p - slack), min(1.0, p + slack)], ACCURACY)
+    small = F.count(values) <= BRACKETED
+    return F.struct(F.when(small, F.min(values)).otherwise(sketch[0]).alias("lo"), F.when(small, F.max(values)).otherwise(sketch[1]).alias("hi"))
+
+
+def dealt_by_range(df: DataFrame, parts: int, order: Sequence[str]) -> DataFrame:
+    """The rows with _part, the number of their range in the given order; ranges hold about as many rows."""
+    return cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_totals(counted: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """Adds _end, the sum of n over the rows of equal keys up to the value; values of a group differ.
+
+    Where there are more rows than a window should sort they are dealt by range, so that a window holds one part of
+    a group, and the sums of the parts before, one row each, are added.
+    """
+    stored = cut_lineage(counted)
+    rows = stored.count()
+    if rows <= WINDOW_ROWS:
+        return stored.withColumn("_end", F.sum(n).over(Window.partitionBy(*keys).orderBy(value)))
+    dealt = dealt_by_range(stored, math.ceil(rows / WINDOW_ROWS), [*keys, value])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum(n).alias("_sum"))
+    named = {k: f"_p{i}" for i, k in enumerate([*keys, "_part"])}
+    bases = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").withColumnsRenamed(named)
+    inside = F.sum(n).over(Window.partitionBy(*keys, "_part").orderBy(value))
+    met = dealt.withColumn("_run", inside).join(bases, _same(list(named), list(named.values())))
+    return met.withColumn("_end", F.col("_base") + F.col("_run")).drop("_part", "_run", "_base", *named.values())
 
 
 def order_statistics(
@@ -42,61 +75,65 @@ def order_statistics(
     are found among the values as they are, so large whole numbers are told apart.
     A group or column without values gives no row.
 
-    The data is read twice. A sketch brackets every rank between two values; then
-    all values outside of the brackets are only counted, and those inside are counted value
-    by value. So a sorted window holds, per group and column, a share of 1 / ACCURACY of the
-    rows at most for large groups, whatever the values' range, and equal values are one row.
+    A sketch brackets every rank between two values. A second aggregate counts the values below each bracket, a third
+    those inside, value by value; only these, a share of 1 / ACCURACY of large groups, leave the first tasks as rows. Their running totals
+    give the ranks, by windows of about WINDOW_ROWS rows at most, whatever the size of the table. The brackets' rows are written
+    when the statistics are asked for.
     """
     extra = extra or {}
-    keys = [f"_k{i}" for i in range(len(by))]
+    keys, others = [f"_k{i}" for i in range(len(by))], [f"_t{i}" for i in range(len(by))]
     names = [f"_v{i}" for i in range(len(cols))]
     values = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], *[F.col(c).alias(v) for c, v in zip(cols, names)])
-    found = [_brackets(F.col(v), list(ranks.values())).alias(f"_s{v}") for v in names]
-    more = [f(F.col(v)).alias(f"_x{v}{e}") for v in names for e, f in extra.items()]
-    sketched = values.groupBy(*keys).agg(*found, *more)
+    each = [(i, k, v, p) for i, v in enumerate(names) for k, (p, _) in enumerate(ranks.values())]
+    found = [_bracket(F.col(v), p).alias(f"_b{i}_{k}") for i, k, v, p in each]
+    totals = [F.count(v).alias(f"_n{i}") for i, v in enumerate(names)]
+    more = [f(F.col(v)).alias(f"_x{i}_{e}") for i, v in enumerate(names) for e, f in extra.items()]
+    sketched = cut_lineage(values.groupBy(*keys).agg(*found, *totals, *more))
+    brackets = sketched.select(*[F.col(k).alias(t) for k, t in zip(keys, others)], *[f"_b{i}_{k}" for i, k, *_ in each])
+    if keys:
+        met, low = values.join(brackets, _same(keys, others)), {(i, k): (F.col(f"_b{i}_{k}.lo"), F.col(f"_b{i}_{k}.hi")) for i, k, *_ in each}
+    else:
+        row = brackets.first()
+        met, low = values, {(i, k): (F.lit(row[f"_b{i}_{k}"].lo), F.lit(row[f"_b{i}_{k}"].hi)) for i, k, *_ in each}
+    below = met.groupBy(*keys).agg(*[F.count_if(F.col(v) < low[i, k][0]).alias(f"_u{i}_{k}") for i, k, v, _ in each])
+
+    kinds = {values.schema[v].dataType.simpleString() for v in names}
+    wide = (lambda x: x) if len(kinds) == 1 else (lambda x: x.cast("double"))
+    inside = [
+        F.when((F.col(v) >= low[i, k][0]) & (F.col(v) <= low[i, k][1]), F.struct(F.lit(i).alias("_c"), F.lit(k).alias("_k"), wide(F.col(v)).alias("_v")))
+        for i, k, v, _ in each
+    ]
+    entries = met.select(*keys, F.explode(F.array(*inside)).alias("e")).where("e is not null").select(*keys, "e.*")
+    place = [*keys, "_c", "_k"]
+    ranked = running_totals(entries.groupBy(*place, "_v").agg(F.count("*").alias("_n")), place, "_v", "_n")
+
+    # a row for each group, column and rank: total, values below the bracket, and the position asked for
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.lit(k).alias("_k"), F.col(f"_n{i}").alias("total"), F.col(f"_u{i}_{k}").alias("_under"), r.cast("double").alias("_at"))
+        for i, k, *_ in each for r in [list(ranks.values())[k][1](F.col(f"_n{i}"))]
+    ])
+    counts = sketched.select(*keys, *[f"_n{i}" for i in range(len(names))])
     if keys:
-        other = sketched.select(*[F.col(k).alias(f"t{k}") for k in keys], *[f"_s{v}" for v in names])
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
-        met, sketch_of = values.join(other, same), {v: F.col(f"_s{v}") for v in names}
+        counts = counts.withColumnsRenamed(dict(zip(keys, others))).join(below, _same(keys, others)).drop(*others)
     else:
-        row = sketched.select(F.struct(*[f"_s{v}" for v in names])).scalar()
-        met, sketch_of = values, {v: row[f"_s{v}"] for v in names}
-
-    def entry(i: int, v: str) -> Column:
-        s, x = sketch_of[v], F.col(v)
-        inside, below = s["total"] <= BRACKETED, F.lit(0)
-        for k in range(len(ranks)):
-            inside = inside | ((x >= s[f"lo{k}"]) & (x <= s[f"hi{k}"]))
-            below = below + F.when(x >= s[f"lo{k}"], 1).otherwise(0)
-        wide = x if len(cols) == 1 else x.cast("double")
-        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("c"), F.when(inside, wide).alias("v"), F.when(~inside, below).alias("gap"), wide.alias("x")))
-
-    entries = F.array(*[entry(i, v) for i, v in enumerate(names)])
-    counted = met.select(*keys, F.explode(entries).alias("e")).where("e is not null").groupBy(*keys, F.col("e.c").alias("_c"), F.col("e.v").alias("_v"), F.col("e.gap").alias("_gap")).agg(
-        F.count("*").alias("_n"), F.min("e.x").alias("_x")
+        counts = counts.withColumns({c: F.lit(n) for c, n in below.first().asDict().items()})
+    wanted = counts.select(*[F.col(k).alias(t) for k, t in zip(keys, others)], F.explode(asked).alias("a")).select(
+        *others, F.col("a._c").alias("_tc"), F.col("a._k").alias("_tk"), "a.total", "a._under", "a._at"
     )
-    whole = Window.partitionBy(*keys, "_c")
-    ranked = counted.withColumns({"total": F.sum("_n").over(whole), "_end": F.sum("_n").over(whole.orderBy("_x"))}).withColumn("_start", F.col("_end") - F.col("_n"))
+    held = ranked.join(F.broadcast(wanted) if not keys else wanted, _same([*keys, "_c", "_k"], [*others, "_tc", "_tk"]))
+    start, end = F.col("_under") + F.col("_end") - F.col("_n"), F.col("_under") + F.col("_end")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_v"))).cast("double")
+    def at(position: Column) -> Column:
+        return F.max(F.when((position >= start) & (position < end), F.col("_v"))).cast("double")
 
-    out = []
-    for name, (_, rank) in ranks.items():
-        r = rank(F.col("total"))
-        low, high = at(F.floor(r)), at(F.ceil(r))
-        out.append(F.when(low == high, low).otherwise(low + (high - low) * F.max(r - F.floor(r))).alias(name))
+    ends = held.groupBy(*place).agg(F.max("total").alias("total"), F.max("_at").alias("_at"), at(F.floor("_at")).alias("_low"), at(F.ceil("_at")).alias("_high"))
+    value = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at")))
     label = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_c") + 1)
-    picked = ranked.groupBy(*keys, "_c").agg(F.max("total").alias("total"), *out).withColumn("label", label)
+    picked = ends.groupBy(*keys, "_c").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("_k") == k, value)).alias(n) for k, n in enumerate(ranks)]).withColumn("label", label)
     if extra:
-        packed = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), *[F.col(f"_x{v}{e}").alias(e) for e in extra]) for i, v in enumerate(names)]))
-        long = sketched.select(*[F.col(k).alias(f"t{k}") for k in keys], packed.alias("_e")).select(*[f"t{k}" for k in keys], "_e.*")
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
-        picked = picked.join(long.withColumnRenamed("_c", "_tc"), same & (F.col("_c") == F.col("_tc")))
+        packed = F.explode(F.array(*[F.struct(F.lit(i).alias("_tc"), *[F.col(f"_x{i}_{e}").alias(e) for e in extra]) for i in range(len(names))]))
+        long = sketched.select(*[F.col(k).alias(t) for k, t in zip(keys, others)], packed.alias("_e")).select(*others, "_e.*")
+        picked = picked.join(long, _same([*keys, "_c"], [*others, "_tc"]))
     return picked.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "label", "total", *ranks, *extra)
 
 

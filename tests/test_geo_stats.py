@@ -237,3 +237,24 @@ def test_distance_of_unknown_zones_is_null(spark):
     zones = spark.createDataFrame(zone_table(2), "zone INT, lat DOUBLE, lon DOUBLE")
     got = {(r.a, r.b): r.metres for r in GE.pair_distances(pairs, zones, "a", "b").collect()}
     assert got[1, 1] == 0 and got[1, 99] is None and got[1, 2] > 0
+
+
+@pytest.mark.parametrize("n", [3_000, 30_000])
+def test_windows_of_order_statistics_do_not_grow(spark, monkeypatch, n):
+    """The same results, and parts of the same size, whatever the size of the table."""
+    monkeypatch.setattr(ST, "WINDOW_ROWS", 500)
+    monkeypatch.setattr(ST, "BRACKETED", 10**9)  # every distinct value is a row of the window
+    rng = np.random.default_rng(n)
+    values, groups = rng.normal(0, 10, n).round(3), rng.integers(0, 2, n)
+    df = spark.createDataFrame([(int(g) or None, float(v)) for g, v in zip(groups, values)], "k int, v double")
+    probs = {"low": 0.013, "mid": 0.5, "high": 0.999}
+    got = {r.k: [r.low, r.mid, r.high] for r in ST.quantiles(df, ["k"], "v", probs).collect()}
+    for k in (None, 1):
+        assert np.allclose(got[k], np.quantile(values[groups == (k or 0)], list(probs.values())), atol=1e-12)
+    counted = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    parts = ST.dealt_by_range(counted, -(-counted.count() // 500), ["k", "v"]).groupBy("k", "_part").count()
+    assert parts.agg(F.max("count")).first()[0] < 1500
+    totals = {(r.k, r.v): r._end for r in ST.running_totals(counted, ["k"], "v", "n").collect()}
+    for k in (None, 1):
+        own = np.sort(values[groups == (k or 0)])
+        assert all(totals[k, v] == np.searchsorted(own, v, side="right") for v in own[::97])
