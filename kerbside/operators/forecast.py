@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -100,34 +99,40 @@ def sample_quantiles(samples: DataFrame, value: str, name: str, keys=("Series_ID
     return quantiles(samples, keys, value, {f"pred_{name}_{p}": q for p, q in LEVELS.items()}).drop("total")
 
 
-SLOT = ("_dow", "_hour")
+def _slots(ts: str = "timestamp") -> list[Column]:
+    """Numbers of an instant's hour of the week, its hour of the day, and of all time: the levels of a profile."""
+    return [iso_weekday(ts) * 24 + F.hour(ts), F.lit(1000) + F.hour(ts), F.lit(-1)]
 
 
-def with_profile(rows: DataFrame, history: DataFrame, targets: dict[str, str], keys=KEYS) -> DataFrame:
+def with_profile(
+    rows: DataFrame, history: DataFrame, targets: dict[str, str], keys=KEYS, levels: Column | None = None, overall: bool = True
+) -> DataFrame:
     """pred_<name>_p10 / p50 / p90 of the value columns at each row's time, never empty where there is any value.
 
     The quantiles are those of the series at the row's hour of the week; where it has no
-    value then, those of the hour of the day, then of the whole series, then of all series.
-    targets maps output names to value columns.
+    value then, those of the hour of the day, then of the whole series, then (with ``overall``) of all series.
+    targets maps output names to value columns. levels, an array of history's, replaces the numbers of the levels that a row counts for.
+
+    One aggregate makes the quantiles of all levels; a series' levels, 193 at most, become one row that its rows are joined with.
     """
-    levels = F.array(*[F.lit(q) for q in LEVELS.values()])
-    slots = {"_dow": iso_weekday("timestamp"), "_hour": F.hour("timestamp")}
-    whole = order_statistics(history, [], list(dict.fromkeys(targets.values())), {p: linear(q) for p, q in LEVELS.items()})
-    found = F.array(*[F.col(p) for p in LEVELS])
-    overall = whole.agg(F.struct(*[F.max(F.when(F.col("label") == v, found)).alias(name) for name, v in targets.items()])).scalar()
-    # below the joins, so the subquery is planned and run once
-    past, out = history.withColumns(slots), rows.withColumns({**slots, "_overall": overall})
-    chain: dict[str, list[Column]] = {name: [] for name in targets}
-    for step_, by in enumerate(([*keys, *SLOT], [*keys, "_hour"], [*keys])):
-        named = {c: f"_{step_}{c}" for c in by}
-        profile = past.groupBy(*by).agg(*[F.percentile(v, levels).alias(f"_{step_}_{name}") for name, v in targets.items()])
-        on = F.lit(True)
-        for c, n in named.items():
-            on = on & F.col(c).eqNullSafe(F.col(n))
-        out = out.join(profile.withColumnsRenamed(named), on, "left")
-        for name in targets:
-            chain[name].append(F.col(f"_{step_}_{name}"))
-    picked = [F.coalesce(*c, F.col("_overall")[t])[i].alias(f"pred_{t}_{p}") for t, c in chain.items() for i, p in enumerate(LEVELS)]
+    shares = F.array(*[F.lit(q) for q in LEVELS.values()])
+    counted = history.select(*keys, *dict.fromkeys(targets.values()), F.explode(levels if levels is not None else F.array(*_slots())).alias("_slot"))
+    profile = counted.groupBy(*keys, "_slot").agg(*[F.percentile(v, shares).alias(f"_{n}") for n, v in targets.items()])
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    found = profile.groupBy(*keys).agg(*[
+        F.map_from_entries(F.collect_list(F.when(F.col(f"_{n}").isNotNull(), F.struct("_slot", f"_{n}")))).alias(f"_{n}") for n in targets
+    ]).withColumnsRenamed(named)
+    on = F.lit(True)
+    for k, n in named.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    out = rows.join(found, on, "left")
+    last: dict[str, Column] = {}
+    if overall:
+        whole = order_statistics(history, [], list(dict.fromkeys(targets.values())), {p: linear(q) for p, q in LEVELS.items()})
+        ever = {r.label: [r[p] for p in LEVELS] for r in whole.collect()}
+        last = {n: F.array(*[F.lit(x) for x in ever[v]]) for n, v in targets.items() if v in ever}
+    chain = {n: F.coalesce(*[F.try_element_at(F.col(f"_{n}"), slot) for slot in _slots()], *([last[n]] if n in last else [])) for n in targets}
+    picked = [q[i].alias(f"pred_{n}_{p}") for n, q in chain.items() for i, p in enumerate(LEVELS)]
     return out.select(*rows.columns, *picked)
 
 
@@ -156,30 +161,18 @@ def forecast(series: DataFrame, router: DataFrame, horizon: int = 24) -> DataFra
     naive = seasonal_naive(
         routed.where((F.col("segment") == "BASELINE") & (F.col("timestamp") > newest - step(72 * 3600))).drop("segment"), horizon
     )
-    parts = [naive]
-    for segment, recent in SEGMENT_HISTORY.items():
-        past = routed.where(F.col("segment") == segment)
-        if recent is not None:
-            past = past.where(F.col("timestamp") > newest - step(recent * 3600))
-        ahead = horizon_rows(past, horizon)
-        if segment == "LOW":
-            # one profile of the day for all weekdays
-            parts.append(hour_of_day_quantiles(ahead, past))
-        else:
-            parts.append(with_profile(ahead, past, {"demand": "demand"}))
-    demand = reduce(DataFrame.unionByName, parts)
-    full = with_profile(demand, series, {"amount": "avg_amount", "distance": "avg_distance"})
-    return clean_forecast(full.withColumn("Series_ID", series_key("VendorID", "PULocationID")), ["demand", "amount", "distance"])
-
-
-def hour_of_day_quantiles(rows: DataFrame, history: DataFrame, value: str = "demand", name: str = "demand", keys=KEYS) -> DataFrame:
-    """pred_<name>_p10 / p50 / p90 of history's values at the hour of the given rows, else of the series."""
-    levels = F.array(*[F.lit(q) for q in LEVELS.values()])
-    by_hour = history.groupBy(*keys, F.hour("timestamp").alias("_hour")).agg(F.percentile(value, levels).alias("_at_hour"))
-    whole = history.groupBy(*keys).agg(F.percentile(value, levels).alias("_ever"))
-    at = rows.withColumn("_hour", F.hour("timestamp")).join(by_hour, [*keys, "_hour"], "left").join(whole, list(keys), "left")
-    q = F.coalesce("_at_hour", "_ever")
-    return at.select(*rows.columns, *[q[i].alias(f"pred_{name}_{p}") for i, p in enumerate(LEVELS)])
+    recent = F.lit(False)
+    for segment, length in SEGMENT_HISTORY.items():
+        new = F.lit(True) if length is None else F.col("timestamp") > newest - step(length * 3600)
+        recent = recent | ((F.col("segment") == segment) & new)
+    past = routed.where(recent)
+    # LOW series have one profile of the day for all weekdays
+    levels = F.when(F.col("segment") == "LOW", F.array(*_slots()[1:])).otherwise(F.array(*_slots()))
+    modelled = with_profile(horizon_rows(past, horizon), past, {"demand": "demand"}, levels=levels, overall=False)
+    full = with_profile(naive.unionByName(modelled), series, {"amount": "avg_amount", "distance": "avg_distance"})
+    # values that differ in the last bit must not fall on two sides of a half
+    exact = {c: F.round(c, 6) for c in full.columns if c.startswith("pred_")}
+    return clean_forecast(full.withColumns({**exact, "Series_ID": series_key("VendorID", "PULocationID")}), ["demand", "amount", "distance"])
 
 
 def lag_features_for_regression(series: DataFrame, lags: int = 5, value: str = "demand", keys=KEYS) -> DataFrame:

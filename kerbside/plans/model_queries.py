@@ -423,10 +423,19 @@ def _forecast(s, d):
     return FC.forecast(B.series(s, d), router)
 
 
+def half_even(x, digits):
+    """A value of six decimals rounded half to even in whole numbers, where no half is lost."""
+    unit, scale = 10 ** (6 - digits), 10.0**digits
+    m = f"CAST(round({x} * 1e6) AS BIGINT)"
+    up = f"CASE WHEN {m} % {unit} * 2 > {unit} OR ({m} % {unit} * 2 = {unit} AND {m} // {unit} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"greatest({m} // {unit} + {up}, 0) / {scale}::DOUBLE"
+
+
 PUBLISHED = ", ".join(
-    f"greatest(round_even(pred_{t}_{q}, {n}), 0) AS pred_{t}_{q}"
-    for t, n in (("demand", 0), ("amount", 2), ("distance", 2)) for q in ("p10", "p50", "p90")
+    f"{half_even(f'pred_{t}_{q}', n)} AS pred_{t}_{q}" for t, n in (("demand", 0), ("amount", 2), ("distance", 2)) for q in ("p10", "p50", "p90")
 )
+
+
 def quants(value):
     return f"quantile_cont({value}::DOUBLE, [0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE])"
 
