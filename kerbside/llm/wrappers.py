@@ -87,12 +87,19 @@ def fold(items: list[Item]) -> list[Item]:
 
 def align(a: list[Item], b: list[Item], one_page: bool = False) -> list[Item]:
     """The terms of both sequences in order: the longest common ones joined, the others optional."""
+    same = 0  # equal beginnings need no table
+    while same < min(len(a), len(b)) and a[same].key == b[same].key:
+        same += 1
+    out: list[Item] = [_join(x, y, one_page) for x, y in zip(a[:same], b[:same])]
+    a, b = a[same:], b[same:]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
+    keys = [x.key for x in b]
     for i in range(n - 1, -1, -1):
+        row, under, key = best[i], best[i + 1], a[i].key
+        last = 0
         for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if a[i].key == b[j].key else 0)
-    out: list[Item] = []
+            last = row[j] = under[j + 1] + 1 if key == keys[j] else max(under[j], last)
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i].key == b[j].key and best[i][j] == best[i + 1][j + 1] + 1:
@@ -138,20 +145,35 @@ def match(items: list[Item], nodes: list[Node]) -> list[tuple[Item, Node]] | Non
                 break
         return (at, taken) if at > start else None
 
-    def rest(i: int, at: int) -> list | None:
-        if i == len(items):
-            return [] if at == len(nodes) else None
-        if (i, at) in failed:
+    # terms are taken or left out in turn; a dead end goes back to the last term that could still be left out
+    path: list[tuple[int, int, int | None]] = []  # term, node, and what had been taken before it took (none: left out)
+    out: list = []
+    i = at = 0
+    while i < len(items) or at < len(nodes):
+        if i < len(items) and (i, at) not in failed:
+            found = take(items[i], at)
+            if found is not None:
+                path.append((i, at, len(out)))
+                out += found[1]
+                i, at = i + 1, found[0]
+                continue
+            if items[i].maybe:
+                path.append((i, at, None))
+                i += 1
+                continue
+            failed.add((i, at))
+        while path:
+            i, at, before = path.pop()
+            if before is not None:
+                del out[before:]
+                if items[i].maybe and (i + 1, at) not in failed:
+                    path.append((i, at, None))
+                    i += 1
+                    break
+            failed.add((i, at))
+        else:
             return None
-        found = take(items[i], at)
-        if found is not None and (after := rest(i + 1, found[0])) is not None:
-            return found[1] + after
-        if items[i].maybe and (after := rest(i + 1, at)) is not None:
-            return after
-        failed.add((i, at))
-        return None
-
-    return rest(0, 0)
+    return out
 
 
 def mark_main(wrapper: Item) -> Item:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import corpus_pipeline
 import pytest
@@ -232,3 +233,38 @@ def test_pipeline_edge_cases(spark, make):
         assert out.count() >= 0
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def irregular(n, seed):
+    rng = random.Random(seed)
+    tags = ["p", "ul", "h3", "table", "blockquote", "pre", "dl", "ol", "h4", "section"]
+    words = [f"w{seed}x{i}" for i in range(n)]
+    return words, "<article>" + "".join(f"<{t}>{w}</{t}>" for w in words for t in [rng.choice(tags)]) + "</article>"
+
+
+def test_pages_of_many_irregular_siblings(spark):
+    """Thousands of terms in a sequence, and a term that has to be given back at its end."""
+    pages = [irregular(2500, 1), irregular(300, 2), irregular(40, 3)]
+    rows = [(i, f"https://{host}/{i}", html) for i, (_, html) in enumerate(pages) for host in (f"h{i}.example",)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == {i: " ".join(words) for i, (words, _) in enumerate(pages)}
+    two = [wrappers.induce(parse(html)) for _, html in (irregular(400, 4), irregular(400, 5))]
+    both = wrappers._join(*two)
+    for _, html in (irregular(400, 4), irregular(400, 5)):
+        assert wrappers.match(both.parts, parse(html).children) is not None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.booleans(), st.booleans()), max_size=6), st.text("abc", max_size=7))
+def test_matching_is_that_of_a_regular_expression(terms, word):
+    """Where a term takes all it can, as Python's possessive quantifiers do."""
+    items = [wrappers.Item(k, [], many=many, maybe=maybe) for k, many, maybe in terms]
+    node = {c: parse(f"<{t}>text</{t}>").children[0] for c, t in (("a", "h1"), ("b", "h2"), ("c", "h3"))}
+    nodes = [node[c] for c in word]
+    for item in items:
+        item.key = node[item.key].key
+    pattern = "".join("(?:" + k + ("++" if many else "") + ")" + ("?" if maybe else "") for k, many, maybe in terms)
+    found = wrappers.match(items, nodes)
+    assert (found is not None) == bool(re.fullmatch(pattern, word))
+    if found is not None:
+        assert [n for _, n in found] == nodes
