@@ -38,6 +38,14 @@ def _around(zones: DataFrame, level: Column) -> DataFrame:
     return spread.select(*zones.columns, *_cell(F.col("_l"), [F.col("_n._i"), F.col("_n._j"), F.col("_n._k")]))
 
 
+# Rows of a join's zone side that are sent to every task at most: their number is counted before.
+MOST_SENT = 500_000
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_SENT else df
+
+
 def candidates(places: DataFrame, zones: DataFrame, k: int) -> DataFrame:
     """(lat, lon, zone, _lat, _lon, _chord): zones among which the k nearest of every distinct place are.
 
@@ -46,21 +54,26 @@ def candidates(places: DataFrame, zones: DataFrame, k: int) -> DataFrame:
     27 cells of four times that width hold all candidates. Both steps are
     equi-joins on cells. The finest level follows from the number and the extent of the zones, so a place
     meets a number of candidates that depends on k and on how unevenly the zones lie, not on their number.
+
+    The zones are counted first. Where their cells are few enough to be sent to every task, a place is moved once, to find the
+    distinct ones, and its level, its candidates and whatever is grouped by place afterwards need no further exchange.
     """
     located = lambda df: df.where((F.abs(F.col("lat")) <= 90) & (F.abs(F.col("lon")) < float("inf")))
     z = _on_sphere(located(zones.where(F.col("zone").isNotNull()).select("zone", "lat", "lon")))
     p = _on_sphere(located(places.select("lat", "lon")).distinct())
     spans = [F.max(c) - F.min(c) for c in ("_x", "_y", "_z")]
     typical = F.log2(F.try_divide(F.greatest(*spans, F.lit(2.0**-FINEST)), F.sqrt(F.count("*")))) + FINEST
-    finest = z.agg(F.greatest(F.least(F.floor(typical), F.lit(COARSEST)), F.lit(0)).cast("int")).scalar()
-    finest = F.coalesce(finest, F.lit(COARSEST))
-    levels = F.sequence(finest, F.lit(COARSEST))
+    found = z.agg(F.greatest(F.least(F.floor(typical), F.lit(COARSEST)), F.lit(0)).cast("int").alias("finest"), F.count("*").alias("n")).first()
+    finest = COARSEST if found.finest is None else found.finest
+    levels = F.array(*map(F.lit, range(finest, COARSEST + 1)))
+    cells = found.n * 27 * (COARSEST - finest + 1)
     held = _around(z, F.explode(levels)).groupBy(*CELL).agg(F.count("*").alias("_held")).where((F.col("_held") >= k) | (F.col("_level") == COARSEST))
     looked = p.withColumn("_l", F.explode(levels)).select("lat", "lon", "_x", "_y", "_z", *_cell(F.col("_l")))
-    enough = looked.join(held, CELL).groupBy("lat", "lon").agg(F.min("_level").alias("_l"), *[F.first(c).alias(c) for c in ("_x", "_y", "_z")])
+    enough = looked.join(_sent(held, cells), CELL).groupBy("lat", "lon").agg(F.min("_level").alias("_l"), *[F.first(c).alias(c) for c in ("_x", "_y", "_z")])
     # beyond the coarsest level nothing is left to widen
     wide = enough.select("lat", "lon", *[F.col(c).alias(f"{c}p") for c in ("_x", "_y", "_z")], *[c for c in _cell(F.col("_l") + 2)])
-    met = wide.join(_around(z, F.explode(F.sequence(finest + 2, F.lit(COARSEST + 2)))).withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), CELL)
+    wider = F.array(*map(F.lit, range(finest + 2, COARSEST + 3)))
+    met = wide.join(_sent(_around(z, F.explode(wider)).withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), cells), CELL)
     chord = sum(((F.col(c) - F.col(f"{c}p")) ** 2 for c in ("_x", "_y", "_z")), F.lit(0.0))
     return met.select("lat", "lon", "zone", "_lat", "_lon", chord.alias("_chord"))
 
@@ -189,38 +202,62 @@ def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
     return (crossings % 2 == 1) & ~on_edge
 
 
-def points_in_polygons(points: DataFrame, zones: DataFrame, cell: float = 0.02, zone_id: str = "locationid") -> DataFrame:
+# Cells that cover a polygon: at most (ACROSS + 2) squared, whatever its size.
+ACROSS = 16
+
+
+def polygon_cells(zones: DataFrame, zone_id: str = "locationid") -> DataFrame:
+    """(_zone, _level, _cx, _cy, whole, edges): grid cells that cover each polygon.
+
+    Cells are 2 ** _level wide, and a polygon's extent is at most ACROSS cells. A cell that no edge touches lies inside the polygon as a whole, and needs
+    no test, or outside, and is left out. The others keep the edges that a ray from inside them towards greater x can touch.
+    """
+    boxed = polygon_edges(zones).where(F.size("edges") > 0)
+    extent = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))
+    level = F.ceil(F.log2(F.greatest(extent, F.lit(1e-12)) / ACROSS)).cast("int")
+    sized = boxed.select(F.col(zone_id).alias("_zone"), "edges", "x_min", "x_max", "y_min", "y_max", level.alias("_level")).withColumn("_w", F.pow(F.lit(2.0), F.col("_level")))
+    span = {a: F.sequence(F.floor(F.col(f"{a}_min") / F.col("_w")), F.floor(F.col(f"{a}_max") / F.col("_w"))) for a in ("x", "y")}
+    cells = sized.withColumn("_ys", span["y"]).withColumn("_cx", F.explode(span["x"])).withColumn("_cy", F.explode("_ys"))
+    slack = F.col("_w") * 1e-6  # covers the rounding of the cell numbers
+    low = {a: F.col(f"_c{a}") * F.col("_w") - slack for a in ("x", "y")}
+    high = {a: (F.col(f"_c{a}") + 1) * F.col("_w") + slack for a in ("x", "y")}
+
+    def reaches(e: Column) -> Column:
+        return (F.greatest(e["x1"], e["x2"]) >= low["x"]) & (F.greatest(e["y1"], e["y2"]) >= low["y"]) & (F.least(e["y1"], e["y2"]) <= high["y"])
+
+    ahead = cells.withColumn("edges", F.filter("edges", reaches)).where(F.size("edges") > 0)
+    near = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= high["x"])  # an edge's box, so never too few
+    middle = [(F.col(f"_c{a}") + 0.5) * F.col("_w") for a in ("x", "y")]
+    tested = ahead.withColumn("whole", ~near).withColumn("_in", strictly_inside(F.col("edges"), *middle))
+    kept = tested.where(~F.col("whole") | F.col("_in"))
+    edges = F.when(~F.col("whole"), F.col("edges"))
+    return kept.select("_zone", "_level", F.col("_cx").cast("bigint").alias("_cx"), F.col("_cy").cast("bigint").alias("_cy"), "whole", edges.alias("edges"))
+
+
+def points_in_polygons(points: DataFrame, zones: DataFrame, zone_id: str = "locationid") -> DataFrame:
     """Left spatial join: every point with the zones it lies within, NULL when there is none.
 
-    points has x and y; zones has the polygons column. Points meet the polygons
-    whose bounding box touches their grid cell; the exact test is part of the join
-    condition. Each cell keeps only the edges that a ray from inside it towards
-    greater x can touch, so the test does not grow with the polygon.
+    points has x and y; zones has the polygons column. Points meet polygons through the cells that cover them, whose size follows the
+    polygon's; the exact test, for cells at a border, is part of the join condition. Points are looked up once for each size of
+    cells; where there are several sizes, a point's answers are then brought together. Points without coordinates lie nowhere.
     """
-    boxed = polygon_edges(zones)
-    spans = [
-        F.sequence(F.floor(F.col(f"{a}_min") / cell).cast("bigint"), F.floor(F.col(f"{a}_max") / cell).cast("bigint"))
-        for a in ("x", "y")
-    ]
-    cells = (
-        boxed.select(F.col(zone_id).alias("_zone"), "edges", F.explode(spans[0]).alias("_zx"), spans[1].alias("_ys"))
-        .withColumn("_zy", F.explode("_ys"))
-        .drop("_ys")
-    )
-    slack = cell * 1e-6  # covers the rounding of the cell numbers
-    x_low, y_low, y_high = F.col("_zx") * cell - slack, F.col("_zy") * cell - slack, (F.col("_zy") + 1) * cell + slack
-    touched = F.filter(
-        "edges",
-        lambda e: (F.greatest(e["x1"], e["x2"]) >= x_low)
-        & (F.greatest(e["y1"], e["y2"]) >= y_low)
-        & (F.least(e["y1"], e["y2"]) <= y_high),
-    )
-    cells = cells.withColumn("edges", touched).where(F.size("edges") > 0)
-    located = points.withColumns(
-        {"_cx": F.floor(F.col("x") / cell).cast("bigint"), "_cy": F.floor(F.col("y") / cell).cast("bigint")}
-    )
-    hit = (F.col("_cx") == F.col("_zx")) & (F.col("_cy") == F.col("_zy")) & strictly_inside(F.col("edges"), F.col("x"), F.col("y"))
-    return located.join(cells, hit, "left").select(*points.columns, F.col("_zone").alias(zone_id))
+    cells = cut_lineage(polygon_cells(zones, zone_id))
+    found = cells.groupBy("_level").agg(F.count("*").alias("n")).collect()
+    cells, levels = _sent(cells.withColumnsRenamed({"_cx": "_zx", "_cy": "_zy"}), sum(r.n for r in found)), sorted(r._level for r in found)
+    if not levels:
+        return points.withColumn(zone_id, F.lit(None).cast(zones.schema[zone_id].dataType))
+    # a generator in the lookup would repeat the points without a zone
+    keyed = points if len(levels) == 1 else points.withColumn("_point", F.monotonically_increasing_id())
+    at = keyed.withColumn("_at", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels))))
+    width = F.pow(F.lit(2.0), F.col("_at"))
+    located = at.withColumns({f"_c{a}": F.floor(F.col(a) / width) for a in ("x", "y")})
+    inside = F.col("whole") | strictly_inside(F.col("edges"), F.col("x"), F.col("y"))
+    met = (F.col("_at") == F.col("_level")) & (F.col("_cx") == F.col("_zx")) & (F.col("_cy") == F.col("_zy")) & inside
+    joined = located.join(cells, met, "left")
+    if len(levels) == 1:
+        return joined.select(*points.columns, F.col("_zone").alias(zone_id))
+    grouped = joined.groupBy("_point").agg(F.first(F.struct(*[F.col(c) for c in points.columns])).alias("_row"), F.collect_list("_zone").alias("_zones"))
+    return grouped.select("_row.*", F.explode_outer("_zones").alias(zone_id))
 
 
 def polygon_centroid(zones: DataFrame, polygons: str = "polygons", zone_id: str = "locationid") -> DataFrame:
@@ -292,19 +329,24 @@ def greedy_routes(
     start without coordinates has an empty route.
 
     A hop is one equi-join of the routes with the choices at their place, which are
-    found once for all places, those of the starts and of the zones, and checkpointed.
+    found once for all places, those of the starts and of the zones, and checkpointed. From the second hop on only those of the
+    zones are joined, sent to every task where they are counted to be few.
     """
     pulled = zone_pull(zone_trips(zones, popularity), nearest, eps)
     places = starts.select("lat", "lon").union(zones.select("lat", "lon"))
     lists = cut_lineage(_with_pull(nearest_zones(places, zones, k), pulled))
     lists = lists.select(F.col("lat").alias("_llat"), F.col("lon").alias("_llon"), "choices")
+    ends = zones.select(F.col("lat").alias("_llat"), F.col("lon").alias("_llon")).distinct()
+    # after the first hop a route stands at a zone
+    onward = cut_lineage(lists.join(ends, ["_llat", "_llon"], "left_semi"))
+    onward = _sent(onward, onward.count() * k)
     kept = starts.columns
     zone_type = zones.schema["zone"].dataType.simpleString()
     routes = starts.withColumns({
         "_lat": F.col("lat").cast("double"), "_lon": F.col("lon").cast("double"), "route": F.array().cast(f"array<{zone_type}>"), "route_rad": F.lit(0.0)
     })
-    for _ in range(stops):
-        at = routes.join(lists, (F.col("_lat") == F.col("_llat")) & (F.col("_lon") == F.col("_llon")), "left")
+    for hop in range(stops):
+        at = routes.join(lists if hop == 0 else onward, (F.col("_lat") == F.col("_llat")) & (F.col("_lon") == F.col("_llon")), "left")
         open_zones = F.filter("choices", lambda c: ~F.array_contains(F.col("route"), c["zone"]))
         if max_km is not None:
             open_zones = F.when(F.col("route_rad") * 6371.0088 < max_km, open_zones)

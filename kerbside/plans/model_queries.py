@@ -623,6 +623,33 @@ register("points_in_polygons",
            AND NOT (p.lon >= z.lon - {HOLE}::DOUBLE AND p.lon <= z.lon + {HOLE}::DOUBLE AND p.lat >= z.lat - {HOLE}::DOUBLE AND p.lat <= z.lat + {HOLE}::DOUBLE)"""))
 
 
+# corners of an arrow and of the hole in it, in radii; the radius of a zone depends on its number
+ARROW = [(0.0, 1.0), (0.9, -0.7), (0.1, -0.3), (-0.7, -0.9)]
+ARROW_HOLE = [(0.0, 0.4), (0.2, 0.0), (-0.2, 0.05)]
+
+
+def arrows(s, d):
+    """An arrow-shaped polygon with a hole around each zone point, from 0.004 to 0.26 degrees across."""
+    radius = F.lit(0.004) * F.pow(F.lit(2.0), (F.col("zone") % 7).cast("double"))
+
+    def ring(corners):
+        return F.array(*[F.array(F.col("lon") + F.lit(x) * radius, F.col("lat") + F.lit(y) * radius) for x, y in [*corners, corners[0]]])
+
+    return B.zone_points(s, d).select(F.col("zone").alias("locationid"), F.array(F.array(ring(ARROW), ring(ARROW_HOLE))).alias("polygons"))
+
+
+ARROW_EDGES = ", ".join(
+    f"({x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for ring in (ARROW, ARROW_HOLE) for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]])
+)
+register("points_in_arrows",
+         lambda s, d: GE.points_in_polygons(B.places(s, d).select("start_id", F.col("lon").alias("x"), F.col("lat").alias("y")), arrows(s, d)).select("start_id", "locationid"),
+         with_tables(B.PLACES, B.ZONE_POINTS, f"""edges AS (SELECT zone, lon + a * r AS x1, lat + b * r AS y1, lon + c * r AS x2, lat + e * r AS y2
+             FROM (SELECT *, 0.004::DOUBLE * pow(2, zone % 7) AS r FROM zone_points), (VALUES {ARROW_EDGES}) t(a, b, c, e))""",
+                     """inside AS (SELECT start_id, zone FROM places JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+             GROUP BY 1, 2 HAVING count(*) % 2 = 1)""",
+                     select="SELECT start_id, zone AS locationid FROM places LEFT JOIN inside USING (start_id)"))
+
+
 def _centroids(s, d):
     x, y = F.col("lon"), F.col("lat")
     ring = F.array(F.array(x, y), F.array(x + 0.25, y), F.array(x + 0.25, y + 0.5), F.array(x, y + 0.5), F.array(x, y))

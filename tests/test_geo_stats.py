@@ -198,7 +198,7 @@ def areas(spark):
 def test_points_in_polygons(spark, areas):
     points = [("in", 3.0, 3.0, 1), ("hole", 1.5, 1.5, None), ("edge", 4.0, 2.0, None), ("corner", 0.0, 0.0, None), ("hole edge", 1.0, 1.5, None),
               ("out", 9.0, 9.0, None), ("tri", 12.0, 1.0, 2), ("second part", 20.9, 0.5, 2), ("slanted edge", 20.5, 0.5, None), ("twice", 3.0, 3.0, 1)]
-    df = GE.points_in_polygons(spark.createDataFrame([p[:3] for p in points], "name STRING, x DOUBLE, y DOUBLE"), areas, cell=0.7)
+    df = GE.points_in_polygons(spark.createDataFrame([p[:3] for p in points], "name STRING, x DOUBLE, y DOUBLE"), areas)
     assert {r["name"]: r.locationid for r in df.collect()} == {p[0]: p[3] for p in points}
     assert df.count() == len(points)
 
@@ -258,3 +258,48 @@ def test_windows_of_order_statistics_do_not_grow(spark, monkeypatch, n):
     for k in (None, 1):
         own = np.sort(values[groups == (k or 0)])
         assert all(totals[k, v] == np.searchsorted(own, v, side="right") for v in own[::97])
+
+
+def test_the_cells_of_a_polygon_are_bounded(spark):
+    """From a metre to ten degrees; cells inside need no test, and every answer is that of ray casting."""
+    import math
+
+    rng = np.random.default_rng(7)
+    rows, shapes = [], {}
+    for i, radius in enumerate((1e-5, 0.01, 0.5, 10.0)):
+        cx, cy = 3.0 * i, -2.0 * i
+        outer = [(cx + radius * r * math.cos(t), cy + radius * r * math.sin(t)) for t, r in zip(np.linspace(0, 2 * math.pi, 41)[:-1], rng.uniform(0.3, 1.0, 40))]
+        hole = [(cx + radius * 0.1 * dx, cy + radius * 0.1 * dy) for dx, dy in ((1, 0), (0, 1), (-1, -1))]
+        rings = [[[float(x), float(y)] for x, y in [*ring, ring[0]]] for ring in (outer, hole)]
+        rows.append((i, [rings]))
+        shapes[i] = rings
+    zones = spark.createDataFrame(rows, "locationid int, polygons array<array<array<array<double>>>>")
+    cells = GE.polygon_cells(zones).groupBy("_zone").agg(F.count("*").alias("n"), F.count_if("whole").alias("inside"), F.count_if(F.col("edges").isNull()).alias("bare")).collect()
+    assert len(cells) == 4 and all(r.n <= (GE.ACROSS + 2) ** 2 and r.inside == r.bare > 4 for r in cells)
+
+    def inside(x, y, rings):
+        crossings = 0
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    crossings += 1
+        return crossings % 2 == 1
+
+    points = [(n, float(3.0 * i + s * dx), float(-2.0 * i + s * dy)) for n, (i, s, dx, dy) in enumerate(zip(rng.integers(0, 4, 4000), rng.choice([1e-5, 0.01, 0.5, 10.0], 4000), rng.uniform(-1, 1, 4000), rng.uniform(-1, 1, 4000)))]
+    points += [(4000, None, 1.0), (4001, float("nan"), 1.0), (4001, 500.0, 1.0)]
+    got = {}
+    for r in GE.points_in_polygons(spark.createDataFrame(points, "n int, x double, y double"), zones).collect():
+        got.setdefault((r.n, r.x), set()).add(r.locationid)
+    for n, x, y in points[:4000]:
+        assert got[n, x] == ({i for i, rings in shapes.items() if inside(x, y, rings)} or {None})
+    assert got[4000, None] == {None} and got[4001, 500.0] == {None} and len(got) == 4003
+
+
+def test_points_keep_their_repetitions(spark):
+    square = [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]]]
+    large = [[[[-9.0, -9.0], [9.0, -9.0], [9.0, 9.0], [-9.0, 9.0], [-9.0, -9.0]]]]
+    zones = spark.createDataFrame([(1, square), (2, large)], "locationid int, polygons array<array<array<array<double>>>>")
+    points = spark.createDataFrame([(0.5, 0.5), (0.5, 0.5), (5.0, 5.0), (99.0, 0.0), (99.0, 0.0)], "x double, y double")
+    got = sorted((r.x, r.locationid or 0) for r in GE.points_in_polygons(points, zones).collect())
+    assert got == [(0.5, 1), (0.5, 1), (0.5, 2), (0.5, 2), (5.0, 2), (99.0, 0), (99.0, 0)]
+    assert [r.locationid for r in GE.points_in_polygons(points.limit(1), zones.where("false")).collect()] == [None]
