@@ -332,7 +332,8 @@ def greedy_routes(
     found once for all places, those of the starts and of the zones, and checkpointed. From the second hop on only those of the
     zones are joined, sent to every task where they are counted to be few.
     """
-    pulled = zone_pull(zone_trips(zones, popularity), nearest, eps)
+    pulled = cut_lineage(zone_pull(cut_lineage(zone_trips(zones, popularity)), nearest, eps))
+    pulled = _sent(pulled, pulled.count())
     places = starts.select("lat", "lon").union(zones.select("lat", "lon"))
     lists = cut_lineage(_with_pull(nearest_zones(places, zones, k), pulled))
     lists = lists.select(F.col("lat").alias("_llat"), F.col("lon").alias("_llon"), "choices")
