@@ -93,7 +93,8 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity.train(docs, table(spark, sf, "labels"), toxicity.third)
     scored = toxicity.score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", toxicity.third(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    held_out = F.col("doc_id").isNotNull() & toxicity.third(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query

@@ -93,7 +93,7 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
 def read_token_files(spark: SparkSession, folder: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """Every document of the files: id, start (tokens of all documents before it), n_tokens, ids.
 
-    ids has the document's tokens as little-endian unsigned 32-bit integers.
+    ids has the document's tokens as little-endian unsigned 32-bit integers. A task reads one shard.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,5 +116,6 @@ def read_token_files(spark: SparkSession, folder: str, id_type: str = "bigint",
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "n_tokens", "ids"])
 
-    spread = shards(spark, folder).repartition(F.col("shard"))
+    found = shards(spark, folder)
+    spread = found.repartitionByRange(max(1, found.count()), "shard")  # a task for each shard: its row is small, its files are not
     return spread.mapInArrow(read, f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids binary")

@@ -71,6 +71,21 @@ def test_token_files_of_wide_ids_and_of_nothing(spark):
     assert token_files.read_token_files(spark, folder).count() == 0
 
 
+def test_a_task_reads_one_shard(spark):
+    from pyspark.sql import functions as F
+
+    folder = scratch_dir(spark, "tokens")
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with shards of ordinary size
+    try:
+        token_files.write_token_files(many, folder, public_tokenizers.path(FILES[0]), end_id=0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r.n_docs for r in token_files.shards(spark, folder).collect())
+    back = token_files.read_token_files(spark, folder).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and sorted(r["count"] for r in back) == sizes
+
+
 def test_token_query(spark):
     encode, at = library(FILES[0]), 0
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
