@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from kerbside.llm.memory import forget
 from kerbside.llm.store import open_folder, view
 from kerbside.llm.tokens import encoder, vocabulary_size
 from kerbside.llm.words import raw_texts
@@ -97,6 +98,7 @@ def read_token_files(spark: SparkSession, folder: str, id_type: str = "bigint",
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what the worker remembers from encoding
         fs, base = open_folder(folder)
         for batch in batches:
             for row in batch.to_pylist():
