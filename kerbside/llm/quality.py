@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbside.llm.memory import Memo, keep_one
 from kerbside.llm.store import plain, ranked, slices, stash, with_text_columns
-from kerbside.llm.words import raw_texts
+from kerbside.llm.words import ASCII_LOWER, raw_texts
 
-BUCKETS = 1 << 14
+WORD_BITS, SHAPE_BITS = 16, 14
+WORDS, SHAPES = 1 << WORD_BITS, 1 << SHAPE_BITS  # buckets of either kind
 MAX_LABELLED = 20_000  # ids of each label that the models and the cut are fitted on, about
-SCALE = 32.0  # n-grams whose mean log ratio counts as a document's log weight
+HELD_OUT = 3  # one of so many labelled ids is kept from the models, for the cut
+PRIOR = 10.0  # n-grams of the raw model that each bucket of the target model starts with
 WORD_MEMORY = 300_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 
 
@@ -29,33 +32,47 @@ def shape(word: str) -> str:
 
 
 class Grams:
-    """Hashed 1- and 2-grams of a text's word shapes.
+    """Hashed 1- and 2-grams of a text's words, and of their shapes in buckets of their own.
 
-    Words are runs of anything but ASCII white space. Their shapes are n-gram tokens
-    rather than the words: in any corpus they repeat enough to be counted. A word equal to the
-    one before it is a token of its own kind.
+    Words are runs of anything but ASCII white space, A-Z lower-cased. Shapes keep the case and punctuation
+    that this and rare words lose; a word equal to the one before it has a shape of its own kind.
     """
 
     def __init__(self):
-        self.memo = Memo(lambda w: zlib.crc32(w) << 16 | zlib.crc32(shape(w.decode()).encode()) & 0xFFFF, WORD_MEMORY)
+        def code(w: bytes) -> int:
+            return zlib.crc32(w.translate(ASCII_LOWER)) << 16 | zlib.crc32(shape(w.decode()).encode()) & 0xFFFF
+
+        self.memo = Memo(code, WORD_MEMORY)
 
     def of(self, text: bytes) -> np.ndarray:
-        """Buckets of all n-grams, repeats included."""
+        """Buckets of all n-grams, repeats included: those of words, and beyond WORDS those of shapes."""
         words = text.split()
         if not words:
             return np.array([], dtype=np.int64)
-        codes = self.memo.of(words)
-        codes = np.array(codes, dtype=np.int64)
-        tokens = codes & 0xFFFF
-        tokens[1:][codes[1:] == codes[:-1]] += 1 << 16
-        pairs = tokens[:-1] << 17 | tokens[1:]
-        mixed = np.concatenate([tokens, pairs + (1 << 34)]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(50)).astype(np.int64)
+        codes = np.array(self.memo.of(words), dtype=np.int64)
+        names, shapes = (codes >> 16).astype(np.uint64), codes & 0xFFFF
+        follow = (names[:-1] * _MIX ^ names[1:]) + np.uint64(1 << 40)
+        shapes[1:][codes[1:] == codes[:-1]] += 1 << 16
+        pairs = shapes[:-1] << 17 | shapes[1:]
+        of_words = np.concatenate([names, follow]) * _MIX >> np.uint64(64 - WORD_BITS)
+        of_shapes = np.concatenate([shapes, pairs + (1 << 34)]).astype(np.uint64) * _MIX >> np.uint64(64 - SHAPE_BITS)
+        return np.concatenate([of_words, of_shapes + np.uint64(WORDS)]).astype(np.int64)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the target model over the raw model for each bucket, from their counts.
+
+    The raw model is add-one smoothed. The target model is the raw one times the ratio of counted to expected
+    n-grams, both with PRIOR added, so a bucket the target had no chance to show is not held against a text.
+    """
+    base = (raw + 1) / (raw + 1).sum()
+    model = base * (target + PRIOR) / (target.sum() * base + PRIOR)
+    return np.log(model / model.sum()) - np.log(base)
 
 
 @dataclass
 class Model:
-    """Log ratio of each bucket, and the mean log ratio from which a document is good."""
+    """Log ratio of each bucket, and the log ratio from which a document is good."""
 
     ratio: np.ndarray
     cut: float
@@ -77,54 +94,66 @@ def _sample(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Models from the documents labelled 1 (target) and from all documents (raw), and the cut.
 
-    Counts are add-one smoothed; the raw model counts every document, the target a
-    bounded sample of labelled ids. The cut separates the labelled documents' mean log ratios
-    with the fewest errors, in the middle of the widest gap that does; without
-    documents of both labels nothing is rejected.
+    The raw model counts every document, the target a bounded sample of labelled ids, without one of HELD_OUT.
+    The cut separates the log ratios of these held-out documents with the fewest errors. Where too few labels leave either part without one it needs, both use
+    all labelled documents; without documents of both labels nothing is rejected.
     """
-    marks = _sample(labels, id_col, label_col)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(marks, "_id", "left").select("text", "_good")
+    marks = _sample(labels, id_col, label_col).withColumn("_held", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(HELD_OUT)) == 0)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(marks, "_id", "left")
+    side = F.when(F.col("_good"), F.when(F.col("_held"), 2).otherwise(1)).otherwise(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = keep_one("grams", Grams)
-        total = np.zeros((2, BUCKETS), dtype=np.int64)
+        total = np.zeros((3, WORDS + SHAPES), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 0):
+                sides = part.column(1).to_numpy()
                 found = [grams.of(text) for text in raw_texts(part.column(0))]
-                for side, kept in ((0, found), (1, [f for f, good in zip(found, part.column(1).to_pylist()) if good])):
-                    if kept:
-                        total[side] += np.bincount(np.concatenate(kept), minlength=BUCKETS)
-        side, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(bucket), pa.array(total[side, bucket])], names=["side", "bucket", "n"])
-
-    counts = np.ones((2, BUCKETS))
-    summed = rows.mapInArrow(count, "side bigint, bucket bigint, n bigint").groupBy("side", "bucket").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # at most 2 * BUCKETS rows
+                for s in np.unique(sides):
+                    total[s] += np.bincount(np.concatenate([f for f, of in zip(found, sides) if of == s]), minlength=WORDS + SHAPES)
+        s, bucket = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(bucket), pa.array(total[s, bucket])], names=["side", "bucket", "n"])
+
+    counts = np.zeros((3, WORDS + SHAPES))
+    sent = rows.select("text", side.cast("int").alias("side")).mapInArrow(count, "side bigint, bucket bigint, n bigint")
+    for r in sent.groupBy("side", "bucket").agg(F.sum("n").alias("n")).collect():  # at most a row for each bucket and side
         counts[r.side, r.bucket] += r.n
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-    ratio = logs[1] - logs[0] if (counts[1] > 1).any() else np.zeros(BUCKETS)
-    judged = docs.join(marks, F.col(id_col) == F.col("_id"))
-    scored = weigh(judged.select(F.col(text_col).alias("text"), "_good"), Model(ratio, -np.inf), "text", ["_good"])
-    bins = scored.groupBy("_good", F.round("mean_log_ratio", 3).alias("at")).count().collect()  # bounded by the sample
+    judged = docs.join(marks, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_good", "_held")
+    parts = {(r._good, r._held) for r in judged.select("_good", "_held").distinct().collect()}
+    apart = {(True, False), (True, True), (False, True)} <= parts
+    raw, target = counts.sum(axis=0), counts[1] if apart else counts[1] + counts[2]
+    ratio = np.zeros(WORDS + SHAPES)
+    if target.any():
+        ratio = np.concatenate([log_ratios(raw[at], target[at]) for at in (slice(WORDS), slice(WORDS, None))])
+    scored = weigh(judged.where("_held") if apart else judged, Model(ratio, -np.inf), "text", ["_good"])
+    bins = scored.groupBy("_good", F.round("log_ratio", 2).alias("at")).count().collect()  # bounded by the sample
     return Model(ratio, _cut([(r["at"], r["count"]) for r in bins if r._good], [(r["at"], r["count"]) for r in bins if not r._good]))
 
 
 def _cut(good: list[tuple[float, int]], bad: list[tuple[float, int]]) -> float:
+    """The cut with the fewest errors in the middle of the widest gap, on a scale that is logarithmic far from 0.
+
+    Log ratios grow with the length of a text, so long bad texts would otherwise draw the middle away from short ones.
+    """
     if not good or not bad:
         return -np.inf
-    values = sorted({v for v, _ in good + bad})
-    cuts = [(a + b) / 2 for a, b in zip(values, values[1:])]
-    errors = [(sum(n for v, n in good if v < c) + sum(n for v, n in bad if v >= c)) for c in cuts] or [0]
-    widths = [b - a for a, b in zip(values, values[1:])] or [0]
-    best = min(range(len(errors)), key=lambda i: (errors[i], -widths[i]))
-    return cuts[best] if cuts else -np.inf
+    values, at = np.unique([v for v, _ in good + bad], return_inverse=True)
+    counts = np.zeros((2, len(values)), dtype=np.int64)
+    np.add.at(counts, (np.repeat([1, 0], [len(good), len(bad)]), at), [n for _, n in good + bad])
+    if len(values) < 2:
+        return -np.inf
+    below = counts.cumsum(axis=1)[:, :-1]  # a cut behind each value but the last
+    errors = below[1] + counts[0].sum() - below[0]
+    bent = np.arcsinh(values)
+    best = np.lexsort((-np.diff(bent), errors))[0]
+    return float(np.sinh((bent[best] + bent[best + 1]) / 2))
 
 
 def weigh(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with n_grams, log_ratio and mean_log_ratio.
 
     log_ratio is the log of the document's target probability over its raw
-    probability. A text without words has 0 in all three.
+    probability: the sum over its n-grams. A text without words has 0 in all three.
     """
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
@@ -148,20 +177,19 @@ def resample(
 ) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with the weights, sample_key and selected.
 
-    A document's log weight is SCALE times its mean log ratio, so long texts gain
-    nothing by their length. Gumbel noise makes the k largest keys a draw without
-    replacement in proportion to the weights; k is by default the number of
+    A document's weight is the ratio of its probabilities under the two models. Gumbel noise makes
+    the k largest keys a draw without replacement in proportion to the weights; k is by default the number of
     documents at the model's cut or above. All rows whose key equals the k-th are
     selected, so repeated rows share their fate. The noise is a function of id and
-    text. Columns of docs with the names of new ones are replaced. Texts without words have weight 0 (accepted by any cut below 0).
+    text. Columns of docs with the names of new ones are replaced. Texts without words have the log weight 0.
     """
     added = {"_key", "sample_key", "selected", "n_grams", "log_ratio", "mean_log_ratio"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows, inner = plain(docs)
     weighed = weigh(rows.withColumn("_key", F.xxhash64(inner[id_col], inner[text_col])), model, inner[text_col], [*[inner[c] for c in names], "_key"])
-    keyed = stash(weighed.withColumn("sample_key", SCALE * F.col("mean_log_ratio") + gumbel("_key")).drop("_key"), "weighed")
+    keyed = stash(weighed.withColumn("sample_key", F.col("log_ratio") + gumbel("_key")).drop("_key"), "weighed")
     if k is None:
-        k = keyed.where(F.col("mean_log_ratio") >= F.lit(float(model.cut))).count()
+        k = keyed.where(F.col("log_ratio") >= F.lit(float(model.cut))).count()
     least = ranked(keyed.select("sample_key"), F.desc("sample_key")).where(F.col("rank") == k - 1).first()
     selected = F.lit(k > 0) if least is None else F.col("sample_key") >= F.lit(least.sample_key)
     return keyed.withColumn("selected", selected).toDF(*names, "n_grams", "log_ratio", "mean_log_ratio", "sample_key", "selected")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -68,6 +69,26 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(mass[seen] + m.discount * m.type_words[seen] / m.type_tokens[seen], 1)
 
 
+def test_unseen_words_share_the_mass_of_their_type(spark):
+    """Of two new words in the place of a known one, each has the type's left mass over the estimated unseen words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m, table = brown.fit(docs, F.expr(HERE))
+    per = {}
+    for r in table.collect():
+        per.setdefault(r.ending, []).append(r.n)
+    counted = [n for ns in per.values() for n in ns]
+    once, twice = counted.count(1), counted.count(2)
+    word = "qqzz" + next(w for r in docs.collect() if r.text for w in space_words(r.text) if brown.ending(w.encode()) in per)[-3:]
+    e = brown.ending(word.encode())
+    unseen = max(once * (once - 1) / (2 * (twice + 1)) * per.get(e, []).count(1) / once, 1)
+    left = m.discount * m.type_words[e] / m.type_tokens[e] if m.type_tokens[e] else 1
+    t, edge = m.own + e, m.own + brown.ENDINGS
+    c = [m.classes[edge], m.classes[t], m.classes[edge]]
+    expected = m.step[c[0], c[1]] + m.step[c[1], c[2]] + m.emit[t] + math.log10(left / unseen)
+    one = spark.createDataFrame([(1, word)], "doc_id bigint, text string")
+    assert brown.score(one, (m, table)).first().score == pytest.approx(expected)
+
+
 def test_exchange_finds_alternating_classes(spark):
     random.seed(2)
     a, b = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(20)]
@@ -101,30 +122,73 @@ def test_quality_query(spark):
     assert not any(r.selected for r in rows if marks.get(r.doc_id) == 0)
 
 
+def plain_grams(text):
+    """Buckets of words, word pairs, shapes and shape pairs, one by one."""
+    top = (1 << 64) - 1
+    mixed = lambda x, bits: (x * 0x9E3779B97F4A7C15 & top) >> 64 - bits
+    words = [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    names = [zlib.crc32(bytes(c + 32 if 65 <= c <= 90 else c for c in w)) for w in words]
+    shapes = [zlib.crc32(quality.shape(w.decode()).encode()) % 65536 for w in words]
+    keys = list(zip(names, shapes))
+    shapes = [s + 65536 * (i > 0 and keys[i] == keys[i - 1]) for i, s in enumerate(shapes)]
+    out = [mixed(n, 16) for n in names] + [mixed(((a * 0x9E3779B97F4A7C15 & top ^ b) + 2**40) & top, 16) for a, b in zip(names, names[1:])]
+    return out + [65536 + mixed(s, 14) for s in shapes] + [65536 + mixed((a << 17 | b) + 2**34, 14) for a, b in zip(shapes, shapes[1:])]
+
+
 def test_log_ratios_by_brute_force(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good words here", "more good words", "BAD!! BAD!! BAD!!", "X## Y##", "plain text", "words"])], "doc_id bigint, text string")
-    marks = labels(spark, [(0, 1, 0, ""), (1, 1, 0, ""), (2, 0, 0, ""), (3, 0, 0, "")])
-    model, grams = quality.fit(docs, marks), quality.Grams()
-    counts = np.ones((2, quality.BUCKETS))
-    for i, t in docs.collect():
-        np.add.at(counts[0], grams.of(t.encode()), 1)
-        if i < 2:
-            np.add.at(counts[1], grams.of(t.encode()), 1)
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    assert np.allclose(model.ratio, ratio)
-    rows = quality.resample(docs, model).collect()
-    assert all(r.log_ratio == pytest.approx(ratio[grams.of(r.text.encode())].sum()) for r in rows)
-    assert [r.selected for r in sorted(rows, key=lambda r: r.doc_id)] == [True, True, False, False, True, True]
+    texts = ["good words here", "more good words", "BAD!! BAD!! BAD!!", "X## Y##", "plain text", "words", "Good WORDS good", "z@@ z@@"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    marks = [(0, 1), (1, 1), (2, 0), (3, 0), (6, 1), (7, 0)]
+    held = {r.id for r in spark.range(8).where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    sides = {(y, i in held) for i, y in marks}
+    apart = {(1, False), (1, True), (0, True)} <= sides
+    model = quality.fit(docs, labels(spark, [(i, y, 0, "") for i, y in marks]))
+    raw, target = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(plain_grams(t))
+        if (i, 1) in marks and not (apart and i in held):
+            target.update(plain_grams(t))
+    ratio = {}
+    for kind in (range(65536), range(65536, 65536 + 16384)):
+        total, n = sum(raw[b] + 1 for b in kind), sum(target[b] for b in kind)
+        weight = {b: (raw[b] + 1) / total * (target[b] + 10) / (n * (raw[b] + 1) / total + 10) for b in kind}
+        mass = sum(weight.values())
+        ratio |= {b: math.log(weight[b] / mass) - math.log((raw[b] + 1) / total) for b in kind}
+    assert np.allclose(model.ratio, [ratio[b] for b in range(len(ratio))])
+    rows = {r.doc_id: r for r in quality.resample(docs, model).collect()}
+    assert all(r.log_ratio == pytest.approx(sum(ratio[b] for b in plain_grams(r.text))) for r in rows.values())
+    assert min(rows[i].log_ratio for i in (0, 1, 6)) > max(rows[i].log_ratio for i in (2, 3, 7))
+    assert sum(r.selected for r in rows.values()) == sum(r.log_ratio >= model.cut for r in rows.values())
     top = quality.resample(docs, model, k=2).collect()
     assert sorted(r.sample_key for r in top if r.selected) == sorted(r.sample_key for r in top)[-2:]
 
 
+def test_words_decide_where_shapes_are_equal(spark):
+    """Texts of one shape that differ by their words only; accuracy on labelled texts that no model or cut has seen."""
+    random.seed(5)
+    draw = lambda kind: " ".join(random.choice([f"{kind}{random.choice('abcdefgh')}{random.choice('klmno')}"] * 2 + ["the", "of"]) for _ in range(40))
+    texts = [(i, draw("fin" if i % 2 else "spa")) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = quality.fit(docs, labels(spark, [(i, i % 2, 0, "") for i in range(200)]))
+    unseen = quality.weigh(docs.where("doc_id >= 200"), model).collect()
+    assert sum((r.log_ratio >= model.cut) == bool(r.doc_id % 2) for r in unseen) >= 195
+
+
+def test_quality_accuracy_on_held_out_labels(spark):
+    """Models and cut from two thirds of the labels; the others are classified."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    away = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality.fit(docs, marks.where(~away))
+    judged = quality.weigh(docs, model, keep=["doc_id"]).join(marks.where(away).where("quality is not null"), "doc_id").collect()
+    assert len(judged) > 100 and sum((r.log_ratio >= model.cut) == (r.quality == 1) for r in judged) >= 0.98 * len(judged)
+
+
 def test_grams():
     grams = quality.Grams()
     assert [quality.shape(w) for w in ("Word", "WORD!!", "éA12.5", "I", "x%%%")] == ["Aa", "A!!", "aA0.0", "Aa", "a%%%"]
-    assert len(grams.of(b"a b c")) == 5 and len(grams.of(b"  ")) == 0
-    assert grams.of(b"ab ab").tolist()[0] != grams.of(b"ab ab").tolist()[1]
-    assert grams.of(b"ab cd").tolist()[0] == grams.of(b"ab cd").tolist()[1]
+    for text in ("a b c", "  ", "Ab ab ab AB, é", "x"):
+        assert sorted(grams.of(text.encode()).tolist()) == sorted(plain_grams(text))
+    assert grams.of(b"THE")[0] == grams.of(b"the")[0] and grams.of(b"THE")[1] != grams.of(b"the")[1]
 
 
 def test_gumbel_noise(spark):
