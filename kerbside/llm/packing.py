@@ -1,48 +1,129 @@
-"""Sequences of lexically related documents: BM25 retrieval inside shards fills each window."""
+"""Sequences of lexically related documents: BM25 retrieval inside content shards fills each window."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from kerbside.llm.memory import forget
+from kerbside.llm.store import slices, stash
 from kerbside.llm.tokens import encoder
 from kerbside.llm.words import raw_texts
 
-SHARD_DOCS = 1024
-SHARD_BYTES = 16_000_000
+SHARD_DOCS = 1024  # rests that a shard is planned for
+MOST_DOCS, MOST_BYTES = 16 * SHARD_DOCS, 16_000_000  # rests, and bytes of their ids, that a task indexes at once
+FAN = 512  # shards whose open sequences meet in the next round
 SLICE = 256  # texts encoded together
-REMEMBERED = 600_000  # chunks; the shard's index needs memory too
+AT_ONCE = 8_000_000  # bytes of ids whose terms are counted together
+REMEMBERED = 600_000  # chunks
+MOST_TASKS = 10_000
+K1, B = 1.2, 0.75
 PIECE = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-class Index:
-    """BM25 over the token ids of a shard's documents.
+@dataclass
+class Corpus:
+    """What BM25 weights need of all indexed rests; the arrays are as long as the vocabulary."""
+
+    df: np.ndarray
+    docs: int
+    mean: float
+
+    @property
+    def idf(self) -> np.ndarray:
+        """log((docs - df + 0.5) / (df + 0.5)), at least 0: a term in half of the documents or more says nothing."""
+        return np.maximum(np.log((self.docs - self.df + 0.5) / (self.df + 0.5)), 0.0)
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Length of each document, and document, term and frequency of all its distinct terms in order."""
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    keys = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, lengths)
+    keys |= np.concatenate(docs)
+    keys, tf = np.unique(keys, return_counts=True)
+    return lengths, keys >> 32, keys & 0xFFFFFFFF, tf
+
+
+def weights(corpus: Corpus, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """BM25 weight of each term in its document."""
+    norm = K1 * (1 - B + B * lengths / max(corpus.mean, 1))
+    return corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+
+
+def corpus_of(rests: DataFrame) -> Corpus:
+    """Document frequencies, number and mean length of all rests, added up in tasks before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        total, n, tokens = np.zeros(0, dtype=np.int64), 0, 0
+        for batch in batches:
+            for part in slices(batch, 0, AT_ONCE) if batch.num_rows else ():
+                lengths, _, term, _ = term_counts(_arrays(part.column(0)))
+                found = np.bincount(term, minlength=len(total))
+                found[: len(total)] += total
+                total, n, tokens = found, n + len(lengths), tokens + int(lengths.sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()]), pa.array([tokens, n, *total[at].tolist()])], names=["term", "n"])
 
-    Term weights are those of BM25 with the inverse document frequency
-    log((n - df + 0.5) / (df + 0.5)), at least 0: a term in half of the documents
-    or more says nothing and has no postings.
+    rows = rests.select("ids").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary
+    sums = {r.term: r.n for r in rows}
+    df = np.zeros(max(sums, default=0) + 1, dtype=np.int64)
+    for t, n in sums.items():
+        if t >= 0:
+            df[t] = n
+    docs = sums.get(-1, 0)
+    return Corpus(df, docs, sums.get(-2, 0) / max(docs, 1))
+
+
+def leading_terms(corpus: Corpus, docs: list[np.ndarray]) -> np.ndarray:
+    """The term of each document by which its neighbours are found, or -1.
+
+    It has the largest BM25 weight times the logarithm of its document frequency, so a term that no other
+    document has leads none. Of equal ones the smallest leads.
     """
+    lengths, doc, term, tf = term_counts(docs)
+    weight = weights(corpus, lengths, doc, term, tf) * np.log2(np.maximum(corpus.df[term], 1))
+    starts = np.searchsorted(doc, np.arange(len(docs)))
+    best = np.maximum.reduceat(weight, starts)
+    at = np.flatnonzero(weight == best[doc])
+    first = at[np.unique(doc[at], return_index=True)[1]]
+    return np.where(best > 0, term[first], -1)
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+
+def shard_plan(sizes: dict[int, int], shard_docs: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """(first shard, number of shards) of each leading term, and the number of all shards.
+
+    Terms that lead few documents share shards; one that leads more than a shard holds has several, to which its
+    documents are dealt by a hash.
+    """
+    plan, shard, filled = {}, 0, 0
+    for t in sorted(sizes):
+        n = sizes[t]
+        if filled and filled + n > shard_docs:
+            shard, filled = shard + 1, 0
+        several = -(-n // shard_docs)
+        plan[t] = (shard, several)
+        shard, filled = (shard + several, 0) if several > 1 else (shard, filled + n)
+    return plan, shard + (filled > 0)
+
+
+class Index:
+    """An inverted index of a shard's documents with the BM25 weights of the whole corpus."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = self.n = len(docs)
-        lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        keys, tf = np.unique(owner << 32 | np.concatenate(docs), return_counts=True)
-        del owner
-        doc, (names, term) = (keys >> 32).astype(np.int32), np.unique(keys & 0xFFFFFFFF, return_inverse=True)
-        del keys
-        df = np.bincount(term, minlength=len(names))
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        told = idf[term] > 0
-        doc, term, tf = doc[told], term[told].astype(np.int32), tf[told]
-        norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1))
-        weight = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
+        lengths, doc, term, tf = term_counts(docs)
+        weight = weights(corpus, lengths, doc, term, tf)
+        told = weight > 0
+        doc, weight = doc[told].astype(np.int32), weight[told]
+        names, term = np.unique(term[told], return_inverse=True)
         # rows of a document are in order; postings need the order of terms
-        self.doc_at, self.doc_terms = np.searchsorted(doc, np.arange(n + 1)), term
+        self.doc_at, self.doc_terms = np.searchsorted(doc, np.arange(n + 1)), term.astype(np.int32)
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.term_at = np.searchsorted(term[order], np.arange(len(names) + 1))
@@ -58,21 +139,16 @@ class Index:
         return np.bincount(self.post_doc[at], weights=self.post_weight[at], minlength=self.n)
 
 
-def fill(docs: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) that use every token of a shard once.
+def fill(docs: list[np.ndarray], window: int, corpus: Corpus) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length) that use every token of a shard's rests once.
 
-    Whole windows are cut from the front of long documents. Of what is left, the
-    longest rest seeds a sequence; its BM25 neighbours join it whole, best first,
-    where they fit, and the best one that does not is cut to fill the gap. The last
-    tokens of a shard form sequences of power-of-two lengths.
+    The longest rest seeds a sequence; its unused BM25 neighbours join it whole, best first,
+    where they fit, and the best one that does not is cut to fill the gap. Only the last sequence may be shorter
+    than the window, as nothing is left to fill it. Rests are shorter than the window.
     """
     start = np.zeros(len(docs), dtype=np.int64)
     left = np.array([len(d) for d in docs], dtype=np.int64)
-    for d, n in enumerate(left):
-        for at in range(0, n - window + 1, window):
-            yield [(d, at, window)]
-        start[d], left[d] = n - n % window, n % window
-    index = Index(docs) if np.any(left) else None
+    index = Index(docs, corpus)
 
     def take(sequence: list, d: int, n: int) -> None:
         sequence.append((d, int(start[d]), int(n)))
@@ -97,11 +173,7 @@ def fill(docs: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, i
             rest = ranked[left[ranked] > 0]
             if len(rest):
                 take(sequence, int(rest[0]), space)
-                space = 0
-        if not space:
-            yield sequence
-        else:
-            yield from _powers(sequence)
+        yield sequence
 
 
 def _powers(sequence: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -129,7 +201,6 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_docs: int = SHARD_DOCS,
-    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Pack whole documents into sequences of at most ``window`` tokens; one row per piece.
 
@@ -137,57 +208,119 @@ def pack(
     doc_tokens (with the end id), sequence_id, offset (in the sequence), ids (the
     piece, little-endian unsigned 32-bit).
 
-    The corpus is sharded as it is read: a task cuts its rows into shards of at most
-    ``shard_docs`` documents or ``shard_bytes`` bytes of text (a longer text is a
-    shard of its own), indexes each and packs it, so memory is bounded, nothing is
-    shuffled, and a lost task is repeated from its own input with the same result. Every
-    sequence is full but for the last tokens of a shard. Sequence ids are unique;
-    they are not consecutive.
+    Whole windows are cut from the front of long documents. The rests are sharded by content: each goes to the
+    shard of its leading term, of those that other rests hold as well, so related rests meet wherever they
+    were stored, and a term that leads many has many shards. Document frequencies and lengths
+    are those of all rests. A task indexes a shard (at most MOST_DOCS rests or MOST_BYTES of ids at once) and fills windows
+    with the neighbours of each seed. The one sequence that a shard can't fill goes on to the next round,
+    where FAN shards meet, until one shard is left; its last tokens form sequences of power-of-two lengths. Which
+    pieces meet doesn't depend on how the rows were stored. Sequence ids are unique; they are not consecutive.
 
     Null texts are empty; an empty document is its end id alone. Repeated rows are
     packed each. Null ids stay null. An empty table gives no rows. Other columns
     are ignored.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
+    encoded = stash(_encoded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, end_id, window), "encoded")
+    rests = encoded.where("sequence_id is null").select("id", "start", "doc_tokens", "ids")
+    corpus = corpus_of(rests)
+    items, shards = _sharded(rests, corpus, shard_docs)
+    out, turn = encoded.where("sequence_id is not null"), 1
+    while shards:
+        packed = stash(_filled(items, shards, corpus, window, turn), "packed")
+        out = out.union(packed.where("sequence_id is not null").drop("shard"))
+        items = packed.where("sequence_id is null").select("id", "start", "doc_tokens", "ids", F.floor(F.col("shard") / FAN).alias("shard"))
+        shards, turn = 0 if shards == 1 else -(-shards // FAN), turn + 1
+    return out.toDF(id_col, *out.columns[1:])
 
-    def shard_rows(ids: list[pa.Scalar], parts: list[bytes], first: int) -> tuple[list[tuple], int]:
-        arrays = [np.frombuffer(p, dtype="<u4") for p in parts]
-        rows = []
-        for sequence in fill(arrays, window):
-            at = 0
-            for d, start, n in sequence:
-                rows.append((ids[d], start, n, len(arrays[d]), first, at, parts[d][4 * start : 4 * (start + n)]))
-                at += n
-            first += 1
-        return rows, first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _arrays(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u4") for x in ids.to_pylist()]
+
+
+def _batch(rows: list[tuple], id_type: pa.DataType, shard: bool = False) -> pa.RecordBatch:
+    names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "shard"][: 7 + shard]
+    kinds = [id_type, *[pa.int64()] * 5, pa.binary(), pa.int64()][: 7 + shard]
+    columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _encoded(rows: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
+    """The whole windows of every document as sequences, and its rest without a sequence."""
+    end = int(end_id).to_bytes(4, "little")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
-        ids: list = []
-        parts: list[bytes] = []
-        size = 0
-        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            kinds[0] = batch.schema.field(0).type
             texts, names = raw_texts(batch.column(1)), batch.column(0).to_pylist()
             for at in range(0, len(texts), SLICE):
-                several = texts[at : at + SLICE]
-                for i, text, encoded in zip(names[at : at + SLICE], several, encoder(tokenizer, remembered=REMEMBERED).encode(several)):
-                    if parts and (len(parts) >= shard_docs or size + len(text) > shard_bytes):
-                        rows, sequence = shard_rows(ids, parts, sequence)
-                        yield _batch(rows, kinds, id_col)
-                        ids, parts, size = [], [], 0
-                    ids.append(i)
-                    parts.append(encoded + end)
-                    size += len(text)
-        if parts:
-            yield _batch(shard_rows(ids, parts, sequence)[0], kinds, id_col)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, {PIECE}")
-
-
-def _batch(rows: list[tuple], kinds: list, id_col: str) -> pa.RecordBatch:
-    names = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                several, out = texts[at : at + SLICE], []
+                for i, found in zip(names[at : at + SLICE], encoder(tokenizer, remembered=REMEMBERED).encode(several)):
+                    ids = found + end
+                    n = len(ids) // 4
+                    for start in range(0, n, window):
+                        whole = start + window <= n
+                        out.append((i, start, min(window, n - start), n, sequence if whole else None, 0 if whole else None, ids[4 * start : 4 * (start + window)]))
+                        sequence += whole
+                yield _batch(out, batch.schema.field(0).type)
+
+    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, {PIECE}")
+
+
+def _sharded(rests: DataFrame, corpus: Corpus, shard_docs: int) -> tuple[DataFrame, int]:
+    """The rests with their shard, and the number of shards."""
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3, AT_ONCE):
+                terms = leading_terms(corpus, _arrays(part.column(3))) if part.num_rows else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.int64())], names=[*part.schema.names, "term"])
+
+    schema = f"id {rests.schema['id'].dataType.simpleString()}, start bigint, doc_tokens bigint, ids binary, term bigint"
+    led = stash(rests.mapInArrow(lead, schema), "led")
+    plan, shards = shard_plan({r.term: r["count"] for r in led.groupBy("term").count().collect()}, shard_docs)  # at most the vocabulary
+    rows = [(t, first, several) for t, (first, several) in plan.items()]
+    places = F.broadcast(rests.sparkSession.createDataFrame(rows, "term bigint, first bigint, several bigint"))
+    dealt = F.col("first") + F.pmod(F.xxhash64("ids", "id"), F.col("several"))
+    return led.join(places, "term").select("id", "start", "doc_tokens", "ids", dealt.alias("shard")), shards
+
+
+def _filled(items: DataFrame, shards: int, corpus: Corpus, window: int, turn: int) -> DataFrame:
+    """Pieces of all items with their shard; those of a short sequence have none unless only one shard is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held: list[tuple] = []
+        size = number = 0
+        kind = pa.null()
+
+        def packed() -> pa.RecordBatch:
+            nonlocal number
+            rows, shard = [], held[0][4]
+            for sequence in fill([np.frombuffer(h[3], dtype="<u4") for h in held], window, corpus):
+                short = sum(n for _, _, n in sequence) < window
+                for part in _powers(sequence) if short and shards == 1 else [sequence]:
+                    at, open_ = 0, short and shards > 1
+                    for d, start, n in part:
+                        i, before, total, ids, _ = held[d]
+                        place = (None, None) if open_ else (turn << 58 | shard << 24 | number, at)
+                        rows.append((i, before + start, n, total, *place, ids[4 * start : 4 * (start + n)], shard))
+                        at += n
+                    number += 1
+            return _batch(rows, kind, shard=True)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and (row[4] != held[0][4] or len(held) >= MOST_DOCS or size + len(row[3]) > MOST_BYTES):
+                    yield packed()
+                    if row[4] != held[0][4]:
+                        number = 0
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield packed()
+
+    dealt = items.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", F.xxhash64("ids"), "ids", "id", "start")
+    schema = f"id {items.schema['id'].dataType.simpleString()}, {PIECE}, shard bigint"
+    return dealt.mapInArrow(run, schema)

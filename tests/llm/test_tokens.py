@@ -1,13 +1,16 @@
 """Encoding, token files and packing against the tokenizers library itself."""
 
+import math
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from cases import TEXTS, documents, no_documents
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerbside.llm import packing, token_files, tokens
@@ -72,7 +75,6 @@ def test_token_files_of_wide_ids_and_of_nothing(spark):
 
 
 def test_a_task_reads_one_shard(spark):
-    from pyspark.sql import functions as F
 
     folder = scratch_dir(spark, "tokens")
     many = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text")).repartition(8)
@@ -145,11 +147,61 @@ def test_pack_edge_cases(spark):
     assert packing.pack(no_documents(spark), public_tokenizers.path(FILES[1]), end_id=2).count() == 0
 
 
+def plain_corpus(docs):
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    return packing.Corpus(np.array([df[t] for t in range(max(df) + 1)]), len(docs), sum(map(len, docs)) / len(docs))
+
+
 def test_neighbours_are_lexical():
     topic = [np.arange(t * 1000, t * 1000 + 40, dtype="<u4") for t in range(8)]
     docs = [topic[i % 8] for i in range(64)]
-    for sequence in packing.fill(docs, 160):
+    corpus = plain_corpus(docs)
+    for sequence in packing.fill(docs, 160, corpus):
         assert len({d % 8 for d, _, _ in sequence}) == 1
-    index = packing.Index(docs)
-    scores = index.scores(3)
+    scores = packing.Index(docs, corpus).scores(3)
     assert set(np.flatnonzero(scores == scores.max())) == set(range(3, 64, 8))
+
+
+def test_bm25_by_brute_force():
+    random.seed(4)
+    docs = [np.array([min(int(random.expovariate(0.05)), 300) for _ in range(random.randrange(1, 60))], dtype="<u4") for _ in range(50)]
+    corpus = plain_corpus(docs)
+    mean = sum(map(len, docs)) / 50
+
+    def score(query, doc):
+        total = 0
+        for t in set(query.tolist()):
+            tf, df = doc.tolist().count(t), sum(t in d.tolist() for d in docs)
+            total += max(math.log((50 - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(doc) / mean))
+        return total
+
+    index = packing.Index(docs, corpus)
+    for q in (0, 7, 31):
+        assert np.allclose(index.scores(q), [score(docs[q], d) for d in docs])
+
+
+def test_shard_plan():
+    plan, shards = packing.shard_plan({-1: 3, 4: 5, 9: 25, 11: 2, 12: 9}, 10)
+    assert plan == {-1: (0, 1), 4: (0, 1), 9: (1, 3), 11: (4, 1), 12: (5, 1)} and shards == 6
+    assert packing.shard_plan({}, 10) == ({}, 0)
+
+
+def test_packing_does_not_depend_on_the_layout(spark):
+    """Related documents meet from whatever files they come; few sequences are short; statistics are the corpus's."""
+    random.seed(8)
+    topics = [[f"{a}{b}{t}" for a in "klmnprst" for b in ("an", "or", "ing")] for t in ("bel", "cur", "dov", "fim", "gus")]
+    texts = [(i, " ".join(random.choices(topics[i % 5], k=random.randrange(5, 60)))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = []
+    for n in (1, 64):
+        rows = packing.pack(docs.repartition(n, F.rand(n)), public_tokenizers.path(FILES[1]), end_id=2, window=256, shard_docs=20).collect()
+        sequences = defaultdict(list)
+        for r in rows:
+            sequences[r.sequence_id].append(r)
+        found.append(sorted(sorted((r.doc_id, r.start, r.length, r.offset) for r in s) for s in sequences.values()))
+        sizes = [sum(r.length for r in s) for s in sequences.values()]
+        assert sum(x < 256 for x in sizes) <= 8 and sum(sizes) == sum(r.doc_tokens for r in {r.doc_id: r for r in rows}.values())
+        pure = sum(len({r.doc_id % 5 for r in s}) == 1 for s in sequences.values())
+        assert pure > 0.7 * len(sequences)
+    assert found[0] == found[1]
+
