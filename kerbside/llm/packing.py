@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kerbside.llm.memory import forget
 from kerbside.llm.store import slices, stash
-from kerbside.llm.tokens import encoder
+from kerbside.llm.tokens import encoder, vocabulary_size
 from kerbside.llm.words import raw_texts
 
 SHARD_DOCS = 1024  # rests that a shard is planned for
@@ -55,7 +55,7 @@ def weights(corpus: Corpus, lengths: np.ndarray, doc: np.ndarray, term: np.ndarr
     return corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
 
 
-def corpus_of(rests: DataFrame) -> Corpus:
+def corpus_of(rests: DataFrame, kind: str = "<u4") -> Corpus:
     """Document frequencies, number and mean length of all rests, added up in tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def corpus_of(rests: DataFrame) -> Corpus:
         total, n, tokens = np.zeros(0, dtype=np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, 0, AT_ONCE) if batch.num_rows else ():
-                lengths, _, term, _ = term_counts(_arrays(part.column(0)))
+                lengths, _, term, _ = term_counts(_arrays(part.column(0), kind))
                 found = np.bincount(term, minlength=len(total))
                 found[: len(total)] += total
                 total, n, tokens = found, n + len(lengths), tokens + int(lengths.sum())
@@ -220,21 +220,30 @@ def pack(
     packed each. Null ids stay null. An empty table gives no rows. Other columns
     are ignored.
     """
-    encoded = stash(_encoded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, end_id, window), "encoded")
+    width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4  # bytes of an id until the result
+    kind = f"<u{width}"
+    encoded = stash(_encoded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, end_id, window, width), "encoded")
     rests = encoded.where("sequence_id is null").select("id", "start", "doc_tokens", "ids")
-    corpus = corpus_of(rests)
-    items, shards = _sharded(rests, corpus, shard_docs)
+    corpus = corpus_of(rests, kind)
+    items, shards = _sharded(rests, corpus, shard_docs, kind)
     out, turn = encoded.where("sequence_id is not null"), 1
     while shards:
-        packed = stash(_filled(items, shards, corpus, window, turn), "packed")
+        packed = stash(_filled(items, shards, corpus, window, turn, kind), "packed")
         out = out.union(packed.where("sequence_id is not null").drop("shard"))
         items = packed.where("sequence_id is null").select("id", "start", "doc_tokens", "ids", F.floor(F.col("shard") / FAN).alias("shard"))
         shards, turn = 0 if shards == 1 else -(-shards // FAN), turn + 1
-    return out.toDF(id_col, *out.columns[1:])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([x.astype("<u4").tobytes() for x in _arrays(batch.column(6), kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], ids], names=batch.schema.names)
+
+    whole = out if width == 4 else out.mapInArrow(widen, out.schema)
+    return whole.toDF(id_col, *out.columns[1:])
 
 
-def _arrays(ids: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u4") for x in ids.to_pylist()]
+def _arrays(ids: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=kind) for x in ids.to_pylist()]
 
 
 def _batch(rows: list[tuple], id_type: pa.DataType, shard: bool = False) -> pa.RecordBatch:
@@ -244,9 +253,9 @@ def _batch(rows: list[tuple], id_type: pa.DataType, shard: bool = False) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _encoded(rows: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
+def _encoded(rows: DataFrame, tokenizer: str, end_id: int, window: int, width: int) -> DataFrame:
     """The whole windows of every document as sequences, and its rest without a sequence."""
-    end = int(end_id).to_bytes(4, "little")
+    end = int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
@@ -254,62 +263,75 @@ def _encoded(rows: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
             texts, names = raw_texts(batch.column(1)), batch.column(0).to_pylist()
             for at in range(0, len(texts), SLICE):
                 several, out = texts[at : at + SLICE], []
-                for i, found in zip(names[at : at + SLICE], encoder(tokenizer, remembered=REMEMBERED).encode(several)):
+                for i, found in zip(names[at : at + SLICE], encoder(tokenizer, width, REMEMBERED).encode(several)):
                     ids = found + end
-                    n = len(ids) // 4
+                    n = len(ids) // width
                     for start in range(0, n, window):
                         whole = start + window <= n
-                        out.append((i, start, min(window, n - start), n, sequence if whole else None, 0 if whole else None, ids[4 * start : 4 * (start + window)]))
+                        out.append((i, start, min(window, n - start), n, sequence if whole else None, 0 if whole else None, ids[width * start : width * (start + window)]))
                         sequence += whole
                 yield _batch(out, batch.schema.field(0).type)
 
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, {PIECE}")
 
 
-def _sharded(rests: DataFrame, corpus: Corpus, shard_docs: int) -> tuple[DataFrame, int]:
+def _sharded(rests: DataFrame, corpus: Corpus, shard_docs: int, kind: str) -> tuple[DataFrame, int]:
     """The rests with their shard, and the number of shards."""
 
+    def led(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for part in slices(batch, at, AT_ONCE) if batch.num_rows else ():
+            yield part, leading_terms(corpus, _arrays(part.column(at), kind))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(corpus.df) + 1, dtype=np.int64)
+        for batch in batches:
+            for _, terms in led(batch, 0):
+                total += np.bincount(terms + 1, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 1), pa.array(total[at])], names=["term", "n"])
+
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 3, AT_ONCE):
-                terms = leading_terms(corpus, _arrays(part.column(3))) if part.num_rows else []
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.int64())], names=[*part.schema.names, "term"])
+            for part, terms in led(batch, 3):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms)], names=[*part.schema.names, "term"])
 
-    schema = f"id {rests.schema['id'].dataType.simpleString()}, start bigint, doc_tokens bigint, ids binary, term bigint"
-    led = stash(rests.mapInArrow(lead, schema), "led")
-    plan, shards = shard_plan({r.term: r["count"] for r in led.groupBy("term").count().collect()}, shard_docs)  # at most the vocabulary
+    sizes = rests.select("ids").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    plan, shards = shard_plan({r.term: r.n for r in sizes}, shard_docs)
     rows = [(t, first, several) for t, (first, several) in plan.items()]
     places = F.broadcast(rests.sparkSession.createDataFrame(rows, "term bigint, first bigint, several bigint"))
     dealt = F.col("first") + F.pmod(F.xxhash64("ids", "id"), F.col("several"))
-    return led.join(places, "term").select("id", "start", "doc_tokens", "ids", dealt.alias("shard")), shards
+    schema = f"id {rests.schema['id'].dataType.simpleString()}, start bigint, doc_tokens bigint, ids binary, term bigint"
+    return rests.mapInArrow(lead, schema).join(places, "term").select("id", "start", "doc_tokens", "ids", dealt.alias("shard")), shards
 
 
-def _filled(items: DataFrame, shards: int, corpus: Corpus, window: int, turn: int) -> DataFrame:
+def _filled(items: DataFrame, shards: int, corpus: Corpus, window: int, turn: int, kind: str) -> DataFrame:
     """Pieces of all items with their shard; those of a short sequence have none unless only one shard is left."""
 
+    width = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         held: list[tuple] = []
         size = number = 0
-        kind = pa.null()
+        id_type = pa.null()
 
         def packed() -> pa.RecordBatch:
             nonlocal number
             rows, shard = [], held[0][4]
-            for sequence in fill([np.frombuffer(h[3], dtype="<u4") for h in held], window, corpus):
+            for sequence in fill([np.frombuffer(h[3], dtype=kind) for h in held], window, corpus):
                 short = sum(n for _, _, n in sequence) < window
                 for part in _powers(sequence) if short and shards == 1 else [sequence]:
                     at, open_ = 0, short and shards > 1
                     for d, start, n in part:
                         i, before, total, ids, _ = held[d]
                         place = (None, None) if open_ else (turn << 58 | shard << 24 | number, at)
-                        rows.append((i, before + start, n, total, *place, ids[4 * start : 4 * (start + n)], shard))
+                        rows.append((i, before + start, n, total, *place, ids[width * start : width * (start + n)], shard))
                         at += n
                     number += 1
-            return _batch(rows, kind, shard=True)
+            return _batch(rows, id_type, shard=True)
 
         for batch in batches:
-            kind = batch.schema.field(0).type
+            id_type = batch.schema.field(0).type
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if held and (row[4] != held[0][4] or len(held) >= MOST_DOCS or size + len(row[3]) > MOST_BYTES):
                     yield packed()
