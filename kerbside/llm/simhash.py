@@ -141,10 +141,10 @@ def keep_first(
     first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("_first"))
     inner = [f"c{i}" for i in range(len(docs.columns))]  # names of docs may be anything
     i, text = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
-    keyed = docs.toDF(*inner).withColumn("_key", F.xxhash64(text))
-    same = F.col(i).eqNullSafe(F.col("_first.id")) & (F.col("_key") == F.col("_first.key"))
-    kept = keyed.join(first.select("_first"), same, "left_semi").dropDuplicates([i, "_key"])
-    return kept.drop("_key").toDF(*docs.columns)
+    # one struct as the key of both steps, in which nulls are equal: texts are shuffled once
+    keyed = docs.toDF(*inner).withColumn("_k", F.struct(F.col(i).alias("id"), F.xxhash64(text).alias("key")))
+    kept = keyed.join(first.select(F.struct("_first.id", F.coalesce("_first.key", F.lit(0)).alias("key")).alias("_k")), "_k", "left_semi").dropDuplicates(["_k"])
+    return kept.drop("_k").toDF(*docs.columns)
 
 
 def hex_digits(bits: Column) -> Column:

@@ -71,6 +71,23 @@ def test_near_duplicate_edge_cases(spark):
     assert simhash.keep_first(no_documents(spark)).count() == 0
 
 
+def test_whole_texts_are_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = next(at for at, line in enumerate(plan.splitlines()) if "Scan parquet" in line and "lang" in line)
+    above, depth = 0, len(plan.splitlines()[scan]) - len(plan.splitlines()[scan].lstrip(" :+-"))
+    for line in reversed(plan.splitlines()[:scan]):  # the scan's ancestors
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            depth, above = indent, above + ("Exchange hashpartitioning" in line)
+    assert above == 1
+
+
 def test_components(spark):
     random.seed(1)
     links = [(random.randrange(300), random.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1120)] + [(5000, i) for i in range(5001, 5100)]
