@@ -16,10 +16,10 @@ from kerbside.llm.tokens import encoder, vocabulary_size
 from kerbside.llm.words import raw_texts
 
 SHARD_DOCS = 1024  # rests that a shard is planned for
-MOST_DOCS, MOST_BYTES = 16 * SHARD_DOCS, 16_000_000  # rests, and bytes of their ids, that a task indexes at once
+MOST_DOCS, MOST_BYTES = 16 * SHARD_DOCS, 4_000_000  # rests, and bytes of their ids, that a task indexes at once
 FAN = 512  # shards whose open sequences meet in the next round
 SLICE = 256  # texts encoded together
-AT_ONCE = 8_000_000  # bytes of ids whose terms are counted together
+AT_ONCE = 2_000_000  # bytes of ids whose terms are counted together
 REMEMBERED = 600_000  # chunks
 MOST_TASKS = 10_000
 K1, B = 1.2, 0.75

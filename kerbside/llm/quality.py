@@ -21,6 +21,7 @@ MAX_LABELLED = 20_000  # ids of each label that the models and the cut are fitte
 HELD_OUT = 3  # one of so many labelled ids is kept from the models, for the cut
 PRIOR = 10.0  # n-grams of the raw model that each bucket of the target model starts with
 WORD_MEMORY = 300_000
+AT_ONCE = 2_000_000  # bytes of text whose n-grams are held together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 
@@ -56,7 +57,7 @@ class Grams:
         pairs = shapes[:-1] << 17 | shapes[1:]
         of_words = np.concatenate([names, follow]) * _MIX >> np.uint64(64 - WORD_BITS)
         of_shapes = np.concatenate([shapes, pairs + (1 << 34)]).astype(np.uint64) * _MIX >> np.uint64(64 - SHAPE_BITS)
-        return np.concatenate([of_words, of_shapes + np.uint64(WORDS)]).astype(np.int64)
+        return np.concatenate([of_words, of_shapes + np.uint64(WORDS)]).astype(np.int32)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         grams = keep_one("grams", Grams)
         total = np.zeros((3, WORDS + SHAPES), dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, AT_ONCE):
                 sides = part.column(1).to_numpy()
                 found = [grams.of(text) for text in raw_texts(part.column(0))]
                 for s in np.unique(sides):
@@ -163,7 +164,7 @@ def weigh(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         total = np.array([model.ratio[f].sum() for f in found], dtype=np.float64)
         return [pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))]
 
-    return with_text_columns(docs, text_col, compute, "n_grams bigint, log_ratio double, mean_log_ratio double", keep)
+    return with_text_columns(docs, text_col, compute, "n_grams bigint, log_ratio double, mean_log_ratio double", keep, AT_ONCE)
 
 
 def gumbel(*columns: str | Column, seed: int = 42) -> Column:
