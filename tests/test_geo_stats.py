@@ -133,6 +133,30 @@ def test_candidates_do_not_grow_with_the_zones(spark):
     assert per_place[80] < 2 * per_place[20] and per_place[80] < 1000
 
 
+def test_candidates_of_far_places_do_not_grow_with_the_zones(spark):
+    per_place = {}
+    for side in (20, 80):
+        zones = [(i * side + j, -50 + 0.01 * i, 1 + 0.01 * j) for i in range(side) for j in range(side)]
+        places = [(40.0 + 0.1 * i, -74.0 + 0.05 * i) for i in range(10)]
+        met = GE.candidates(spark.createDataFrame(places, "lat DOUBLE, lon DOUBLE"), spark.createDataFrame(zones, "zone INT, lat DOUBLE, lon DOUBLE"), 3)
+        per_place[side] = met.count() / len(places)
+    assert per_place[80] < 2 * per_place[20] and per_place[80] < 200
+
+
+def test_nearest_zones_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(GE, "MOST_SENT", 10)
+    zones, places = zone_table(300), [(i, -la, lo + 90) for i, la, lo in zone_table(20, 3)]
+    df = GE.zone_knn(
+        spark.createDataFrame(places, "start_id INT, lat DOUBLE, lon DOUBLE"),
+        spark.createDataFrame(zones, "zone INT, lat DOUBLE, lon DOUBLE"), 4)
+    got = {r.start_id: [z.zone for z in r.near] for r in df.collect()}
+    for i, la, lo in places:
+        assert got[i] == [z[0] for z in sorted(zones, key=lambda z: haversine((la, lo), z[1:]))[:4]]
+    # cells that many zones spread to are not taken for a small side
+    sent = GE.candidates(df.select("lat", "lon"), spark.createDataFrame(zones, "zone INT, lat DOUBLE, lon DOUBLE"), 4)
+    assert "SortMergeJoin" in sent._jdf.queryExecution().executedPlan().toString()
+
+
 def test_routes_with_large_zone_ids(spark):
     zones = [(3_000_000_000 + i, 40 + 0.01 * i, -74.0) for i in range(4)]
     df = GE.greedy_routes(
