@@ -198,6 +198,43 @@ def test_a_logistic_step_is_a_newton_step(spark):
         assert score == pytest.approx(1 / (1 + math.exp(-step)), abs=1e-9)
 
 
+def test_boosting_joins_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(BO, "JOINED", 100)
+    rows = steps(spark).withColumns({"label": F.expr("jump + noise"), "held": F.col("part") == "val"})
+    for n in (4000, 16_000):  # places are the same, however many rows lie there
+        more = steps(spark, n).withColumns({"label": F.expr("jump + noise"), "held": F.lit(False)})
+        found = BO.cells(more, ["x", "y"], "label", "held")
+        assert found.count() <= 1000 and found.agg(F.sum("_n")).first()[0] == n
+    joined = BO.boost(rows, ["x", "y"], "label", "held", rounds=3, rate=0.4, min_rows=30)
+    monkeypatch.setattr(BO, "JOINED", 10**9)
+    single = BO.boost(rows, ["x", "y"], "label", "held", rounds=3, rate=0.4, min_rows=30)
+    assert joined.losses == pytest.approx(single.losses, rel=1e-9)
+    assert [t.numNodes for t in joined.trees] == [t.numNodes for t in single.trees]
+    both = joined.transform(single.transform(rows, "a"), "b")
+    assert both.where(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
+
+
+def test_ranges_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(BO, "JOINED", 100)
+    monkeypatch.setattr(BO, "EXACT", 200)
+    monkeypatch.setattr(BO, "FINE", 64)
+    rows = spark.range(20_000).select((F.col("id") / 7).alias("x"), (F.col("id") % 3).alias("g"), (F.col("id") > 5000).cast("double").alias("label"), F.lit(False).alias("held"))
+    assert BO.cells(rows, ["x", "g"], "label", "held").count() <= 65 * 3
+    model = BO.boost(rows, ["x", "g"], "label", "held", rounds=1, rate=1.0, depth=2)
+    wrong = model.transform(rows).where(F.abs(F.col("prediction") - F.col("label")) > 0.5).count()
+    assert wrong <= 20_000 / 64
+
+
+def test_mixture_spreads_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(TP, "MOST_IN_TASK", 40)
+    seen = []
+    fit = TP.GaussianMixture._fit
+    monkeypatch.setattr(TP.GaussianMixture, "_fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    rows = spark.range(400).coalesce(1).select(F.when(F.col("id") % 2 == 0, 10 + F.randn(1)).otherwise(50 + F.randn(2)).alias("tip_amount"))
+    parts = TP.mixture_parameters(spark, TP.gaussian_mixture_tips(rows, 2)).collect()
+    assert seen == [10] and [round(p["mean"]) for p in parts] == [10, 50]
+
+
 def test_boosted_hurdle_beats_the_linear_one(spark):
     x = F.col("x")
     rows = steps(spark).withColumns({
