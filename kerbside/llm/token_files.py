@@ -10,11 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kerbside.llm.memory import forget
-from kerbside.llm.store import open_folder, view
-from kerbside.llm.tokens import encoder, vocabulary_size
-from kerbside.llm.words import raw_texts
+from kerbside.llm.store import open_folder, slices, view
+from kerbside.llm.tokens import buffers, encoder, vocabulary_size
 
-SLICE = 256  # texts encoded before their ids are written
+AT_ONCE = 4_000_000  # bytes of text encoded before their ids are written
+SLICE = 256  # documents read back together
 SHARD = "shard int, name string, width int, n_docs bigint, n_tokens bigint"
 
 
@@ -41,7 +41,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, fs_path = context.partitionId(), None
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         ids: list[pa.Array] = []
         fs, base = open_folder(folder)
         name = f"shard-{shard:06d}-{context.taskAttemptId()}"
@@ -51,22 +51,22 @@ def write_token_files(
                 fs_path = f"{base}/{name}"
                 out = fs.open_output_stream(f"{fs_path}.bin")
             ids.append(batch.column(0))
-            texts = raw_texts(batch.column(1))
-            for i in range(0, len(texts), SLICE):
-                for part in encoder(tokenizer, width).encode(texts[i : i + SLICE]):
-                    out.write(part + end)
-                    lengths.append(len(part) // width + 1)
+            for part in slices(batch, 1, AT_ONCE):
+                at, tokens = buffers(encoder(tokenizer, width).column(part.column(1), end))
+                out.write(tokens[at[0] : at[-1]])
+                lengths.append(np.diff(at) // width)
         if out is None:
             return
         out.close()
-        offsets = np.zeros(len(lengths) + 1, dtype="<u8")
-        np.cumsum(lengths, out=offsets[1:])
+        n_tokens = np.concatenate(lengths)
+        offsets = np.zeros(len(n_tokens) + 1, dtype="<u8")
+        np.cumsum(n_tokens, out=offsets[1:], dtype="<u8")
         with fs.open_output_stream(f"{fs_path}.idx") as f:
             f.write(offsets.tobytes())
         table = pa.Table.from_arrays([pa.chunked_array(ids)], names=["id"])
         with fs.open_output_stream(f"{fs_path}.ids") as f, pa.ipc.new_file(f, table.schema) as w:
             w.write_table(table)
-        columns = [[shard], [name], [width], [len(lengths)], [int(offsets[-1])]]
+        columns = [[shard], [name], [width], [len(n_tokens)], [int(offsets[-1])]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["shard", "name", "width", "n_docs", "n_tokens"])
 
     spark = docs.sparkSession
