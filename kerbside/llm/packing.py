@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from kerbside.llm.memory import forget
 from kerbside.llm.store import slices, stash
-from kerbside.llm.tokens import encoder, vocabulary_size
-from kerbside.llm.words import raw_texts
+from kerbside.llm.tokens import buffers, cut, encoder, vocabulary_size
 
 SHARD_DOCS = 1024  # rests that a shard is planned for
 MOST_DOCS, MOST_BYTES = 16 * SHARD_DOCS, 4_000_000  # rests, and bytes of their ids, that a task indexes at once
 FAN = 512  # shards whose open sequences meet in the next round
-SLICE = 256  # texts encoded together
+TEXT_AT_ONCE = 4_000_000  # bytes of text encoded together
 AT_ONCE = 2_000_000  # bytes of ids whose terms are counted together
 REMEMBERED = 600_000  # chunks
 MOST_TASKS = 10_000
+SHARDS_A_TASK = 4  # that a task fills one after another
 K1, B = 1.2, 0.75
 PIECE = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+PIECES = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
 @dataclass
@@ -42,11 +43,13 @@ class Corpus:
 
 def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Length of each document, and document, term and frequency of all its distinct terms in order."""
-    lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    keys = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, lengths)
-    keys |= np.concatenate(docs)
+    lengths, flat = np.array([len(d) for d in docs], dtype=np.int64), np.concatenate(docs)
+    # short keys sort faster
+    bits, kind = (16, np.uint32) if flat.dtype.itemsize == 2 and len(docs) <= 1 << 16 else (32, np.int64)
+    keys = np.repeat(np.arange(len(docs), dtype=kind) << bits, lengths)
+    keys |= flat
     keys, tf = np.unique(keys, return_counts=True)
-    return lengths, keys >> 32, keys & 0xFFFFFFFF, tf
+    return lengths, (keys >> bits).astype(np.int64), (keys & ((1 << bits) - 1)).astype(np.int64), tf
 
 
 def weights(corpus: Corpus, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -121,12 +124,19 @@ class Index:
         weight = weights(corpus, lengths, doc, term, tf)
         told = weight > 0
         doc, weight = doc[told].astype(np.int32), weight[told]
-        names, term = np.unique(term[told], return_inverse=True)
+        held = np.bincount(term[told]) > 0
+        term, names = (np.cumsum(held) - 1)[term[told]], np.count_nonzero(held)
         # rows of a document are in order; postings need the order of terms
         self.doc_at, self.doc_terms = np.searchsorted(doc, np.arange(n + 1)), term.astype(np.int32)
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if names <= 1 << 16 else term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
-        self.term_at = np.searchsorted(term[order], np.arange(len(names) + 1))
+        self.term_at = np.searchsorted(term[order], np.arange(names + 1))
+
+    def keep(self, alive: np.ndarray) -> None:
+        """Drop the postings of other documents, which score nothing from then on."""
+        told = alive[self.post_doc]
+        self.term_at = np.concatenate([[0], np.cumsum(told)])[self.term_at]
+        self.post_doc, self.post_weight = self.post_doc[told], self.post_weight[told]
 
     def scores(self, query: int) -> np.ndarray:
         """BM25 score of every document for the distinct terms of document ``query``."""
@@ -148,7 +158,7 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus) -> Iterator[list[t
     """
     start = np.zeros(len(docs), dtype=np.int64)
     left = np.array([len(d) for d in docs], dtype=np.int64)
-    index = Index(docs, corpus)
+    index, held = Index(docs, corpus), len(docs)
 
     def take(sequence: list, d: int, n: int) -> None:
         sequence.append((d, int(start[d]), int(n)))
@@ -158,11 +168,14 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus) -> Iterator[list[t
     for seed in np.argsort(-left, kind="stable"):
         if not left[seed]:
             continue
-        ranked = np.argsort(-index.scores(seed), kind="stable")
+        if 2 * np.count_nonzero(left) < held:
+            index.keep(left > 0)
+            held = np.count_nonzero(left)
         sequence: list[tuple[int, int, int]] = []
         take(sequence, seed, left[seed])
         space = window - sequence[0][2]
-        ranked = ranked[left[ranked] > 0]
+        others = np.flatnonzero(left)
+        ranked = others[np.argsort(-index.scores(seed)[others], kind="stable")]
         for d, n in zip(ranked.tolist(), left[ranked].tolist()):
             if n <= space:
                 take(sequence, d, n)
@@ -235,7 +248,8 @@ def pack(
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([x.astype("<u4").tobytes() for x in _arrays(batch.column(6), kind)], pa.binary())
+            at, data = buffers(batch.column(6).cast(pa.large_binary()))
+            ids = cut(2 * (at - at[0]), data[at[0] : at[-1]].view("<u2").astype("<u4")).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], ids], names=batch.schema.names)
 
     whole = out if width == 4 else out.mapInArrow(widen, out.schema)
@@ -247,7 +261,7 @@ def _arrays(ids: pa.Array, kind: str) -> list[np.ndarray]:
 
 
 def _batch(rows: list[tuple], id_type: pa.DataType, shard: bool = False) -> pa.RecordBatch:
-    names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "shard"][: 7 + shard]
+    names = [*PIECES, "shard"][: 7 + shard]
     kinds = [id_type, *[pa.int64()] * 5, pa.binary(), pa.int64()][: 7 + shard]
     columns = list(zip(*rows)) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -260,17 +274,19 @@ def _encoded(rows: DataFrame, tokenizer: str, end_id: int, window: int, width: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts, names = raw_texts(batch.column(1)), batch.column(0).to_pylist()
-            for at in range(0, len(texts), SLICE):
-                several, out = texts[at : at + SLICE], []
-                for i, found in zip(names[at : at + SLICE], encoder(tokenizer, width, REMEMBERED).encode(several)):
-                    ids = found + end
-                    n = len(ids) // width
-                    for start in range(0, n, window):
-                        whole = start + window <= n
-                        out.append((i, start, min(window, n - start), n, sequence if whole else None, 0 if whole else None, ids[width * start : width * (start + window)]))
-                        sequence += whole
-                yield _batch(out, batch.schema.field(0).type)
+            for part in slices(batch, 1, TEXT_AT_ONCE) if batch.num_rows else ():
+                at, tokens = buffers(encoder(tokenizer, width, REMEMBERED).column(part.column(1), end))
+                n = np.diff(at) // width
+                many = -(-n // window)
+                doc = np.repeat(np.arange(len(n)), many)
+                start = window * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+                length = np.minimum(window, n[doc] - start)
+                rest = length < window
+                places = sequence + np.cumsum(~rest) - 1
+                sequence += int((~rest).sum())
+                columns = [pa.array(x) for x in (start, length, n[doc])] + [pa.array(x, mask=rest) for x in (places, np.zeros_like(start))]
+                ids = cut(np.append(at[doc] + width * start, at[-1:]), tokens).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *columns, ids], names=PIECES)
 
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, {PIECE}")
 
@@ -343,6 +359,6 @@ def _filled(items: DataFrame, shards: int, corpus: Corpus, window: int, turn: in
         if held:
             yield packed()
 
-    dealt = items.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", F.xxhash64("ids"), "ids", "id", "start")
+    dealt = items.repartition(min(-(-shards // SHARDS_A_TASK), MOST_TASKS), "shard").sortWithinPartitions("shard", F.xxhash64("ids"), "ids", "id", "start")
     schema = f"id {items.schema['id'].dataType.simpleString()}, {PIECE}, shard bigint"
     return dealt.mapInArrow(run, schema)
